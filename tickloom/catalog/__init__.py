@@ -5,6 +5,7 @@ from importlib import import_module
 MODULES = (
     "indicator_queries",
     "strategy_queries",
+    "structure_queries",
 )
 
 
