@@ -6,6 +6,8 @@ MODULES = (
     "indicator_queries",
     "strategy_queries",
     "structure_queries",
+    "join_queries",
+    "range_queries",
 )
 
 

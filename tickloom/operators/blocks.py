@@ -90,14 +90,13 @@ def running(
     order: Sequence[str] = ("bar_index",),
     block: Column | None = None,
     inclusive: bool = True,
-    reverse: bool = False,
 ) -> DataFrame:
     """Add running aggregates over each key in ``order``.
 
     ``columns`` maps an output name to ``(how, expression)`` with ``how`` one of ``sum``,
-    ``count``, ``max``, ``min`` or ``last`` (latest non-null value). ``inclusive=False`` stops at the
-    previous row, ``reverse=True`` runs from the end. ``block`` must be monotone in ``order`` and
-    bounds the rows handled together; default is ``bar_index`` in steps of ``BLOCK_ROWS``.
+    ``count``, ``max``, ``min``, ``last`` (latest non-null value) or ``next`` (coming non-null value).
+    ``inclusive=False`` leaves out the row itself. ``block`` must be monotone in ``order`` and bounds
+    the rows handled together; default is ``bar_index`` in steps of ``BLOCK_ROWS``.
     """
     keys, order = list(keys), list(order)
     part = keys + ["_block"]
@@ -108,10 +107,10 @@ def running(
         src = src.withColumn(f"_in_{name}", expr)
 
     position = F.struct(*order)
-    arrow = (lambda c: F.col(c).desc()) if reverse else F.col
-    end = 0 if inclusive else -1
-    near = Window.partitionBy(*part).orderBy(*[arrow(c) for c in order]).rowsBetween(Window.unboundedPreceding, end)
-    far = Window.partitionBy(*keys).orderBy(arrow("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    step = 0 if inclusive else 1
+    local, chain = Window.partitionBy(*part).orderBy(*order), Window.partitionBy(*keys).orderBy("_block")
+    near, far = local.rowsBetween(Window.unboundedPreceding, -step), chain.rowsBetween(Window.unboundedPreceding, -1)
+    near_next, far_next = local.rowsBetween(step, Window.unboundedFollowing), chain.rowsBetween(1, Window.unboundedFollowing)
 
     totals, carries, results = [], [], {}
     for name, (how, _) in columns.items():
@@ -129,12 +128,15 @@ def running(
             carries.append(fn(total).over(far).alias(carry))
             results[name] = pick(F.col(carry), fn(value).over(near))
         elif how == "last":
-            seen = F.when(value.isNotNull(), position)
-            totals.append((F.min_by if reverse else F.max_by)(value, seen).alias(total))
+            totals.append(F.max_by(value, F.when(value.isNotNull(), position)).alias(total))
             carries.append(F.last(total, ignorenulls=True).over(far).alias(carry))
             results[name] = F.coalesce(F.last(value, ignorenulls=True).over(near), F.col(carry))
+        elif how == "next":
+            totals.append(F.min_by(value, F.when(value.isNotNull(), position)).alias(total))
+            carries.append(F.first(total, ignorenulls=True).over(far_next).alias(carry))
+            results[name] = F.coalesce(F.first(value, ignorenulls=True).over(near_next), F.col(carry))
         else:
-            raise ValueError(f"unknown running aggregate {how!r}; use sum, count, max, min or last")
+            raise ValueError(f"unknown running aggregate {how!r}; use sum, count, max, min, last or next")
 
     carry_in = src.groupBy(*part).agg(*totals).select(*part, *carries)
     out = src.join(carry_in, part).withColumns(results)

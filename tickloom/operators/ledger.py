@@ -190,22 +190,34 @@ def marks(ledger: DataFrame, start: int, end: int) -> DataFrame:
         F.concat_ws("_", "epoch", "type").alias("id"),
         F.col("epoch").alias("time"),
         F.when(buy, "green").otherwise("red").alias("color"),
-        F.col("label").alias("text"),
+        F.concat_ws(" ", F.upper("type"), "label").alias("text"),
         F.when(buy, "B").otherwise("S").alias("mark_label"),
-        F.lit("white").alias("label_font_color"),
-        F.lit(20).alias("min_size"),
+        F.lit(14).alias("min_size"),
     )
 
 
-def marker_offsets(ledger: DataFrame, bucket_seconds: int = 300, step: float = 0.002, block_rows: int = 4096) -> DataFrame:
-    """Rank of same-type markers inside a time bucket, and the price offset that keeps them apart."""
+# fixed values: marker distance from the candle, and per marker already there, as parts of the price
+MARKER_BASE, MARKER_STACK = 0.0015, 0.001
+
+
+def marker_offsets(snapped: DataFrame, bucket_seconds: int = 300) -> DataFrame:
+    """Rank of same-type markers inside a time bucket, and a price beyond the candle that keeps them apart.
+
+    ``snapped`` has ``candle_high`` and ``candle_low`` (see ``asof.snap_trades``).
+    """
     out = running(
-        ledger.withColumn("bucket", F.floor(F.col("epoch") / bucket_seconds).cast("long")),
+        snapped.withColumn("bucket", (F.floor(F.col("epoch") / bucket_seconds) * bucket_seconds).cast("long")),
         {"marker_rank": ("count", F.lit(1))},
         keys=("symbol", "bucket", "type"),
-        order=("epoch", "bar_index", "price"),
-        block=F.floor(F.col("bar_index") / block_rows),
+        order=("epoch", "price"),
+        block=F.col("epoch"),
         inclusive=False,
     )
-    away = F.when(F.col("type") == "buy", -1).otherwise(1)
-    return out.withColumn("marker_price", F.col("price") * (1 + away * step * (F.col("marker_rank") + 1)))
+    away = F.col("price") * MARKER_BASE + F.col("price") * MARKER_STACK * F.col("marker_rank")
+    below, above = F.col("candle_low") - away, F.col("candle_high") + away
+    return out.withColumn("marker_price", F.when(F.col("type") == "buy", below).otherwise(above))
+
+
+def distinct_trades(ledger: DataFrame) -> DataFrame:
+    """One trade per symbol, time, type and price."""
+    return ledger.dropDuplicates(["symbol", "epoch", "type", "price"])
