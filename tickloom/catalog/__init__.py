@@ -8,6 +8,9 @@ MODULES = (
     "structure_queries",
     "join_queries",
     "range_queries",
+    "scalar_queries",
+    "source_queries",
+    "text_queries",
 )
 
 

@@ -127,12 +127,12 @@ def j7_snap_trades(spark, sf):
         + """, mr AS (SELECT *, epoch // 300 * 300 AS bucket, row_number() OVER (PARTITION BY symbol, epoch // 300, type ORDER BY epoch, price) - 1 AS marker_rank,
            CASE WHEN gap < 60 THEN near_high ELSE price END AS ch, CASE WHEN gap < 60 THEN near_low ELSE price END AS cl FROM nr)""",
         """SELECT o_orderkey, bucket, marker_rank, round(CASE WHEN type = 'buy' THEN cl - (price * 0.0015 + price * 0.001 * marker_rank)
-       ELSE ch + (price * 0.0015 + price * 0.001 * marker_rank) END, 4) AS marker_price FROM mr""",
+       ELSE ch + (price * 0.0015 + price * 0.001 * marker_rank) END, 8) AS marker_price FROM mr""",
     ),
 )
 def w13_marker_rank(spark, sf):
     out = L.marker_offsets(asof.snap_trades(order_trades(spark, sf), nation_bars(spark, sf)))
-    return rounded(out.select("o_orderkey", "bucket", "marker_rank", "marker_price"), "marker_price", places=4)
+    return rounded(out.select("o_orderkey", "bucket", "marker_rank", "marker_price"), "marker_price", places=8)
 
 
 @query(
@@ -464,8 +464,8 @@ def g10_chart_marks(spark, sf):
 
 
 @query(
-    "t1_sorted_pivots",
-    with_sql(INDEXED_SQL, "SELECT symbol, epoch, close FROM ib WHERE bar_index < 100 ORDER BY symbol, epoch"),
+    "t1_sorted_bars",
+    with_sql(INDEXED_SQL, "SELECT symbol, epoch, close FROM ib ORDER BY symbol, epoch"),
 )
-def t1_sorted_pivots(spark, sf):
-    return inputs.hourly_indexed(spark, sf).where("bar_index < 100").select("symbol", "epoch", "close").orderBy("symbol", "epoch")
+def t1_sorted_bars(spark, sf):
+    return inputs.hourly_indexed(spark, sf).select("symbol", "epoch", "close").orderBy("symbol", "epoch")

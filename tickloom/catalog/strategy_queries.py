@@ -11,6 +11,7 @@ from tickloom.catalog.registry import query, with_sql
 from tickloom.operators import ledger as L
 from tickloom.plans import strategies as S
 from tickloom.plans.registry import generate
+from tickloom.session import settle
 
 BREAKOUT_SQL = (
     INDEXED_SQL
@@ -199,8 +200,8 @@ def g2_square_strategy(spark, sf):
     "g5_first_touch",
     with_sql(
         TOUCH_SQL.replace(", pow(sqrt(o) + 1.0, 2)]", "]"),
-        "SELECT symbol, min(epoch) AS epoch, 1 AS signal, round(arg_min(level, epoch), 6) AS level FROM touch GROUP BY symbol",
-    ).replace(", round(arg_min(level, epoch), 6) AS level", ", arg_min(close, epoch) AS signal_price"),
+        "SELECT symbol, min(epoch) AS epoch, 1 AS signal, arg_min(close, epoch) AS signal_price FROM touch GROUP BY symbol",
+    ),
 )
 def g5_first_touch(spark, sf):
     return S.first_touch(inputs.hourly_indexed(spark, sf), 0.02).select("symbol", "epoch", "signal", "signal_price")
@@ -240,14 +241,14 @@ def g21_parameter_sweep(spark, sf):
     "a11_compare_runs",
     with_sql(
         LEDGER_SQL,
-        """SELECT symbol, round(coalesce(sum(pnl), 0.0), 2) AS channel_3,
-       0.0 + (SELECT round(coalesce(sum(c.pnl), 0.0), 2) FROM closed c WHERE c.symbol = closed.symbol AND c.epoch >= 0) AS channel_again
-FROM closed GROUP BY symbol""",
+        """SELECT symbol, round(coalesce(sum(pnl), 0.0), 2) AS to_the_end,
+       round(coalesce(sum(pnl) FILTER (bar_index < 500), 0.0), 2) AS first_500 FROM closed GROUP BY symbol""",
     ),
 )
 def a11_compare_runs(spark, sf):
-    metrics = L.trade_metrics(breakout_ledger(spark, sf))
-    return L.compare_runs({"channel_3": metrics, "channel_again": metrics})
+    ledger = settle(breakout_ledger(spark, sf))
+    runs = {"to_the_end": L.trade_metrics(ledger), "first_500": L.trade_metrics(ledger.where("bar_index < 500"))}
+    return L.compare_runs(runs)
 
 
 @query(

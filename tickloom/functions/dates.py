@@ -53,30 +53,44 @@ def parse_expiry(text: Column, reference: Column, rule: str = "season") -> Colum
 
     The last two fall back to the next year when the date does not exist (29-Feb).
     """
-    text = F.trim(text)
-    part = lambda i: F.regexp_extract(text, r"^(\d{1,2})-([A-Za-z]{3})(?:-(\d{4}))?$", i)
-    month = month_number(part(2))
-    base = F.year(reference)
+    if rule not in ("season", "half_year", "reference"):
+        raise ValueError(f"unknown rule {rule!r}; use season, half_year or reference")
+    day_month = r"^(\d{1,2})-([A-Za-z]{3})(?:-(\d{4}))?$"
+    month_year = r"^([A-Za-z]{3})(\d{4})$"
+    trimmed = F.trim(text)
+    parts = F.struct(
+        F.regexp_extract(trimmed, day_month, 1).alias("day"),
+        month_number(F.regexp_extract(trimmed, day_month, 2)).alias("month"),
+        F.regexp_extract(trimmed, day_month, 3).alias("year"),
+        month_number(F.regexp_extract(trimmed, month_year, 1)).alias("month_only"),
+        F.regexp_extract(trimmed, month_year, 2).alias("year_only"),
+        F.when(trimmed.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(trimmed, "yyyy-MM-dd")).alias("iso"),
+        reference.alias("ref"),
+    )
+    return _bind(parts, lambda p: _dated(p, rule))
+
 
-    def dated(year: Column) -> Column:
-        return F.try_to_date(F.concat_ws("-", year, month, part(1)), "y-M-d")
+def _bind(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` evaluated once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
+
+def _dated(p: Column, rule: str) -> Column:
+    day = lambda year: F.try_to_date(F.concat_ws("-", year, p["month"], p["day"]), "y-M-d")
+    base = F.year(p["ref"])
     if rule == "season":
-        at = F.month(reference)
+        at, month = F.month(p["ref"]), p["month"]
         shift = F.when((at >= 11) & (month <= 2), 1).when((at <= 2) & (month >= 11), -1).otherwise(0)
-        inferred = dated(base + shift)
+        inferred = day(base + shift)
     elif rule == "half_year":
-        this_year = dated(base)
-        inferred = F.when(this_year.isNull() | (F.datediff(reference, this_year) > 180), dated(base + 1)).otherwise(this_year)
-    elif rule == "reference":
-        inferred = F.coalesce(dated(base), dated(base + 1))
+        years = F.struct(day(base).alias("this"), day(base + 1).alias("next"), p["ref"].alias("ref"))
+        late = lambda y: y["this"].isNull() | (F.datediff(y["ref"], y["this"]) > 180)
+        inferred = _bind(years, lambda y: F.when(late(y), y["next"]).otherwise(y["this"]))
     else:
-        raise ValueError(f"unknown rule {rule!r}; use season, half_year or reference")
-
-    monthly = lambda i: F.regexp_extract(text, r"^([A-Za-z]{3})(\d{4})$", i)
-    first = F.try_to_date(F.concat_ws("-", monthly(2), month_number(monthly(1)), F.lit("1")), "y-M-d")
-    return (
-        F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
-        .when((part(2) != "") & month.isNotNull(), F.when(part(3) != "", dated(part(3))).otherwise(inferred))
-        .when(monthly(1) != "", last_thursday(first))
+        inferred = F.coalesce(day(base), day(base + 1))
+    first = F.try_to_date(F.concat_ws("-", p["year_only"], p["month_only"], F.lit("1")), "y-M-d")
+    return F.coalesce(
+        p["iso"],
+        F.when(p["month"].isNotNull(), F.when(p["year"] != "", day(p["year"])).otherwise(inferred)),
+        F.when(p["month_only"].isNotNull(), last_thursday(first)),
     )

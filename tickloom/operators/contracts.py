@@ -9,6 +9,7 @@ from tickloom.functions.dates import day_of, parse_expiry
 from tickloom.functions.labels import parse_contract
 from tickloom.operators.asof import nearest, price_source
 from tickloom.operators.blocks import running
+from tickloom.session import settle
 
 # fixed values: vendor ids and lot sizes of the index underlyings
 UNDERLYING_IDS = {"NIFTY": 13, "BANKNIFTY": 25, "FINNIFTY": 27}
@@ -128,12 +129,13 @@ def enrich_signals(signals: DataFrame, instruments: DataFrame, option_bars: Data
     ``option_bars``: ``security_id, epoch, close``. Bars of contracts that no signal uses are dropped
     by a semi join before the nearest-time scan.
     """
-    held = carry_contracts(resolve(label_contracts(signals, rule=rule), instruments).drop("trading_symbol", "match"))
-    probes = held.drop("security_id").withColumnRenamed("active_contract", "security_id")
+    named = settle(label_contracts(signals, rule=rule))
+    resolved = settle(resolve(named, instruments).drop("trading_symbol", "match"))
+    probes = carry_contracts(resolved).drop("security_id").withColumnRenamed("active_contract", "security_id")
+    probes = settle(probes.withColumnRenamed("close", "spot"))
     used = probes.select("security_id").where(F.col("security_id").isNotNull()).distinct()
-    priced = nearest(
-        probes.withColumnRenamed("close", "spot"), option_bars.join(used, "security_id", "left_semi"), ["security_id"], ["close"]
-    )
+    prices = settle(option_bars.join(used, "security_id", "left_semi").select("security_id", "epoch", "close"))
+    priced = nearest(probes, prices, ["security_id"], ["close"])
     found = F.coalesce(F.col("near_close") > 0, F.lit(False))
     return (
         priced.withColumn("price_source", F.when(F.col("security_id").isNotNull(), price_source(F.col("gap"))))
