@@ -11,6 +11,7 @@ MODULES = (
     "scalar_queries",
     "source_queries",
     "text_queries",
+    "stream_queries",
 )
 
 

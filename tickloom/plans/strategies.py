@@ -170,48 +170,68 @@ class EmaBreakout:
 FOLD_SCHEMA = "symbol string, bar_index long, param_id string, action string, reason string, stop_loss double, target double"
 
 
-def ema_fold(rows, params: EmaBreakout):
-    """Run the breakout rules over bars that start flat and without alerts.
+class EmaRules:
+    """Breakout rules of one symbol and parameter set, one bar at a time; starts flat, without alerts.
 
-    ``rows`` yields ``(bar_index, high, low, close, ema, prev_high, prev_low, above, below)``;
-    yields ``(bar_index, action, reason, stop_loss, target)`` for each signal.
+    ``memory`` is all there is to resume from: the open position and the armed alerts.
     """
-    side = stop = goal = None
-    armed = {"short": None, "long": None}
-    sides = {"both": ("short", "long"), "short_only": ("short",), "long_only": ("long",)}[params.trade_direction]
-    first = params.ema_period + 1
-    for at, high, low, close, average, prev_high, prev_low, above, below in rows:
-        if at < first:
-            continue
-        if side is not None:
-            up = side == "long"
-            # seen from a long; a short is the mirror image
-            sign = 1.0 if up else -1.0
-            if sign * close <= sign * stop:
-                why = f"SL Hit @ {stop:.1f}"
-            elif sign * close >= sign * goal:
-                why = f"Target @ {goal:.1f}"
-            elif (low <= average) if up else (high >= average):
-                why = "EMA Touch"
-            else:
-                continue
-            yield at, f"exit_{side}", why, stop, goal
-            side = None
-            continue
-        fresh = {"short": above, "long": below}
-        for s in sides:
-            if fresh[s]:
-                armed[s] = (prev_high, prev_low, at + params.alert_validity_bars)
-        for s in sides:
-            alert = armed[s]
+
+    SIDES = {"both": ("short", "long"), "short_only": ("short",), "long_only": ("long",)}
+
+    def __init__(self, params: EmaBreakout, memory: dict | None = None):
+        self.params = params
+        self.sides = self.SIDES[params.trade_direction]
+        self.memory = memory or {"side": None, "stop": None, "goal": None, "short": None, "long": None}
+
+    def step(self, at, high, low, close, average, prev_high, prev_low, above, below):
+        """``(action, reason, stop_loss, target)`` when the bar signals, else None.
+
+        ``above``/``below`` tell that the previous bar lay wholly above/below its average.
+        """
+        m = self.memory
+        if at <= self.params.ema_period:
+            return None
+        if m["side"] is not None:
+            return self._leave(high, low, close, average)
+        for side, fresh in (("short", above), ("long", below)):
+            if fresh and side in self.sides:
+                m[side] = (prev_high, prev_low, at + self.params.alert_validity_bars)
+        for side in self.sides:
+            alert = m[side]
             if alert is None or at > alert[2]:
                 continue
-            if (close < alert[1]) if s == "short" else (close > alert[0]):
-                side, stop = s, alert[0] if s == "short" else alert[1]
-                goal = close - (stop - close) * params.risk_reward_ratio
-                armed = {"short": None, "long": None}
-                yield at, f"enter_{s}", f"{stop:.0f}", stop, goal
-                break
+            if (close < alert[1]) if side == "short" else (close > alert[0]):
+                stop = alert[0] if side == "short" else alert[1]
+                goal = close - (stop - close) * self.params.risk_reward_ratio
+                m.update(side=side, stop=stop, goal=goal, short=None, long=None)
+                return f"enter_{side}", f"{stop:.0f}", stop, goal
+        return None
+
+    def _leave(self, high, low, close, average):
+        m = self.memory
+        side, stop, goal = m["side"], m["stop"], m["goal"]
+        up = side == "long"
+        # told for a long; a short is the mirror image
+        sign = 1.0 if up else -1.0
+        if sign * close <= sign * stop:
+            why = f"SL Hit @ {stop:.1f}"
+        elif sign * close >= sign * goal:
+            why = f"Target @ {goal:.1f}"
+        elif (low <= average) if up else (high >= average):
+            why = "EMA Touch"
+        else:
+            return None
+        m.update(side=None, stop=None, goal=None)
+        return f"exit_{side}", why, stop, goal
+
+
+def ema_fold(rows, params: EmaBreakout):
+    """Signals of consecutive bars: yields ``(bar_index, action, reason, stop_loss, target)``."""
+    rules = EmaRules(params)
+    for row in rows:
+        signal = rules.step(*row)
+        if signal is not None:
+            yield (row[0], *signal)
 
 
 def _ema_segments(bars: DataFrame, period: int, validity: int, rows: int) -> DataFrame:
