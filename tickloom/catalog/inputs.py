@@ -32,8 +32,8 @@ def hourly(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hourly_indexed(spark: SparkSession, sf: str) -> DataFrame:
-    """Hourly bars, written once, then numbered: the input of every indexed operator."""
-    return with_bar_index(settle(hourly(spark, sf)))
+    """Hourly bars, written once, numbered, and written again: the input of every indexed operator."""
+    return settle(with_bar_index(settle(hourly(spark, sf))))
 
 
 def sales_ticks(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,7 +9,7 @@ from tickloom.catalog.inputs import DAILY_SQL, HOURLY_SQL, TICKS_SQL, table
 from tickloom.catalog.join_queries import CHAIN_SQL, part_chain
 from tickloom.catalog.registry import query, with_sql
 from tickloom.operators.bars import bars_to_arrays, resample, to_candles
-from tickloom.session import settle
+from tickloom.session import scratch_path, settle
 from tickloom.sources import files as S
 
 BARS_SELECT = "SELECT symbol, epoch, open, high, low, close, volume FROM bars"
@@ -24,7 +24,7 @@ BARS_SELECT = "SELECT symbol, epoch, open, high, low, close, volume FROM bars"
     ),
 )
 def s1_candle_csv(spark, sf):
-    path = S.scratch_path(spark, "candles")
+    path = scratch_path(spark, "candles")
     market = resample(inputs.ticks(spark, sf).withColumn("symbol", F.lit("market")), 3600, ("ts",))
     market.select("open", "high", "low", "close", "volume", F.col("epoch").alias("timestamp")).write.option("header", True).csv(path)
     return S.read_bars(spark, path, "market", "60").drop("resolution")
@@ -32,7 +32,7 @@ def s1_candle_csv(spark, sf):
 
 @query("s2_bars_export", with_sql(HOURLY_SQL, "SELECT symbol, epoch, open, high, low, close, volume, '60' AS resolution FROM bars"))
 def s2_bars_export(spark, sf):
-    path = S.scratch_path(spark, "bars")
+    path = scratch_path(spark, "bars")
     S.write_bars(inputs.hourly(spark, sf).withColumn("resolution", F.lit("60")), path)
     return S.scan_bars(spark, path).drop("month")
 
@@ -68,7 +68,7 @@ def s3_explode_payload(spark, sf):
     """SELECT CAST(p_partkey AS VARCHAR) AS id, upper(p_name) AS search_symbol, p_type AS instrument FROM part WHERE p_brand = 'Brand#2'""",
 )
 def s4_instrument_master(spark, sf):
-    path = S.scratch_path(spark, "master")
+    path = scratch_path(spark, "master")
     table(spark, sf, "part").select(
         F.col("p_brand").alias(" SEM_EXM_EXCH_ID"),
         F.col("p_partkey").alias("SEM_SMST_SECURITY_ID "),
@@ -125,7 +125,7 @@ def s7_event_log(spark, sf):
         F.col("value").alias("price"),
         F.create_map(F.lit("k"), F.get_json_object("props", "$.k")).alias("details"),
     )
-    path = S.scratch_path(spark, "log")
+    path = scratch_path(spark, "log")
     S.write_events(events, path + "-json")
     S.write_events(events, path + "-csv", "csv", ["k"])
     from_json = spark.read.schema("event_id long, event_type string, details map<string,string>").json(path + "-json")

@@ -207,7 +207,70 @@ def g5_first_touch(spark, sf):
     return S.first_touch(inputs.hourly_indexed(spark, sf), 0.02).select("symbol", "epoch", "signal", "signal_price")
 
 
-@query("g3_ema_breakout")
+def rules_sql(params: list[tuple[str, float, str, int]]) -> str:
+    """Bar-by-bar recursion of the alert-candle rules for ``(param_id, reward, direction, validity)``."""
+    rows = ", ".join(f"('{n}', {r}::DOUBLE, '{d}', {v})" for n, r, d, v in params)
+    return (
+        "WITH RECURSIVE "
+        + INDEXED_SQL
+        + f""", em AS (SELECT *, {ema_sql('close', 5, 'ema')} FROM ib),
+pm(param_id, rr, dir, validity) AS (VALUES {rows}),
+pb AS (SELECT *, lag(high) OVER w AS ph, lag(low) OVER w AS pl, lag(low) OVER w > lag(ema) OVER w AS above, lag(high) OVER w < lag(ema) OVER w AS below
+       FROM em WINDOW w AS (PARTITION BY symbol ORDER BY epoch)),
+bars2 AS (SELECT pb.*, pm.* FROM pb, pm),
+st AS (
+  SELECT param_id, symbol, bar_index, 0 AS side, NULL::DOUBLE AS stop, NULL::DOUBLE AS goal, NULL::DOUBLE AS sl, NULL::DOUBLE AS sh, NULL::BIGINT AS su,
+         NULL::DOUBLE AS ll, NULL::DOUBLE AS lh, NULL::BIGINT AS lu, NULL::VARCHAR AS action, NULL::VARCHAR AS reason, NULL::DOUBLE AS out_stop, NULL::DOUBLE AS out_goal
+  FROM bars2 WHERE bar_index = 5
+  UNION ALL
+  SELECT param_id, symbol, bar_index,
+    CASE WHEN ex IS NOT NULL THEN 0 WHEN en IS NOT NULL THEN en ELSE side END,
+    CASE WHEN ex IS NOT NULL THEN NULL WHEN en IS NOT NULL THEN estop ELSE stop END,
+    CASE WHEN ex IS NOT NULL THEN NULL WHEN en IS NOT NULL THEN close - (estop - close) * rr ELSE goal END,
+    CASE WHEN en IS NULL THEN nsl END, CASE WHEN en IS NULL THEN nsh END, CASE WHEN en IS NULL THEN nsu END,
+    CASE WHEN en IS NULL THEN nll END, CASE WHEN en IS NULL THEN nlh END, CASE WHEN en IS NULL THEN nlu END,
+    CASE WHEN ex IS NOT NULL THEN CASE WHEN side = 1 THEN 'exit_long' ELSE 'exit_short' END WHEN en = 1 THEN 'enter_long' WHEN en = -1 THEN 'enter_short' END,
+    CASE WHEN ex IS NOT NULL THEN ex WHEN en IS NOT NULL THEN printf('%.0f', estop) END,
+    CASE WHEN ex IS NOT NULL THEN stop WHEN en IS NOT NULL THEN estop END,
+    CASE WHEN ex IS NOT NULL THEN goal WHEN en IS NOT NULL THEN close - (estop - close) * rr END
+  FROM (SELECT *, CASE WHEN en = -1 THEN nsh WHEN en = 1 THEN nll END AS estop FROM (
+    SELECT *, CASE WHEN side = 0 AND bar_index <= nsu AND close < nsl THEN -1 WHEN side = 0 AND bar_index <= nlu AND close > nlh THEN 1 END AS en FROM (
+      SELECT b.*, s.side, s.stop, s.goal,
+        CASE WHEN s.side = 1 THEN CASE WHEN close <= stop THEN 'SL Hit @ ' || printf('%.1f', stop) WHEN close >= goal THEN 'Target @ ' || printf('%.1f', goal) WHEN low <= ema THEN 'EMA Touch' END
+             WHEN s.side = -1 THEN CASE WHEN close >= stop THEN 'SL Hit @ ' || printf('%.1f', stop) WHEN close <= goal THEN 'Target @ ' || printf('%.1f', goal) WHEN high >= ema THEN 'EMA Touch' END END AS ex,
+        CASE WHEN s.side = 0 AND above AND dir <> 'long_only' THEN pl ELSE sl END AS nsl, CASE WHEN s.side = 0 AND above AND dir <> 'long_only' THEN ph ELSE sh END AS nsh,
+        CASE WHEN s.side = 0 AND above AND dir <> 'long_only' THEN b.bar_index + validity ELSE su END AS nsu,
+        CASE WHEN s.side = 0 AND below AND dir <> 'short_only' THEN pl ELSE ll END AS nll, CASE WHEN s.side = 0 AND below AND dir <> 'short_only' THEN ph ELSE lh END AS nlh,
+        CASE WHEN s.side = 0 AND below AND dir <> 'short_only' THEN b.bar_index + validity ELSE lu END AS nlu
+      FROM st s JOIN bars2 b ON b.param_id = s.param_id AND b.symbol = s.symbol AND b.bar_index = s.bar_index + 1)))),
+ac AS (SELECT st.*, ib.epoch, ib.close FROM st JOIN ib ON ib.symbol = st.symbol AND ib.bar_index = st.bar_index WHERE action IS NOT NULL),
+th AS (SELECT *, CAST(make_timestamp(epoch * 1000000) AS DATE) AS d, epoch % 86400 // 60 AS mi FROM ac),
+es AS (SELECT *, CASE WHEN action IN ('enter_long', 'exit_short') THEN 1 ELSE -1 END AS signal,
+         CASE WHEN action LIKE 'enter%' THEN 'Buy ' || CAST(round_even(close, 0) AS BIGINT) || CASE WHEN action = 'enter_long' THEN ' CE (' ELSE ' PE (' END
+                || strftime(d + CAST((4 - isodow(d) + 7) % 7 + CASE WHEN isodow(d) = 4 AND mi >= 930 THEN 7 ELSE 0 END AS INTEGER), '%d-%b') || ') | SL:' || reason
+              ELSE 'Exit ' || CASE WHEN action = 'exit_long' THEN 'Long (' ELSE 'Short (' END || reason || ')' END AS signal_label FROM th),
+le AS (SELECT *, lag(close) OVER w AS ep, CASE WHEN action LIKE '%long' THEN 'long' ELSE 'short' END AS pside FROM es WINDOW w AS (PARTITION BY param_id, symbol ORDER BY bar_index)),
+lb AS (SELECT symbol, max(epoch) AS epoch, arg_max(close, epoch) AS close, max(bar_index) AS bar_index FROM ib GROUP BY symbol),
+op AS (SELECT param_id, symbol, arg_max(action, bar_index) AS action, arg_max(close, bar_index) AS close FROM es GROUP BY 1, 2),
+closed AS (
+  SELECT param_id, symbol, epoch, CASE WHEN signal = 1 THEN 'buy' ELSE 'sell' END AS type, pside AS side, close AS price,
+         CASE WHEN action = 'exit_long' THEN close - ep WHEN action = 'exit_short' THEN ep - close END AS pnl FROM le
+  UNION ALL
+  SELECT o.param_id, o.symbol, l.epoch, CASE WHEN o.action = 'enter_long' THEN 'sell' ELSE 'buy' END, CASE WHEN o.action = 'enter_long' THEN 'long' ELSE 'short' END,
+         l.close, CASE WHEN o.action = 'enter_long' THEN l.close - o.close ELSE o.close - l.close END
+  FROM op o JOIN lb l ON l.symbol = o.symbol WHERE o.action LIKE 'enter%')
+"""
+    )
+
+
+DEFAULT_RULES_SQL = rules_sql([("default", 3.0, "both", 3)])
+
+
+@query(
+    "g3_ema_breakout",
+    DEFAULT_RULES_SQL
+    + """SELECT symbol, epoch, param_id, signal, close AS signal_price, signal_label, round(out_stop, 6) AS stop_loss, round(out_goal, 6) AS target FROM es""",
+)
 def g3_ema_breakout(spark, sf):
     grid = {"default": S.EmaBreakout(strike_step=1)}
     out = S.ema_signals(inputs.hourly_indexed(spark, sf), grid)
@@ -217,24 +280,33 @@ def g3_ema_breakout(spark, sf):
     )
 
 
-@query("g6_label_ledger")
+@query(
+    "g6_label_ledger",
+    DEFAULT_RULES_SQL + "SELECT symbol, epoch, type, side, price, round(pnl, 6) AS pnl FROM closed",
+)
 def g6_label_ledger(spark, sf):
     bars = inputs.hourly_indexed(spark, sf)
     out = L.close_at_end(L.trades(S.ema_signals(bars, {"default": S.EmaBreakout(strike_step=1)})), bars)
-    return rounded(out.select("symbol", "epoch", "type", "side", "price", "label", "pnl"), "pnl")
+    return rounded(out.select("symbol", "epoch", "type", "side", "price", "pnl"), "pnl")
 
 
-@query("g21_parameter_sweep")
+SWEEP = [(f"rr{int(r)}_{d}_{v}", r, d, v) for r in (1.0, 3.0) for d in ("both", "long_only") for v in (1, 3)]
+
+
+@query(
+    "g21_parameter_sweep",
+    rules_sql(SWEEP)
+    + """SELECT symbol, param_id, count(*) AS total_trades, count(pnl) AS completed_trades, count(*) FILTER (pnl > 0) AS wins,
+       count(*) FILTER (pnl <= 0) AS losses, round(coalesce(sum(pnl), 0.0), 2) AS total_pnl FROM closed GROUP BY 1, 2""",
+)
 def g21_parameter_sweep(spark, sf):
     from tickloom.plans.sweep import sweep
 
     grid = {
-        f"rr{int(r)}_{d}_{v}": S.EmaBreakout(risk_reward_ratio=r, trade_direction=d, alert_validity_bars=v, strike_step=1)
-        for r in (1.0, 3.0)
-        for d in ("both", "long_only")
-        for v in (1, 3)
+        n: S.EmaBreakout(risk_reward_ratio=r, trade_direction=d, alert_validity_bars=v, strike_step=1) for n, r, d, v in SWEEP
     }
-    return sweep(inputs.hourly_indexed(spark, sf), grid)
+    out = sweep(inputs.hourly_indexed(spark, sf), grid)
+    return out.select("symbol", "param_id", "total_trades", "completed_trades", "wins", "losses", "total_pnl")
 
 
 @query(

@@ -8,10 +8,9 @@ from tickloom.catalog import inputs
 from tickloom.catalog.inputs import HOURLY_SQL, TICKS_SQL
 from tickloom.catalog.join_queries import OPTIONS_SQL, option_signals
 from tickloom.catalog.registry import query, with_sql
-from tickloom.catalog.strategy_queries import breakout, breakout_ledger, LEDGER_SQL
+from tickloom.catalog.strategy_queries import DEFAULT_RULES_SQL, LEDGER_SQL, breakout, breakout_ledger
 from tickloom.catalog.structure_queries import ALTERNATE_SQL
-from tickloom.session import settle
-from tickloom.sources.files import scratch_path
+from tickloom.session import scratch_path, settle
 from tickloom.streaming import feeds, stateful
 
 # the events cover January 2024; three files in time order make three micro-batches
@@ -69,7 +68,7 @@ def r2_latest_bars(spark, sf):
     return finish(bars, "r2", feeds.latest_bars).select("symbol", "epoch", "close", "age")
 
 
-@query("r3_strategy_steps")
+@query("r3_strategy_steps", DEFAULT_RULES_SQL + "SELECT symbol, epoch, bar_index, action, reason FROM ac")
 def r3_strategy_steps(spark, sf):
     out = finish(stateful.strategy_steps(bar_stream(spark, sf)), "r3")
     return out.select("symbol", "epoch", "bar_index", "action", "reason")

@@ -16,7 +16,8 @@ def resample(ticks: DataFrame, seconds: int, order: tuple[str, ...] = ("epoch",)
     One hash aggregate with map-side combine, so a hot symbol costs one partial row per bar and task.
     ``order`` names the columns that decide first and last price.
     """
-    at = F.struct(*order)
+    # a plain column keeps this a hash aggregate; a struct key would need a sort of all ticks
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     bucket = (F.floor(F.col("epoch") / F.lit(seconds)) * seconds).cast("long")
     return (
         ticks.withColumn("_bucket", bucket)

@@ -23,6 +23,11 @@ CHUNK_SECONDS = 7 * 86400
 KEYS = ("symbol",)
 
 
+def block_rows(rows: int | None = None) -> int:
+    """Rows per block: the given number or the default at call time."""
+    return rows or BLOCK_ROWS
+
+
 def index_rows(
     df: DataFrame,
     keys: Sequence[str] = KEYS,
@@ -63,14 +68,14 @@ def framed(
     add: Callable[[DataFrame, Window], DataFrame],
     keys: Sequence[str] = KEYS,
     index: str = "bar_index",
-    rows: int = BLOCK_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Apply ``add(df, window)`` where every frame reaches at most ``before``/``after`` rows.
 
     ``window`` is partitioned by key and block and ordered by ``index``. ``rows`` is the block
     size; it is raised to the halo width when that is larger.
     """
-    rows = max(rows, before, after, 1)
+    rows = max(block_rows(rows), before, after, 1)
     home = F.floor(F.col(index) / F.lit(rows)).cast("long")
     place = F.col(index) % F.lit(rows)
     homes = [home]
@@ -96,7 +101,7 @@ def running(
     ``columns`` maps an output name to ``(how, expression)`` with ``how`` one of ``sum``,
     ``count``, ``max``, ``min``, ``last`` (latest non-null value) or ``next`` (coming non-null value).
     ``inclusive=False`` leaves out the row itself. ``block`` must be monotone in ``order`` and bounds
-    the rows handled together; default is ``bar_index`` in steps of ``BLOCK_ROWS``.
+    the rows handled together; the default is ``bar_index`` in steps of ``BLOCK_ROWS``.
     """
     keys, order = list(keys), list(order)
     part = keys + ["_block"]
@@ -106,11 +111,15 @@ def running(
     for name, (_, expr) in columns.items():
         src = src.withColumn(f"_in_{name}", expr)
 
-    position = F.struct(*order)
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     step = 0 if inclusive else 1
     local, chain = Window.partitionBy(*part).orderBy(*order), Window.partitionBy(*keys).orderBy("_block")
     near, far = local.rowsBetween(Window.unboundedPreceding, -step), chain.rowsBetween(Window.unboundedPreceding, -1)
-    near_next, far_next = local.rowsBetween(step, Window.unboundedFollowing), chain.rowsBetween(1, Window.unboundedFollowing)
+    # looking ahead is looking back in falling order: a frame to the partition's end costs n^2
+    ahead = Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order])
+    chain_ahead = Window.partitionBy(*keys).orderBy(F.col("_block").desc())
+    near_next = ahead.rowsBetween(Window.unboundedPreceding, -step)
+    far_next = chain_ahead.rowsBetween(Window.unboundedPreceding, -1)
 
     totals, carries, results = [], [], {}
     for name, (how, _) in columns.items():
@@ -133,8 +142,8 @@ def running(
             results[name] = F.coalesce(F.last(value, ignorenulls=True).over(near), F.col(carry))
         elif how == "next":
             totals.append(F.min_by(value, F.when(value.isNotNull(), position)).alias(total))
-            carries.append(F.first(total, ignorenulls=True).over(far_next).alias(carry))
-            results[name] = F.coalesce(F.first(value, ignorenulls=True).over(near_next), F.col(carry))
+            carries.append(F.last(total, ignorenulls=True).over(far_next).alias(carry))
+            results[name] = F.coalesce(F.last(value, ignorenulls=True).over(near_next), F.col(carry))
         else:
             raise ValueError(f"unknown running aggregate {how!r}; use sum, count, max, min, last or next")
 

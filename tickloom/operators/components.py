@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.session import spread
+
 # fixed values: pattern dictionary, in order of precedence
 PATTERNS = {
     "MATH": [r"\b\d{2,}\b", r"square of \d+", r"root of \d+", r"price level", r"range"],
@@ -31,7 +33,7 @@ def collapse_space(text: Column) -> Column:
 def sentences(documents: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row per non-empty sentence with its position; a document is one row, so work splits by document."""
     parts = F.split(collapse_space(F.col(text)), SENTENCE_END)
-    out = documents.select(*keys, F.posexplode(parts).alias("position", "sentence"))
+    out = spread(documents.select(*keys, text)).select(*keys, F.posexplode(parts).alias("position", "sentence"))
     return out.withColumn("sentence", F.trim("sentence")).where(F.col("sentence") != "")
 
 

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.geometry import FRACTIONS, fan_lines, price_at
-from tickloom.operators.blocks import BLOCK_ROWS, framed
+from tickloom.operators.blocks import block_rows, framed
 from tickloom.operators.pivots import alternate_pivots, raw_pivots, with_last_pivot, with_runs
 from tickloom.session import settle
 
@@ -103,8 +103,9 @@ def _evaluate_block(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=names)
 
 
-def hierarchy(bars: DataFrame, left: int = 5, right: int = 5, rows: int = BLOCK_ROWS) -> DataFrame:
+def hierarchy(bars: DataFrame, left: int = 5, right: int = 5, rows: int | None = None) -> DataFrame:
     """One row per bar that has a confirmed pivot behind it (see ``HIERARCHY_SCHEMA``)."""
+    rows = block_rows(rows)
     runs = settle(with_runs(settle(raw_pivots(bars, left, right))))
     confirmed = settle(
         alternate_pivots(runs)
@@ -298,8 +299,6 @@ def confluence(lines: DataFrame, last_fans: int = 5) -> DataFrame:
 
     The rank limit leaves at most ``last_fans`` fans per symbol, so the self-join is bounded.
     """
-    from pyspark.sql import Window
-
     newest = Window.partitionBy("symbol").orderBy(F.col("drawn_index").desc(), F.col("fan_id").desc())
     fan = lines.where(F.col("fraction").isNotNull()).groupBy("symbol", "fan_id", "drawn_index").agg(
         F.sort_array(F.collect_list(F.struct("fraction", "start_time", "start_price", "end_time", "end_price"))).alias("l")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.blocks import BLOCK_ROWS, framed
+from tickloom.operators.blocks import block_rows, framed
 
 NEGLIGIBLE = 1e-17  # weight below which an old price cannot change a double
 EXPONENT_ROOM = 500.0  # ln of the largest scale factor kept in a running weighted sum
@@ -39,7 +39,7 @@ def ema(bars: DataFrame, spans: dict[str, int], column: str = "close") -> DataFr
     no Python. A block starts far enough back that older prices fall below double precision.
     """
     reach = [_ema_reach(s) for s in spans.values()]
-    before, rows = max(r[0] for r in reach), min(min(r[1] for r in reach), BLOCK_ROWS)
+    before, rows = max(r[0] for r in reach), min(min(r[1] for r in reach), block_rows())
     rows = max(rows, before)
 
     def add(df, w):

@@ -43,25 +43,37 @@ def trades(signals: DataFrame, convention: str = "engine") -> DataFrame:
             buy.alias("_buy"),
         )
     )
-    flips = F.col("_opens") & F.col("_closes")
-    forced = F.when(F.col("_opens") & ~F.col("_closes"), 1).when(F.col("_closes") & ~F.col("_opens"), 0)
-    rows = running(rows, {"_flips": ("sum", F.when(flips, 1).otherwise(0))})
-    rows = running(
-        rows, {"_set": ("last", F.when(forced.isNotNull(), F.struct(forced.alias("open"), "_flips")))}, inclusive=False
-    )
-    flips_before = F.col("_flips") - F.when(flips, 1).otherwise(0)
-    state = F.pmod(
-        F.coalesce(F.col("_set.open"), F.lit(0)) + flips_before - F.coalesce(F.col("_set._flips"), F.lit(0)), F.lit(2)
-    )
-    acted = rows.withColumn("_state", state).where(
-        (F.col("_opens") & (F.col("_state") == 0)) | (F.col("_closes") & (F.col("_state") == 1))
+    rows = _with_state(rows)
+    state = F.col("_state")
+    acted = rows.where(
+        (F.col("_opens") & (state == 0)) | (F.col("_closes") & (state == 1))
     )
-    acted = settle(acted.select("symbol", "epoch", "bar_index", "price", "label", "_side", "_buy", (F.col("_state") == 0).alias("is_open")))
+    acted = settle(acted.select("symbol", "epoch", "bar_index", "price", "label", "_side", "_buy", (state == 0).alias("is_open")))
     entry = F.struct("epoch", "price", "label", "_side")
     paired = running(acted, {"_entry": ("last", F.when(F.col("is_open"), entry))})
     return _book(paired, convention)
 
 
+def _with_state(rows: DataFrame) -> DataFrame:
+    """``_state`` before each row: 0 flat, 1 open. ``rows`` is settled.
+
+    Rows that may both open and close flip the state; labels rarely ask for that, so their running
+    count is only taken when there are any.
+    """
+    opens, closes = F.col("_opens"), F.col("_closes")
+    forced = F.when(opens & ~closes, 1).when(closes & ~opens, 0)
+    flips = F.when(opens & closes, 1).otherwise(0)
+    if rows.where(flips == 1).isEmpty():
+        known = running(rows, {"_set": ("last", forced)}, inclusive=False)
+        return known.withColumn("_state", F.coalesce("_set", F.lit(0))).drop("_set")
+    rows = settle(running(rows, {"_flips": ("sum", flips)}))
+    known = running(
+        rows, {"_set": ("last", F.when(forced.isNotNull(), F.struct(forced.alias("open"), "_flips")))}, inclusive=False
+    )
+    since = F.col("_flips") - flips - F.coalesce(F.col("_set._flips"), F.lit(0))
+    return known.withColumn("_state", F.pmod(F.coalesce(F.col("_set.open"), F.lit(0)) + since, F.lit(2))).drop("_set", "_flips")
+
+
 def _book(paired: DataFrame, convention: str) -> DataFrame:
     side = F.col("_entry._side")
     pnl = _pnl(side, F.col("_entry.price"), F.col("price"), convention)

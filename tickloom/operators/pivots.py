@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.blocks import BLOCK_ROWS, framed, running
+from tickloom.operators.blocks import block_rows, framed, running
 from tickloom.session import settle
 
 PIVOT = ("symbol", "bar_index", "epoch", "type", "price")
@@ -92,9 +92,7 @@ def recent_pivots(raw: DataFrame, before: Column, n: int = 4) -> DataFrame:
 
     Ranks are taken per block first, so at most ``n`` rows of a block reach the final ranking.
     """
-    from pyspark.sql import Window
-
-    seen = raw.where(F.col("bar_index") < before).withColumn("_block", F.floor(F.col("bar_index") / BLOCK_ROWS))
+    seen = raw.where(F.col("bar_index") < before).withColumn("_block", F.floor(F.col("bar_index") / block_rows()))
     newest = [F.col("bar_index").desc(), F.col("seq").desc()]
     local = F.row_number().over(Window.partitionBy("symbol", "_block").orderBy(*newest))
     final = F.row_number().over(Window.partitionBy("symbol").orderBy(*newest))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.dates import expiry_text, next_thursday
 from tickloom.functions.labels import BUY, HOLD, SELL, entry_label
-from tickloom.operators.blocks import BLOCK_ROWS, framed, running
+from tickloom.operators.blocks import block_rows, framed, running
 from tickloom.operators.indicators import donchian, ema
 from tickloom.session import settle
 
@@ -90,14 +90,14 @@ def level_touches(
     )
 
 
-def spaced_entries(touches: DataFrame, gap: int, rows: int = BLOCK_ROWS) -> DataFrame:
+def spaced_entries(touches: DataFrame, gap: int, rows: int | None = None) -> DataFrame:
     """Greedy choice: the first touch, then the first touch at least ``gap`` bars later, and so on.
 
     Each block of touches is a function from "first index allowed" to "next index allowed", and the
     value coming in can only be one of ``gap`` offsets. The blocks' functions are tabulated in
     parallel, chained over the few blocks of a symbol, and the blocks then choose on their own.
     """
-    rows = max(rows, gap)
+    rows = max(block_rows(rows), gap)
     block = F.floor(F.col("bar_index") / rows).cast("long")
     blocks = (
         touches.withColumn("_block", block)
@@ -269,7 +269,7 @@ def _ema_segments(bars: DataFrame, period: int, validity: int, rows: int) -> Dat
     )
 
 
-def ema_breakouts(bars: DataFrame, grid: dict[str, EmaBreakout], rows: int = BLOCK_ROWS) -> DataFrame:
+def ema_breakouts(bars: DataFrame, grid: dict[str, EmaBreakout], rows: int | None = None) -> DataFrame:
     """Entries and exits of every parameter set in ``grid`` (``param_id -> EmaBreakout``)."""
     wanted = {name: asdict(p) for name, p in grid.items()}
 
@@ -291,7 +291,7 @@ def ema_breakouts(bars: DataFrame, grid: dict[str, EmaBreakout], rows: int = BLO
     for name, p in grid.items():
         shapes.setdefault((p.ema_period, p.alert_validity_bars), []).append(name)
     for (period, validity), names in shapes.items():
-        cut = _ema_segments(bars, period, validity, rows).withColumn("_params", F.array(*[F.lit(n) for n in names]))
+        cut = _ema_segments(bars, period, validity, block_rows(rows)).withColumn("_params", F.array(*[F.lit(n) for n in names]))
         part = cut.groupBy("symbol", "segment").applyInPandas(fold, FOLD_SCHEMA)
         actions = part if actions is None else actions.unionByName(part)
     return actions

@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.schemas import BARS, CANDLE_CSV
-from tickloom.session import ensure_checkpoint_dir
 
 PRICES = ("open", "high", "low", "close", "volume")
 ALIASES = {"o": "open", "h": "high", "l": "low", "c": "close", "v": "volume"}
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def read_bars(spark: SparkSession, path: str, symbol: str, resolution: str) -> DataFrame:
     """Candle CSV with header ``open,high,low,close,volume,timestamp``."""
     raw = spark.read.schema(CANDLE_CSV).csv(path, header=True)
