@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.bars import resample, with_bar_index
-from tickloom.session import settle, use_utc
+from tickloom.session import settle, prepare
 
 HOUR, DAY = 3600, 86400
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{sf}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
 def ticks(spark: SparkSession, sf: str) -> DataFrame:

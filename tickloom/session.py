@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks; clusters bring their own."""
-    return (
+    return prepare(
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tickloom")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -23,13 +25,34 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """All epochs in this library are UTC seconds, so the session clock must be UTC too."""
+def prepare(spark: SparkSession) -> SparkSession:
+    """Make a session fit for this library: UTC clock, and the package importable in Python workers.
+
+    All epochs are UTC seconds, so the session clock must be UTC too.
+    """
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    _ship_package(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def _ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application; grouped folds import it there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="tickloom-pkg-")) / "tickloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared ``spark.checkpoint.dir``; fall back to a temp folder only if unset."""
     sc = spark.sparkContext
