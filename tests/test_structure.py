@@ -151,3 +151,36 @@ def test_registry(bars):
         generate("mechanical_3day", bars, span=1)
     assert generate("ichimoku_cloud", bars).where("signal <> 0").count() == 0
     assert pd.Series([r[0] for r in generate("mechanical_3day", bars, n=5).select("signal").collect()]).isin([1, -1]).all()
+
+
+@pytest.mark.parametrize("mode", ["fixed", "trailing", "partial"])
+def test_angle_rules_do_not_depend_on_blocks(bars, monkeypatch, mode):
+    from tickloom.operators import blocks
+    from tickloom.plans.angles import AngleTrading, angle_signals, angle_trades
+
+    setups = settle(angle_setups(bars, 5))
+    params = AngleTrading(tolerance=1.0, exit_mode=mode)
+    found = {}
+    for rows in (4096, 16):
+        monkeypatch.setattr(blocks, "BLOCK_ROWS", rows)
+        found[rows] = sorted(tuple(r) for r in angle_signals(bars, setups, params).collect())
+    assert found[16] == found[4096] and len(found[16]) > 4
+    actions = {r[3] for r in found[16]}
+    assert actions <= {"enter_long", "enter_short", "exit_long", "exit_short"}
+    closed = angle_trades(settle(angle_signals(bars, setups, params))).collect()
+    assert closed and all(r["entry_price"] is not None for r in closed)
+
+
+def test_fold_blocks_carries_state(spark):
+    from tickloom.operators.folds import fold_blocks
+
+    def step(memory, rows):
+        total, out = (memory or {"t": 0})["t"], []
+        for r in rows.itertuples(index=False):
+            total += r.v
+            out.append((r.symbol, int(r.bar_index), int(total)))
+        return {"t": int(total)}, out
+
+    df = settle(spark.range(100).selectExpr("'a' symbol", "id bar_index", "id v"))
+    got = {r[1]: r[2] for r in fold_blocks(df, step, "symbol string, bar_index long, t long", rows=17).collect()}
+    assert got == {i: i * (i + 1) // 2 for i in range(100)}

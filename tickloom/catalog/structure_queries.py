@@ -519,3 +519,37 @@ def g18_study_geometry(spark, sf):
     bars = inputs.hourly_indexed(spark, sf)
     out = studies.study_geometry(bars, settle(studies.angle_setups(bars)))
     return rounded(out, "price", "end_price")
+
+
+@query("g20_angle_signals")
+def g20_angle_signals(spark, sf):
+    from tickloom.plans.angles import AngleTrading, angle_signals
+
+    bars = inputs.hourly_indexed(spark, sf)
+    setups = settle(studies.angle_setups(bars))
+    return rounded(angle_signals(bars, setups, AngleTrading(tolerance=10.0)), "price")
+
+
+@query("g20_angle_trades")
+def g20_angle_trades(spark, sf):
+    from tickloom.plans.angles import AngleTrading, angle_sweep
+
+    bars = inputs.hourly_indexed(spark, sf)
+    grid = {m: AngleTrading(tolerance=10.0, exit_mode=m) for m in ("fixed", "partial")}
+    return rounded(angle_sweep(bars, settle(studies.angle_setups(bars)), grid), "total_pnl")
+
+
+@query(
+    "t5_first_inner_pairs",
+    with_sql(
+        HIERARCHY_SQL,
+        """SELECT symbol, epoch, list_transform(inner_l[1:3], lambda p : p.epoch) AS inner_from,
+       CASE WHEN f0 IS NOT NULL THEN 1 ELSE 0 END + least(len(inner_l), 3) AS pairs FROM tree""",
+    ),
+)
+def t5_first_inner_pairs(spark, sf):
+    _, out = tree(spark, sf)
+    inner = F.filter("pairs", lambda p: p["pair_type"] == "inner")
+    return H.drawn_pairs(out, 3).select(
+        "symbol", "epoch", F.transform(inner, lambda p: p["from"]["epoch"]).alias("inner_from"), F.size("pairs").alias("pairs")
+    )
