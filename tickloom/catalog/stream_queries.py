@@ -9,50 +9,39 @@ from tickloom.catalog.inputs import HOURLY_SQL, TICKS_SQL
 from tickloom.catalog.join_queries import OPTIONS_SQL, option_signals
 from tickloom.catalog.registry import query, with_sql
 from tickloom.catalog.strategy_queries import DEFAULT_RULES_SQL, LEDGER_SQL, breakout, breakout_ledger
-from tickloom.catalog.structure_queries import ALTERNATE_SQL
+from tickloom.catalog.structure_queries import ALTERNATE_SQL, HIERARCHY_SQL
+from tickloom.plans.registry import run_study
 from tickloom.session import scratch_path, settle
 from tickloom.streaming import feeds, stateful
 
-# the events cover January 2024; three files in time order make three micro-batches
+# the events cover January 2024; the tables arrive in three slices
 CUTS = (0, 1704844800, 1705708800, 4102444800)
 
 
-def in_files(rows, name):
-    """``rows`` with an ``epoch`` as a folder of files written in time order."""
-    path = scratch_path(rows.sparkSession, name)
-    for start, end in zip(CUTS, CUTS[1:]):
-        part = rows.where((F.col("epoch") >= start) & (F.col("epoch") < end))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
-
+def replay(rows, name, build, shape=None):
+    """Let ``rows`` arrive in slices of time and run ``build(stream)`` after each; the written updates.
 
-def stream_of(rows, name):
+    Every slice is a new run that resumes from the checkpoint of the one before, so state is restored
+    twice on the way.
+    """
     rows = settle(rows)
-    path = in_files(rows, name)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def finish(stream, name, shape=None):
-    """Run a stream over all files there are; the written updates, with their batch."""
-    spark = stream.sparkSession
+    spark = rows.sparkSession
     stateful.use_rocksdb(spark)
-    out, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
-    feeds.write_updates(stream, out, checkpoint, shape).trigger(availableNow=True).start().awaitTermination()
+    source, out, checkpoint = (scratch_path(spark, f"{name}-{part}") for part in ("in", "out", "state"))
+    for start, end in zip(CUTS, CUTS[1:]):
+        rows.where((F.col("epoch") >= start) & (F.col("epoch") < end)).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        feeds.write_updates(build(stream), out, checkpoint, shape).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
 
 
-def tick_stream(spark, sf):
-    return stream_of(inputs.ticks(spark, sf), "ticks")
-
-
-def bar_stream(spark, sf):
-    return stream_of(inputs.hourly(spark, sf), "bars")
+def tick_bars(stream):
+    return feeds.tick_bars(stream, 3600, "60 days")
 
 
 @query("r1_s8_tick_bars", with_sql(HOURLY_SQL, "SELECT symbol, epoch, open, high, low, close, volume FROM bars"))
 def r1_s8_tick_bars(spark, sf):
-    bars = feeds.tick_bars(tick_stream(spark, sf), 3600, "60 days")
-    return feeds.current_rows(finish(bars, "r1"), ["symbol", "epoch"])
+    return feeds.current_rows(replay(inputs.ticks(spark, sf), "r1", tick_bars), ["symbol", "epoch"])
 
 
 @query(
@@ -64,19 +53,30 @@ def r1_s8_tick_bars(spark, sf):
     ),
 )
 def r2_latest_bars(spark, sf):
-    bars = feeds.tick_bars(tick_stream(spark, sf), 3600, "60 days")
-    return finish(bars, "r2", feeds.latest_bars).select("symbol", "epoch", "close", "age")
+    return replay(inputs.ticks(spark, sf), "r2", tick_bars, feeds.latest_bars).select("symbol", "epoch", "close", "age")
 
 
 @query("r3_strategy_steps", DEFAULT_RULES_SQL + "SELECT symbol, epoch, bar_index, action, reason FROM ac")
 def r3_strategy_steps(spark, sf):
-    out = finish(stateful.strategy_steps(bar_stream(spark, sf)), "r3")
+    out = replay(inputs.hourly(spark, sf), "r3", stateful.strategy_steps)
     return out.select("symbol", "epoch", "bar_index", "action", "reason")
 
 
 @query("r4_pivot_steps", with_sql(ALTERNATE_SQL, "SELECT symbol, bar_index, epoch, type, price, confirm_index FROM conf"))
 def r4_pivot_steps(spark, sf):
-    return finish(stateful.pivot_steps(bar_stream(spark, sf)), "r4").drop("batch_id")
+    return replay(inputs.hourly(spark, sf), "r4", stateful.pivot_steps).drop("batch_id")
+
+
+@query(
+    "r4_hierarchy_steps",
+    with_sql(
+        HIERARCHY_SQL,
+        """SELECT symbol, epoch, bar_index, context, o_epoch AS origin_epoch, anchor.epoch AS anchor_epoch,
+       f0.epoch AS outer_from, n0.epoch AS outer_to, list_transform(inner_l, lambda p : p.epoch) AS inner_from FROM tree""",
+    ),
+)
+def r4_hierarchy_steps(spark, sf):
+    return replay(inputs.hourly(spark, sf), "r4h", lambda bars: run_study("angular_coverage", bars)).drop("batch_id")
 
 
 @query(
@@ -90,14 +90,14 @@ def r5_position_steps(spark, sf):
     signals = option_signals(breakout(spark, sf)).select(
         F.lit("replay").alias("session"), "symbol", F.lit("channel").alias("strategy"), "epoch", "signal_price", "signal_label"
     )
-    out = finish(stateful.position_steps(stream_of(signals, "signals")), "r5")
+    out = replay(signals, "r5", stateful.position_steps)
     return inputs.rounded(out.select("symbol", "epoch", "price", "pnl"), "pnl")
 
 
 @query("r6_due_trades", with_sql(LEDGER_SQL, "SELECT symbol, epoch, type, price FROM closed"))
 def r6_due_trades(spark, sf):
     ledger = settle(breakout_ledger(spark, sf).select("symbol", "epoch", "type", "price"))
-    out = finish(stateful.due_trades(bar_stream(spark, sf).select("symbol", "epoch"), ledger), "r6")
+    out = replay(inputs.hourly(spark, sf).select("symbol", "epoch"), "r6", lambda bars: stateful.due_trades(bars, ledger))
     return out.select("symbol", "epoch", "type", "price")
 
 
@@ -105,11 +105,11 @@ def r6_due_trades(spark, sf):
 def r7_distinct_trades(spark, sf):
     trades = breakout_ledger(spark, sf).select("symbol", "epoch", F.timestamp_seconds("epoch").alias("ts"), "type", "price")
     twice = trades.unionByName(trades)
-    out = finish(feeds.distinct_trades(stream_of(twice, "trades")), "r7")
+    out = replay(twice, "r7", feeds.distinct_trades)
     return out.select("symbol", "epoch", "type", "price")
 
 
 @query("r8_latest_quotes", with_sql(TICKS_SQL, "SELECT symbol, CAST(floor(epoch(max(ts))) AS BIGINT) AS epoch, arg_max(price, ts) AS price FROM ticks GROUP BY symbol"))
 def r8_latest_quotes(spark, sf):
-    out = finish(feeds.latest_quotes(tick_stream(spark, sf)), "r8")
+    out = replay(inputs.ticks(spark, sf), "r8", feeds.latest_quotes)
     return feeds.current_rows(out, ["symbol"]).select("symbol", F.unix_seconds("ts").alias("epoch"), "price")

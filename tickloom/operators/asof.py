@@ -41,7 +41,7 @@ def nearest(
     values: Sequence[str],
     at: str = "epoch",
     limit: float | None = None,
-    width: float = 30 * DAY,
+    width: float = 7 * DAY,
     prefix: str = "near_",
 ) -> DataFrame:
     """Each probe with the closest series row on axis ``at``; the earlier one on ties.
@@ -69,7 +69,7 @@ def price_source(gap: Column) -> Column:
 
 
 def backward(
-    probes: DataFrame, series: DataFrame, keys: Sequence[str], values: Sequence[str], at: str = "epoch", width: float = 30 * DAY
+    probes: DataFrame, series: DataFrame, keys: Sequence[str], values: Sequence[str], at: str = "epoch", width: float = 7 * DAY
 ) -> DataFrame:
     """Each probe with the latest series row at or before it."""
     around = _neighbours(probes, series, keys, at, values, width, False)

@@ -52,7 +52,7 @@ def _first_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"symbol": pdf["symbol"], "block": block, "first_block": need})
 
 
-def _select(close: float, context: str, kinds, prices, times):
+def select(close: float, context: str, kinds, prices, times):
     """Indices ``(anchor, outer far, outer near, inner list)`` into the visible pivots of one bar.
 
     Written for a falling market; a rising one is the same picture with prices negated.
@@ -94,7 +94,7 @@ def _evaluate_block(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(np.searchsorted(confirmed, row.bar_index, side="right"))
         if n == 0 or row.context is None:
             continue
-        anchor, far, near, inner = _select(row.close, row.context, kinds[:n], prices[:n], times[:n])
+        anchor, far, near, inner = select(row.close, row.context, kinds[:n], prices[:n], times[:n])
         origin = {"epoch": int(row.o_epoch), "price": float(row.o_price), "bar_index": int(row.o_index)}
         out.append(
             (row.symbol, row.epoch, row.bar_index, row.close, row.context, origin, point(anchor), point(far), point(near), [point(i) for i in inner])

@@ -1,12 +1,17 @@
-"""Named strategies and studies; user code adds its own with ``register_strategy``."""
+"""Named strategies and studies; user code adds its own with ``register_strategy``/``register_study``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame
 
+from tickloom.operators.folds import fold_blocks
+from tickloom.operators.hierarchy import hierarchy
+
 from tickloom.plans import strategies as S
+from tickloom.streaming.stateful import hierarchy_steps
 
 Strategy = Callable[..., DataFrame]
 
@@ -30,12 +35,32 @@ def generate(name: str, bars: DataFrame, **params) -> DataFrame:
     return STRATEGIES[name](bars, **{**DEFAULTS[name], **params})
 
 
-def grouped_strategy(fold: Callable, schema: str, keys: tuple[str, ...] = ("symbol",)) -> Strategy:
-    """Wrap a per-group pandas function as a strategy, for rules that no window can express.
+def folded_strategy(step: Callable, schema: str) -> Strategy:
+    """A plug-in rule ``step(memory, rows) -> (memory, tuples)`` as a strategy.
 
-    ``keys`` should hold a segment column besides the symbol when a symbol's history is long.
+    For rules no window can express; blocks of a symbol run in parallel (see ``folds.fold_blocks``).
     """
-    return lambda bars, **params: bars.groupBy(*keys).applyInPandas(lambda pdf: fold(pdf, **params), schema)
+    return lambda bars, **params: fold_blocks(bars, partial(step, **params), schema)
+
+
+STUDIES: dict[str, tuple[Callable[..., DataFrame], Callable[..., DataFrame]]] = {}
+
+
+def register_study(name: str, batch: Callable[..., DataFrame], stream: Callable[..., DataFrame]) -> None:
+    """Add a study with a batch form over bars and a streaming form over a stream of bars."""
+    STUDIES[name] = (batch, stream)
+
+
+def is_study(name: str) -> bool:
+    return name in STUDIES
+
+
+def run_study(name: str, bars: DataFrame, **params) -> DataFrame:
+    """A registered study over a bars table or a stream of bars."""
+    if name not in STUDIES:
+        raise ValueError(f"unknown study {name!r}; available: {', '.join(sorted(STUDIES))}")
+    batch, stream = STUDIES[name]
+    return (stream if bars.isStreaming else batch)(bars, **params)
 
 
 def _ema_breakout(bars: DataFrame, **params) -> DataFrame:
@@ -56,3 +81,5 @@ register_strategy(
 )
 for _name in ("time_cycle_breakout", "ichimoku_cloud", "angular_coverage"):
     register_strategy(_name, S.hold_only)
+
+register_study("angular_coverage", hierarchy, hierarchy_steps)

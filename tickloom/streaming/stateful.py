@@ -9,17 +9,23 @@ from __future__ import annotations
 import json
 from dataclasses import asdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from tickloom.operators.hierarchy import select
 from tickloom.plans.strategies import EmaBreakout, EmaRules
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 STEP_SCHEMA = "symbol string, epoch long, bar_index long, action string, reason string, stop_loss double, target double"
 PIVOT_SCHEMA = "symbol string, bar_index long, epoch long, type string, price double, confirm_index long"
+HIERARCHY_STEP_SCHEMA = (
+    "symbol string, epoch long, bar_index long, context string, origin_epoch long, anchor_epoch long, "
+    "outer_from long, outer_to long, inner_from array<bigint>"
+)
 POSITION_SCHEMA = "session string, symbol string, strategy string, epoch long, price double, label string, pnl double"
 PROGRESS_SCHEMA = "symbol string, after_epoch long, until_epoch long"
 
@@ -114,6 +120,46 @@ class PivotSteps(_JsonState):
             yield "low", middle[2]
 
 
+class HierarchySteps(_JsonState):
+    """Pivot hierarchy of every arriving bar; memory is the pivot state and the pivots still in reach.
+
+    A close finds no level before the latest of the lowest lows (nor, upwards, before the latest of
+    the highest highs), so pivots older than both can never matter again and are dropped.
+    """
+
+    columns = ("symbol", "epoch", "bar_index", "context", "origin_epoch", "anchor_epoch", "outer_from", "outer_to", "inner_from")
+
+    def __init__(self, left: int = 5, right: int = 5):
+        self._pivots = PivotSteps(left, right)
+
+    def advance(self, key, batch, memory):
+        memory = memory or {"pivots": None, "reach": []}
+        state, reach, out = memory["pivots"], memory["reach"], []
+        for i in range(len(batch)):
+            bar = batch.iloc[i : i + 1]
+            state, confirmed = self._pivots.advance(key, bar, state)
+            reach.extend(confirmed_row[2:5] for confirmed_row in confirmed)
+            if not reach:
+                continue
+            now = bar.iloc[0]
+            context = "bullish" if state["last"]["type"] == "low" else "bearish"
+            times, kinds, prices = (np.array([p[j] for p in reach], dtype=t) for j, t in ((0, "int64"), (1, object), (2, float)))
+            anchor, far, near, inner = select(float(now["close"]), context, kinds, prices, times)
+            at = lambda j: None if j is None else int(times[j])
+            out.append(
+                (key[0], int(now["epoch"]), state["n"] - 1, context, state["last"]["epoch"], at(anchor), at(far), at(near), [at(j) for j in inner])
+            )
+        return {"pivots": state, "reach": self._prune(reach)}, out
+
+    def _prune(self, reach):
+        newest_extreme = len(reach)
+        for kind, sign in (("low", 1.0), ("high", -1.0)):
+            found = [(sign * p[2], -i) for i, p in enumerate(reach) if p[1] == kind]
+            if found:
+                newest_extreme = min(newest_extreme, -min(found)[1])
+        return [list(p) for p in reach[min(newest_extreme, len(reach) - 1) :]] if reach else []
+
+
 class PositionSteps(_JsonState):
     """Open position per (session, symbol, strategy): entries open it, exits book exit - entry."""
 
@@ -157,6 +203,10 @@ def pivot_steps(bars: DataFrame, left: int = 5, right: int = 5) -> DataFrame:
     return run_steps(bars, ["symbol"], PivotSteps(left, right), PIVOT_SCHEMA)
 
 
+def hierarchy_steps(bars: DataFrame, left: int = 5, right: int = 5) -> DataFrame:
+    return run_steps(bars, ["symbol"], HierarchySteps(left, right), HIERARCHY_STEP_SCHEMA)
+
+
 def position_steps(signals: DataFrame) -> DataFrame:
     return run_steps(signals, ["session", "symbol", "strategy"], PositionSteps(), POSITION_SCHEMA)
 
