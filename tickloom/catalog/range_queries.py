@@ -245,7 +245,7 @@ def p8_symbol_info(spark, sf):
     "f14_route_source",
     with_sql(
         SYMBOLS_SQL,
-        """SELECT p_partkey, CASE WHEN p_partkey % 6 < 5 THEN 'yfinance' ELSE 'dhan' END AS source, replace(symbol, ':YF', '') AS clean_symbol FROM si""",
+        """SELECT p_partkey, CASE WHEN p_partkey % 6 < 5 THEN 'yahoo' ELSE 'broker' END AS source, replace(symbol, ':YF', '') AS clean_symbol FROM si""",
     ),
 )
 def f14_route_source(spark, sf):

@@ -13,17 +13,21 @@ from tickloom.plans import strategies as S
 from tickloom.plans.registry import generate
 from tickloom.session import settle
 
-BREAKOUT_SQL = (
-    INDEXED_SQL
-    + """, ch AS (SELECT *, max(high) OVER w AS hh, min(low) OVER w AS ll FROM ib
-  WINDOW w AS (PARTITION BY symbol ORDER BY epoch ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
+def breakout_sql(n: int) -> str:
+    return (
+        INDEXED_SQL
+        + f""", ch AS (SELECT *, max(high) OVER w AS hh, min(low) OVER w AS ll FROM ib
+  WINDOW w AS (PARTITION BY symbol ORDER BY epoch ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)),
 cand AS (SELECT *, CASE WHEN close > hh THEN 1 WHEN close < ll THEN -1 END AS side FROM ch
-         WHERE bar_index > 3 AND (close > hh OR close < ll)),
+         WHERE bar_index > {n} AND (close > hh OR close < ll)),
 alt AS (SELECT *, coalesce(lag(side) OVER (PARTITION BY symbol ORDER BY epoch), -1) AS before FROM cand),
 sig AS (SELECT symbol, epoch, bar_index, close, side AS signal, close AS signal_price,
-               CASE WHEN side = 1 THEN 'Buy 3-Bar Breakout' ELSE 'Sell (Stop Loss)' END AS signal_label
+               CASE WHEN side = 1 THEN 'Buy {n}-Bar Breakout' ELSE 'Sell (Stop Loss)' END AS signal_label
         FROM alt WHERE side <> before)"""
-)
+    )
+
+
+BREAKOUT_SQL = breakout_sql(3)
 
 LEDGER_SQL = (
     BREAKOUT_SQL
@@ -334,3 +338,36 @@ def g22_indicator_points(spark, sf):
     from tickloom.plans.studies import indicator_points
 
     return rounded(indicator_points(inputs.hourly_indexed(spark, sf), 600), "price")
+
+
+@query(
+    "v1_plugin_strategy",
+    with_sql(
+        INDEXED_SQL
+        + """, rc AS (SELECT *, max(high) OVER (PARTITION BY symbol ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ib)""",
+        "SELECT symbol, bar_index, epoch, 1 AS signal, close AS signal_price FROM rc WHERE high > top",
+    ),
+)
+def v1_plugin_strategy(spark, sf):
+    from tickloom.plans.registry import folded_strategy, register_strategy
+
+    def record_highs(memory, rows):
+        top, out = (memory or {"top": None})["top"], []
+        for r in rows.itertuples(index=False):
+            if top is not None and r.high > top:
+                out.append((r.symbol, int(r.bar_index), int(r.epoch), 1, float(r.close)))
+            top = float(r.high) if top is None else max(top, float(r.high))
+        return {"top": top}, out
+
+    schema = "symbol string, bar_index long, epoch long, signal int, signal_price double"
+    register_strategy("record_highs", folded_strategy(record_highs, schema))
+    return generate("record_highs", inputs.hourly_indexed(spark, sf))
+
+
+@query(
+    "v3_strategy_parameters",
+    with_sql(breakout_sql(7), "SELECT symbol, epoch, signal, signal_label FROM sig"),
+)
+def v3_strategy_parameters(spark, sf):
+    out = generate("mechanical_3day", inputs.hourly_indexed(spark, sf), n=7)
+    return out.select("symbol", "epoch", "signal", "signal_label")

@@ -553,3 +553,23 @@ def t5_first_inner_pairs(spark, sf):
     return H.drawn_pairs(out, 3).select(
         "symbol", "epoch", F.transform(inner, lambda p: p["from"]["epoch"]).alias("inner_from"), F.size("pairs").alias("pairs")
     )
+
+
+@query(
+    "v2_study_registry",
+    with_sql(HIERARCHY_SQL, "SELECT symbol, context, count(*) AS bars, count(f0) AS with_outer FROM tree GROUP BY 1, 2"),
+)
+def v2_study_registry(spark, sf):
+    from tickloom.plans.registry import run_study
+
+    out = run_study("angular_coverage", inputs.hourly_indexed(spark, sf))
+    return out.groupBy("symbol", "context").agg(F.count(F.lit(1)).alias("bars"), F.count("outer_from").alias("with_outer"))
+
+
+@query(
+    "v4_pivot_inputs",
+    with_sql(raw_sql(3, 7), "SELECT symbol, bar_index, type, price, -7 AS plot_offset FROM raw"),
+)
+def v4_pivot_inputs(spark, sf):
+    found = P.raw_pivots(inputs.hourly_indexed(spark, sf), 3, 7)
+    return found.select("symbol", "bar_index", "type", "price", (F.col("bar_index") - F.col("visible_index")).alias("plot_offset"))

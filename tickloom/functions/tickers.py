@@ -45,7 +45,7 @@ def route_source(symbol: Column) -> dict[str, Column]:
     """Which source serves a symbol, and the symbol without its route suffix."""
     clean = F.replace(symbol, F.lit(":YF"), F.lit(""))
     yahoo = symbol.endswith(":YF") | clean.startswith("^") | clean.endswith(".NS") | clean.endswith(".BO")
-    return {"source": F.when(yahoo, "yfinance").otherwise("dhan"), "clean_symbol": F.when(yahoo, clean).otherwise(symbol)}
+    return {"source": F.when(yahoo, "yahoo").otherwise("broker"), "clean_symbol": F.when(yahoo, clean).otherwise(symbol)}
 
 
 def pair_alias(pair: Column) -> Column:

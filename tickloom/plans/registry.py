@@ -68,8 +68,8 @@ def _ema_breakout(bars: DataFrame, **params) -> DataFrame:
 
 
 register_strategy("mechanical_3day", S.breakout_signals, n=3)
-register_strategy("gann_square_9", S.square_signals, tolerance=0.001, hold=5, anchor="dataset")
-register_strategy("legacy_sq9", S.first_touch, tolerance=0.001)
+register_strategy("square_of_9", S.square_signals, tolerance=0.001, hold=5, anchor="dataset")
+register_strategy("first_touch", S.first_touch, tolerance=0.001)
 register_strategy(
     "five_ema",
     _ema_breakout,
