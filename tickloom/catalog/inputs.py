@@ -10,6 +10,9 @@ from tickloom.session import settle, prepare
 
 HOUR, DAY = 3600, 86400
 
+# order and line number do not always tell two sales of a day apart
+SALES_ORDER = ("epoch", "orderkey", "linenumber", "price", "volume")
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf}/{name}.parquet")
@@ -50,7 +53,7 @@ def sales_ticks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf: str) -> DataFrame:
-    return resample(sales_ticks(spark, sf), DAY, ("epoch", "orderkey", "linenumber"))
+    return resample(sales_ticks(spark, sf), DAY, SALES_ORDER)
 
 
 TICKS_SQL = """ticks AS (
@@ -80,8 +83,8 @@ DAILY_SQL = (
     SALES_SQL
     + """, bars AS (
   SELECT symbol, CAST(floor(epoch / 86400.0) * 86400 AS BIGINT) AS epoch,
-         arg_min(price, (epoch, orderkey, linenumber)) AS open, max(price) AS high, min(price) AS low,
-         arg_max(price, (epoch, orderkey, linenumber)) AS close, sum(volume) AS volume
+         arg_min(price, (epoch, orderkey, linenumber, price, volume)) AS open, max(price) AS high, min(price) AS low,
+         arg_max(price, (epoch, orderkey, linenumber, price, volume)) AS close, sum(volume) AS volume
   FROM sales GROUP BY 1, 2)"""
 )
 

@@ -18,7 +18,7 @@ def nation_bars(spark, sf):
     """Daily unit-price bars per supplier nation."""
     nation = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("symbol"), "s_nationkey")
     ticks = inputs.sales_ticks(spark, sf).join(nation, "symbol")
-    return B.resample(ticks.withColumn("symbol", F.col("s_nationkey").cast("string")), DAY, ("epoch", "orderkey", "linenumber"))
+    return B.resample(ticks.withColumn("symbol", F.col("s_nationkey").cast("string")), DAY, inputs.SALES_ORDER)
 
 
 def order_trades(spark, sf):
@@ -43,8 +43,8 @@ NATION_SQL = """sales AS (
   SELECT CAST(s_nationkey AS VARCHAR) AS symbol, CAST(floor(epoch(l_shipdate)) AS BIGINT) AS epoch, l_extendedprice / l_quantity AS price,
          l_quantity AS volume, l_orderkey AS orderkey, l_linenumber AS linenumber FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
 bars AS (
-  SELECT symbol, CAST(floor(epoch / 86400.0) * 86400 AS BIGINT) AS epoch, arg_min(price, (epoch, orderkey, linenumber)) AS open,
-         max(price) AS high, min(price) AS low, arg_max(price, (epoch, orderkey, linenumber)) AS close, sum(volume) AS volume
+  SELECT symbol, CAST(floor(epoch / 86400.0) * 86400 AS BIGINT) AS epoch, arg_min(price, (epoch, orderkey, linenumber, price, volume)) AS open,
+         max(price) AS high, min(price) AS low, arg_max(price, (epoch, orderkey, linenumber, price, volume)) AS close, sum(volume) AS volume
   FROM sales GROUP BY 1, 2),
 tr AS (
   SELECT CAST(c_nationkey AS VARCHAR) AS symbol, o_orderkey, CAST(floor(epoch(o_orderdate)) AS BIGINT) + o_orderkey % 86400 AS epoch,
