@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from tickloom.catalog import inputs
@@ -28,13 +30,26 @@ def replay(rows, name, build, shape=None):
     spark = rows.sparkSession
     stateful.use_rocksdb(spark)
     source, out, checkpoint = (scratch_path(spark, f"{name}-{part}") for part in ("in", "out", "state"))
-    for start, end in zip(CUTS, CUTS[1:]):
-        rows.where((F.col("epoch") >= start) & (F.col("epoch") < end)).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(rows.schema).parquet(source)
-        feeds.write_updates(build(stream), out, checkpoint, shape).trigger(availableNow=True).start().awaitTermination()
+    with state_partitions(spark):
+        for start, end in zip(CUTS, CUTS[1:]):
+            rows.where((F.col("epoch") >= start) & (F.col("epoch") < end)).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(rows.schema).parquet(source)
+            feeds.write_updates(build(stream), out, checkpoint, shape).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
 
 
+@contextmanager
+def state_partitions(spark):
+    """Each state partition is a store of its own: no more of them than twice the cores, while a stream runs."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def tick_bars(stream):
     return feeds.tick_bars(stream, 3600, "60 days")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import pathlib
 import tempfile
 import uuid
@@ -40,11 +41,16 @@ _shipped: set[str] = set()
 
 
 def _ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application; grouped folds import it there."""
+    """Send this package to the executors once per application; grouped folds import it there.
+
+    The streaming runner on the driver starts its own worker, which reads only the Python path.
+    """
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
     root = pathlib.Path(__file__).resolve().parent
+    paths = [str(root.parent), sc.environment.get("PYTHONPATH", "")]
+    sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in paths if p)
     archive = pathlib.Path(tempfile.mkdtemp(prefix="tickloom-pkg-")) / "tickloom.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for file in sorted(root.rglob("*.py")):
