@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.llm.fingerprints import fingerprint_documents
+from tickloom.llm.language_mix import identify_documents
+from tickloom.llm.licenses import scan
 from tickloom.llm.ngram_join import near_components
 from tickloom.session import prepare
 
@@ -22,7 +25,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@numbered
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MinHash fingerprint of every document and of its edited text, with likeness figures."""
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 @numbered
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document under 5-word Jaccard likeness of at least 0.75."""
     return near_components(table(spark, sf_dir, "documents"))
+
+
+@numbered
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in every document."""
+    return scan(table(spark, sf_dir, "documents"))
+
+
+@numbered
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from the three quarters that are not held out."""
+    return identify_documents(table(spark, sf_dir, "documents"))
