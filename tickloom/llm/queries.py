@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tickloom.llm.fingerprints import fingerprint_documents
 from tickloom.llm.language_mix import identify_documents
 from tickloom.llm.licenses import scan
+from tickloom.llm.line_dedup import REPORT_SQL, line_report
 from tickloom.llm.ngram_join import near_components
 from tickloom.session import prepare
 
@@ -31,6 +32,15 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+@numbered
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that stand earlier in the corpus, equal or one edit apart."""
+    return line_report(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_line_dedup"] = REPORT_SQL
+
+
 @numbered
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document under 5-word Jaccard likeness of at least 0.75."""
