@@ -11,6 +11,7 @@ from tickloom.llm.language_mix import identify_documents
 from tickloom.llm.licenses import scan
 from tickloom.llm.line_dedup import REPORT_SQL, line_report
 from tickloom.llm.ngram_join import near_components
+from tickloom.llm.suffix_array import remove_repeats
 from tickloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +33,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+@numbered
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat 50-byte strings of documents with smaller ids."""
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @numbered
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that stand earlier in the corpus, equal or one edit apart."""
