@@ -179,10 +179,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     Every member of a band's list is verified against the smallest id of the list, which keeps lists of copies linear; the whole sets of a
     pair are compared once. A null id or a text without words links with nothing (class_id is then the doc_id).
     """
-    from tickloom.llm.ngram_join import _checked
+    from tickloom.llm.ngram_join import _checked, _texts
 
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     band = docs.mapInArrow(_banded(size), "doc long, band long").distinct()
     pairs = settle(band.withColumn("a", F.min("doc").over(Window.partitionBy("band"))).filter("a < doc").select("a", F.col("doc").alias("b")).distinct())
-    labels = components(_checked(pairs, docs, size, percent)).withColumnRenamed("node", "doc_id")
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), size)
+    labels = components(_checked(pairs, texts, size, percent)).withColumnRenamed("node", "doc_id")
     return docs.select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))

@@ -110,10 +110,11 @@ def _prefixes(sketch, size: int, percent: int):
     return run
 
 
-def _close(percent: int) -> str:
-    """Length and positional filter of two prefix entries x and y: what can still be shared reaches the bound."""
+def _pairs(both: DataFrame, percent: int) -> DataFrame:
+    """Distinct id pairs of the prefix entries x and y that pass the length and positional filters: what can still be shared reaches the bound."""
     shared = "least(x.n - x.place, y.n - y.place)"
-    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {100 + percent} * {shared} >= {percent} * (x.n + y.n)"
+    close = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {100 + percent} * {shared} >= {percent} * (x.n + y.n)"
+    return both.filter(close).selectExpr("least(x.doc, y.doc) AS a", "greatest(x.doc, y.doc) AS b").distinct()
 
 
 def _cuts(size: int):
@@ -162,11 +163,14 @@ def _suffix_bound(batch: pa.RecordBatch, percent: int) -> np.ndarray:
     return 100 * both >= percent * (a.sum(1) + b.sum(1) - both)
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _texts(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """Texts and suffix-filter counts of the documents with these ids (which grow with the data, so they are never broadcast)."""
+    return docs.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_cuts(size), "doc_id long, text string, cuts binary")
+
+
+def _checked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the pairs ``a, b`` of ids whose sets are alike enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").mapInArrow(_cuts(size), "doc_id long, text string, cuts binary")
-    side = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"), F.col("cuts").alias(f"cuts_{s}"))
+    side = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"), F.col("cuts").alias(f"cuts_{s}")).hint("merge")
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_verified(size, percent), "a long, b long")
 
 
@@ -188,34 +192,35 @@ def near_links(docs: DataFrame, size: int = 5, percent: int = 75) -> tuple[DataF
     sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, size))
     entries = single.mapInArrow(_prefixes(sketch, size, percent), "gram long, doc long, n long, place long")
     gram = Window.partitionBy("gram")
-    lists = settle(entries.withColumns({"least": F.min("doc").over(gram), "most": F.max("doc").over(gram)}).filter("least < most"))
-    close = _close(percent)
+    entry = F.struct("doc", "n", "place")
+    lists = settle(entries.withColumns({"least": F.min(entry).over(gram), "most": F.max(entry).over(gram)}).filter("least.doc < most.doc"))
+    texts = settle(_texts(single, lists.select(F.col("doc").alias("doc_id")).distinct(), size))
     # an id that has several texts joins their classes
     several = placed.filter("stands is not null").groupBy("doc_id").agg(F.min("stands").alias("c"), F.max("stands").alias("d")).filter("c < d").select("doc_id")
     links = placed.join(several, "doc_id", "left_semi").filter("stands < doc_id").select(F.col("stands").alias("a"), F.col("doc_id").alias("b")).distinct()
     tried, labels = None, None
     for hub in ("least", "most", None):
-        now = lists if labels is None else lists.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        if labels is None:
-            now = now.withColumn("component", F.col("doc"))
         if hub:
-            # every member of the list against one of its members, brought along as the entry of that member
-            ends = now.filter(f"doc = {hub}").select("gram", *(F.col(c).alias(f"hub_{c}") for c in ("doc", "n", "place", "component")))
-            both = now.filter(f"doc <> {hub}").join(ends, "gram").selectExpr("struct(doc, n, place, component) AS x", "struct(hub_doc AS doc, hub_n AS n, hub_place AS place, hub_component AS component) AS y")
+            # every member of a list against its first or last member
+            pairs = _pairs(lists.select(entry.alias("x"), F.col(hub).alias("y")).filter("x.doc <> y.doc"), percent)
+            if labels is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+                ends = [labels.select(F.col("node").alias(s), F.col("component").alias(f"of_{s}")) for s in "ab"]
+                pairs = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").filter("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
         else:
-            open_lists = now.groupBy("gram").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d").select("gram")
-            rest = now.join(open_lists, "gram", "left_semi").select("gram", F.struct("doc", "n", "place", "component").alias("x"))
-            both = rest.join(rest.withColumnRenamed("x", "y"), "gram").filter("x.doc < y.doc")
-        pairs = both.filter("x.component <> y.component").filter(close).selectExpr("least(x.doc, y.doc) AS a", "greatest(x.doc, y.doc) AS b").distinct()
-        if tried is not None:
+            # the pairs across components of the lists that still have several
+            named = lists.select("gram", "doc", "n", "place").join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+            open_lists = named.groupBy("gram").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d").select("gram")
+            rest = named.join(open_lists, "gram", "left_semi").select("gram", F.struct("doc", "n", "place", "component").alias("x"))
+            pairs = _pairs(rest.join(rest.withColumnRenamed("x", "y"), "gram").filter("x.doc < y.doc AND x.component <> y.component"), percent)
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = settle(pairs)
-        found = settle(_checked(pairs, single, size, percent))
         tried = pairs if tried is None else tried.union(pairs)
-        links = links.union(found)
+        links = links.union(settle(_checked(pairs, texts, size, percent)))
         if hub:
             labels = components(links)
     drop_table(lists)
+    drop_table(texts)
     return placed, links
 
 
