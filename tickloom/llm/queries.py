@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,22 @@ from tickloom.llm.fingerprints import fingerprint_documents
 from tickloom.llm.language_mix import identify_documents
 from tickloom.llm.licenses import scan
 from tickloom.llm.line_dedup import REPORT_SQL, line_report
+from tickloom.llm.merge_dropout import encode_documents
 from tickloom.llm.ngram_join import near_components
+from tickloom.llm.packing import pack
 from tickloom.llm.suffix_array import remove_repeats
 from tickloom.session import prepare
 
+def tokenizer_file(name: str) -> str:
+    """The place of a vocabulary file, the same on every machine; TOKENIZER_DIR names another folder than the installed one."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -60,7 +73,19 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+@numbered
+def op8_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with seeded merge dropout and decoded again."""
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), seed=7, chance=0.1)
+
+
 @numbered
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from the three quarters that are not held out."""
     return identify_documents(table(spark, sf_dir, "documents"))
+
+
+@numbered
+def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens with their lexical neighbours."""
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
