@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.llm.cross_polytope import near_vectors
 from tickloom.llm.fingerprints import fingerprint_documents
 from tickloom.llm.language_mix import identify_documents
 from tickloom.llm.licenses import scan
@@ -73,6 +74,12 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+@numbered
+def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of embeddings with equal labels and a cosine of at least 0.93."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @numbered
 def op8_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded with seeded merge dropout and decoded again."""
