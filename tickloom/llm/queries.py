@@ -16,6 +16,7 @@ from tickloom.llm.merge_dropout import encode_documents
 from tickloom.llm.ngram_join import near_components
 from tickloom.llm.packing import pack
 from tickloom.llm.suffix_array import remove_repeats
+from tickloom.llm.warc import archive_pages
 from tickloom.session import prepare
 
 def tokenizer_file(name: str) -> str:
@@ -62,6 +63,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op3_line_dedup"] = REPORT_SQL
 
 
+@numbered
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to web archives and read back."""
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 @numbered
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document under 5-word Jaccard likeness of at least 0.75."""
