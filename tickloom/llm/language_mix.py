@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.words import LOWER, mixed, parts, text_bytes
+from tickloom.llm.words import LOWER, mixed, parts, ranges, text_bytes
 
 BUCKET_BITS = 15
 #: Lengths in bytes of the n-grams, and what every bucket counts besides what was seen.
@@ -111,17 +111,17 @@ def train(docs: DataFrame) -> LanguageModel:
 
 
 def _mixture(chances: np.ndarray, weights: np.ndarray, heads: np.ndarray, rows: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and log-likelihood per document of the mixture over its allowed languages.
+    """Proportions (documents x languages) and log-likelihood per document of the mixture over its allowed languages.
 
-    chances: entries x languages; weights: how often each entry occurs; heads: first entry of each document; rows: document of each entry.
+    chances: languages x entries; weights: how often each entry occurs; heads: first entry of each document; rows: document of each entry.
     """
-    share = allowed / allowed.sum(1, keepdims=True)
-    total = np.add.reduceat(weights, heads)[:, None]
+    share = (allowed / allowed.sum(1, keepdims=True)).T
+    total = np.add.reduceat(weights, heads)
     for _ in range(ROUNDS):
-        joint = chances * share[rows]
-        joint *= (weights / joint.sum(1))[:, None]
-        share = np.add.reduceat(joint, heads, axis=0) / total
-    return share, np.add.reduceat(weights * np.log((chances * share[rows]).sum(1)), heads)
+        joint = chances * np.take(share, rows, axis=1)
+        joint *= weights / joint.sum(0)
+        share = np.add.reduceat(joint, heads, axis=1) / total
+    return share.T, np.add.reduceat(weights * np.log((chances * np.take(share, rows, axis=1)).sum(0)), heads)
 
 
 def infer(model: LanguageModel, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -135,20 +135,27 @@ def infer(model: LanguageModel, column: pa.Array) -> tuple[np.ndarray, np.ndarra
     rows, weights = entries >> BUCKET_BITS, weights.astype(float)
     docs, heads = np.unique(rows, return_index=True)
     rows = np.searchsorted(docs, rows)
-    chances = model.chances[entries & ((1 << BUCKET_BITS) - 1)]
+    chances = np.ascontiguousarray(model.chances[entries & ((1 << BUCKET_BITS) - 1)].T)
     total = np.add.reduceat(weights, heads)
-    share, _ = _mixture(chances, weights, heads, rows, np.ones((len(docs), size)))
+    share, most = _mixture(chances, weights, heads, rows, np.ones((len(docs), size)))
     every[docs] = share
-    alone = np.add.reduceat(weights[:, None] * np.log(chances), heads, axis=0)
+    alone = np.add.reduceat(weights * np.log(chances), heads, axis=1).T
     best, top = np.eye(size)[alone.argmax(1)], alone.max(1)
-    order = np.argsort(-share, axis=1, kind="stable")
-    for k in range(2, min(3, size) + 1):
-        allowed = np.zeros((len(docs), size))
-        np.put_along_axis(allowed, order[:, :k], 1.0, 1)
-        part, fit = _mixture(chances, weights, heads, rows, allowed)
-        fit -= PENALTY * (k - 1) * np.log1p(total)
-        better = fit > top
-        best[better], top[better] = part[better], fit[better]
+    # no set fits better than the mixture of all languages: where even that doesn't pay for a second language, one is enough
+    tails = np.concatenate((heads[1:], [len(rows)]))
+    some = np.flatnonzero(most - PENALTY * np.log1p(total) > top)
+    if len(some):
+        own = ranges(heads[some], tails[some] - heads[some])
+        begins = np.concatenate(([0], np.cumsum(tails[some] - heads[some])))[:-1]
+        local = np.repeat(np.arange(len(some)), tails[some] - heads[some])
+        order = np.argsort(-share[some], axis=1, kind="stable")
+        for k in range(2, min(3, size) + 1):
+            allowed = np.zeros((len(some), size))
+            np.put_along_axis(allowed, order[:, :k], 1.0, 1)
+            part, fit = _mixture(chances[:, own], weights[own], begins, local, allowed)
+            fit -= PENALTY * (k - 1) * np.log1p(total[some])
+            better = fit > top[some]
+            best[some[better]], top[some[better]] = part[better], fit[better]
     chosen[docs] = best
     return every, chosen
 
