@@ -160,7 +160,7 @@ def infer(model: LanguageModel, column: pa.Array) -> tuple[np.ndarray, np.ndarra
     return every, chosen
 
 
-def _predicted(shared):
+def _predicted(shared, keep: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in parts(batches, most=PART_BYTES):
@@ -174,9 +174,8 @@ def _predicted(shared):
                 names.append(model.names[top])
                 scores.append(float(min(1.0, max(share[top], 0.0))))
                 sets.append(",".join(sorted(model.names[k] for k in np.flatnonzero(own > 0))))
-            kept = [batch.column(k) for k, name in enumerate(batch.schema.names) if name != "text"]
-            fields = [name for name in batch.schema.names if name != "text"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.string())], [*fields, "lang_pred", "score", "languages"])
+            found = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *found], [*keep, "lang_pred", "score", "languages"])
 
     return run
 
@@ -188,13 +187,10 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
     A null text, a text without a letter, and any text when nothing was learned is ``und`` with score 0 and no languages. A
     text whose letters give no known n-gram (a single letter) gets the alphabetically first language with score 0.
     """
-    wanted = [F.col(c) for c in keep]
     kinds = dict(docs.dtypes)
     out = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double", "languages string"])
-    text = [] if "text" in keep else [F.col("text")]
-    if text:
-        return docs.select(*wanted, *text).mapInArrow(_predicted(docs.sparkSession.sparkContext.broadcast(model)), out)
-    raise ValueError("text itself can't be kept; join it by id")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(_predicted(shared, keep), out)
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:

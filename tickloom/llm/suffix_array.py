@@ -65,25 +65,31 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents packed into blocks; the block number is unique over all tasks."""
+    """Documents packed into blocks; the block number is unique over all tasks. ``more`` holds the further columns as an Arrow stream."""
     number = TaskContext.get().partitionId() << 32
+    further: list[pa.RecordBatch] = []
     ids: list[np.ndarray] = []
     sizes: list[np.ndarray] = []
     texts: list[np.ndarray] = []
     held = 0
 
     def block() -> pa.RecordBatch:
-        row = [[number], [np.concatenate(ids).tobytes()], [np.concatenate(sizes).tobytes()], [_packed(np.concatenate(texts).tobytes())]]
-        return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.binary()) for x in row[1:])], ["block", "ids", "sizes", "data"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, further[0].schema) as stream:
+            for x in further:
+                stream.write_batch(x)
+        row = [[number], [np.concatenate(ids).tobytes()], [np.concatenate(sizes).tobytes()], [_packed(np.concatenate(texts).tobytes())], [_packed(sink.getvalue().to_pybytes())]]
+        return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.binary()) for x in row[1:])], ["block", "ids", "sizes", "data", "more"])
 
     for batch in parts(batches, most=BLOCK_BYTES // 2):
         data, offsets = text_bytes(batch.column("text"))
         if held and held + len(data) > BLOCK_BYTES:
             yield block()
-            ids, sizes, texts, held, number = [], [], [], 0, number + 1
+            ids, sizes, texts, further, held, number = [], [], [], [], 0, number + 1
         ids.append(batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64))
         sizes.append(np.diff(offsets))
         texts.append(data.copy())
+        further.append(batch.select([c for c in batch.schema.names if c not in ("doc_id", "text")]))
         held += len(data)
     if ids:
         yield block()
@@ -406,7 +412,7 @@ def _covered(block: _Block, own: _Fragments, found: list[dict]) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _reports(n: int, texts: bool):
+def _reports(n: int, keep: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -426,45 +432,52 @@ def _reports(n: int, texts: bool):
                     "n_spans": pa.array(spans[b] - spans[a]),
                     "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
                 }
-                if texts:
-                    columns |= {"size": columns["n_bytes"], "kept": pa.array(kept, pa.binary())}
+                if keep:
+                    more = pa.ipc.open_stream(_unpacked(row["more"]).tobytes()).read_all()
+                    columns |= {c: pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if c == "text" else more.column(c).combine_chunks() for c in keep}
                 yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row of ``doc_id, text``; with ``texts`` also ``kept`` (binary).
+def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row of ``doc_id, text``, and the columns named in ``keep``.
 
     A byte is removed if a string of LENGTH bytes around it also starts in a document with a smaller doc_id. Strings don't cross documents
-    and are judged on the input. n_spans counts the maximal removed runs; kept_sha256 is the hash of the remaining bytes.
+    and are judged on the input. n_spans counts the maximal removed runs; kept_sha256 is the hash of the remaining bytes. A kept ``text`` is what
+    remains, without bytes of code points that a cut went through.
 
     A null text is empty; texts under LENGTH bytes lose nothing; rows that share a doc_id don't remove from each other; a row with a null doc_id
     loses nothing and removes nothing; an empty table gives an empty result; further columns are ignored.
     """
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    kinds = dict(docs.dtypes)
+    further = [c for c in keep if c not in ("doc_id", "text")]
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *further)
     dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = 2 * dealt
-    blocks = docs.filter("doc_id IS NOT NULL").mapInArrow(_blocks, "block long, ids binary, sizes binary, data binary").repartition(dealt, "block").checkpoint()
+    blocks = docs.filter("doc_id IS NOT NULL").mapInArrow(_blocks, "block long, ids binary, sizes binary, data binary, more binary").repartition(dealt, "block").checkpoint()
+    texts = blocks.drop("more")
     shared = (
-        blocks.mapInArrow(_anchor_rows(n), "bucket int, block long, anchors binary, several binary")
+        texts.mapInArrow(_anchor_rows(n), "bucket int, block long, anchors binary, several binary")
         .groupBy("bucket")
         .applyInArrow(_shared_anchors, "block long, bucket int, bits binary")
         .groupBy("block")
         .agg(F.collect_list(F.struct("bucket", "bits")).alias("replies"))
         .checkpoint()
     )
-    known = blocks.join(shared, "block", "left")
     found = (
-        known.mapInArrow(_fragment_rows(n), "bucket int, block long, lengths binary, least binary, data binary")
+        texts.join(shared, "block", "left")
+        .mapInArrow(_fragment_rows(n), "bucket int, block long, lengths binary, least binary, data binary")
         .groupBy("bucket")
         .applyInArrow(_least_docs, "block long, bucket int, docs binary, runs binary")
         .groupBy("block")
         .agg(F.collect_list(F.struct("bucket", "docs", "runs")).alias("found"))
     )
-    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", size long, kept binary" * texts
-    out = known.join(found, "block", "left").mapInArrow(_reports(n, texts), kind)
-    lone = docs.filter("doc_id IS NULL").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *([F.octet_length("text").cast("long").alias("size"), F.encode("text", "utf-8").alias("kept")] if texts else []))
+    report = ["doc_id long", "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"]
+    kept = [f"`{c}` {kinds[c]}" for c in keep if c != "doc_id"]
+    out = blocks.join(shared, "block", "left").join(found, "block", "left").mapInArrow(_reports(n, tuple(c for c in keep if c != "doc_id")), ", ".join([*report, *kept]))
+    none = F.lit(0).cast("long")
+    lone = docs.filter("doc_id IS NULL").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *(c for c in keep if c != "doc_id"))
     return out.union(lone)
