@@ -2,7 +2,7 @@
 
 Every suffix is a candidate at its first ``LENGTH`` bytes. They are sorted bucket by bucket:
 
-1. *Blocks.* Documents are packed into compressed blocks, hash-partitioned and checkpointed once, so later joins leave the texts in place.
+1. *Blocks.* Documents are packed into compressed blocks, which are written once; one exchange of them serves both later joins.
 2. *Buckets.* The bucket of a suffix is given by its anchor, the smallest hash of a ``GRAM``-byte string inside its first LENGTH
    bytes. Equal strings have equal anchors, neighbouring suffixes mostly share one, and travel as one fragment. Anchors that
    only one document has are filtered out first (four bytes each, a bit each back), so only suffixes that may repeat are sorted.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import words
 from tickloom.llm.words import mixed, parts, ranges, span_hashes, text_bytes
-from tickloom.session import ensure_checkpoint_dir
+from tickloom.session import settle
 
 #: Bytes of a repeated string, and of the string whose hash is its anchor.
 LENGTH, GRAM = 50, 20
@@ -451,21 +451,19 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     loses nothing and removes nothing; an empty table gives an empty result; further columns are ignored.
     """
     spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
     kinds = dict(docs.dtypes)
     further = [c for c in keep if c not in ("doc_id", "text")]
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *further)
     dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = 2 * dealt
-    blocks = docs.filter("doc_id IS NOT NULL").mapInArrow(_blocks, "block long, ids binary, sizes binary, data binary, more binary").repartition(dealt, "block").checkpoint()
+    blocks = settle(docs.filter("doc_id IS NOT NULL").mapInArrow(_blocks, "block long, ids binary, sizes binary, data binary, more binary"))
     texts = blocks.drop("more")
-    shared = (
+    shared = settle(
         texts.mapInArrow(_anchor_rows(n), "bucket int, block long, anchors binary, several binary")
         .groupBy("bucket")
         .applyInArrow(_shared_anchors, "block long, bucket int, bits binary")
         .groupBy("block")
         .agg(F.collect_list(F.struct("bucket", "bits")).alias("replies"))
-        .checkpoint()
     )
     found = (
         texts.join(shared, "block", "left")
