@@ -9,6 +9,8 @@ from tickloom.catalog.inputs import DAILY_SQL, HOURLY_SQL, INDEXED_SQL, rounded
 from tickloom.catalog.registry import query, with_sql
 from tickloom.operators import bars as B
 from tickloom.operators import indicators as I
+from tickloom.operators.bars import with_bar_index
+from tickloom.session import settle
 
 
 def ema_sql(column: str, span: int, name: str) -> str:
@@ -81,6 +83,24 @@ def w2_ema(spark, sf):
     return rounded(out.select("symbol", "epoch", "ema_5", "ema_9", "ema_21"), "ema_5", "ema_9", "ema_21")
 
 
+MIXED_SPANS = (1, 5, 50, 200)
+
+
+@query(
+    "w2_ema_mixed",
+    "WITH t AS (SELECT event_id, value, list(value) OVER (ORDER BY event_id ROWS BETWEEN 4200 PRECEDING AND CURRENT ROW) AS v FROM events)\nSELECT event_id"
+    + "".join(f", round(list_reduce(v, lambda acc, x : (2.0 / ({n} + 1.0)) * x + (1.0 - 2.0 / ({n} + 1.0)) * acc), 6) AS ema_{n}" for n in MIXED_SPANS)
+    + " FROM t",
+)
+def w2_ema_mixed(spark, sf):
+    """Every event as a bar of one series, which crosses many blocks; spans of which the shortest sets the block."""
+    events = inputs.table(spark, sf, "events").select(F.lit("all").alias("symbol"), "event_id", F.col("event_id").alias("epoch"), F.col("value").alias("close"))
+    bars = settle(with_bar_index(settle(events)))
+    names = [f"ema_{n}" for n in MIXED_SPANS]
+    out = I.ema(bars, dict(zip(names, MIXED_SPANS, strict=True)))
+    return rounded(out.select("event_id", *names), *names)
+
+
 @query(
     "w3_rsi",
     with_sql(INDEXED_SQL + ", " + RSI_SQL.format(src="ib"), "SELECT symbol, epoch, round(rsi, 6) AS rsi FROM rs"),

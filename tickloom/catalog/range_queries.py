@@ -152,8 +152,8 @@ def f8_clamp_history(spark, sf):
     "f9_substring_search",
     with_sql(
         INSTRUMENTS_SQL,
-        """SELECT security_id, search_symbol FROM (SELECT * FROM ins WHERE contains(search_symbol, 'RED') AND contains(search_symbol, 'RING')
-  ORDER BY position LIMIT 20) WHERE instrument_name <> 'EQUITY'""",
+        """SELECT security_id, search_symbol FROM ins WHERE contains(search_symbol, 'RED') AND contains(search_symbol, 'RING')
+  AND instrument_name <> 'EQUITY' ORDER BY position LIMIT 20""",
     ),
 )
 def f9_substring_search(spark, sf):

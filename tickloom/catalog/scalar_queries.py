@@ -190,7 +190,7 @@ def x18_flatten_details(spark, sf):
     k = F.get_json_object("props", "$.k")
     details = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("k"), k, F.lit("kind"), F.col("event_type"))).otherwise(F.create_map(F.lit("k"), k))
     events = table(spark, sf, "events").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("epoch"), details.alias("details"))
-    return flatten_details(events).select("event_id", "datetime", "detail_k", "detail_kind")
+    return flatten_details(events, ["k", "kind"]).select("event_id", "datetime", "detail_k", "detail_kind")
 
 
 @query(

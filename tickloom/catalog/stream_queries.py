@@ -16,34 +16,36 @@ from tickloom.plans.registry import run_study
 from tickloom.session import scratch_path, settle
 from tickloom.streaming import feeds, stateful
 
-# the events cover January 2024; the tables arrive in three slices
-CUTS = (0, 1704844800, 1705708800, 4102444800)
+# the tables arrive in three slices: up to the first cut (and rows without a time), between the cuts, and from the second on
+CUTS = (1704844800, 1705708800)
 
 
-def replay(rows, name, build, shape=None):
+def replay(rows, name, build, shape=None, state_partitions=16):
     """Let ``rows`` arrive in slices of time and run ``build(stream)`` after each; the written updates.
 
     Every slice is a new run that resumes from the checkpoint of the one before, so state is restored
-    twice on the way.
+    twice on the way. ``state_partitions`` is written into the checkpoint by the first run and holds for the life of the stream.
     """
     rows = settle(rows)
     spark = rows.sparkSession
     stateful.use_rocksdb(spark)
     source, out, checkpoint = (scratch_path(spark, f"{name}-{part}") for part in ("in", "out", "state"))
-    with state_partitions(spark):
-        for start, end in zip(CUTS, CUTS[1:]):
-            rows.where((F.col("epoch") >= start) & (F.col("epoch") < end)).write.mode("append").parquet(source)
+    first, last = CUTS
+    at = F.col("epoch")
+    with shuffle_partitions(spark, state_partitions):
+        for arrived in (at.isNull() | (at < first), (at >= first) & (at < last), at >= last):
+            rows.where(arrived).write.mode("append").parquet(source)
             stream = spark.readStream.schema(rows.schema).parquet(source)
             feeds.write_updates(build(stream), out, checkpoint, shape).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
 
 
 @contextmanager
-def state_partitions(spark):
-    """Each state partition is a store of its own: no more of them than twice the cores, while a stream runs."""
+def shuffle_partitions(spark, number):
+    """Shuffle partitions, and so state partitions, while a stream starts and runs."""
     key = "spark.sql.shuffle.partitions"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+    spark.conf.set(key, str(number))
     try:
         yield
     finally:

@@ -129,10 +129,10 @@ PAGES_SQL = """pr AS (SELECT page_id, ['MECHANICAL', 'GEOMETRY', 'TIME'][CAST(pa
     with_sql(
         PAGES_SQL
         + r""", pv AS (
-  SELECT 'time_period' AS kind, unnest(regexp_extract_all(lower(definition), '(\d+)\s*[- ]?days?', 1)) AS value FROM pr WHERE logic_type = 'MECHANICAL'
+  SELECT 'time_period' AS kind, CAST(unnest(regexp_extract_all(lower(definition), '(\d+)\s*[- ]?days?', 1)) AS HUGEINT)::VARCHAR AS value FROM pr WHERE logic_type = 'MECHANICAL'
   UNION ALL SELECT 'stop_loss', definition FROM pr WHERE logic_type = 'MECHANICAL' AND contains(lower(definition), 'stop loss')
-  UNION ALL SELECT 'angle', value FROM (SELECT unnest(regexp_extract_all(lower(definition), '(\d+)\s*degrees?', 1)) AS value FROM pr WHERE logic_type = 'GEOMETRY') WHERE TRY_CAST(value AS INTEGER) <= 360
-  UNION ALL SELECT 'cycle', n || ' ' || u FROM (SELECT unnest(regexp_extract_all(lower(definition), '(\d+)\s*(days?|weeks?|months?|years?)', 1)) AS n,
+  UNION ALL SELECT 'angle', value FROM (SELECT CAST(unnest(regexp_extract_all(lower(definition), '(\d+)\s*degrees?', 1)) AS HUGEINT)::VARCHAR AS value FROM pr WHERE logic_type = 'GEOMETRY') WHERE TRY_CAST(value AS INTEGER) <= 360
+  UNION ALL SELECT 'cycle', CAST(n AS HUGEINT)::VARCHAR || ' ' || u FROM (SELECT unnest(regexp_extract_all(lower(definition), '(\d+)\s*(days?|weeks?|months?|years?)', 1)) AS n,
       unnest(regexp_extract_all(lower(definition), '(\d+)\s*(days?|weeks?|months?|years?)', 2)) AS u FROM pr WHERE logic_type = 'TIME'))""",
         "SELECT kind, value, count(*) AS mentions FROM pv GROUP BY 1, 2",
     ),

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 SESSION_CLOSE_MINUTE = 15 * 60 + 30  # 15:30, fixed value
 
-MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
-
-
 def day_of(epoch: Column) -> Column:
     return F.to_date(F.timestamp_seconds(epoch))
 
@@ -38,8 +35,8 @@ def last_thursday(day: Column) -> Column:
 
 def month_number(name: Column) -> Column:
     """1-12 from a month name's first three letters, null when unknown."""
-    at = F.position(F.upper(F.substring(name, 1, 3)), F.lit(MONTHS))
-    return F.when((F.length(name) >= 3) & (at > 0) & (F.pmod(at - 1, F.lit(3)) == 0), (at + 2) / 3).cast("int")
+    short = F.initcap(F.substring(name, 1, 3))
+    return F.month(F.try_to_date(F.concat(F.lit("1-"), short, F.lit("-2000")), "d-MMM-yyyy"))
 
 
 def parse_expiry(text: Column, reference: Column, rule: str = "season") -> Column:

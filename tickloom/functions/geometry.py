@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 # fixed values: the four drawn divisions, and the older set with 1/8
 FRACTIONS = (7 / 8, 3 / 4, 1 / 2, 1 / 4)
 FRACTIONS_WITH_EIGHTH = (7 / 8, 3 / 4, 1 / 2, 1 / 4, 1 / 8)
-PRICE_BOUND = 1e9
 
 NAMES = {1.0: "θ", 7 / 8: "7/8θ", 3 / 4: "3/4θ", 1 / 2: "1/2θ", 1 / 4: "1/4θ", 1 / 8: "1/8θ"}
 
 
-def bounded(value: Column) -> Column:
-    """Finite price within ±1e9; NaN and infinities become 0."""
+def bounded(value: Column, limit: float | None = None) -> Column:
+    """The price as it is; with ``limit`` (a chart's 1e9) a finite one within ±limit, null, NaN and infinities as 0."""
+    if limit is None:
+        return value
     odd = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
-    return F.when(odd, 0.0).otherwise(F.greatest(F.lit(-PRICE_BOUND), F.least(F.lit(PRICE_BOUND), value)))
+    return F.when(odd, 0.0).otherwise(F.greatest(F.lit(-limit), F.least(F.lit(limit), value)))
 
 
 def theta(price_change: Column, bars: Column, scale: float = 1.0) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.session import spread
 
 # fixed values: pattern dictionary, in order of precedence
 PATTERNS = {
@@ -33,7 +32,7 @@ def collapse_space(text: Column) -> Column:
 def sentences(documents: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row per non-empty sentence with its position; a document is one row, so work splits by document."""
     parts = F.split(collapse_space(F.col(text)), SENTENCE_END)
-    out = spread(documents.select(*keys, text)).select(*keys, F.posexplode(parts).alias("position", "sentence"))
+    out = documents.select(*keys, text).select(*keys, F.posexplode(parts).alias("position", "sentence"))
     return out.withColumn("sentence", F.trim("sentence")).where(F.col("sentence") != "")
 
 
@@ -120,10 +119,11 @@ def extract_parameters(rows: DataFrame, keep_duplicates: bool = False) -> DataFr
     low = F.lower("definition")
     pick = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
     none = F.array().cast("array<struct<kind:string,value:string>>")
-    days = pick("time_period", F.regexp_extract_all(low, F.lit(r"(\d+)\s*[- ]?days?"), 1))
+    number = lambda v: v.try_cast("decimal(38,0)").cast("string")  # noqa: E731  07 and 7 are one value
+    days = pick("time_period", F.transform(F.regexp_extract_all(low, F.lit(r"(\d+)\s*[- ]?days?"), 1), number))
     stops = F.when(low.contains("stop loss"), F.array(F.struct(F.lit("stop_loss").alias("kind"), F.col("definition").alias("value")))).otherwise(none)
-    angles = pick("angle", F.filter(F.regexp_extract_all(low, F.lit(r"(\d+)\s*degrees?"), 1), lambda v: v.try_cast("int") <= 360))
-    numbers = F.regexp_extract_all(low, F.lit(r"(\d+)\s*(days?|weeks?|months?|years?)"), 1)
+    angles = pick("angle", F.filter(F.transform(F.regexp_extract_all(low, F.lit(r"(\d+)\s*degrees?"), 1), number), lambda v: v.try_cast("int") <= 360))
+    numbers = F.transform(F.regexp_extract_all(low, F.lit(r"(\d+)\s*(days?|weeks?|months?|years?)"), 1), number)
     units = F.regexp_extract_all(low, F.lit(r"(\d+)\s*(days?|weeks?|months?|years?)"), 2)
     cycles = pick("cycle", F.zip_with(numbers, units, lambda n, u: F.concat_ws(" ", n, u)))
     kind = F.col("logic_type")

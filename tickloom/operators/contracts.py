@@ -68,7 +68,8 @@ def resolve(requests: DataFrame, instruments: DataFrame, key: str = "contract_ke
     """Contract keys to instruments: equal trading symbol (latest expiry wins), else first containing it.
 
     ``instruments``: ``trading_symbol, security_id, expiry, position`` (position is file order). The
-    substring search joins on a run of characters of the key instead of comparing every pair.
+    substring search joins each key on its rarest run of ``gram`` characters (a shorter key on itself), so contracts of one underlying
+    with a common beginning don't meet all of each other.
     """
     wanted = requests.select(F.col(key).alias("_key")).where(F.col("_key") != "").distinct()
     per_symbol = instruments.groupBy("trading_symbol").agg(
@@ -79,13 +80,15 @@ def resolve(requests: DataFrame, instruments: DataFrame, key: str = "contract_ke
     same = wanted.join(per_symbol, F.col("_key") == F.col("trading_symbol")).select(
         "_key", F.col("_latest").alias("security_id"), "trading_symbol", F.lit("exact").alias("match")
     )
-    missing = wanted.join(same, "_key", "left_anti").withColumn("_gram", F.substring("_key", 1, gram))
-    size = F.least(F.length("trading_symbol"), F.lit(gram))
-    starts = F.sequence(F.lit(1), F.length("trading_symbol"))
-    grams = F.flatten(
-        F.transform(F.sequence(F.lit(1), size), lambda n: F.transform(starts, lambda i: F.substr("trading_symbol", i, n)))
-    )
-    spread = per_symbol.where(F.length("trading_symbol") > 0).withColumn("_gram", F.explode(F.array_distinct(grams)))
+    missing = wanted.join(same, "_key", "left_anti").withColumn("_size", F.least(F.length("_key"), F.lit(gram)))
+    cut = lambda text: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - F.col("_size") + 1), lambda i: F.substr(text, i, F.col("_size"))))
+    wishes = missing.withColumn("_gram", F.explode(cut("_key")))
+    # at most ``gram`` lengths occur, and only those are cut
+    sizes = F.explode(F.sequence(F.lit(1), F.least(F.length("trading_symbol"), F.lit(gram))))
+    sized = per_symbol.where(F.length("trading_symbol") > 0).withColumn("_size", sizes).join(missing.select("_size").distinct(), "_size", "left_semi")
+    spread = sized.withColumn("_gram", F.explode(cut("trading_symbol"))).drop("_size").join(wishes.select("_gram").distinct(), "_gram", "left_semi")
+    counts = spread.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    missing = wishes.join(counts, "_gram", "left").groupBy("_key").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
     partial = (
         missing.join(spread, "_gram")
         .where(F.col("trading_symbol").contains(F.col("_key")))

@@ -7,10 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.blocks import block_rows, framed
+from tickloom.operators.blocks import KEYS, block_rows, framed
 
-NEGLIGIBLE = 1e-17  # weight below which an old price cannot change a double
 EXPONENT_ROOM = 500.0  # ln of the largest scale factor kept in a running weighted sum
+SMALLEST_EXPONENT = 745.2  # a factor below exp(-745.2) is zero as a double
 
 
 def donchian(bars: DataFrame, n: int = 3) -> DataFrame:
@@ -26,35 +26,40 @@ def donchian(bars: DataFrame, n: int = 3) -> DataFrame:
     return framed(bars, n, 0, add)
 
 
-def _ema_reach(span: int) -> tuple[int, int]:
-    """(bars of history that matter, bars per block) for an EMA of ``span``."""
-    decay = -math.log(1.0 - 2.0 / (span + 1.0))
-    return math.ceil(-math.log(NEGLIGIBLE) / decay), max(1, int(EXPONENT_ROOM / decay))
+def _decayed(values: Column, factor: float) -> Column:
+    """Sum of an array in which every value counts ``factor`` times less than the one behind it."""
+    return F.aggregate(values, F.lit(0.0), lambda total, x: total * F.lit(factor) + x)
 
 
-def ema(bars: DataFrame, spans: dict[str, int], column: str = "close") -> DataFrame:
-    """Exponential averages ``{output name: span}``, ``alpha = 2/(span+1)``, seeded with the first value.
+def ema(bars: DataFrame, spans: dict[str, int], column: str = "close", keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Exponential averages ``{output name: span}``, ``alpha = 2/(span+1)``, seeded with the first value; ``bars`` is settled.
 
-    ``ema_t = sum_j w_j x_j q^(t-j)`` is one running sum of ``x_j q^-j`` per block: linear work and
-    no Python. A block starts far enough back that older prices fall below double precision.
+    Within a block the average is a running sum of ``x_j q^-j``, short enough that ``q^-j`` stays finite for every span. Each block then takes
+    in the average at the end of the one before it: that is the sum of all earlier blocks' own ends, each ``q^rows`` times smaller
+    than the next, taken as far back as a double can tell it from zero. Nothing else is left out, and spans may be mixed.
     """
-    reach = [_ema_reach(s) for s in spans.values()]
-    before, rows = max(r[0] for r in reach), min(min(r[1] for r in reach), block_rows())
-    rows = max(rows, before)
-
-    def add(df, w):
-        start = F.min("bar_index").over(w.rowsBetween(Window.unboundedPreceding, 0))
-        df = df.withColumn("_at", F.col("bar_index") - start)
-        for name, span in spans.items():
-            alpha = 2.0 / (span + 1.0)
-            keep = F.lit(1.0 - alpha)
-            weight = F.when(F.col("bar_index") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-            term = weight * F.col(column) * F.pow(keep, -F.col("_at"))
-            total = F.sum(term).over(w.rowsBetween(Window.unboundedPreceding, 0))
-            df = df.withColumn(name, total * F.pow(keep, F.col("_at")))
-        return df.drop("_at")
-
-    return framed(bars, before, 0, add, rows=rows)
+    keep = {name: 1.0 - 2.0 / (span + 1.0) for name, span in spans.items() if span > 1}
+    rows = min([block_rows(), *(max(1, int(EXPONENT_ROOM / -math.log(q))) for q in keep.values())])
+    block = F.floor(F.col("bar_index") / F.lit(rows)).cast("long")
+    local = Window.partitionBy(*keys, "_block").orderBy("bar_index").rowsBetween(Window.unboundedPreceding, 0)
+    out = bars.withColumns({"_block": block, "_at": F.col("bar_index") % F.lit(rows)})
+    for name, q in keep.items():
+        weight = F.when(F.col("bar_index") == 0, F.lit(1.0)).otherwise(F.lit(1.0 - q))
+        total = F.sum(weight * F.col(column) * F.pow(F.lit(q), -F.col("_at"))).over(local)
+        out = out.withColumn(f"_own_{name}", total * F.pow(F.lit(q), F.col("_at")))
+    if keep:
+        chain = Window.partitionBy(*keys).orderBy("_block")
+        ends = out.groupBy(*keys, "_block").agg(*(F.max_by(f"_own_{name}", "_at").alias(f"_end_{name}") for name in keep))
+        carries = []
+        for name, q in keep.items():
+            back = max(1, math.ceil(SMALLEST_EXPONENT / (-math.log(q) * rows)))
+            earlier = F.collect_list(f"_end_{name}").over(chain.rowsBetween(-back, -1))
+            carries.append(_decayed(earlier, q**rows).alias(f"_in_{name}"))
+        out = out.join(ends.select(*keys, "_block", *carries), [*keys, "_block"])
+    for name, span in spans.items():
+        value = F.col(column) if span <= 1 else F.col(f"_in_{name}") * F.pow(F.lit(keep[name]), F.col("_at") + 1) + F.col(f"_own_{name}")
+        out = out.withColumn(name, value)
+    return out.select(*bars.columns, *spans)
 
 
 def previous(bars: DataFrame, columns: tuple[str, ...] = ("close",)) -> DataFrame:

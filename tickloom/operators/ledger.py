@@ -57,15 +57,11 @@ def trades(signals: DataFrame, convention: str = "engine") -> DataFrame:
 def _with_state(rows: DataFrame) -> DataFrame:
     """``_state`` before each row: 0 flat, 1 open. ``rows`` is settled.
 
-    Rows that may both open and close flip the state; labels rarely ask for that, so their running
-    count is only taken when there are any.
+    Rows that may both open and close flip the state: it is that of the last row that forces one, and the flips since.
     """
     opens, closes = F.col("_opens"), F.col("_closes")
     forced = F.when(opens & ~closes, 1).when(closes & ~opens, 0)
     flips = F.when(opens & closes, 1).otherwise(0)
-    if rows.where(flips == 1).isEmpty():
-        known = running(rows, {"_set": ("last", forced)}, inclusive=False)
-        return known.withColumn("_state", F.coalesce("_set", F.lit(0))).drop("_set")
     rows = settle(running(rows, {"_flips": ("sum", flips)}))
     known = running(
         rows, {"_set": ("last", F.when(forced.isNotNull(), F.struct(forced.alias("open"), "_flips")))}, inclusive=False

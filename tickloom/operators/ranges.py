@@ -51,15 +51,11 @@ def range_status(requests: DataFrame, bars: DataFrame, width: int = 30 * 86400)
 
     block = F.floor(F.col("epoch") / width)
     counted = running(bars.select("symbol", "epoch"), {"n": ("count", F.lit(1))}, order=("epoch",), block=block)
-    edges = requests.select("*", F.inline(F.array(
-        F.struct(F.lit("lo").alias("_edge"), (F.col("start") - 1).alias("epoch")),
-        F.struct(F.lit("hi").alias("_edge"), F.col("end").alias("epoch")),
-    )))
-    seen = backward(edges, counted, ["symbol"], ["n"])
-    n = F.coalesce("asof_n", F.lit(0))
-    out = seen.groupBy(*requests.columns).agg(
-        F.sum(F.when(F.col("_edge") == "hi", n).otherwise(-n)).alias("bars")
-    )
+    # both ends stay columns of their request, so equal requests stay rows of their own
+    upto = backward(requests.withColumn("epoch", F.col("end")), counted, ["symbol"], ["n"]).withColumn("_upto", F.coalesce("asof_n", F.lit(0)))
+    upto = upto.select(*requests.columns, "_upto")
+    before = backward(upto.withColumn("epoch", F.col("start") - 1), counted, ["symbol"], ["n"])
+    out = before.withColumn("bars", F.col("_upto") - F.coalesce("asof_n", F.lit(0))).select(*requests.columns, "bars")
     status = F.when((F.col("bars") == 0) & (F.col("end") < NO_DATA_BEFORE), "no_data").otherwise("ok")
     return out.withColumn("status", status)
 

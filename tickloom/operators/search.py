@@ -14,16 +14,16 @@ RESERVED = tuple(f[0] for f in FAVOURITES)
 
 
 def search(instruments: DataFrame, query: str, kind: str = "all", limit: int = 20, all_words: bool = False) -> DataFrame:
-    """First ``limit`` instruments (file order) whose search key holds ``query`` or all its words."""
+    """First ``limit`` instruments of a kind (file order) whose search key holds ``query`` or all its words; reserved names are left out first."""
     words = query.upper().split() if all_words else [query.upper()]
     hit = F.lit(True)
     for word in words:
         hit = hit & F.col("search_symbol").contains(word)
     typed = instruments.withColumn("type", F.when(F.col("instrument_name") == "EQUITY", "stock").otherwise("index"))
-    found = typed.where(hit).orderBy("position").limit(limit)
+    found = typed.where(hit & ~F.col("search_symbol").isin(*RESERVED))
     if kind not in ("", "all"):
         found = found.where(F.col("type") == kind)
-    return found.where(~F.col("search_symbol").isin(*RESERVED))
+    return found.orderBy("position").limit(limit)
 
 
 def search_with_favourites(instruments: DataFrame, query: str, kind: str = "all", limit: int = 20) -> DataFrame:

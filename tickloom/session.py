@@ -89,12 +89,3 @@ def settle(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "settled")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out for CPU-heavy maps when the input has fewer splits than the cluster has cores.
-
-    Large inputs have enough splits and pass unchanged, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df

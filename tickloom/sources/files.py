@@ -206,18 +206,12 @@ def explode_symbol_info(payload: DataFrame, resolutions: tuple[str, ...] = ("1",
 
 
 def flatten_details(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """``details`` map to ``detail_*`` columns (the union of its keys) and the time as ISO text.
-
-    The keys are a handful of field names; they are read from the data unless given.
-    """
-    if keys is None:
-        found = events.select(F.explode(F.map_keys("details")).alias("k")).distinct().orderBy("k")
-        keys = [r["k"] for r in found.collect()]
+    """``details`` map to a ``detail_*`` column for each of ``keys``, and the time as ISO text; without keys the map stays."""
     iso = F.date_format(F.timestamp_seconds("epoch"), "yyyy-MM-dd'T'HH:mm:ss")
     return events.select(
-        *[c for c in events.columns if c != "details"],
+        *[c for c in events.columns if c != "details" or keys is None],
         iso.alias("datetime"),
-        *[F.try_element_at("details", F.lit(k)).alias(f"detail_{k}") for k in keys],
+        *[F.try_element_at("details", F.lit(k)).alias(f"detail_{k}") for k in keys or ()],
     )
 
 
