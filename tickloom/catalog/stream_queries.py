@@ -20,10 +20,10 @@ from tickloom.streaming import feeds, stateful
 CUTS = (1704844800, 1705708800)
 
 
-def replay(rows, name, build, shape=None, state_partitions=16):
+def replay(rows, name, build, write=feeds.write_updates, order=(0, 1, 2), state_partitions=16):
     """Let ``rows`` arrive in slices of time and run ``build(stream)`` after each; the written updates.
 
-    Every slice is a new run that resumes from the checkpoint of the one before, so state is restored
+    The slices arrive in ``order``. Every slice is a new run that resumes from the checkpoint of the one before, so state is restored
     twice on the way. ``state_partitions`` is written into the checkpoint by the first run and holds for the life of the stream.
     """
     rows = settle(rows)
@@ -33,10 +33,11 @@ def replay(rows, name, build, shape=None, state_partitions=16):
     first, last = CUTS
     at = F.col("epoch")
     with shuffle_partitions(spark, state_partitions):
-        for arrived in (at.isNull() | (at < first), (at >= first) & (at < last), at >= last):
-            rows.where(arrived).write.mode("append").parquet(source)
+        slices = (at.isNull() | (at < first), (at >= first) & (at < last), at >= last)
+        for k in order:
+            rows.where(slices[k]).write.mode("append").parquet(source)
             stream = spark.readStream.schema(rows.schema).parquet(source)
-            feeds.write_updates(build(stream), out, checkpoint, shape).trigger(availableNow=True).start().awaitTermination()
+            write(build(stream), out, checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -65,12 +66,15 @@ def r1_s8_tick_bars(spark, sf):
     "r2_latest_bars",
     with_sql(
         HOURLY_SQL
-        + """, rk AS (SELECT *, row_number() OVER (PARTITION BY symbol, CASE WHEN epoch < 1704844800 THEN 0 WHEN epoch < 1705708800 THEN 1 ELSE 2 END ORDER BY epoch DESC) - 1 AS age FROM bars)""",
-        "SELECT symbol, epoch, close, age FROM rk WHERE age <= 1",
+        # the middle slice arrives first, then the older one, then the newest
+        + """, sl AS (SELECT *, CASE WHEN epoch < 1704844800 THEN 1 WHEN epoch < 1705708800 THEN 0 ELSE 2 END AS batch FROM bars),
+kn AS (SELECT *, (SELECT max(e.epoch) FROM sl e WHERE e.symbol = sl.symbol AND e.batch < sl.batch) AS known FROM sl),
+rk AS (SELECT *, row_number() OVER w - 1 AS age, max(epoch) OVER (PARTITION BY symbol, batch) AS newest FROM kn WHERE known IS NULL OR epoch >= known WINDOW w AS (PARTITION BY symbol, batch ORDER BY epoch DESC))""",
+        "SELECT symbol, epoch, close, age FROM rk WHERE age = 0 OR age = 1 AND (known IS NULL OR newest > known)",
     ),
 )
 def r2_latest_bars(spark, sf):
-    return replay(inputs.ticks(spark, sf), "r2", tick_bars, feeds.latest_bars).select("symbol", "epoch", "close", "age")
+    return replay(inputs.ticks(spark, sf), "r2", tick_bars, feeds.write_latest, (1, 0, 2)).select("symbol", "epoch", "close", "age")
 
 
 @query("r3_strategy_steps", DEFAULT_RULES_SQL + "SELECT symbol, epoch, bar_index, action, reason FROM ac")

@@ -79,6 +79,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+_settled: dict[str, list[str]] = {}
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete the tables ``settle`` has written in this application, once the results built on them are written; how many there were."""
+    paths = _settled.pop(spark.sparkContext.applicationId, [])
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared checkpoint folder and read it back.
 
@@ -87,5 +100,6 @@ def settle(df: DataFrame) -> DataFrame:
     once, sizes are known to the planner afterwards, and the copy survives lost executors.
     """
     path = scratch_path(df.sparkSession, "settled")
+    _settled.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -35,21 +33,44 @@ def tick_bars(ticks: DataFrame, seconds: int, delay: str = "10 minutes") -> Data
     )
 
 
-def latest_bars(updates: DataFrame) -> DataFrame:
-    """Of one micro-batch's bar updates, each symbol's newest bar and the one before it."""
+def latest_bars(updates: DataFrame, known: DataFrame) -> DataFrame:
+    """Of one micro-batch's bar updates, each symbol's newest bar, and the one before it when time moved on.
+
+    ``known`` has the newest ``epoch`` of each symbol before the batch. Bars older than that are ignored; while the newest bar stays the
+    same only its update is passed on.
+    """
     newest = Window.partitionBy("symbol").orderBy(F.col("epoch").desc())
-    return updates.withColumn("age", F.row_number().over(newest) - 1).where("age <= 1")
+    fresh = updates.join(known.withColumnRenamed("epoch", "_known"), "symbol", "left").where("_known IS NULL OR epoch >= _known")
+    aged = fresh.withColumns({"age": F.row_number().over(newest) - 1, "_newest": F.max("epoch").over(Window.partitionBy("symbol"))})
+    return aged.where("age = 0 OR age = 1 AND (_known IS NULL OR _newest > _known)").drop("_known", "_newest")
 
 
-def write_updates(stream: DataFrame, path: str, checkpoint: str, shape: Callable[[DataFrame], DataFrame] | None = None) -> DataStreamWriter:
+def write_updates(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Append every micro-batch's updated rows with their ``batch_id``; a replayed batch replaces itself.
 
     The batch id is the folder, so a batch that is run again after a failure overwrites its own output.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        out = shape(batch) if shape else batch
-        out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
+
+
+def write_latest(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Append each micro-batch's ``latest_bars``; one row per symbol, its newest epoch, is kept from batch to batch beside them.
+
+    Every batch reads what the one before it left and writes its own folders, so a batch that is run again gives the same rows.
+    """
+    memory = f"{path}-newest"
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        kind = "symbol string, epoch long"
+        known = spark.read.schema(kind).parquet(f"{memory}/batch_id={batch_id - 1}") if batch_id else spark.createDataFrame([], kind)
+        latest_bars(batch, known).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        seen = batch.select("symbol", "epoch").union(known).groupBy("symbol").agg(F.max("epoch").alias("epoch"))
+        seen.write.mode("overwrite").parquet(f"{memory}/batch_id={batch_id}")
 
     return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
 
