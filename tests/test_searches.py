@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tickloom.functions.dates import month_number
+from tickloom.functions.labels import money
 from tickloom.operators import components, contracts, ranges, search
 from tickloom.operators.bars import with_bar_index
 from tickloom.operators.indicators import ema
@@ -54,3 +55,9 @@ def test_month_names(spark):
     names = ["Jan", "february", "SEP", "dec", "Foo", "Ja", ""]
     found = spark.createDataFrame([(n,) for n in names], "n string").select(F.struct("n", month_number(F.col("n")).alias("m")).alias("x")).collect()
     assert {r.x.n: r.x.m for r in found} == {"Jan": 1, "february": 2, "SEP": 9, "dec": 12, "Foo": None, "Ja": None, "": None}
+
+
+def test_money_is_the_binary_value(spark):
+    values = [2.675, 2.665, 0.125, 0.375, -1.005, 1234567.891, 0.0, -0.001, 1e15 / 7]
+    found = [r.m for r in spark.createDataFrame([(v,) for v in values], "v double").select(money(F.col("v")).alias("m")).collect()]
+    assert found == [f"{v:.2f}" for v in values]

@@ -20,10 +20,10 @@ from tickloom.streaming import feeds, stateful
 CUTS = (1704844800, 1705708800)
 
 
-def replay(rows, name, build, write=feeds.write_updates, order=(0, 1, 2), state_partitions=16):
+def replay(rows, name, build, write=feeds.write_updates, order=(0, 1, 2), read=None, state_partitions=16):
     """Let ``rows`` arrive in slices of time and run ``build(stream)`` after each; the written updates.
 
-    The slices arrive in ``order``. Every slice is a new run that resumes from the checkpoint of the one before, so state is restored
+    ``read`` opens the folder of arrivals as a stream. The slices arrive in ``order``. Every slice is a new run that resumes from the checkpoint of the one before, so state is restored
     twice on the way. ``state_partitions`` is written into the checkpoint by the first run and holds for the life of the stream.
     """
     rows = settle(rows)
@@ -36,7 +36,7 @@ def replay(rows, name, build, write=feeds.write_updates, order=(0, 1, 2), state_
         slices = (at.isNull() | (at < first), (at >= first) & (at < last), at >= last)
         for k in order:
             rows.where(slices[k]).write.mode("append").parquet(source)
-            stream = spark.readStream.schema(rows.schema).parquet(source)
+            stream = read(spark, source) if read else spark.readStream.schema(rows.schema).parquet(source)
             write(build(stream), out, checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
 
@@ -57,9 +57,24 @@ def tick_bars(stream):
     return feeds.tick_bars(stream, 3600, "60 days")
 
 
-@query("r1_s8_tick_bars", with_sql(HOURLY_SQL, "SELECT symbol, epoch, open, high, low, close, volume FROM bars"))
+LATE_DAYS = 12
+
+
+@query(
+    "r1_s8_tick_bars",
+    with_sql(
+        TICKS_SQL
+        # the middle slice arrives first; then, hours of the oldest slice that end before the watermark are dropped, the others still make bars
+        + f""", wm AS (SELECT max(epoch_us(ts)) // 1000 - {LATE_DAYS} * 86400000 AS wm FROM ticks WHERE epoch >= 1704844800 AND epoch < 1705708800),
+kept AS (SELECT ticks.*, CAST(floor(epoch / 3600.0) * 3600 AS BIGINT) AS hour FROM ticks, wm WHERE epoch >= 1704844800 OR wm IS NULL OR (epoch // 3600 + 1) * 3600000 > wm)""",
+        """SELECT symbol, hour AS epoch, arg_min(price, ts) AS open, max(price) AS high, min(price) AS low, arg_max(price, ts) AS close, sum(volume) AS volume
+FROM kept GROUP BY 1, 2""",
+    ),
+)
 def r1_s8_tick_bars(spark, sf):
-    return feeds.current_rows(replay(inputs.ticks(spark, sf), "r1", tick_bars), ["symbol", "epoch"])
+    ticks = inputs.ticks(spark, sf)
+    updates = replay(ticks, "r1", lambda stream: feeds.tick_bars(stream, 3600, f"{LATE_DAYS} days"), order=(1, 0, 2), read=feeds.read_ticks)
+    return feeds.current_rows(updates, ["symbol", "epoch"])
 
 
 @query(

@@ -28,8 +28,8 @@ def pnl_suffix(label: Column, pnl: Column) -> Column:
 
 
 def money(value: Column) -> Column:
-    """Two decimals, no thousands separators."""
-    return F.bround(value, 2).cast("decimal(38,2)").cast("string")
+    """Two decimals of the binary value, half to even, no thousands separators."""
+    return F.call_function("format_number", value, F.lit("0.00"))
 
 
 def classify(label: Column) -> dict[str, Column]:

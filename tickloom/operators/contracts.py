@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.dates import day_of, parse_expiry
-from tickloom.functions.labels import parse_contract
+from tickloom.functions.labels import money, parse_contract
 from tickloom.operators.asof import nearest, price_source
 from tickloom.operators.blocks import running
 from tickloom.session import settle
@@ -177,8 +177,7 @@ def replay_trades(priced: DataFrame) -> DataFrame:
     event = F.when(entry, F.struct(F.col("signal_price").alias("p"))).when(leave, F.struct(F.lit(None).cast("double").alias("p")))
     out = running(priced, {"_held": ("last", event)}, inclusive=False)
     pnl = F.when(leave, F.col("signal_price") - F.col("_held.p"))
-    text = F.bround(pnl, 2).cast("decimal(38,2)").cast("string")
-    signed = F.concat(F.when(pnl < 0, "").otherwise("+"), text)
+    signed = F.concat(F.when(pnl < 0, "").otherwise("+"), money(pnl))
     label = F.when(pnl.isNotNull(), F.concat("signal_label", F.lit(" (PnL: "), signed, F.lit(")"))).otherwise(F.col("signal_label"))
     return out.withColumns({"pnl": pnl, "label": label}).drop("_held")
 
