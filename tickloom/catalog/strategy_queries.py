@@ -313,17 +313,25 @@ def g21_parameter_sweep(spark, sf):
     return out.select("symbol", "param_id", "total_trades", "completed_trades", "wins", "losses", "total_pnl")
 
 
+COMPARED = (3, 8, 20)
+
+
+def total_sql(n: int) -> str:
+    """Total profit per symbol of the registered breakout over ``n`` bars."""
+    ledger = LEDGER_SQL.replace(BREAKOUT_SQL, breakout_sql(n))
+    return f"(WITH {ledger} SELECT symbol, round(coalesce(sum(pnl), 0.0), 2) AS breakout_{n} FROM closed GROUP BY symbol)"
+
+
 @query(
     "a11_compare_runs",
-    with_sql(
-        LEDGER_SQL,
-        """SELECT symbol, round(coalesce(sum(pnl), 0.0), 2) AS to_the_end,
-       round(coalesce(sum(pnl) FILTER (bar_index < 500), 0.0), 2) AS first_500 FROM closed GROUP BY symbol""",
-    ),
+    f"SELECT symbol, {', '.join(f'breakout_{n}' for n in COMPARED)} FROM "
+    + " FULL JOIN ".join(total_sql(n) + f" r{n}" + (" USING (symbol)" if k else "") for k, n in enumerate(COMPARED)),
 )
 def a11_compare_runs(spark, sf):
-    ledger = settle(breakout_ledger(spark, sf))
-    runs = {"to_the_end": L.trade_metrics(ledger), "first_500": L.trade_metrics(ledger.where("bar_index < 500"))}
+    from tickloom.plans.registry import generate
+
+    bars = inputs.hourly_indexed(spark, sf)
+    runs = {f"breakout_{n}": L.trade_metrics(L.close_at_end(L.trades(generate("mechanical_3day", bars, n=n)), bars)) for n in COMPARED}
     return L.compare_runs(runs)
 
 
