@@ -89,9 +89,11 @@ def _near(docs: DataFrame, lines: DataFrame) -> DataFrame:
     halves = once.select(*_ID, *_PLACE, F.explode(F.array(*sides)).alias("h")).select(*_ID, *_PLACE, "h.*")
     wanted = _shared(halves, "key").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", *_ID, "role", "p", "key")).alias("wanted"))
     texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").join(wanted, "doc_id")
-    texts = texts.select("doc_id", F.split("text", "\n", -1).alias("own"), F.explode("wanted").alias("w"))
-    texts = texts.select("doc_id", "w.*", _line("own[w.line_no]").alias("line")).filter("xxhash64(line) = id1")
-    open_lines = settle(texts)
+    # a row gets its own line only, not the whole text; n_lines is kept so that the lines are cut once per text, not once per wanted line
+    texts = texts.select("doc_id", "wanted", F.split("text", "\n", -1).alias("own"))
+    picked = F.transform("wanted", lambda w: F.struct(w.alias("w"), F.get("own", w["line_no"]).alias("raw")))
+    texts = texts.select("doc_id", F.size("own").alias("n_lines"), F.explode(picked).alias("x"))
+    open_lines = settle(texts.select("doc_id", "n_lines", "x.w.*", _line("x.raw").alias("line")).filter("xxhash64(line) = id1"))
     n = "length(line)"
     segment = F.expr(f"CASE WHEN p = 0 THEN left(line, cast((({n} - role) div 2) + role AS int)) ELSE substring(line, cast((({n} - role) div 2) + 1 AS int)) END")
     segments = open_lines.withColumn("seg", segment).withColumn("m", F.length("seg") - F.col("role"))
@@ -135,10 +137,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lost = dropped_lines(docs).groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "id1")).alias("lost__"))
     joined = docs.withColumn("id__", F.col("doc_id").cast("long")).join(lost.withColumnRenamed("doc_id", "id__"), "id__", "left")
     own = F.split("text", "\n", -1)
-    keep = F.filter(F.transform(own, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("lost__"), F.struct(s["i"].alias("line_no"), F.xxhash64(F.trim(s["x"], F.lit(" \t\r"))).alias("id1"))))
-    kept = F.array_join(F.transform(keep, lambda s: s["x"]), "\n")
-    counted = F.when(F.col("lost__").isNull(), 0).otherwise(F.size(own) - F.size(keep)).cast("int")
-    return joined.withColumn("n_dropped", counted).withColumn("text", F.when(F.col("lost__").isNull(), F.col("text")).otherwise(kept)).drop("lost__", "id__")
+    # the row's own lost lines in order (another row with the same id may have lost others), then the stretches between them
+    mine = F.filter("lost__", lambda e: F.xxhash64(F.trim(F.get("own__", e["line_no"]), F.lit(" \t\r"))) == e["id1"])
+    cut = joined.withColumn("own__", F.when(F.col("lost__").isNotNull(), own)).withColumn("nos__", F.array_sort(F.transform(mine, lambda e: e["line_no"])))
+    before, after = F.concat(F.array(F.lit(-1)), "nos__"), F.concat("nos__", F.array(F.size("own__")))
+    stretches = F.zip_with(before, after, lambda a, b: F.slice("own__", a + 2, b - a - 1))
+    cut = cut.withColumn("kept__", F.flatten(stretches)).withColumn("n_dropped", F.coalesce(F.size("nos__"), F.lit(0)))
+    cut = cut.withColumn("n_dropped", F.when(F.col("lost__").isNull(), 0).otherwise(F.col("n_dropped")).cast("int"))
+    return cut.withColumn("text", F.when(F.col("lost__").isNull(), F.col("text")).otherwise(F.array_join("kept__", "\n"))).drop("lost__", "id__", "own__", "nos__", "kept__")
 
 
 def line_report(docs: DataFrame) -> DataFrame:
