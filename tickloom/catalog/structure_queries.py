@@ -521,7 +521,62 @@ def g18_study_geometry(spark, sf):
     return rounded(out, "price", "end_price")
 
 
-@query("g20_angle_signals")
+# bars with the lines around them, confirmed breaches and reversal signs, for two confirmations and a tolerance of 10 %
+ANGLE_LEVELS_SQL = (
+    SETUP_SQL
+    + ", "
+    + STREAK_SQL.format(src="ib")
+    + """, pt AS (SELECT s.symbol, s.bar_index, s.epoch, s.close, s.high, s.low, s.up_streak, s.down_streak,
+  coalesce((high - low > 0 AND abs(close - open) <= 0.1 * (high - low))
+    OR (abs(close - open) > 0 AND (high - greatest(open, close) >= 2.0 * abs(close - open) OR least(open, close) - low >= 2.0 * abs(close - open)))
+    OR (lag(close) OVER w < lag(open) OVER w AND close > open AND open <= lag(close) OVER w AND close >= lag(open) OVER w)
+    OR (lag(close) OVER w > lag(open) OVER w AND close < open AND open >= lag(close) OVER w AND close <= lag(open) OVER w), false) AS pattern
+  FROM st s WINDOW w AS (PARTITION BY symbol ORDER BY epoch)),
+rc AS (SELECT *, min(low) OVER two AS recent_low, max(high) OVER two AS recent_high, bool_or(pattern) OVER three AS shown FROM pt
+  WINDOW two AS (PARTITION BY symbol ORDER BY epoch ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), three AS (PARTITION BY symbol ORDER BY epoch ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+onl AS (SELECT r.symbol, r.epoch, r.close, l.start_price + (l.end_price - l.start_price) * (r.epoch - l.start_time) / (l.end_time - l.start_time)::DOUBLE AS line
+  FROM rc r JOIN ln l ON l.symbol = r.symbol AND r.epoch >= l.start_time),
+lv AS (SELECT symbol, epoch, min(line) FILTER (line > close) AS next_up, max(line) FILTER (line < close) AS next_down,
+  arg_min(line, close - line) FILTER (reached AND close > line) AS broke_up, arg_min(line, line - close) FILTER (reached AND close < line) AS broke_down, bool_or(reached) AS at_line
+  FROM (SELECT *, abs(close - line) <= abs(line * 10.0 / 100) AS reached FROM onl) GROUP BY symbol, epoch),
+ls AS (SELECT r.*, next_up, next_down, CASE WHEN up_streak >= 2 THEN broke_up END AS bu, CASE WHEN down_streak >= 2 THEN broke_down END AS bd,
+  CASE WHEN at_line AND shown AND up_streak >= 2 THEN 1 WHEN at_line AND shown AND down_streak >= 2 THEN -1 END AS turn
+  FROM rc r LEFT JOIN lv ON lv.symbol = r.symbol AND lv.epoch = r.epoch)"""
+)
+
+
+def angle_walk_sql(name: str, mode: str) -> str:
+    """One bar of every symbol per round: what happens at it (``ev``), and the position afterwards."""
+    halved = f"(ev = 'goal' AND '{mode}' = 'partial' AND part = 1.0)"
+    left = f"(ev IN ('stop', 'turn') OR ev = 'goal' AND '{mode}' = 'fixed')"
+    stop = f"CASE WHEN {halved} THEN paid ELSE stop END"
+    broken = "CASE WHEN side > 0 THEN bu ELSE bd END"
+    return f"""{name} AS (
+  SELECT symbol, -1::BIGINT AS bar_index, NULL::BIGINT AS epoch, NULL::DOUBLE AS price, 0 AS side, NULL::DOUBLE AS paid, NULL::DOUBLE AS stop, NULL::DOUBLE AS goal, 0.0::DOUBLE AS part,
+         NULL::VARCHAR AS action, NULL::DOUBLE AS weight, NULL::VARCHAR AS reason FROM (SELECT DISTINCT symbol FROM ls)
+  UNION ALL
+  SELECT symbol, bar_index, epoch, close, CASE WHEN ev = 'up' THEN 1 WHEN ev = 'down' THEN -1 WHEN {left} THEN 0 ELSE side END,
+         CASE WHEN ev IN ('up', 'down') THEN close ELSE paid END,
+         CASE WHEN ev = 'up' THEN recent_low WHEN ev = 'down' THEN recent_high
+              WHEN '{mode}' <> 'fixed' AND {broken} IS NOT NULL AND side * {broken} > side * {stop} THEN {broken} ELSE {stop} END,
+         CASE WHEN ev = 'up' OR ev = 'goal' AND side > 0 THEN next_up WHEN ev = 'down' OR ev = 'goal' THEN next_down ELSE goal END,
+         CASE WHEN ev IN ('up', 'down') THEN 1.0 WHEN {halved} THEN 0.5 ELSE part END,
+         CASE WHEN ev = 'up' THEN 'enter_long' WHEN ev = 'down' THEN 'enter_short' WHEN {left} OR {halved} THEN CASE WHEN side > 0 THEN 'exit_long' ELSE 'exit_short' END END,
+         CASE WHEN ev IN ('up', 'down') THEN 1.0 WHEN {halved} THEN 0.5 WHEN {left} THEN part END,
+         CASE WHEN ev IN ('up', 'down') THEN 'breach' WHEN ev = 'turn' THEN 'reversal' WHEN ev = 'goal' THEN 'target' ELSE ev END
+  FROM (SELECT b.*, w.side, w.paid, w.stop, w.goal, w.part,
+          CASE WHEN w.side = 0 AND bu IS NOT NULL THEN 'up' WHEN w.side = 0 AND bd IS NOT NULL THEN 'down' WHEN w.side = 0 THEN 'none'
+               WHEN w.side * b.close <= w.side * w.stop THEN 'stop' WHEN b.turn <> w.side THEN 'turn' WHEN w.side * b.close >= w.side * w.goal THEN 'goal' ELSE 'hold' END AS ev
+        FROM {name} w JOIN ls b ON b.symbol = w.symbol AND b.bar_index = w.bar_index + 1))"""
+
+
+@query(
+    "g20_angle_signals",
+    with_sql(
+        "RECURSIVE " + ANGLE_LEVELS_SQL + ", " + angle_walk_sql("wk", "partial"),
+        "SELECT symbol, bar_index, epoch, action, round(price, 6) AS price, weight, reason FROM wk WHERE action IS NOT NULL",
+    ),
+)
 def g20_angle_signals(spark, sf):
     from tickloom.plans.angles import AngleTrading, angle_signals
 
@@ -530,7 +585,19 @@ def g20_angle_signals(spark, sf):
     return rounded(angle_signals(bars, setups, AngleTrading(tolerance=10.0)), "price")
 
 
-@query("g20_angle_trades")
+def angle_total_sql(name: str, mode: str) -> str:
+    result = "CASE WHEN action = 'exit_long' THEN 1 ELSE -1 END * (price - paid) * weight"
+    return f"""SELECT symbol, count(*) AS exits, count(*) FILTER ({result} > 0) AS wins, round(sum({result}), 6) AS total_pnl, '{mode}' AS param_id, '2' AS confirmations,
+  '10.0' AS tolerance, '{mode}' AS exit_mode, 'False' AS use_wicks, 'True' AS reversals FROM {name} WHERE starts_with(action, 'exit') GROUP BY symbol"""
+
+
+@query(
+    "g20_angle_trades",
+    with_sql(
+        "RECURSIVE " + ANGLE_LEVELS_SQL + ", " + angle_walk_sql("wf", "fixed") + ", " + angle_walk_sql("wp", "partial"),
+        angle_total_sql("wf", "fixed") + " UNION ALL " + angle_total_sql("wp", "partial"),
+    ),
+)
 def g20_angle_trades(spark, sf):
     from tickloom.plans.angles import AngleTrading, angle_sweep
 
