@@ -187,7 +187,7 @@ def test_pipeline(spark):
     assert set(kept["near_duplicates"]) == ids - {200, 201, 202, 203, 204}
     assert set(kept["repeated_passages"]) == set(kept["near_duplicates"])
     assert passage in kept["repeated_passages"][100].text
-    assert all(passage[60:-60] not in kept["repeated_passages"][k].text and f"tail {k - 100} of its own" in kept["repeated_passages"][k].text for k in (101, 102))
+    assert all(passage[60:-60] not in kept["repeated_passages"][k].text and f"{k - 100} of its own" in kept["repeated_passages"][k].text for k in (101, 102))
     assert all(kept["repeated_passages"][k].text == rows[k][1] for k in range(20))
     assert {r.doc_id for r in docs.collect()} == set(kept["repeated_passages"])
 
