@@ -11,7 +11,6 @@ from tickloom.catalog.registry import query, with_sql
 from tickloom.operators import ledger as L
 from tickloom.plans import strategies as S
 from tickloom.plans.registry import generate
-from tickloom.session import settle
 
 def breakout_sql(n: int) -> str:
     return (
