@@ -200,3 +200,20 @@ def near_vectors(rows: DataFrame, percent: int = 93) -> DataFrame:
     out = base.join(counts, ["vec_id", "mark"], "left").join(labels, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
+
+
+#: DuckDB statement for near_vectors over the table embeddings: the cosines of all pairs, then all that is reachable.
+VECTORS_SQL = """
+WITH RECURSIVE links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.93
+), reached AS (
+  SELECT vec_id AS node, vec_id AS start FROM embeddings
+  UNION
+  SELECT l.b, r.start FROM reached r JOIN links l ON l.a = r.node
+), labelled AS (
+  SELECT node, min(start) AS component_id FROM reached GROUP BY node
+)
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.component_id = e.vec_id AS kept FROM embeddings e JOIN labelled c ON c.node = e.vec_id
+LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) n ON n.a = e.vec_id
+"""

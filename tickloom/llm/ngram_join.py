@@ -238,3 +238,24 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     placed, links = near_links(docs, size, percent)
     labels = components(links).withColumnRenamed("node", "stands")
     return placed.join(labels, "stands", "left").select("doc_id", "n_shingles", F.coalesce("component", "stands", "doc_id").alias("component_id"))
+
+
+#: DuckDB statement for near_components over a table of that name: all shared n-grams of all pairs, then all that is reachable.
+COMPONENTS_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS gram FROM split
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM grams x JOIN grams y ON x.gram = y.gram AND x.doc_id <> y.doc_id JOIN sizes s ON s.doc_id = x.doc_id JOIN sizes t ON t.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, s.n, t.n HAVING 100 * count(*) >= 75 * (s.n + t.n - count(*))
+), reached AS (
+  SELECT doc_id AS node, doc_id AS start FROM documents
+  UNION
+  SELECT l.b, r.start FROM reached r JOIN links l ON l.a = r.node
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
+LEFT JOIN (SELECT node, min(start) AS component_id FROM reached GROUP BY node) c ON c.node = d.doc_id
+"""

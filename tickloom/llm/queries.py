@@ -7,16 +7,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm.cross_polytope import near_vectors
+from tickloom.llm.cross_polytope import VECTORS_SQL, near_vectors
 from tickloom.llm.fingerprints import fingerprint_documents
 from tickloom.llm.language_mix import identify_documents
 from tickloom.llm.licenses import scan
 from tickloom.llm.line_dedup import REPORT_SQL, line_report
 from tickloom.llm.merge_dropout import encode_documents
-from tickloom.llm.ngram_join import near_components
+from tickloom.llm.ngram_join import COMPONENTS_SQL, near_components
 from tickloom.llm.packing import pack
 from tickloom.llm.suffix_array import remove_repeats
-from tickloom.llm.warc import archive_pages
+from tickloom.llm.warc import PAGES_SQL, archive_pages
 from tickloom.session import prepare
 
 def tokenizer_file(name: str) -> str:
@@ -60,9 +60,6 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
-ORACLES["op3_line_dedup"] = REPORT_SQL
-
-
 @numbered
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to web archives and read back."""
@@ -103,3 +100,6 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens with their lexical neighbours."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+ORACLES.update(op3_line_dedup=REPORT_SQL, op4_warc=PAGES_SQL, op5_ngram_jaccard=COMPONENTS_SQL, op7_cross_polytope=VECTORS_SQL)

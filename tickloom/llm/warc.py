@@ -251,3 +251,16 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archives(pages, path)
     return read_archives(spark, path)
+
+
+#: DuckDB statement for archive_pages over the table pages; base32 takes five bits at a time from two hexadecimal digits.
+PAGES_SQL = """
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages
+)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((((strpos('0123456789abcdef', substr(h, 5 * i // 4 + 1, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h, 5 * i // 4 + 2, 1)) - 1) >> (3 - 5 * i % 4)) & 31) + 1, 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM hashed
+"""
