@@ -27,7 +27,7 @@ SMOOTHING = 0.5
 ROUNDS = 12
 PENALTY = 12.0
 #: Bytes of text worked on at once.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes as n-grams see them: A-Z as a-z, all other ASCII that isn't a letter as a blank.
