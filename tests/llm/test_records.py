@@ -89,6 +89,36 @@ def test_embeddings(spark, monkeypatch):
     assert cross_polytope.near_vectors(docs.limit(0)).count() == 0
 
 
+def test_one_bucket_links_whole_components():
+    """Chains and stars whose inner vectors have the largest ids, all in one bucket: what its edges reach against brute force."""
+    r = np.random.default_rng(11)
+    for trial in range(60):
+        n = 3 + trial % 7
+        plane = np.linalg.qr(r.normal(size=(8, 2)))[0]
+        angles = np.radians(20) * np.arange(n) if trial % 2 else np.radians(r.uniform(0, 60 * n, 4 * n))
+        vectors = np.stack([np.cos(angles), np.sin(angles)], 1) @ plane.T
+        ids = r.permutation(len(vectors))
+        if trial % 2:
+            # the ends have the smallest ids
+            ids = np.array([1, *range(n - 1, 1, -1), 0])
+        batch = pa.table({
+            "vec_id": ids, "mark": ids, "own": np.ones(len(ids), bool), "side": np.zeros(len(ids), np.int32),
+            **{c: np.zeros(len(ids), np.int64) for c in ("dim", "label", "t", "code", "i", "j")},
+            "unit": pa.array(vectors.tolist()), "codes": pa.array(cross_polytope.codes(vectors).reshape(len(ids), -1).tolist()),
+        }).to_batches()[0]
+        edges = [(x["vec_id"], x["least"]) for out in cross_polytope._linked(93)(iter([batch])) for x in out.to_pylist()]
+        near = [(a, b) for i, a in enumerate(ids.tolist()) for j, b in enumerate(ids.tolist()) if a != b and vectors[i] @ vectors[j] >= 0.93]
+        assert reached(ids.tolist(), edges) == reached(ids.tolist(), near)
+
+
+def reached(nodes, edges):
+    least = {k: k for k in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    return least
+
+
 def test_merges_alone_and_together_agree(monkeypatch):
     r = random.Random(5)
     merges = [(97, 98, 0, 300), (300, 97, 1, 301), (98, 97, 2, 302), (301, 302, 3, 303), (97, 97, 4, 304), (304, 304, 5, 305)]

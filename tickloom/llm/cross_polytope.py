@@ -7,7 +7,7 @@ code is verified by the cosine in double precision.
 
 Buckets over ``BLOCK`` rows are cut into blocks, and every pair of blocks is a task's unit of its own, so no group grows with the data. Links are
 counted where a pair meets first (by table, then code), so a pair that meets in several buckets counts once, and what leaves a unit is
-a count and one edge per vector, never the list of pairs.
+a count and one edge per vector, to the smallest id that the unit's links reach from it: a spanning forest, never the list of pairs.
 """
 
 from __future__ import annotations
@@ -110,9 +110,31 @@ def _met_before(a: np.ndarray, b: np.ndarray, table: int, code: int) -> np.ndarr
     return out
 
 
+def _least_reached(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest id that the links x - y (row numbers) reach from each row, itself included."""
+    order = np.argsort(ids, kind="stable")
+    root = np.empty(len(ids), np.int64)
+    root[order] = np.arange(len(ids))
+    x, y = root[x], root[y]
+    # rows by rank of their id from here on
+    root = np.arange(len(ids))
+    while len(x):
+        a, b = root[x], root[y]
+        apart = a != b
+        if not apart.any():
+            break
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != (up := root[root])).any():
+            root = up
+    out = np.empty_like(ids)
+    out[order] = ids[order][root]
+    return out
+
+
 def _linked(percent: int):
     def unit(rows: dict[str, np.ndarray], a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Ids, link counts and smallest linked id of the rows a..b, which are one unit of a bucket."""
+        """Ids, link counts and smallest reached id of the rows a..b, which are one unit of a bucket."""
         vectors, code, own, side = (rows[c][a:b] for c in ("unit", "codes", "own", "side"))
         near = vectors @ vectors.T >= percent / 100
         near &= own[:, None] | own[None, :]
@@ -125,10 +147,7 @@ def _linked(percent: int):
         first = ~_met_before(code[x], code[y], int(rows["t"][a]), int(rows["code"][a]))
         counts = np.bincount(x[first], minlength=b - a) + np.bincount(y[first], minlength=b - a)
         ids = rows["vec_id"][a:b]
-        least = ids.copy()
-        np.minimum.at(least, x, ids[y])
-        np.minimum.at(least, y, ids[x])
-        yield ids, counts, least
+        yield ids, counts, _least_reached(ids, x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wait: pa.Table | None = None
