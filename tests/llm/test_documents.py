@@ -187,6 +187,22 @@ def test_licenses(spark, odd_docs, odd_rows, no_docs):
     assert licenses.scan(no_docs).count() == 0
 
 
+def test_every_notice_of_a_bundle_is_found(spark):
+    """All notices in one long document, among prose of rarer licence words, are found as in documents of their own."""
+    notices = [t for _, t, _ in licenses.TEMPLATES]
+    prose = "they merge and publish charge conditions commons copies sublicense binary forms source attribution warranty "
+    docs = [(k, t) for k, t in enumerate(notices)]
+    docs += [(100, " -- ".join(notices)), (101, prose * 40 + (" " + prose * 40).join(reversed(notices)) + prose * 40)]
+    docs += [(200 + k, notices[1] + f" {prose * 30}" + t) for k, t in enumerate(notices)]
+    docs += [(300 + k, "of the software this is to be used under the terms") for k in range(100)]
+    by = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(label in by[k].labels.split(",") for k, (label, *_) in enumerate(licenses.TEMPLATES))
+    everything = set().union(*(by[k].labels.split(",") for k in range(len(notices))))
+    assert set(by[100].labels.split(",")) == set(by[101].labels.split(",")) == everything
+    assert all(set(by[200 + k].labels.split(",")) == {"mit", *by[k].labels.split(",")} for k in range(len(notices)))
+    assert all(by[300 + k].labels == "" for k in range(100))
+
+
 def test_language(spark, no_docs):
     kinds = {"aa": "ka lo mi ne ru sa", "bb": "schu ger ung zwe ick ött"}
     rows = []

@@ -1,9 +1,10 @@
 """License scan with a positional index of rare licence words.
 
 Templates and key phrases are small fixed texts. How many documents have each template word is counted over all documents, which gives its
-inverse document frequency. A document's licence words with the highest IDF are looked up in the positional index; each posting votes for
-(template, place where the template would begin). Places that several words agree on are compared word by word, and
-a label is given when enough of the template stands there and its mandatory phrases do too.
+inverse document frequency. The words of highest IDF of every template are looked up in the positional index wherever they occur, whatever else
+the document holds; each posting votes for (template, place where the template would begin). Places that several words agree on, and
+where the votes leave room for enough of the template, are compared word by word, and a label is given when enough of the template stands
+there and its mandatory phrases do too.
 """
 
 from __future__ import annotations
@@ -63,10 +64,13 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
 )
 
-#: Highest-IDF licence words looked up per document, the votes that make a place worth comparing, and the part of a template that must stand there.
+#: Highest-IDF words looked up per template besides as many as may be missing, the votes that make a place worth comparing, and the part of a
+#: template that must stand there.
 RARE_WORDS = 8
 MIN_VOTES = 2
 MIN_COVERAGE = 0.7
+#: Words by which a part of a notice may have moved.
+_DRIFT = 6
 
 
 def _hashes(text: str) -> np.ndarray:
@@ -125,35 +129,44 @@ def _consecutive(words: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     return places
 
 
+def _looked_up(idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begins, templates and positions of the postings that are looked up, and how many words of each template they leave out.
+
+    A notice may lack 1 - MIN_COVERAGE of its words; RARE_WORDS more than that are taken, so that as many of them stand in every notice.
+    """
+    _, begins, templates, positions, wanted, *_ = _index()
+    code = np.repeat(np.arange(len(idf)), np.diff(begins))
+    taken = np.zeros(len(code), bool)
+    for t, words in enumerate(wanted):
+        own = np.unique(code[templates == t])
+        most = int((1 - MIN_COVERAGE) * len(words)) + RARE_WORDS
+        # the highest IDF first, ties by word number
+        taken |= (templates == t) & np.isin(code, own[np.lexsort((own, -idf[own]))[:most]])
+    left_out = np.bincount(templates[~taken], minlength=len(wanted))
+    return np.searchsorted(code[taken], np.arange(len(idf) + 1)), templates[taken], positions[taken], left_out
+
+
 def _alignments(words: np.ndarray, rows: np.ndarray, idf: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-    """For each row the (template, begin) pairs that at least MIN_VOTES of its rarest licence words agree on."""
-    _, begins, templates, positions, *_ = _index()
-    size = len(idf)
+    """For each row the (template, begin) pairs that at least MIN_VOTES words agree on and where enough of the template can stand."""
+    begins, templates, positions, left_out = _looked_up(idf)
     codes = _codes(words)
     places = np.flatnonzero(codes >= 0)
-    owner = np.searchsorted(rows, places, "right") - 1
-    pairs = owner * size + codes[places]
-    own = np.unique(pairs)
-    # the highest IDF first within each row, ties by word number
-    order = np.lexsort((own % size, -idf[own % size], own // size))
-    heads = np.searchsorted(own[order] // size, np.arange(len(rows) - 1))
-    rank = np.arange(len(own)) - heads[own[order] // size]
-    wanted = np.sort(own[order][rank < RARE_WORDS])
-    hit = np.zeros(len(places), bool)
-    if len(wanted):
-        hit = wanted[np.minimum(np.searchsorted(wanted, pairs), len(wanted) - 1)] == pairs
-    places, owner, code = places[hit], owner[hit], codes[places[hit]]
-    counts = np.diff(begins)[code]
-    at = ranges(begins[code], counts)
-    votes = np.stack([np.repeat(owner, counts), templates[at], np.repeat(places, counts) - positions[at]])
+    counts = np.diff(begins)[codes[places]]
+    at = ranges(begins[codes[places]], counts)
+    group = np.repeat(np.searchsorted(rows, places, "right") - 1, counts) * len(left_out) + templates[at]
+    # a begin can lie before the first word
+    votes, many = np.unique(group << 32 | np.repeat(places, counts) - positions[at] + (1 << 16), return_counts=True)
+    votes, many = votes[many >= MIN_VOTES], many[many >= MIN_VOTES]
+    # what stands at nearby begins, and the words without a posting, bound the coverage from above
+    sums = np.concatenate(([0], np.cumsum(many)))
+    near = sums[np.searchsorted(votes, votes + _DRIFT, "right")] - sums[np.searchsorted(votes, votes - _DRIFT)]
+    group = votes >> 32
+    sizes = np.array([len(x) for x in _index()[4]])
+    template = group % len(sizes)
+    votes, group, template = (x[near + left_out[template] >= MIN_COVERAGE * sizes[template]] for x in (votes, group, template))
     found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    if votes.shape[1]:
-        order = np.lexsort(votes[::-1])
-        votes = votes[:, order]
-        new = np.flatnonzero(np.concatenate(([True], (np.diff(votes, axis=1) != 0).any(0))))
-        many = np.diff(np.concatenate((new, [votes.shape[1]]))) >= MIN_VOTES
-        for row, template, begin in votes[:, new[many]].T.tolist():
-            found[row].append((template, begin))
+    for row, t, begin in zip((group // len(sizes)).tolist(), template.tolist(), ((votes & 0xFFFFFFFF) - (1 << 16)).tolist(), strict=True):
+        found[row].append((t, begin))
     return found
 
 
@@ -170,13 +183,13 @@ def _matches(words: np.ndarray, low: int, high: int, begins: list[tuple[int, int
             # words that moved by an insertion or omission stand at a nearby begin
             covered = np.zeros(len(wanted), bool)
             for near in places:
-                if abs(near - begin) <= 6:
+                if abs(near - begin) <= _DRIFT:
                     k = np.arange(max(0, low - near), min(len(wanted), high - near))
                     covered[k] |= words[near + k] == wanted[k]
             coverage = covered.mean()
             if coverage < max(MIN_COVERAGE, score if TEMPLATES[template][0] in labels else 0):
                 continue
-            own = words[max(low, begin - 6) : min(high, begin + len(wanted) + 6)]
+            own = words[max(low, begin - _DRIFT) : min(high, begin + len(wanted) + _DRIFT)]
             if all(len(_consecutive(own, p)) for p in phrases[template]):
                 labels.add(TEMPLATES[template][0])
                 score = max(score, float(coverage))
