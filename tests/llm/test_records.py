@@ -160,6 +160,25 @@ def test_merge_dropout(spark, odd_docs, odd_rows, no_docs):
     assert merge_dropout.encode_documents(no_docs, PIECES).count() == 0
 
 
+def test_merge_dropout_has_no_fixed_pool():
+    """Every occurrence, document and seed has segmentations of its own, and merges are skipped with the given chance."""
+    model = merge_dropout.load_model(PIECES)
+    column = pa.array([" ".join(["international"] * 300)] * 2)
+    pools = []
+    for seed in (1, 2):
+        ids, begins = merge_dropout.encode(model, column, merge_dropout.document_salts(np.array([5, 6]), seed), 0.3)
+        ends = np.cumsum(np.diff(model.piece_begins)[ids])
+        words = np.concatenate(([0], np.flatnonzero(ends % len(" international") == 0) + 1))
+        own = [tuple(ids[a:b].tolist()) for a, b in zip(words[:-1], words[1:], strict=True)]
+        assert len(own) == 600 and own[:300] != own[300:]
+        pools.append(own)
+    assert all(len(set(own)) > 30 for own in pools) and len(set(pools[0]) ^ set(pools[1])) > 8
+    two = pa.array([" ".join(["th"] * 4000)])
+    ids, _ = merge_dropout.encode(model, two, np.array([3], np.uint64), 0.1)
+    whole, _ = merge_dropout.encode(model, two, np.array([3], np.uint64), 0.0)
+    assert len(whole) == 4000 and 4200 < len(ids) < 4900
+
+
 def test_packing(spark, odd_docs, odd_rows, no_docs, monkeypatch):
     from tokenizers import Tokenizer
 

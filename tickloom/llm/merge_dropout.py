@@ -1,8 +1,8 @@
 """SentencePiece BPE encoding with seeded merge dropout, and lossless decoding.
 
-A text is cut before each run of blanks; no piece crosses such a cut, so these units can be merged on their own, all at once and each distinct
-one once. A unit's occurrence draws one of ``DRAWS`` segmentations by a keyed hash of the seed, the document and its number in it. Within a
-draw, each candidate merge is skipped by a keyed hash while the agenda is worked off.
+A text is cut before each run of blanks; no piece crosses such a cut, so these units can be merged on their own and all at once. Every
+occurrence of a unit is merged by itself: each candidate merge is skipped by a hash keyed by the seed, the document and the unit's number in it
+while the agenda is worked off. Without dropout each distinct unit is merged once.
 """
 
 from __future__ import annotations
@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 from tickloom.llm.bpe import Dropout, MergeTable, merged
 from tickloom.llm.words import keyed, mixed, parts, ranges, span_hashes, text_bytes
 
-#: Different segmentations that the occurrences of a unit choose from.
-DRAWS = 8
-PART_BYTES = 4 << 20
+#: Bytes of text worked on at once.
+PART_BYTES = 1 << 20
 #: Symbols of code points without a piece lie above this number.
 _UNKNOWN = 1 << 24
 
@@ -107,11 +106,11 @@ def encode(model: PieceModel, column: pa.Array, salts: np.ndarray, chance: float
     starts = np.flatnonzero(cut)
     ends = np.concatenate((starts[1:], [len(texts)]))
     row = np.searchsorted(offsets, starts, "right") - 1
-    number = np.arange(len(starts)) - np.searchsorted(starts, offsets)[row]
-    prints = span_hashes(texts, starts, ends, cased=True)
-    draws = mixed(salts[row] + mixed(number)) % np.uint64(DRAWS) if chance else np.zeros(len(row), np.uint64)
-    keys = mixed(prints + keyed(31, DRAWS)[draws.astype(np.int64)])
-    own, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    if chance:
+        number = np.arange(len(starts)) - np.searchsorted(starts, offsets)[row]
+        own, first, inverse = mixed(salts[row] + mixed(number)), np.arange(len(starts)), np.arange(len(starts))
+    else:
+        own, first, inverse = np.unique(span_hashes(texts, starts, ends, cased=True), return_index=True, return_inverse=True)
     sizes = (ends - starts)[first]
     points, at = _code_points(texts[ranges(starts[first], sizes)])
     begins = np.searchsorted(at, np.concatenate(([0], np.cumsum(sizes))))
