@@ -226,6 +226,18 @@ def test_language(spark, no_docs):
     assert language_mix.identify_documents(unlabelled).first().lang_pred == "und"
 
 
+def test_language_sets_up_to_all_languages():
+    """Documents that mix one to five of five languages in equal parts get just these."""
+    kinds = ["ka lo mi ne ru sa", "schu ger ung zwe ick", "twi yax opp quu jez", "ça vé hâb fûd gôn", "ñan dxi cło bźu przy"]
+    r = __import__("random").Random(4)
+    text = lambda k: " ".join("".join(r.choice(kinds[k].split()) for _ in range(3)) for _ in range(400))
+    counts = [np.bincount(language_mix.grams(pa.array([text(k) for _ in range(5)]))[0], minlength=1 << language_mix.BUCKET_BITS) for k in range(5)]
+    table = np.stack(counts, 1) + language_mix.SMOOTHING
+    model = language_mix.LanguageModel(tuple("abcde"), table / table.sum(0))
+    chosen = language_mix.infer(model, pa.array([" ".join(text(k) for k in range(n)) for n in range(1, 6)]))[1]
+    assert [np.flatnonzero(x > 0).tolist() for x in chosen] == [list(range(n)) for n in range(1, 6)]
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None), (2, "")]])
 def test_nothing_to_do(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -3,7 +3,7 @@
 Training counts the n-grams of every labelled text into ``2**BUCKET_BITS`` hash buckets per language: one array per language and
 task, summed by Spark. Prediction runs expectation-maximisation per document: its n-grams are drawn from a mixture of the
 languages, whose proportions are re-estimated until they settle. The language set is the one with the highest likelihood after
-a penalty for each further language.
+a penalty for each further language, of the sets that take languages by falling share: from one language up to all that were learned.
 """
 
 from __future__ import annotations
@@ -149,7 +149,7 @@ def infer(model: LanguageModel, column: pa.Array) -> tuple[np.ndarray, np.ndarra
         begins = np.concatenate(([0], np.cumsum(tails[some] - heads[some])))[:-1]
         local = np.repeat(np.arange(len(some)), tails[some] - heads[some])
         order = np.argsort(-share[some], axis=1, kind="stable")
-        for k in range(2, min(3, size) + 1):
+        for k in range(2, size + 1):
             allowed = np.zeros((len(some), size))
             np.put_along_axis(allowed, order[:, :k], 1.0, 1)
             part, fit = _mixture(chances[:, own], weights[own], begins, local, allowed)
