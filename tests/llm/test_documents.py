@@ -90,6 +90,29 @@ def test_band_join_finds_near_duplicates(odd_docs, odd_rows):
     assert found == {i: c for i, c in jaccard_components(odd_rows).items()} | {None: None}
 
 
+def test_band_join_loses_no_link_behind_a_bad_hub(spark):
+    """Two near duplicates whose bands all hold documents of smaller and larger ids that share their passage but are near duplicates of nothing."""
+    rows = []
+    for family in range(4):
+        passage = prose(1000 * family, 300)
+        tail = lambda k, n: " " + prose(1000 * family + k, n)
+        rows += [(100 * family + k * 10_000, passage + tail(1 + k, 75)) for k in (*range(12), *range(20, 32))]
+        rows += [(150_000 + 100 * family + k, passage + tail(100 + k, 40)) for k in range(2)]
+    want = jaccard_components(rows)
+    assert sum(i != c for i, c in want.items()) == 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    assert {r.doc_id: r.class_id for r in fingerprints.near_duplicates(docs).collect()} == want
+
+
+def test_fingerprints_with_classes(odd_docs, odd_rows, no_docs):
+    found = fingerprints.fingerprints_with_classes(odd_docs).collect()
+    component = jaccard_components(odd_rows)
+    assert sorted(map(str, ((r.doc_id, r.class_id) for r in found))) == sorted(str((i, component.get(i))) for i, *_ in odd_rows)
+    plain = fingerprints.fingerprint_documents(odd_docs).collect()
+    assert sorted(map(str, (tuple(r)[:-1] for r in found))) == sorted(map(str, map(tuple, plain)))
+    assert fingerprints.fingerprints_with_classes(no_docs).count() == 0
+
+
 def repeats(rows):
     first = {}
     for i, t, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.linking import components
+from tickloom.llm.linking import components, drop_table
 from tickloom.llm.words import keyed, parts, shingles, text_bytes, word_hashes
 from tickloom.session import settle
 
@@ -28,6 +28,8 @@ _SHIFT = keyed(102, PERMUTATIONS)
 _BLOCK = 1 << 14
 #: Bytes of text worked on at once.
 PART_BYTES = 4 << 20
+#: Bits of the map of ids whose texts are compared, as a power of two; its size never depends on the data.
+_BITMAP_BITS = 24
 
 
 def signatures(column: pa.Array, size: int = 5) -> np.ndarray:
@@ -160,30 +162,104 @@ def fingerprint_documents(docs: DataFrame, size: int = 5) -> DataFrame:
 
 
 def _banded(size: int):
+    from tickloom.llm.ngram_join import _sets
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, most=PART_BYTES):
             signs = signatures(batch.column("text"), size)
-            full = np.flatnonzero((signs != np.iinfo(np.uint16).max).any(1) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False))
+            sets = _sets(batch.column("text"), size)
+            full = np.flatnonzero(np.array([len(x) > 0 for x in sets], bool) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False))
             bands = np.ascontiguousarray(signs[full][:, : BANDS * BAND_ROWS]).reshape(len(full), BANDS, BAND_ROWS).astype(np.uint64)
             weights = keyed(103, BAND_ROWS) | np.uint64(1)
             keys = (bands * weights).sum(2, dtype=np.uint64) + keyed(104, BANDS)
-            ids = batch.column("doc_id").take(pa.array(np.repeat(full, BANDS)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys.ravel().view(np.int64))], ["doc", "band"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(pa.array(full)),
+                    pa.array([hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest() for k in full], pa.binary()),
+                    pa.array([len(sets[k]) for k in full], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64))),
+                ],
+                ["doc", "key", "n", "bands"],
+            )
 
     return run
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """``doc_id, class_id`` of each row: the smallest doc_id reachable over verified band partners, itself included.
+def _possible(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``doc_id, text`` whose id is among the ids, and few others: a bitmap of fixed size leaves the rest out before the exchange."""
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _BITMAP_BITS))
+    bits = ids.select((spot + 1).alias("v")).groupBy(F.bitmap_bucket_number("v").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits")).collect()
+    whole = np.zeros((1 << _BITMAP_BITS - 15, 1 << 12), np.uint8)
+    for row in bits:
+        whole[row["k"] - 1] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(whole.ravel())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("spot").to_numpy()
+            keep = np.flatnonzero(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            if len(keep):
+                yield batch.select(["doc_id", "text"]).take(pa.array(keep))
 
-    Every member of a band's list is verified against the smallest id of the list, which keeps lists of copies linear; the whole sets of a
-    pair are compared once. A null id or a text without words links with nothing (class_id is then the doc_id).
+    return docs.filter("doc_id is not null").select("doc_id", "text", spot.alias("spot")).mapInArrow(run, "doc_id long, text string")
+
+
+def near_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """``node, component`` of every doc_id that a verified link of two band partners reaches: component is the smallest doc_id reachable.
+
+    Documents with equal shingle sets are one, which keeps lists of copies linear. Two rounds compare every member of a band's list with its
+    first and its last member; the components that form are contracted, and a last round compares all pairs across components of
+    the lists that still have several. So every two band partners that are alike are in one component, and the whole sets of a pair
+    are compared once.
     """
-    from tickloom.llm.ngram_join import _checked, _texts
+    from tickloom.llm.ngram_join import _checked, _pairs, _texts
 
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    band = docs.mapInArrow(_banded(size), "doc long, band long").distinct()
-    pairs = settle(band.withColumn("a", F.min("doc").over(Window.partitionBy("band"))).filter("a < doc").select("a", F.col("doc").alias("b")).distinct())
-    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), size)
-    labels = components(_checked(pairs, texts, size, percent)).withColumnRenamed("node", "doc_id")
-    return docs.select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
+    banded = settle(docs.mapInArrow(_banded(size), "doc long, key binary, n long, bands array<long>"))
+    copies = banded.groupBy("key").agg(F.min("doc").alias("stands"), F.count("*").alias("members")).filter("members > 1").select("key", "stands")
+    placed = banded.join(copies, "key", "left").withColumn("stands", F.coalesce("stands", "doc"))
+    links = settle(placed.filter("stands < doc").select(F.col("stands").alias("a"), F.col("doc").alias("b")).distinct())
+    entries = placed.filter("stands = doc").select(F.explode("bands").alias("band"), "doc", "n", F.lit(0).alias("place")).distinct()
+    band, entry = Window.partitionBy("band"), F.struct("doc", "n", "place")
+    lists = settle(entries.withColumns({"least": F.min(entry).over(band), "most": F.max(entry).over(band)}).filter("least.doc < most.doc"))
+    ids = settle(lists.select(F.col("doc").alias("doc_id")).distinct())
+    texts = settle(_texts(_possible(docs, ids), ids, size))
+    tried, labels = None, None
+    for hub in ("least", "most", None):
+        if labels is None:
+            named = lists.withColumn("component", F.col("doc"))
+        else:
+            named = lists.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+            open_lists = named.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d").select("band")
+            named = named.join(open_lists, "band", "left_semi")
+        if hub:
+            pairs = _pairs(named.select(entry.alias("x"), F.col(hub).alias("y")).filter("x.doc <> y.doc"), percent)
+        else:
+            rest = named.select("band", F.struct("doc", "n", "place", "component").alias("x"))
+            pairs = _pairs(rest.join(rest.withColumnRenamed("x", "y"), "band").filter("x.doc < y.doc AND x.component <> y.component"), percent)
+        pairs = settle(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.union(pairs)
+        links = links.union(settle(_checked(pairs, texts, size, percent)))
+        labels = components(links)
+    for table in (banded, lists, texts):
+        drop_table(table)
+    return labels
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """``doc_id, class_id`` of each row: the smallest doc_id reachable over verified band partners (``near_classes``), itself included.
+
+    A null id or a text without words links with nothing (class_id is then the doc_id).
+    """
+    return _classed(docs.select(F.col("doc_id").cast("long")), near_classes(docs, size, percent))
+
+
+def fingerprints_with_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``fingerprint_documents`` with the ``class_id`` of ``near_duplicates`` as a further column."""
+    return _classed(fingerprint_documents(docs, size), near_classes(docs, size, percent))
+
+
+def _classed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    # the smallest of a class keep their own ids
+    moved = labels.filter("component < node").select(F.col("node").alias("doc_id"), F.col("component").alias("class_id"))
+    return rows.join(moved, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm.cross_polytope import VECTORS_SQL, near_vectors
-from tickloom.llm.fingerprints import fingerprint_documents
+from tickloom.llm.fingerprints import fingerprints_with_classes
 from tickloom.llm.language_mix import identify_documents
 from tickloom.llm.licenses import scan
 from tickloom.llm.line_dedup import REPORT_SQL, line_report
@@ -44,8 +44,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @numbered
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MinHash fingerprint of every document and of its edited text, with likeness figures."""
-    return fingerprint_documents(table(spark, sf_dir, "documents"))
+    """MinHash fingerprint of every document and of its edited text, with likeness figures and the class of verified near duplicates."""
+    return fingerprints_with_classes(table(spark, sf_dir, "documents"))
 
 
 @numbered
