@@ -6,9 +6,12 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tickloom.llm.byte_bpe import encode_bytes
 from tickloom.llm.cross_polytope import VECTORS_SQL, near_vectors
 from tickloom.llm.fingerprints import fingerprints_with_classes
+from tickloom.llm.hard_negatives import NEGATIVES_SQL, hard_negatives
 from tickloom.llm.language_mix import identify_documents
 from tickloom.llm.licenses import scan
 from tickloom.llm.line_dedup import REPORT_SQL, line_report
@@ -102,4 +105,17 @@ def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
-ORACLES.update(op3_line_dedup=REPORT_SQL, op4_warc=PAGES_SQL, op5_ngram_jaccard=COMPONENTS_SQL, op7_cross_polytope=VECTORS_SQL)
+@numbered
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; labels of ids divisible by 7 are moved on by one first."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return hard_negatives(vectors.withColumn("label", F.expr("CASE WHEN vec_id % 7 = 0 THEN (cast(label AS long) + 1) % 10 ELSE label END")))
+
+
+@numbered
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with byte-level BPE and decoded again."""
+    return encode_bytes(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+ORACLES.update(op3_line_dedup=REPORT_SQL, op4_warc=PAGES_SQL, op5_ngram_jaccard=COMPONENTS_SQL, op7_cross_polytope=VECTORS_SQL, op12_hard_negatives=NEGATIVES_SQL)
