@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.byte_bpe import encode_bytes
 from tickloom.llm.cross_polytope import VECTORS_SQL, near_vectors
+from tickloom.llm.divergence import DIVERGENCE_SQL, divergence
 from tickloom.llm.fingerprints import fingerprints_with_classes
 from tickloom.llm.hard_negatives import NEGATIVES_SQL, hard_negatives
 from tickloom.llm.language_mix import identify_documents
@@ -105,6 +106,12 @@ def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+@numbered
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the terms of every source diverge from those of other sources and of its language."""
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 @numbered
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector; labels of ids divisible by 7 are moved on by one first."""
@@ -118,4 +125,4 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_bytes(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-ORACLES.update(op3_line_dedup=REPORT_SQL, op4_warc=PAGES_SQL, op5_ngram_jaccard=COMPONENTS_SQL, op7_cross_polytope=VECTORS_SQL, op12_hard_negatives=NEGATIVES_SQL)
+ORACLES.update(op3_line_dedup=REPORT_SQL, op4_warc=PAGES_SQL, op5_ngram_jaccard=COMPONENTS_SQL, op7_cross_polytope=VECTORS_SQL, op11_divergence_audit=DIVERGENCE_SQL, op12_hard_negatives=NEGATIVES_SQL)
