@@ -1,56 +1,22 @@
 """Pivot hierarchy per bar: outer container, inner sequence and anchor.
 
-For a bar the rules look back to the nearest confirmed level beyond the close, however far that is.
-Bars are handled in blocks; a block needs the pivots since the oldest level any of its closes can
-reach, which a scan over block summaries finds, so no task holds a whole symbol.
+For a bar the rules look back to the nearest confirmed level beyond the close, however far that is, and to the extreme since. Both come from one
+search over trees of block extremes (``levels``), once with lows under a falling market and once, prices negated, with highs over a rising one.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.geometry import FRACTIONS, fan_lines, price_at
-from tickloom.operators.blocks import block_rows, framed
-from tickloom.operators.pivots import alternate_pivots, raw_pivots, with_last_pivot, with_runs
+from tickloom.operators.blocks import framed, running
+from tickloom.operators.hulls import HULL_ROWS, SLACK, block_widths, crossed_blocks, hulls, in_blocks, some_above, some_below
+from tickloom.operators.levels import FANOUT, level_tree, levels_between, nearest_below
+from tickloom.operators.pivots import alternate_pivots, last_pivots, raw_pivots, with_runs
 from tickloom.session import settle
 
-NEED_SCHEMA = "symbol string, block long, first_block long"
-
-POINT = "struct<epoch:bigint,price:double,bar_index:bigint>"
-HIERARCHY_SCHEMA = (
-    f"symbol string, epoch long, bar_index long, close double, context string, origin {POINT}, "
-    f"anchor {POINT}, outer_from {POINT}, outer_to {POINT}, inner array<{POINT}>"
-)
-
-
-def _first_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per block of one symbol, the oldest block whose pivots its bars can refer to."""
-    pdf = pdf.sort_values("block")
-    block = pdf["block"].to_numpy()
-    need = block.copy()
-    # lows are sought below the close; highs above it, which is the same search on negated prices
-    for reach, level in (
-        (pdf["min_close"].to_numpy(), pdf["min_low"].to_numpy()),
-        (-pdf["max_close"].to_numpy(), -pdf["max_high"].to_numpy()),
-    ):
-        stack: list[int] = []  # earlier blocks whose level no later block undercuts, levels rising
-        for i in range(len(block)):
-            if stack:
-                # newest block with a level below this block's lowest close, else the lowest of all
-                lo, hi = 0, len(stack)
-                while lo < hi:
-                    mid = (lo + hi) // 2
-                    lo, hi = (mid + 1, hi) if level[stack[mid]] < reach[i] else (lo, mid)
-                need[i] = min(need[i], block[stack[max(lo - 1, 0)]])
-            if not np.isnan(level[i]):
-                while stack and level[stack[-1]] >= level[i]:
-                    stack.pop()
-                stack.append(i)
-    return pd.DataFrame({"symbol": pdf["symbol"], "block": block, "first_block": need})
-
 
 def select(close: float, context: str, kinds, prices, times):
     """Indices ``(anchor, outer far, outer near, inner list)`` into the visible pivots of one bar.
@@ -79,66 +45,55 @@ def select(close: float, context: str, kinds, prices, times):
     return anchor, outer_far, outer_near, list(open_far[score[open_far] > best_before])
 
 
-def _evaluate_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Hierarchies of one block's bars; rows are the bars and the pivots they may refer to."""
-    pivots = pdf[pdf["run"].notna()].sort_values("run")
-    bars = pdf[pdf["run"].isna()].sort_values("bar_index")
-    kinds, prices = pivots["kind"].to_numpy(), pivots["price"].to_numpy()
-    times, places = pivots["epoch"].to_numpy(), pivots["bar_index"].to_numpy()
-    confirmed = pivots["confirm_index"].to_numpy()
-    point = lambda i: None if i is None else {
-        "epoch": int(times[i]), "price": float(prices[i]), "bar_index": int(places[i])
-    }
-    out = []
-    for row in bars.itertuples(index=False):
-        n = int(np.searchsorted(confirmed, row.bar_index, side="right"))
-        if n == 0 or row.context is None:
-            continue
-        anchor, far, near, inner = select(row.close, row.context, kinds[:n], prices[:n], times[:n])
-        origin = {"epoch": int(row.o_epoch), "price": float(row.o_price), "bar_index": int(row.o_index)}
-        out.append(
-            (row.symbol, row.epoch, row.bar_index, row.close, row.context, origin, point(anchor), point(far), point(near), [point(i) for i in inner])
-        )
-    names = "symbol epoch bar_index close context origin anchor outer_from outer_to inner".split()
-    return pd.DataFrame(out, columns=names)
-
+def hierarchy(bars: DataFrame, left: int = 5, right: int = 5, fanout: int = FANOUT) -> DataFrame:
+    """One row per bar that has a confirmed pivot behind it.
 
-def hierarchy(bars: DataFrame, left: int = 5, right: int = 5, rows: int | None = None) -> DataFrame:
-    """One row per bar that has a confirmed pivot behind it (see ``HIERARCHY_SCHEMA``)."""
-    rows = block_rows(rows)
+    Columns are ``symbol, epoch, bar_index, close, context`` and the points (``epoch, price, bar_index``) ``origin, anchor, outer_from, outer_to`` and
+    the array ``inner``. ``bars`` should be settled, they are read more than once.
+    """
     runs = settle(with_runs(settle(raw_pivots(bars, left, right))))
-    confirmed = settle(
-        alternate_pivots(runs)
-        .where(F.col("confirm_index").isNotNull())
-        .withColumn("_block", F.floor(F.col("confirm_index") / rows).cast("long"))
+    confirmed = settle(alternate_pivots(runs).where(F.col("confirm_index").isNotNull()))
+    point, high = F.struct("epoch", "price", "bar_index"), F.col("type") == "high"
+
+    news = confirmed.groupBy("symbol", F.col("confirm_index").alias("_at")).agg(
+        F.max_by(point, F.when(high, F.col("run"))).alias("_high"), F.max_by(point, F.when(~high, F.col("run"))).alias("_low"), F.max("run").alias("_run")
+    ).withColumnRenamed("_at", "bar_index")
+    revealed = last_pivots(runs).withColumnRenamed("at_index", "bar_index")
+    seen = running(
+        bars.select("symbol", "epoch", "bar_index", "close").join(news, ["symbol", "bar_index"], "left").join(revealed, ["symbol", "bar_index"], "left"),
+        {"last_run": ("last", F.col("_run")), "_lows": ("last", F.col("_low")), "_highs": ("last", F.col("_high")), "_last": ("last", F.col("last_pivot"))},
     )
-    seen = settle(
-        with_last_pivot(bars, runs)
-        .where(F.col("last_pivot").isNotNull())
-        .select(
-            "symbol",
-            F.floor(F.col("bar_index") / rows).cast("long").alias("block"),
-            "epoch",
-            "bar_index",
-            "close",
-            F.when(F.col("last_pivot.type") == "low", "bullish").otherwise("bearish").alias("context"),
-            F.col("last_pivot.epoch").alias("o_epoch"),
-            F.col("last_pivot.price").alias("o_price"),
-            F.col("last_pivot.bar_index").alias("o_index"),
-        )
+    bearish = F.col("context") == "bearish"
+    sign = F.when(bearish, 1.0).otherwise(-1.0)
+    probes = seen.where(F.col("last_run").isNotNull()).withColumn("context", F.when(F.col("_last.type") == "low", "bullish").otherwise("bearish"))
+    near_point = F.when(bearish, F.col("_lows")).otherwise(F.col("_highs"))
+    probes = probes.withColumn("value", sign * F.col("close")).select(
+        "symbol", "epoch", "bar_index", "close", "context", "last_run", "value",
+        F.struct("_last.epoch", "_last.price", "_last.bar_index").alias("origin"),
+        F.when(F.col("value") >= sign * near_point["price"], near_point).alias("anchor"),
     )
-    closes = seen.groupBy("symbol", "block").agg(F.min("close").alias("min_close"), F.max("close").alias("max_close"))
-    levels = confirmed.groupBy("symbol", F.col("_block").alias("block")).agg(
-        F.min(F.when(F.col("type") == "low", F.col("price"))).alias("min_low"),
-        F.max(F.when(F.col("type") == "high", F.col("price"))).alias("max_high"),
+
+    sides = confirmed.withColumn("context", F.explode(F.array(F.lit("bearish"), F.lit("bullish"))))
+    near = high != bearish
+    score = sign * F.col("price")
+    levels = sides.select(
+        "symbol", "context", "run", F.when(near, score).alias("near"),
+        F.when(~near, F.struct(score.alias("score"), (-F.col("run")).alias("early"), point.alias("point"))).alias("far"), point.alias("point"),
     )
-    need = closes.join(levels, ["symbol", "block"], "left").groupBy("symbol").applyInPandas(_first_blocks, NEED_SCHEMA)
-    wanted = need.select("symbol", "block", F.explode(F.sequence("first_block", "block")).alias("_block"))
-    history = confirmed.join(wanted, ["symbol", "_block"]).select(
-        "symbol", "block", "epoch", "bar_index", "run", "confirm_index", F.col("type").alias("kind"), "price"
+    keys = ["symbol", "context"]
+    tables = level_tree(levels, keys, fanout)
+    found = nearest_below(probes, tables, keys, fanout)
+    # an inner sequence needs a level under the close before the anchor, which the close then equals
+    rare = found.where((F.col("value") == sign * F.col("anchor.price")) & F.col("far").isNotNull())
+    rare = settle(rare.withColumn("first_run", F.col("near.id") + 1))
+    inside = lambda k: (k["far"]["score"] > F.col("value")) & (k["point"]["epoch"] > F.col("near.point.epoch")) & (k["point"]["epoch"] != F.col("far.point.epoch"))
+    inner = levels_between(rare, tables, keys, ["symbol", "bar_index"], inside, fanout).select("symbol", "bar_index", F.transform("levels", lambda k: k["point"]).alias("_inner"))
+    outer = F.col("far").isNotNull()
+    return found.join(inner, ["symbol", "bar_index"], "left").select(
+        "symbol", "epoch", "bar_index", "close", "context", "origin", "anchor",
+        F.col("far.point").alias("outer_from"), F.when(outer, F.col("near.point")).alias("outer_to"),
+        F.coalesce("_inner", F.array().cast("array<struct<epoch:bigint,price:double,bar_index:bigint>>")).alias("inner"),
     )
-    both = seen.unionByName(history, allowMissingColumns=True)
-    return both.groupBy("symbol", "block").applyInPandas(_evaluate_block, HIERARCHY_SCHEMA)
 
 
 def active_pair(tree: DataFrame) -> DataFrame:
@@ -201,30 +156,38 @@ def join_active(bars: DataFrame, lines: DataFrame, until, width: int) -> DataFra
     )
 
 
-def fan_status(bars: DataFrame, lines: DataFrame, extension_seconds: int = 0, width: int = 30 * 86400) -> DataFrame:
+def fan_status(bars: DataFrame, lines: DataFrame, extension_seconds: int = 0, rows: int = HULL_ROWS) -> DataFrame:
     """Per fan, the first bar from its drawing on at which every active fraction line is crossed.
 
     A fan whose lines have all ended is complete at the bar that draws it: always so with
     ``extension_seconds=0``, because lines end at the later pivot.
+
+    Lines of a fan share start and end, so all are crossed where the outermost is. It meets the hull of every block it crosses; opened are the blocks at the ends
+    of its time and those up to the first in which a close is surely beyond it.
     """
-    parts = lines.where(F.col("fraction").isNotNull())
-    until = F.col("end_time") + extension_seconds
-    live = join_active(bars.select("symbol", "epoch", "close"), parts, until, width).where(
-        F.col("epoch") >= F.col("drawn_epoch")
-    )
-    crossed = F.when(F.col("rising"), F.col("close") < F.col("line_price")).otherwise(F.col("close") > F.col("line_price"))
-    per_bar = live.groupBy("symbol", "fan_id", "epoch").agg(F.bool_and(crossed).alias("all_crossed"))
-    done = per_bar.groupBy("symbol", "fan_id").agg(
-        F.min(F.when(F.col("all_crossed"), F.col("epoch"))).alias("_crossed"), F.max("epoch").alias("last_active")
-    )
-    drawn = parts.groupBy("symbol", "fan_id", "pair_type").agg(F.min("drawn_epoch").alias("drawn_epoch"))
-    return drawn.join(done, ["symbol", "fan_id"], "left").select(
+    drawn = lines.where(F.col("fraction").isNotNull()).groupBy("symbol", "fan_id", "pair_type", "rising", "drawn_epoch", "start_time", "start_price", "end_time")
+    fan = settle(drawn.agg(F.when(F.col("rising"), F.min("end_price")).otherwise(F.max("end_price")).alias("end_price")))
+    widths = settle(block_widths(bars, rows))
+    blocked = settle(in_blocks(bars.select("symbol", "epoch", "close"), widths))
+    since, until = F.greatest("drawn_epoch", "start_time"), F.col("end_time") + extension_seconds
+    beyond = lambda slack: F.when(F.col("rising"), some_below(F.col("lower"), slack=slack)).otherwise(some_above(F.col("upper"), slack=slack))
+    met = crossed_blocks(fan, settle(hulls(blocked)), widths, since, until)
+    met = settle(met.withColumns({"sure": F.col("whole") & beyond(0.0), "maybe": ~F.col("whole") | beyond(SLACK)}).drop("lower", "upper"))
+    first = met.groupBy("symbol", "fan_id").agg(F.min(F.when(F.col("sure"), F.col("block"))).alias("_first"), F.bool_or("whole").alias("_whole"))
+    opened = met.where("maybe").join(first, ["symbol", "fan_id"]).where("NOT whole OR _first IS NULL OR block <= _first")
+    live = opened.join(blocked, ["symbol", "block"]).where(F.col("epoch").between(since, until))
+    line = price_at(F.col("epoch"), F.col("start_time"), F.col("start_price"), F.col("end_time"), F.col("end_price"))
+    crossed = F.when(F.col("rising"), F.col("close") < line).otherwise(F.col("close") > line)
+    done = live.groupBy("symbol", "fan_id").agg(F.min(F.when(crossed, F.col("epoch"))).alias("_crossed"), F.count(F.lit(1)).alias("_bars"))
+    status = fan.join(first, ["symbol", "fan_id"], "left").join(done, ["symbol", "fan_id"], "left")
+    idle = ~F.coalesce("_whole", F.lit(False)) & (F.coalesce("_bars", F.lit(0)) == 0)
+    return status.select(
         "symbol",
         "fan_id",
         "pair_type",
         "drawn_epoch",
-        F.when(F.col("last_active").isNull(), F.col("drawn_epoch")).otherwise(F.col("_crossed")).alias("completed_epoch"),
-        F.when(F.col("last_active").isNull(), "inactive").when(F.col("_crossed").isNotNull(), "covered").otherwise("open").alias("status"),
+        F.when(idle, F.col("drawn_epoch")).otherwise(F.col("_crossed")).alias("completed_epoch"),
+        F.when(idle, "inactive").when(F.col("_crossed").isNotNull(), "covered").otherwise("open").alias("status"),
     )
 
 

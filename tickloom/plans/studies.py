@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.geometry import NAMES, breaches, fan_lines, theta, touches
-from tickloom.operators.hierarchy import join_active
+from tickloom.functions.geometry import NAMES, breaches, fan_lines, price_at, theta, touches
+from tickloom.operators.hulls import HULL_ROWS, block_widths, crossed_blocks, hulls, in_blocks, reachable
 from tickloom.operators.indicators import close_streak, ema, momentum
 from tickloom.operators.pivots import pivot_pairs, symmetric_pivots
 from tickloom.session import settle
@@ -53,15 +53,22 @@ def angle_events(
     setups: DataFrame,
     tolerance: float = TOLERANCE_PERCENT,
     confirmations: int = CONFIRMING_CLOSES,
-    width: int = 30 * 86400,
+    rows: int = HULL_ROWS,
 ) -> DataFrame:
-    """Touches of angle lines, confirmed breaches inside the touch band, touches of horizontal targets."""
-    walked = close_streak(bars)
+    """Touches of angle lines, confirmed breaches inside the touch band, touches of horizontal targets.
+
+    A line opens the bars of a block only if the hulls of its closes reach the touch band.
+    """
     last = bars.groupBy("symbol").agg(F.max("epoch").alias("_last"))
     lines = angle_divisions(setups).select(
         "symbol", "pair_type", "scenario", "angle_name", "start_time", "start_price", "end_time", "end_price"
     )
-    near = join_active(walked, lines.join(last, "symbol"), F.col("_last"), width).where(
+    widths = settle(block_widths(bars, rows))
+    blocked = settle(in_blocks(close_streak(bars), widths))
+    met = crossed_blocks(lines.join(last, "symbol"), hulls(blocked), widths, F.col("start_time"), F.col("_last"))
+    opened = met.where(reachable(F.col("lower"), F.col("upper"), tolerance / 100)).drop("lower", "upper")
+    line = price_at(F.col("epoch"), F.col("start_time"), F.col("start_price"), F.col("end_time"), F.col("end_price"))
+    near = opened.join(blocked, ["symbol", "block"]).where("epoch >= start_time").withColumn("line_price", line).where(
         touches(F.col("close"), F.col("line_price"), tolerance)
     )
     above = F.col("close") > F.col("line_price")
