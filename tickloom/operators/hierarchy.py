@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.geometry import FRACTIONS, fan_lines, price_at
 from tickloom.operators.blocks import framed, running
-from tickloom.operators.hulls import HULL_ROWS, SLACK, block_widths, crossed_blocks, hulls, in_blocks, some_above, some_below
+from tickloom.operators.hulls import HULL_ROWS, SLACK, crossed_blocks, hulls, in_blocks, some_above, some_below
 from tickloom.operators.levels import FANOUT, level_tree, levels_between, nearest_below
 from tickloom.operators.pivots import alternate_pivots, last_pivots, raw_pivots, with_runs
 from tickloom.session import settle
@@ -167,11 +167,10 @@ def fan_status(bars: DataFrame, lines: DataFrame, extension_seconds: int = 0, ro
     """
     drawn = lines.where(F.col("fraction").isNotNull()).groupBy("symbol", "fan_id", "pair_type", "rising", "drawn_epoch", "start_time", "start_price", "end_time")
     fan = settle(drawn.agg(F.when(F.col("rising"), F.min("end_price")).otherwise(F.max("end_price")).alias("end_price")))
-    widths = settle(block_widths(bars, rows))
-    blocked = settle(in_blocks(bars.select("symbol", "epoch", "close"), widths))
+    blocked = settle(in_blocks(bars.select("symbol", "epoch", "bar_index", "close"), rows))
     since, until = F.greatest("drawn_epoch", "start_time"), F.col("end_time") + extension_seconds
     beyond = lambda slack: F.when(F.col("rising"), some_below(F.col("lower"), slack=slack)).otherwise(some_above(F.col("upper"), slack=slack))
-    met = crossed_blocks(fan, settle(hulls(blocked)), widths, since, until)
+    met = crossed_blocks(fan, settle(hulls(blocked)), since, until)
     met = settle(met.withColumns({"sure": F.col("whole") & beyond(0.0), "maybe": ~F.col("whole") | beyond(SLACK)}).drop("lower", "upper"))
     first = met.groupBy("symbol", "fan_id").agg(F.min(F.when(F.col("sure"), F.col("block"))).alias("_first"), F.bool_or("whole").alias("_whole"))
     opened = met.where("maybe").join(first, ["symbol", "fan_id"]).where("NOT whole OR _first IS NULL OR block <= _first")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.geometry import price_at
 
-#: Bars of a block, on average over a symbol's time.
+#: Bars of a block.
 HULL_ROWS = 256
 #: Share of the prices within which a hull point counts as possibly on the other side, because interpolated prices are rounded.
 SLACK = 1e-9
@@ -22,12 +22,6 @@ SLACK = 1e-9
 POINTS = "array<struct<epoch:bigint,close:double>>"
 
 
-def block_widths(bars: DataFrame, rows: int = HULL_ROWS) -> DataFrame:
-    """``symbol, width``: the seconds in which a symbol has ``rows`` bars on average."""
-    span = F.max("epoch") - F.min("epoch") + 1
-    return bars.groupBy("symbol").agg(F.greatest(F.lit(1), F.floor(span * rows / F.count(F.lit(1)))).cast("long").alias("width"))
-
-
 def _chain(points: list[dict], sign: float) -> list[dict]:
     """The lower hull of points in time order for a sign of 1, the upper one for -1."""
     out: list[dict] = []
@@ -57,9 +51,9 @@ def _hulls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def in_blocks(bars: DataFrame, widths: DataFrame) -> DataFrame:
-    """Bars with a close, and the block of each."""
-    return bars.where(F.col("close").isNotNull() & ~F.isnan("close")).join(widths, "symbol").withColumn("block", F.expr("epoch div width")).drop("width")
+def in_blocks(bars: DataFrame, rows: int = HULL_ROWS) -> DataFrame:
+    """Bars with a close, and the block of each: ``rows`` bars by ``bar_index``."""
+    return bars.where(F.col("close").isNotNull() & ~F.isnan("close")).withColumn("block", F.expr(f"bar_index div {rows}"))
 
 
 def hulls(blocked: DataFrame) -> DataFrame:
@@ -68,12 +62,21 @@ def hulls(blocked: DataFrame) -> DataFrame:
     return points.mapInArrow(_hulls, f"symbol string, block long, first long, last long, lower {POINTS}, upper {POINTS}")
 
 
-def crossed_blocks(lines: DataFrame, blocks: DataFrame, widths: DataFrame, since: Column, until: Column) -> DataFrame:
-    """Lines with the blocks (and their hulls) that hold a bar between the two times, both included; ``whole`` tells whether no bar of it lies outside."""
-    spread = lines.withColumns({"_since": since, "_until": until}).where("_since <= _until").join(widths, "symbol")
-    spread = spread.withColumn("block", F.explode(F.sequence(F.expr("_since div width"), F.expr("_until div width"))))
-    met = spread.join(blocks, ["symbol", "block"]).where("first <= _until AND last >= _since")
-    return met.withColumn("whole", F.expr("first >= _since AND last <= _until")).drop("_since", "_until", "width", "first", "last")
+def crossed_blocks(lines: DataFrame, blocks: DataFrame, since: Column, until: Column) -> DataFrame:
+    """Lines with the blocks (and their hulls) that hold a bar between the two times, both included; ``whole`` tells whether no bar of it lies outside.
+
+    Blocks and lines meet by equality on time buckets as wide as a symbol's blocks are on average; a pair counts in its first common bucket.
+    """
+    width = blocks.groupBy("symbol").agg(F.floor((F.max("last") - F.min("first") + 1) / F.count(F.lit(1)) + 1).cast("long").alias("_width"))
+    buckets = lambda a, b: F.explode(F.sequence(F.expr(f"{a} div _width"), F.expr(f"{b} div _width")))
+    spread = lines.withColumns({"_since": since, "_until": until}).where("_since <= _until").join(width, "symbol")
+    # no block lies outside a symbol's time
+    ends = blocks.groupBy("symbol").agg(F.min("first").alias("_begin"), F.max("last").alias("_end"))
+    spread = spread.join(ends, "symbol").withColumns({"_from": F.greatest("_since", "_begin"), "_to": F.least("_until", "_end")}).where("_from <= _to")
+    spread = spread.withColumn("_bucket", buckets("_from", "_to")).drop("_width", "_begin", "_end", "_to")
+    held = blocks.join(width, "symbol").withColumn("_bucket", buckets("first", "last"))
+    met = spread.join(held, ["symbol", "_bucket"]).where("first <= _until AND last >= _since AND _bucket = greatest(_from div _width, first div _width)")
+    return met.withColumn("whole", F.expr("first >= _since AND last <= _until")).drop("_since", "_until", "_from", "_bucket", "_width", "first", "last")
 
 
 def some_below(hull: Column, factor: float = 1.0, slack: float = 0.0) -> Column:

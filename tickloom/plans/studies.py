@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.geometry import NAMES, breaches, fan_lines, price_at, theta, touches
-from tickloom.operators.hulls import HULL_ROWS, block_widths, crossed_blocks, hulls, in_blocks, reachable
+from tickloom.operators.hulls import HULL_ROWS, crossed_blocks, hulls, in_blocks, reachable
 from tickloom.operators.indicators import close_streak, ema, momentum
 from tickloom.operators.pivots import pivot_pairs, symmetric_pivots
 from tickloom.session import settle
@@ -63,9 +63,8 @@ def angle_events(
     lines = angle_divisions(setups).select(
         "symbol", "pair_type", "scenario", "angle_name", "start_time", "start_price", "end_time", "end_price"
     )
-    widths = settle(block_widths(bars, rows))
-    blocked = settle(in_blocks(close_streak(bars), widths))
-    met = crossed_blocks(lines.join(last, "symbol"), hulls(blocked), widths, F.col("start_time"), F.col("_last"))
+    blocked = settle(in_blocks(close_streak(bars), rows))
+    met = crossed_blocks(lines.join(last, "symbol"), settle(hulls(blocked)), F.col("start_time"), F.col("_last"))
     opened = met.where(reachable(F.col("lower"), F.col("upper"), tolerance / 100)).drop("lower", "upper")
     line = price_at(F.col("epoch"), F.col("start_time"), F.col("start_price"), F.col("end_time"), F.col("end_price"))
     near = opened.join(blocked, ["symbol", "block"]).where("epoch >= start_time").withColumn("line_price", line).where(
