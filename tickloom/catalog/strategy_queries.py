@@ -356,6 +356,7 @@ def g22_indicator_points(spark, sf):
     ),
 )
 def v1_plugin_strategy(spark, sf):
+    from tickloom.operators.folds import Summary
     from tickloom.plans.registry import folded_strategy, register_strategy
 
     def record_highs(memory, rows):
@@ -367,7 +368,10 @@ def v1_plugin_strategy(spark, sf):
         return {"top": top}, out
 
     schema = "symbol string, bar_index long, epoch long, signal int, signal_price double"
-    register_strategy("record_highs", folded_strategy(record_highs, schema))
+    highest = Summary(
+        leave=lambda rows: float(rows["high"].max()), compose=max, enter=lambda memory, top: {"top": max(top, memory["top"]) if memory else top}
+    )
+    register_strategy("record_highs", folded_strategy(record_highs, schema, summary=highest))
     return generate("record_highs", inputs.hourly_indexed(spark, sf))
 
 

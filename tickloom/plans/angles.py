@@ -78,29 +78,33 @@ def angle_levels(bars: DataFrame, setups: DataFrame, params: AngleTrading, width
     )
 
 
-def _walk(params: AngleTrading):
+def _walk(grid: dict[str, AngleTrading]):
+    known = lambda v: v is not None and v == v
+
     def step(memory, bars: pd.DataFrame):
-        held, out = (memory or {"held": None})["held"], []
-        known = lambda v: v is not None and v == v
+        held, out = {**dict.fromkeys(grid), **(memory or {})}, []
         for b in bars.itertuples(index=False):
-            emit = lambda action, weight, why: out.append(
-                (b.symbol, int(b.bar_index), int(b.epoch), action, float(b.close), weight, why)
-            )
-            if held:
-                held = _manage(held, b, params, known, emit)
-                continue
-            up = known(b.broke_up)
-            if up or known(b.broke_down):
-                side = "long" if up else "short"
-                goal = b.next_up if up else b.next_down
-                stop = b.recent_low if up else b.recent_high
-                held = {"side": side, "paid": float(b.close), "stop": float(stop), "goal": float(goal) if known(goal) else None, "left": 1.0}
-                emit(f"enter_{side}", 1.0, "breach")
-        return {"held": held}, out
+            for name, params in grid.items():
+                emit = lambda action, weight, why, name=name: out.append(
+                    (b.symbol, int(b.bar_index), int(b.epoch), action, float(b.close), weight, why, name)
+                )
+                held[name] = _manage(held[name], b, params, known, emit) if held[name] else _enter(b, known, emit)
+        return held, out
 
     return step
 
 
+def _enter(b, known, emit):
+    """The position that a breach at this bar opens, if any."""
+    up = known(b.broke_up)
+    if not up and not known(b.broke_down):
+        return None
+    side = "long" if up else "short"
+    goal = b.next_up if up else b.next_down
+    emit(f"enter_{side}", 1.0, "breach")
+    return {"side": side, "paid": float(b.close), "stop": float(b.recent_low if up else b.recent_high), "goal": float(goal) if known(goal) else None, "left": 1.0}
+
+
 def _manage(held, b, params, known, emit):
     """One bar of an open position: the position afterwards, or None when it is closed."""
     sign = 1.0 if held["side"] == "long" else -1.0
@@ -126,18 +130,33 @@ def _manage(held, b, params, known, emit):
     return held
 
 
+def angle_walks(bars: DataFrame, setups: DataFrame, grid: dict[str, AngleTrading]) -> DataFrame:
+    """Entries and (partial) exits per symbol and ``param_id``; one position at a time each.
+
+    Parameter sets that read the same levels share them and one walk over the bars.
+    """
+    shapes: dict[tuple, dict[str, AngleTrading]] = {}
+    for name, p in grid.items():
+        shapes.setdefault((p.confirmations, p.tolerance, p.use_wicks), {})[name] = p
+    union = None
+    for sets in shapes.values():
+        levels = settle(angle_levels(bars, setups, next(iter(sets.values()))))
+        part = fold_blocks(levels, _walk(sets), f"{SIGNAL_SCHEMA}, param_id string")
+        union = part if union is None else union.unionByName(part)
+    return union
+
+
 def angle_signals(bars: DataFrame, setups: DataFrame, params: AngleTrading = AngleTrading()) -> DataFrame:
     """Entries and (partial) exits per symbol; one position at a time."""
-    levels = settle(angle_levels(bars, setups, params))
-    return fold_blocks(levels, _walk(params), SIGNAL_SCHEMA)
+    return angle_walks(bars, setups, {"": params}).drop("param_id")
 
 
-def angle_trades(signals: DataFrame) -> DataFrame:
+def angle_trades(signals: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Result of each exit against its entry, weighted by the part that was closed."""
     from tickloom.operators.blocks import running
 
     paid = F.when(F.col("action").startswith("enter"), F.col("price"))
-    out = running(signals, {"entry_price": ("last", paid)})
+    out = running(signals, {"entry_price": ("last", paid)}, keys=keys)
     sign = F.when(F.col("action") == "exit_long", 1).otherwise(-1)
     exits = out.where(F.col("action").startswith("exit"))
     return exits.withColumn("pnl", sign * (F.col("price") - F.col("entry_price")) * F.col("weight"))
@@ -145,11 +164,11 @@ def angle_trades(signals: DataFrame) -> DataFrame:
 
 def angle_sweep(bars: DataFrame, setups: DataFrame, grid: dict[str, AngleTrading]) -> DataFrame:
     """Exits, wins and result per symbol and parameter set (confirmations, close or wick, exit mode)."""
-    union = None
-    for name, params in grid.items():
-        part = angle_trades(settle(angle_signals(bars, setups, params))).groupBy("symbol").agg(
-            F.count(F.lit(1)).alias("exits"), F.count_if(F.col("pnl") > 0).alias("wins"), F.sum("pnl").alias("total_pnl")
-        )
-        part = part.withColumns({"param_id": F.lit(name), **{k: F.lit(str(v)) for k, v in asdict(params).items()}})
-        union = part if union is None else union.unionByName(part)
-    return union
+    closed = angle_trades(settle(angle_walks(bars, setups, grid)), ("symbol", "param_id"))
+    totals = closed.groupBy("symbol", "param_id").agg(
+        F.count(F.lit(1)).alias("exits"), F.count_if(F.col("pnl") > 0).alias("wins"), F.sum("pnl").alias("total_pnl")
+    )
+    named = [F.struct(F.lit(name).alias("param_id"), *[F.lit(str(v)).alias(k) for k, v in asdict(p).items()]) for name, p in grid.items()]
+    return totals.withColumn("_p", F.get(F.filter(F.array(*named), lambda p: p["param_id"] == F.col("param_id")), F.lit(0))).select(
+        "symbol", "exits", "wins", "total_pnl", "_p.*"
+    )

@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame
 
-from tickloom.operators.folds import fold_blocks
+from tickloom.operators.folds import Summary, fold_blocks
 from tickloom.operators.hierarchy import hierarchy
 
 from tickloom.plans import strategies as S
@@ -35,12 +35,13 @@ def generate(name: str, bars: DataFrame, **params) -> DataFrame:
     return STRATEGIES[name](bars, **{**DEFAULTS[name], **params})
 
 
-def folded_strategy(step: Callable, schema: str) -> Strategy:
+def folded_strategy(step: Callable, schema: str, warm: int = 0, summary: Summary | None = None) -> Strategy:
     """A plug-in rule ``step(memory, rows) -> (memory, tuples)`` as a strategy.
 
-    For rules no window can express; blocks of a symbol run in parallel (see ``folds.fold_blocks``).
+    For rules no window can express; blocks of a symbol run in parallel (see ``folds.fold_blocks``). A ``summary`` of what a stretch does to the memory
+    spares a memory that never fades from being handed on block by block; ``warm`` is for one that fades within so many rows.
     """
-    return lambda bars, **params: fold_blocks(bars, partial(step, **params), schema)
+    return lambda bars, **params: fold_blocks(bars, partial(step, **params), schema, warm=warm, summary=summary)
 
 
 STUDIES: dict[str, tuple[Callable[..., DataFrame], Callable[..., DataFrame]]] = {}

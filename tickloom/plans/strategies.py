@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.dates import expiry_text, next_thursday
 from tickloom.functions.labels import BUY, HOLD, SELL, entry_label
 from tickloom.operators.blocks import block_rows, framed, running
+from tickloom.operators.folds import fold_blocks
 from tickloom.operators.indicators import donchian, ema
 from tickloom.session import settle
 
@@ -168,6 +169,8 @@ class EmaBreakout:
 
 
 FOLD_SCHEMA = "symbol string, bar_index long, param_id string, action string, reason string, stop_loss double, target double"
+#: Bars before a block over which open positions and alerts are guessed, besides twice the validity of an alert.
+WARM_BARS = 64
 
 
 class EmaRules:
@@ -207,6 +210,13 @@ class EmaRules:
                 return f"enter_{side}", f"{stop:.0f}", stop, goal
         return None
 
+    def fresh(self, at: int) -> dict:
+        """The memory after bar ``at``, without alerts that can't fire any more."""
+        for side in ("short", "long"):
+            if self.memory[side] is not None and self.memory[side][2] <= at:
+                self.memory[side] = None
+        return self.memory
+
     def _leave(self, high, low, close, average):
         m = self.memory
         side, stop, goal = m["side"], m["stop"], m["goal"]
@@ -225,78 +235,55 @@ class EmaRules:
         return f"exit_{side}", why, stop, goal
 
 
-def ema_fold(rows, params: EmaBreakout):
-    """Signals of consecutive bars: yields ``(bar_index, action, reason, stop_loss, target)``."""
-    rules = EmaRules(params)
-    for row in rows:
-        signal = rules.step(*row)
-        if signal is not None:
-            yield (row[0], *signal)
-
-
-def _ema_segments(bars: DataFrame, period: int, validity: int, rows: int) -> DataFrame:
-    """EMA bars with ``segment``: stretches that surely begin flat and without alerts.
-
-    A bar whose range holds its EMA closes any position, and raises no alert for the next bar. After
-    ``validity + 2`` such bars in a row no position and no alert can be left, whatever came before,
-    so the rules may restart there. One such point per block of ``rows`` bars cuts a long series.
-    """
-    run = validity + 2
+def _ema_bars(bars: DataFrame, period: int) -> DataFrame:
+    """Bars with what the rules read: their average, the bar before, and whether that lay wholly above or below its own average."""
 
     def add(df, w):
-        holds = (F.col("low") <= F.col("ema")) & (F.col("ema") <= F.col("high"))
-        full = F.count_if(holds).over(w.rowsBetween(-(run - 1), 0)) == run
         return df.withColumns(
             {
                 "prev_high": F.lag("high").over(w),
                 "prev_low": F.lag("low").over(w),
                 "above": F.coalesce(F.lag("low").over(w) > F.lag("ema").over(w), F.lit(False)),
                 "below": F.coalesce(F.lag("high").over(w) < F.lag("ema").over(w), F.lit(False)),
-                "_calm": full,
             }
         )
 
-    shaped = framed(ema(bars, {"ema": period}), run, 0, add)
-    shaped = settle(shaped.withColumn("_block", F.floor(F.col("bar_index") / rows).cast("long")))
-    cuts = shaped.groupBy("symbol", "_block").agg(F.min(F.when(F.col("_calm"), F.col("bar_index"))).alias("_cut"))
-    earlier = Window.partitionBy("symbol").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = cuts.withColumn("_segments", F.count("_cut").over(earlier))
-    after = F.coalesce((F.col("bar_index") > F.col("_cut")).cast("long"), F.lit(0))
-    return (
-        shaped.join(cuts, ["symbol", "_block"])
-        .withColumn("segment", F.col("_segments") + after)
-        .drop("_block", "_cut", "_segments", "_calm")
-    )
+    shaped = framed(ema(bars, {"ema": period}), 1, 0, add)
+    return settle(shaped.select("symbol", "bar_index", "high", "low", "close", "ema", "prev_high", "prev_low", "above", "below"))
 
 
 def ema_breakouts(bars: DataFrame, grid: dict[str, EmaBreakout], rows: int | None = None) -> DataFrame:
-    """Entries and exits of every parameter set in ``grid`` (``param_id -> EmaBreakout``)."""
-    wanted = {name: asdict(p) for name, p in grid.items()}
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_index")
-        columns = ("bar_index", "high", "low", "close", "ema", "prev_high", "prev_low", "above", "below")
-        values = [pdf[c].tolist() for c in columns]
-        symbol = pdf["symbol"].iloc[0]
-        out = [
-            (symbol, at, name, action, reason, stop, goal)
-            for name in pdf["_params"].iloc[0]
-            for at, action, reason, stop, goal in ema_fold(zip(*values), EmaBreakout(**wanted[name]))
-        ]
-        names = ["symbol", "bar_index", "param_id", "action", "reason", "stop_loss", "target"]
-        return pd.DataFrame(out, columns=names)
+    """Entries and exits of every parameter set in ``grid`` (``param_id -> EmaBreakout``).
 
+    The sets of one average share its bars and one walk (``fold_blocks``): the memory of a symbol is the open position and the alerts of each set.
+    """
     actions = None
-    shapes: dict[tuple[int, int], list[str]] = {}
+    periods: dict[int, dict[str, dict]] = {}
     for name, p in grid.items():
-        shapes.setdefault((p.ema_period, p.alert_validity_bars), []).append(name)
-    for (period, validity), names in shapes.items():
-        cut = _ema_segments(bars, period, validity, block_rows(rows)).withColumn("_params", F.array(*[F.lit(n) for n in names]))
-        part = cut.groupBy("symbol", "segment").applyInPandas(fold, FOLD_SCHEMA)
+        periods.setdefault(p.ema_period, {})[name] = asdict(p)
+    for period, wanted in periods.items():
+        warm = WARM_BARS + 2 * max(p["alert_validity_bars"] for p in wanted.values())
+        part = fold_blocks(_ema_bars(bars, period), _ema_walk(wanted), FOLD_SCHEMA, rows=rows, warm=warm)
         actions = part if actions is None else actions.unionByName(part)
     return actions
 
 
+def _ema_walk(wanted: dict[str, dict]):
+    columns = ("bar_index", "high", "low", "close", "ema", "prev_high", "prev_low", "above", "below")
+
+    def step(memory, frame: pd.DataFrame):
+        rules = {name: EmaRules(EmaBreakout(**p), (memory or {}).get(name)) for name, p in wanted.items()}
+        symbol, out = frame["symbol"].iloc[0], []
+        for row in zip(*[frame[c].tolist() for c in columns]):
+            for name, rule in rules.items():
+                signal = rule.step(*row)
+                if signal is not None:
+                    out.append((symbol, row[0], name, *signal))
+        return {name: rule.fresh(row[0]) for name, rule in rules.items()}, out
+
+    return step
+
+
 def ema_signals(bars: DataFrame, grid: dict[str, EmaBreakout] | None = None) -> DataFrame:
     """Alert-candle breakout signals with contract labels; ``param_id`` names the parameter set."""
     grid = grid or {"default": EmaBreakout()}
