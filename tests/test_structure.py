@@ -1,3 +1,4 @@
+import numpy as np
 import pandas as pd
 import pytest
 from models import greedy, hierarchy as plain_hierarchy, ledger as plain_ledger, ema_signals as plain_ema, pivots as plain_pivots, random_walk
@@ -80,6 +81,17 @@ def test_spaced_entries(spark, small_blocks, gap):
     assert got == want
 
 
+def test_spaced_entries_over_a_thousand_blocks(spark):
+    """Tables are composed over a tree of four a node; stretches without a touch lie between blocks."""
+    rng = np.random.default_rng(6)
+    at = {"a": sorted(rng.choice(7000, 2500, replace=False).tolist()), "b": [0, 6999], "c": [*range(0, 5000, 7), *range(6000, 6500)]}
+    rows = [(s, t) for s, found in at.items() for t in found]
+    touches = settle(spark.createDataFrame(rows, "symbol string, bar_index long").repartition(4))
+    got = sorted(tuple(r) for r in spaced_entries(touches, 6, rows=7, fanout=4).collect())
+    assert got == sorted((s, t) for s, found in at.items() for t in greedy(found, 6))
+    assert spaced_entries(touches.where("symbol = 'z'"), 6).collect() == []
+
+
 def test_square_strategy(bars, walk, small_blocks):
     got = {(r["symbol"], r["bar_index"]): r["signal"] for r in square_signals(bars, 0.004, 5).collect()}
     touches = {}

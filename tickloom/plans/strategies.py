@@ -91,38 +91,43 @@ def level_touches(
     )
 
 
-def spaced_entries(touches: DataFrame, gap: int, rows: int | None = None) -> DataFrame:
+def spaced_entries(touches: DataFrame, gap: int, rows: int | None = None, fanout: int = 32) -> DataFrame:
     """Greedy choice: the first touch, then the first touch at least ``gap`` bars later, and so on.
 
     Each block of touches is a function from "first index allowed" to "next index allowed", and the
     value coming in can only be one of ``gap`` offsets. The blocks' functions are tabulated in
-    parallel, chained over the few blocks of a symbol, and the blocks then choose on their own.
+    parallel and composed over a tree, ``fanout`` tables a node; from the root down every block
+    learns what it starts from, and the blocks then choose on their own.
     """
     rows = max(block_rows(rows), gap)
-    block = F.floor(F.col("bar_index") / rows).cast("long")
-    blocks = (
-        touches.withColumn("_block", block)
-        .groupBy("symbol", "_block")
+    blocks = settle(
+        touches.groupBy("symbol", F.floor(F.col("bar_index") / rows).cast("long").alias("node"))
         .agg(F.sort_array(F.collect_list("bar_index")).alias("_at"))
+        .withColumn("start", F.col("node") * rows)
     )
-    start = F.col("_block") * rows
 
     def last_allowed(first: Column) -> Column:
         return F.aggregate("_at", first, lambda free, t: F.when(t >= free, t + gap).otherwise(free))
 
-    tabulated = blocks.withColumn("_out", F.transform(F.sequence(F.lit(0), F.lit(gap)), lambda o: last_allowed(start + o)))
-    packed = tabulated.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("_block", "_out"))).alias("_chain"))
-    seed = F.struct(F.lit(0).cast("long").alias("free"), F.array().cast("array<struct<_block:bigint,_free:bigint>>").alias("ins"))
-
-    def step(acc, b):
-        first = F.greatest(acc["free"], b["_block"] * rows)
-        return F.struct(
-            F.get(b["_out"], (first - b["_block"] * rows).cast("int")).alias("free"),
-            F.concat(acc["ins"], F.array(F.struct(b["_block"].alias("_block"), first.alias("_free")))).alias("ins"),
+    out = F.transform(F.sequence(F.lit(0), F.lit(gap)), lambda o: last_allowed(F.col("start") + o))
+    tables, nodes = blocks.select("symbol", "node", "start", out.alias("out")), []
+    through = lambda free, kid: F.get(kid["out"], (F.greatest(free, kid["start"]) - kid["start"]).cast("int"))
+    top = blocks.agg(F.max("node")).first()[0]
+    while top is not None:
+        kids = tables.groupBy("symbol", F.expr(f"node div {fanout}").alias("node")).agg(F.array_sort(F.collect_list(F.struct("node", "start", "out"))).alias("kids"))
+        nodes.append(settle(kids))
+        first, rest = F.get("kids", F.lit(0)), F.slice("kids", F.lit(2), F.size("kids"))
+        composed = F.aggregate(rest, first["out"], lambda acc, kid: F.transform(acc, lambda free: through(free, kid)))
+        tables = nodes[-1].select("symbol", "node", first["start"].alias("start"), composed.alias("out"))
+        top = top // fanout or None
+    entered = blocks.select("symbol", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("free")).distinct()
+    for kids in reversed(nodes):
+        seed = F.struct(F.col("free").alias("free"), F.array().cast("array<struct<node:bigint,free:bigint>>").alias("ins"))
+        step = lambda acc, kid: F.struct(
+            through(acc["free"], kid).alias("free"), F.concat(acc["ins"], F.array(F.struct(kid["node"].alias("node"), F.greatest(acc["free"], kid["start"]).alias("free")))).alias("ins")
         )
-
-    ins = packed.select("symbol", F.inline(F.aggregate("_chain", seed, step, lambda acc: acc["ins"])))
-    chosen_seed = F.struct(F.col("_free").alias("free"), F.array().cast("array<bigint>").alias("kept"))
+        entered = kids.join(entered, ["symbol", "node"]).select("symbol", F.inline(F.aggregate("kids", seed, step, lambda acc: acc["ins"])))
+    chosen_seed = F.struct(F.col("free").alias("free"), F.array().cast("array<bigint>").alias("kept"))
 
     def choose(acc, t):
         return F.when(
@@ -131,7 +136,7 @@ def spaced_entries(touches: DataFrame, gap: int, rows: int | None = None) -> Dat
         ).otherwise(acc)
 
     kept = F.aggregate("_at", chosen_seed, choose, lambda acc: acc["kept"])
-    return blocks.join(ins, ["symbol", "_block"]).select("symbol", F.explode(kept).alias("bar_index"))
+    return blocks.join(entered, ["symbol", "node"]).select("symbol", F.explode(kept).alias("bar_index"))
 
 
 def square_signals(bars: DataFrame, tolerance: float = 0.001, hold: int = 5, anchor: str = "dataset") -> DataFrame:
