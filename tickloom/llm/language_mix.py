@@ -8,7 +8,6 @@ a penalty for each further language, of the sets that take languages by falling
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +28,6 @@ PENALTY = 12.0
 #: Bytes of text worked on at once.
 PART_BYTES = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
 #: Bytes as n-grams see them: A-Z as a-z, all other ASCII that isn't a letter as a blank.
 _SEEN = np.where((LOWER >= 97) & (LOWER < 123) | (LOWER >= 128), LOWER, 32).astype(np.uint64)
 
@@ -167,7 +165,7 @@ def _predicted(shared, keep: tuple[str, ...]):
             every, chosen = infer(model, batch.column("text"))
             names, scores, sets = [], [], []
             for text, share, own in zip(batch.column("text").to_pylist(), every, chosen, strict=True):
-                if text is None or not own.any() and not model.names or not _LETTER.search(text):
+                if text is None or not own.any() and not model.names or not any(map(str.isalpha, text)):
                     names.append("und"), scores.append(0.0), sets.append("")
                     continue
                 top = int(own.argmax())

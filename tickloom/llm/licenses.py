@@ -22,7 +22,7 @@ from tickloom.llm.words import ALNUM, parts, ranges, text_bytes, word_hashes
 
 #: Phrases whose every place is reported, and their labels.
 BASE_PHRASES = {
-    "mit license": "mit",
+    "under the mit license": "mit",
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
@@ -171,28 +171,36 @@ def _alignments(words: np.ndarray, rows: np.ndarray, idf: np.ndarray) -> dict[in
 
 
 def _matches(words: np.ndarray, low: int, high: int, begins: list[tuple[int, int]]) -> tuple[set[str], float]:
-    """Labels whose template stands in words[low:high], and the best coverage of a template with its phrases."""
+    """Labels whose template stands in words[low:high], and the best coverage of a template with its phrases.
+
+    All places of a template are compared at once, and each with its neighbours alone, so the work grows with the places.
+    """
     *_, templates, phrases, _ = _index()
-    labels, score = set(), 0.0
-    by_template: dict[int, list[int]] = defaultdict(list)
-    for template, begin in begins:
-        by_template[template].append(begin)
-    for template, places in by_template.items():
-        wanted = templates[template]
-        for begin in places:
-            # words that moved by an insertion or omission stand at a nearby begin
-            covered = np.zeros(len(wanted), bool)
-            for near in places:
-                if abs(near - begin) <= _DRIFT:
-                    k = np.arange(max(0, low - near), min(len(wanted), high - near))
-                    covered[k] |= words[near + k] == wanted[k]
-            coverage = covered.mean()
-            if coverage < max(MIN_COVERAGE, score if TEMPLATES[template][0] in labels else 0):
-                continue
-            own = words[max(low, begin - _DRIFT) : min(high, begin + len(wanted) + _DRIFT)]
-            if all(len(_consecutive(own, p)) for p in phrases[template]):
-                labels.add(TEMPLATES[template][0])
-                score = max(score, float(coverage))
+    labels, score, own = set(), 0.0, words[low:high]
+    found = np.array(begins, np.int64).reshape(-1, 2)
+    for template in np.unique(found[:, 0]).tolist():
+        wanted, places = templates[template], np.unique(found[found[:, 0] == template, 1]) - low
+        # a mandatory phrase must begin and end around the place
+        first, last = np.maximum(places - _DRIFT, 0), np.minimum(places + len(wanted) + _DRIFT, len(own))
+        fits = np.ones(len(places), bool)
+        for phrase in phrases[template]:
+            at = np.append(_consecutive(own, phrase), len(own))
+            fits &= at[np.searchsorted(at, first)] + len(phrase) <= last
+        here = np.empty((len(places), len(wanted)), bool)
+        for k, word in enumerate(wanted):
+            at = places + k
+            inside = (at >= 0) & (at < len(own))
+            here[:, k] = inside & (own[np.where(inside, at, 0)] == word)
+        # words that moved by an insertion or omission stand at a nearby begin
+        covered = here.copy()
+        for near in range(-_DRIFT, _DRIFT + 1):
+            other = np.minimum(np.searchsorted(places, places + near), len(places) - 1)
+            same = places[other] == places + near
+            covered[same] |= here[other[same]]
+        coverage = covered.mean(1)[fits]
+        if len(coverage) and coverage.max() >= MIN_COVERAGE:
+            labels.add(TEMPLATES[template][0])
+            score = max(score, float(coverage.max()))
     return labels, score
 
 
@@ -241,7 +249,9 @@ def scan(docs: DataFrame) -> DataFrame:
     Words are runs of ASCII letters (A-Z lower-cased), digits and non-ASCII code points. n_base counts all places of the base phrases, first_word
     and last_word are the smallest and largest word number at which one begins, base_labels their labels; labels adds those found by the
     index. score is 1 with a base phrase, else the best covered part of a template whose phrases stand there, else 0. A null or empty text has no
-    words, no labels and score 0; a null id and repeated rows are kept; an empty table gives an empty result; further columns are ignored.
+    words, no labels and score 0; a null id and repeated rows are kept; an empty table gives an empty result; further columns are ignored. Of
+    places that cover a template equally any counts, since only the label and the coverage are kept; the work grows with the words and places of
+    a text, so a very long one is no case of its own.
     """
     docs = docs.select("doc_id", "text")
     kind = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
