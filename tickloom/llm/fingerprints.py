@@ -28,6 +28,8 @@ _SHIFT = keyed(102, PERMUTATIONS)
 _BLOCK = 1 << 14
 #: Bytes of text worked on at once.
 PART_BYTES = 4 << 20
+#: Rounds in which the members of a list are compared with one of them.
+RARE_ROUNDS = 2
 #: Bits of the map of ids whose texts are compared, as a power of two; its size never depends on the data.
 _BITMAP_BITS = 24
 
@@ -205,12 +207,12 @@ def _possible(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """``node, component`` of every doc_id that a verified link of two band partners reaches: component is the smallest doc_id reachable.
+    """``node, component`` of every doc_id that a verified link reaches: component is the smallest doc_id reachable.
 
-    Documents with equal shingle sets are one, which keeps lists of copies linear. Two rounds compare every member of a band's list with its
-    first and its last member; the components that form are contracted, and a last round compares all pairs across components of
-    the lists that still have several. So every two band partners that are alike are in one component, and the whole sets of a pair
-    are compared once.
+    Documents with equal shingle sets are one, which keeps lists of copies linear. Every member of a band's list is compared with the list's first, and the
+    components that form are contracted. What a list still holds apart, besides its first, are documents that share a frequent passage or whose first
+    is no near duplicate; pairs of those grow with the square of the list, so they aren't formed: the documents go through a join on their rarest shingles
+    instead, which finds every pair that is alike. So every two band partners that are alike are in one component, and sets are compared whole.
     """
     from tickloom.llm.ngram_join import _checked, _pairs, _texts
 
@@ -219,31 +221,60 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame
     copies = banded.groupBy("key").agg(F.min("doc").alias("stands"), F.count("*").alias("members")).filter("members > 1").select("key", "stands")
     placed = banded.join(copies, "key", "left").withColumn("stands", F.coalesce("stands", "doc"))
     links = settle(placed.filter("stands < doc").select(F.col("stands").alias("a"), F.col("doc").alias("b")).distinct())
-    entries = placed.filter("stands = doc").select(F.explode("bands").alias("band"), "doc", "n", F.lit(0).alias("place")).distinct()
-    band, entry = Window.partitionBy("band"), F.struct("doc", "n", "place")
-    lists = settle(entries.withColumns({"least": F.min(entry).over(band), "most": F.max(entry).over(band)}).filter("least.doc < most.doc"))
-    ids = settle(lists.select(F.col("doc").alias("doc_id")).distinct())
+    # one row per document and set before the bands are spread
+    single = placed.filter("stands = doc").dropDuplicates(["doc", "key"]).select("doc", "n", F.explode("bands").alias("band"))
+    entry = F.struct("doc", "n", F.lit(0).alias("place"))
+    lists = settle(single.withColumn("least", F.min(entry).over(Window.partitionBy("band"))).withColumn("most", F.max("doc").over(Window.partitionBy("band"))).filter("least.doc < most").drop("most"))
+    ids = lists.select(F.col("doc").alias("doc_id")).distinct()
     texts = settle(_texts(_possible(docs, ids), ids, size))
-    tried, labels = None, None
-    for hub in ("least", "most", None):
-        if labels is None:
-            named = lists.withColumn("component", F.col("doc"))
-        else:
-            named = lists.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-            open_lists = named.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d").select("band")
-            named = named.join(open_lists, "band", "left_semi")
-        if hub:
-            pairs = _pairs(named.select(entry.alias("x"), F.col(hub).alias("y")).filter("x.doc <> y.doc"), percent)
+    pairs = settle(_pairs(lists.select(entry.alias("x"), F.col("least").alias("y")).filter("x.doc <> y.doc"), percent))
+    links = links.union(settle(_checked(pairs, texts, size, percent)))
+    labels = components(links)
+    rest = lists.filter("doc <> least.doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    apart = rest.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d").select("band")
+    left = settle(rest.join(apart, "band", "left_semi").select(F.col("doc").alias("doc_id")).distinct())
+    if not left.isEmpty():
+        labels = components(_joined_by_rare(texts.join(left.hint("merge"), "doc_id", "left_semi"), texts, links, size, percent))
+    for table in (banded, lists, texts):
+        drop_table(table)
+    return labels
+
+
+def _joined_by_rare(docs: DataFrame, texts: DataFrame, links: DataFrame, size: int, percent: int) -> DataFrame:
+    """The links and those that join any two documents that are alike: such have a shingle in common among their rarest.
+
+    In a round every list of a shingle compares its members with one of them, drawn anew, across the components that stand by then. Once the pairs left
+    over are no more than the entries of the lists, or after ``RARE_ROUNDS`` rounds, the rest is compared pair by pair.
+    """
+    from tickloom.llm.ngram_join import _checked, _pairs, _prefixes, frequency_sketch
+
+    sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, size))
+    entries = docs.select("doc_id", "text").mapInArrow(_prefixes(sketch, size, percent), "gram long, doc long, n long, place long")
+    several = F.count("*").over(Window.partitionBy("gram"))
+    lists = settle(entries.withColumn("members", several).filter("members > 1").drop("members"))
+    tried = None
+    for k in range(RARE_ROUNDS + 1):
+        named = lists.join(components(links).withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        sizes = named.groupBy("gram", "component").agg(F.count("*").alias("m")).groupBy("gram").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm")).filter("m * m > mm")
+        named = settle(named.join(sizes.select("gram", ((F.col("m") * F.col("m") - F.col("mm")) / 2).alias("across")), "gram"))
+        apart = named.select("gram", "across").distinct().agg(F.sum("across")).first()[0]
+        if not apart:
+            break
+        member, last = F.struct("doc", "n", "place", "component"), k == RARE_ROUNDS or apart <= named.count()
+        if last:
+            others = named.select("gram", member.alias("y"))
+            both = named.select("gram", member.alias("x")).join(others, "gram").filter("x.doc < y.doc AND x.component <> y.component")
         else:
-            rest = named.select("band", F.struct("doc", "n", "place", "component").alias("x"))
-            pairs = _pairs(rest.join(rest.withColumnRenamed("x", "y"), "band").filter("x.doc < y.doc AND x.component <> y.component"), percent)
+            hubs = named.groupBy("gram").agg(F.min_by(member, F.xxhash64("doc", F.lit(k))).alias("y"))
+            both = named.select("gram", member.alias("x")).join(hubs, "gram").filter("x.component <> y.component")
+        pairs = _pairs(both, percent)
         pairs = settle(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
         links = links.union(settle(_checked(pairs, texts, size, percent)))
-        labels = components(links)
-    for table in (banded, lists, texts):
-        drop_table(table)
-    return labels
+        drop_table(named)
+        if last:
+            break
+    return links
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
