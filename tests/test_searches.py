@@ -9,6 +9,7 @@ from tickloom.functions.labels import money
 from tickloom.operators import components, contracts, ranges, search
 from tickloom.operators.bars import with_bar_index
 from tickloom.operators.indicators import ema
+from tickloom.session import settle
 
 
 def test_ema_of_mixed_spans(spark, small_blocks):
@@ -61,3 +62,41 @@ def test_money_is_the_binary_value(spark):
     values = [2.675, 2.665, 0.125, 0.375, -1.005, 1234567.891, 0.0, -0.001, 1e15 / 7]
     found = [r.m for r in spark.createDataFrame([(v,) for v in values], "v double").select(money(F.col("v")).alias("m")).collect()]
     assert found == [f"{v:.2f}" for v in values]
+
+
+def test_requests_equal_single_searches(spark):
+    """A table of requests gives what each request gives alone; odd ones among them."""
+    rows = [(f"{a} {b}{k}", "EQUITY" if k % 3 else "INDEX", (7 * k) % 60, f"{b} of {a}", f"i{k}", f"{a} {b}{k}".title(), f"X{k % 2}", "stock" if k % 3 else "index") for k, (a, b) in enumerate([("RED", "RING"), ("BLUE", "ROD"), ("OPT", "Ä")] * 20)]
+    rows += [("NIFTY 50", "INDEX", 99, "reserved", "n", "Nifty 50", "X0", "index")]
+    instruments = settle(spark.createDataFrame(rows, "search_symbol string, instrument_name string, position long, description string, security_id string, name string, exchange string, type string"))
+    asked = [("red", "all", False), ("r", "index", False), ("ri ng", "all", True), ("ng 3", "", True), ("", "stock", False), ("   ", "all", True), ("zzz", "all", False), ("ä", "all", False), ("opt", "all", False), ("ed ring1", None, False), ("nifty", "all", False)]
+    requests = spark.createDataFrame([(n, q, k, w) for n, (q, k, w) in enumerate(asked)], "request_id long, query string, kind string, all_words boolean")
+    found = sorted((r.request_id, r.rank, r.security_id) for r in search.search_requests(instruments, requests, 7).collect())
+    want = []
+    for n, (q, k, w) in enumerate(asked):
+        want += [(n, i + 1, r.security_id) for i, r in enumerate(search.search(instruments, q, k or "", 7, all_words=w).collect())]
+    assert found == sorted(want)
+
+    offered = search.favourites_requests(instruments, requests.where("NOT all_words"), 5).collect()
+    want = [(n, r.symbol) for n, (q, k, w) in enumerate(asked) if not w for r in search.search_with_favourites(instruments, q, k or "", 5).collect()]
+    assert sorted((r.request_id, r.symbol) for r in offered) == sorted(want)
+    assert [r.symbol for r in sorted(offered, key=lambda r: r.rank) if r.request_id == 10] == ["NIFTY 50", "NIFTY OPTIONS"]
+    assert [r.symbol for r in sorted(offered, key=lambda r: r.rank) if r.request_id == 8][0] == "NIFTY OPTIONS"
+
+    asks = [("ri", "", ""), ("red", "X1", ""), ("o", "X0", "stock"), ("", "", "index"), ("of", None, None), ("zz", "", "")]
+    ranked = spark.createDataFrame([(n, *a) for n, a in enumerate(asks)], "request_id long, query string, exchange string, kind string")
+    found = sorted((r.request_id, r.rank, r.symbol, r.full_name, r.weight) for r in search.rank_requests(instruments, ranked, 9).collect())
+    want = []
+    for n, (q, e, k) in enumerate(asks):
+        want += [(n, i + 1, r.symbol, r.full_name, r.weight) for i, r in enumerate(search.rank_search(instruments, q, e or "", k or "", 9).collect())]
+    assert found == sorted(want)
+
+
+def test_patterns_are_tried_once(spark):
+    """The plan tests each of the patterns once per sentence, whatever is read from the result."""
+    rows = settle(spark.createDataFrame([(1, 0, "buy at 45 degrees"), (2, 0, "nothing here"), (3, 1, "a square of 9 days")], "doc long, position int, sentence string"))
+    found = components.components(rows, ["doc"])
+    plan = found.where("logic_type <> 'x'").select("component_id", "logic_type", "parameters")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == sum(map(len, components.PATTERNS.values()))
+    got = {r.component_id: (r.logic_type, r.parameters) for r in found.collect()}
+    assert got == {"TXT_1_0": ("GEOMETRY", r"Found: ['\d+\s*degrees?', '45 deg']"), "TXT_3_1": ("MATH", "N/A")}

@@ -440,6 +440,73 @@ def u3_favourites_and_hits(spark, sf):
     return search_with_favourites(part_instruments(spark, sf), "opt")
 
 
+def search_asks(spark, sf):
+    """A table of search requests: every run of 2 to 6 characters of the part names, and pairs of word beginnings, per kind."""
+    names = table(spark, sf, "part").select("p_name").distinct()
+    runs = names.select(F.explode(F.expr("flatten(transform(sequence(2, 6), n -> transform(sequence(1, length(p_name) - n + 1), i -> substr(p_name, i, n))))")).alias("query"))
+    pairs = names.select(F.expr("concat(substr(split(p_name, ' ')[1], 1, 2), ' ', substr(p_name, 1, 2))").alias("query"))
+    both = runs.select("query", F.lit(False).alias("all_words")).union(pairs.select("query", F.lit(True)))
+    asks = both.distinct().withColumn("kind", F.explode(F.array(F.lit("all"), F.lit("index"))))
+    return asks.withColumn("request_id", F.concat_ws("|", "query", "kind", "all_words"))
+
+
+ASKS_SQL = (
+    INSTRUMENTS_SQL
+    + """, nm AS (SELECT DISTINCT p_name FROM part),
+bt AS (SELECT substr(p_name, i, n) AS query, false AS all_words FROM nm, range(2, 7) a(n), range(1, 40) b(i) WHERE i + n - 1 <= length(p_name)
+  UNION SELECT substr(string_split(p_name, ' ')[2], 1, 2) || ' ' || substr(p_name, 1, 2), true FROM nm),
+asks AS (SELECT concat_ws('|', query, kind, all_words) AS request_id, query, kind, CASE WHEN all_words THEN list_filter(string_split(upper(query), ' '), lambda w : w <> '') ELSE [upper(query)] END AS words
+  FROM bt, (VALUES ('all'), ('index')) k(kind)),
+hits AS (SELECT a.request_id, row_number() OVER (PARTITION BY a.request_id ORDER BY i.position) AS rank, i.*, CASE WHEN instrument_name = 'EQUITY' THEN 'stock' ELSE 'index' END AS sort
+  FROM asks a JOIN ins i ON len(list_filter(a.words, lambda w : NOT contains(i.search_symbol, w))) = 0 AND (a.kind = 'all' OR instrument_name <> 'EQUITY') QUALIFY rank <= 30)"""
+)
+
+
+@query("f9_search_requests", with_sql(ASKS_SQL, "SELECT request_id, rank, security_id, search_symbol FROM hits"))
+def f9_search_requests(spark, sf):
+    from tickloom.operators.search import search_requests
+
+    return search_requests(part_instruments(spark, sf), search_asks(spark, sf), 30).select("request_id", "rank", "security_id", "search_symbol")
+
+
+@query(
+    "f10_rank_requests",
+    with_sql(
+        ASKS_SQL,
+        """SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY weight, position) AS rank, name AS symbol, exchange || ':' || name AS full_name, description, weight
+FROM (SELECT request_id, query, i.*, instr(upper(name), upper(query)) - 1 AS pn, instr(upper(description), upper(query)) - 1 AS pd, CASE WHEN pn >= 0 THEN pn ELSE 8000 + pd END AS weight
+      FROM (SELECT request_id, query FROM asks WHERE kind = 'all') JOIN ins i ON contains(upper(name), upper(query)) OR contains(upper(description), upper(query))) QUALIFY rank <= 30""",
+    ),
+)
+def f10_rank_requests(spark, sf):
+    from tickloom.operators.search import rank_requests
+
+    asks = search_asks(spark, sf).where("kind = 'all'").withColumns({"kind": F.lit(""), "exchange": F.lit(None).cast("string")})
+    return rank_requests(part_instruments(spark, sf), asks, 30).select("request_id", "rank", "symbol", "full_name", "description", "weight")
+
+
+@query(
+    "u3_favourites_requests",
+    with_sql(
+        ASKS_SQL
+        + """, fv AS (SELECT * FROM (VALUES (0, 'NIFTY 50', 'Nifty 50 Index (Spot)', 'index', ['NIFTY']), (1, 'NIFTY OPTIONS', 'Nifty Options ATM Premium', 'options', ['OPT', 'NIFTY'])) f(place, symbol, description, type, words)),
+rq AS (SELECT DISTINCT request_id, upper(concat(query, CASE WHEN contains(query, 'ri') THEN 'opt' ELSE '' END)) AS q FROM asks WHERE kind = 'all' AND NOT request_id LIKE '% %'),
+ht AS (SELECT q.request_id, row_number() OVER (PARTITION BY q.request_id ORDER BY position) AS n, search_symbol, description, CASE WHEN instrument_name = 'EQUITY' THEN 'stock' ELSE 'index' END AS type
+  FROM rq q JOIN ins ON contains(search_symbol, replace(q.q, 'OPT', '')) QUALIFY n <= 20),
+al AS (SELECT request_id, place, symbol, description, type FROM rq JOIN fv ON len(list_filter(words, lambda w : contains(q, w))) > 0
+  UNION ALL SELECT request_id, n + 2, search_symbol, description, type FROM ht JOIN rq USING (request_id) WHERE NOT contains(q, 'OPT'))""",
+        "SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY place) AS rank, symbol, description, type FROM al",
+    ),
+)
+def u3_favourites_requests(spark, sf):
+    """Requests of one word; those with "ri" name options besides, which favourites know and no instrument holds."""
+    from tickloom.operators.search import favourites_requests
+
+    asks = search_asks(spark, sf).where("kind = 'all' AND NOT request_id LIKE '% %'")
+    asks = asks.withColumn("query", F.when(F.col("query").contains("ri"), F.concat("query", F.lit("opt"))).otherwise(F.col("query")))
+    return favourites_requests(part_instruments(spark, sf), asks, 20)
+
+
 @query(
     "u5_distinct_trades",
     with_sql(NATION_SQL, "SELECT DISTINCT symbol, epoch, type, price FROM (SELECT * FROM tr UNION ALL SELECT * FROM tr WHERE status = 'O')"),

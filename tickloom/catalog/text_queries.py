@@ -31,9 +31,13 @@ se AS (SELECT doc_id, CAST(position AS INTEGER) AS position, trim(string_agg(wor
 sn AS (SELECT * FROM se WHERE sentence <> '')"""
 
 
+def edges(p: str) -> str:
+    """Word boundaries spelled out, because this engine's know only ASCII."""
+    return re.sub(r"\\b$", r"($|[^\\pL\\pN_])", re.sub(r"^\\b", r"(^|[^\\pL\\pN_])", p))
+
+
 def hits_sql(name: str) -> str:
-    """Pattern counts; word boundaries are spelled out because this engine's know only ASCII."""
-    edges = lambda p: re.sub(r"\\b$", r"($|[^\\pL\\pN_])", re.sub(r"^\\b", r"(^|[^\\pL\\pN_])", p))
+    """Pattern counts of a category."""
     return " + ".join(f"CAST(regexp_matches(sentence, '(?i){edges(p)}') AS INTEGER)" for p in WORDS[name])
 
 
@@ -49,6 +53,13 @@ cp AS (SELECT *, CASE WHEN greatest(hits_MATH, hits_GEOMETRY, hits_TIME, hits_ME
 )
 
 
+def found_sql(name: str) -> str:
+    """The patterns of a category that occur, in order, as text."""
+    listed = ", ".join(f"CASE WHEN regexp_matches(sentence, '(?i){edges(p)}') THEN '{p}' END" for p in WORDS[name])
+    quoted = "''', '''"
+    return f"'Found: [''' || array_to_string(list_filter([{listed}], lambda x : x IS NOT NULL), {quoted}) || ''']'"
+
+
 def doc_sentences(spark, sf):
     return C.sentences(table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"])
 
@@ -72,10 +83,14 @@ def m2_category_hits(spark, sf):
 
 @query(
     "m3_components",
-    with_sql(COMPONENTS_SQL, "SELECT doc_id, concat_ws('_', 'TXT', doc_id, position) AS component_id, 'Text' AS source_type, logic_type, sentence AS definition FROM cp"),
+    with_sql(
+        COMPONENTS_SQL,
+        f"""SELECT doc_id, concat_ws('_', 'TXT', doc_id, position) AS component_id, 'Text' AS source_type, logic_type,
+       CASE WHEN logic_type = 'GEOMETRY' THEN {found_sql("GEOMETRY")} ELSE 'N/A' END AS parameters, sentence AS definition FROM cp""",
+    ),
 )
 def m3_components(spark, sf):
-    return doc_components(spark, sf).drop("parameters")
+    return doc_components(spark, sf)
 
 
 TURNS_SQL = """pg AS (SELECT conv_id, turn, trim(replace(text, chr(10), ' ')) AS current_text FROM conversations),

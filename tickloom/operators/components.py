@@ -45,24 +45,26 @@ def category_hits(rows: DataFrame, patterns: dict[str, list[str]] = PATTERNS, te
 def components(rows: DataFrame, keys: list[str], patterns: dict[str, list[str]] = PATTERNS) -> DataFrame:
     """Sentences with at least one hit: id, main category (most hits, first on ties) and parameters.
 
-    The hits are an array, so the found patterns of the geometry category can be listed.
+    Every pattern is tried once per sentence: the found ones are one array inside a generator, which neither a filter nor a projection can copy, and hits,
+    category and parameters are read from it. Sentences are dealt out by a hash, since few files may hold all the text.
     """
-    names = list(patterns)
-    hit = category_hits(rows, patterns)
-    ranked = F.array_max(
-        F.array(*[F.struct(F.col(f"hits_{n}").alias("hits"), F.lit(-i).alias("early"), F.lit(n).alias("name")) for i, n in enumerate(names)])
-    )
-    hit = hit.withColumn("_best", ranked).where(F.col("_best.hits") > 0)
-    geometry = F.array_compact(
-        F.array(*[F.when(F.col("sentence").rlike(UNICODE + r), F.lit(r)) for r in patterns.get("GEOMETRY", [])])
-    )
-    found = F.concat(F.lit("Found: ['"), F.array_join(geometry, "', '"), F.lit("']"))
-    return hit.select(
+    at = 0
+    tried = F.array(*[F.col("sentence").rlike(UNICODE + r) for regs in patterns.values() for r in regs])
+    spans = {}
+    for name, regs in patterns.items():
+        spans[name], at = (at, len(regs)), at + len(regs)
+    some = F.filter(F.array(F.struct(tried.alias("found"))), lambda x: F.array_contains(x["found"], True))
+    hit = rows.select(*keys, "position", "sentence").repartition(*keys, "position").select(*keys, "position", "sentence", F.inline(some))
+    count = lambda name: F.size(F.filter(F.slice("found", spans[name][0] + 1, spans[name][1]), lambda x: x))
+    ranked = F.array_max(F.array(*[F.struct(count(n).alias("hits"), F.lit(-i).alias("early"), F.lit(n).alias("name")) for i, n in enumerate(patterns)]))
+    found = [F.when(F.get("found", F.lit(spans["GEOMETRY"][0] + k)), F.lit(r)) for k, r in enumerate(patterns.get("GEOMETRY", []))]
+    listed = F.concat(F.lit("Found: ['"), F.array_join(F.array_compact(F.array(*found)), "', '"), F.lit("']"))
+    return hit.withColumn("_best", ranked).select(
         *keys,
         F.concat_ws("_", F.lit("TXT"), *keys, "position").alias("component_id"),
         F.lit("Text").alias("source_type"),
         F.col("_best.name").alias("logic_type"),
-        F.when(F.col("_best.name") == "GEOMETRY", found).otherwise("N/A").alias("parameters"),
+        F.when(F.col("_best.name") == "GEOMETRY", listed).otherwise("N/A").alias("parameters"),
         F.col("sentence").alias("definition"),
     )
 

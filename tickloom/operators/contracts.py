@@ -86,7 +86,7 @@ def resolve(requests: DataFrame, instruments: DataFrame, key: str = "contract_ke
     # at most ``gram`` lengths occur, and only those are cut
     sizes = F.explode(F.sequence(F.lit(1), F.least(F.length("trading_symbol"), F.lit(gram))))
     sized = per_symbol.where(F.length("trading_symbol") > 0).withColumn("_size", sizes).join(missing.select("_size").distinct(), "_size", "left_semi")
-    spread = sized.withColumn("_gram", F.explode(cut("trading_symbol"))).drop("_size").join(wishes.select("_gram").distinct(), "_gram", "left_semi")
+    spread = settle(sized.withColumn("_gram", F.explode(cut("trading_symbol"))).drop("_size").join(wishes.select("_gram").distinct(), "_gram", "left_semi"))
     counts = spread.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     missing = wishes.join(counts, "_gram", "left").groupBy("_key").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
     partial = (

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.session import settle
+
 # fixed values: favourites always offered for these words
 FAVOURITES = (
     ("NIFTY 50", "Nifty 50 Index (Spot)", "index", ("NIFTY",)),
@@ -60,6 +62,94 @@ def rank_search(instruments: DataFrame, query: str, exchange: str = "", kind: st
     )
 
 
+#: Characters of an indexed run; shorter words are looked up by themselves.
+GRAM = 3
+
+
+def _runs(text: Column, size: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, size)))
+
+
+def _candidates(rows: DataFrame, texts: list[str], wanted: DataFrame) -> DataFrame:
+    """Rows of ``rows`` next to each row of ``wanted`` whose rarest run of characters stands in one of the upper-case ``texts``.
+
+    ``wanted`` has an array ``words``, all of which a hit must hold. Only runs that some word has are kept in the index, and of a request's runs the rarest alone is joined.
+    """
+    size = lambda word: F.least(F.length(word), F.lit(GRAM))
+    cut = F.array_distinct(F.flatten(F.transform("words", lambda w: F.when(w == "", F.array(F.lit(""))).otherwise(_runs(w, size(w))))))
+    cut = F.when(F.size("words") == 0, F.array(F.lit(""))).otherwise(cut)
+    wishes = settle(wanted.select("words", F.explode(cut).alias("_gram")).distinct())
+    needed = wishes.select("_gram", F.length("_gram").alias("_size")).distinct()
+    # the lengths that occur, at most GRAM + 1, in one row
+    sized = rows.join(F.broadcast(needed.agg(F.collect_set("_size").alias("_sizes"))))
+    runs = lambda text: F.flatten(F.transform(F.filter("_sizes", lambda n: n <= F.length(text)), lambda n: F.when(n == 0, F.array(F.lit(""))).otherwise(_runs(F.col(text), n))))
+    postings = sized.withColumn("_gram", F.explode(F.array_distinct(F.concat(*[runs(t) for t in texts])))).drop("_sizes")
+    postings = settle(postings.join(needed.select("_gram"), "_gram", "left_semi"))
+    counts = postings.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = wishes.join(counts, "_gram", "left").groupBy("words").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+    return wanted.join(rarest, "words").join(postings, "_gram").drop("_gram")
+
+
+def search_requests(instruments: DataFrame, requests: DataFrame, limit: int = 20) -> DataFrame:
+    """``search`` for a table of requests ``request_id, query, kind, all_words`` at once: the instruments with ``request_id, rank``.
+
+    All requests share one index of character runs over the search keys. An empty query matches every instrument; a null query or kind counts as empty.
+    """
+    typed = instruments.withColumn("type", F.when(F.col("instrument_name") == "EQUITY", "stock").otherwise("index"))
+    query = F.upper(F.coalesce("query", F.lit("")))
+    words = F.when(F.col("all_words"), F.filter(F.split(query, r"\s+"), lambda w: w != "")).otherwise(F.array(query))
+    wanted = requests.select("request_id", words.alias("words"), F.coalesce("kind", F.lit("")).alias("_kind"))
+    met = _candidates(typed.where(~F.col("search_symbol").isin(*RESERVED)), ["search_symbol"], wanted)
+    hit = F.forall("words", lambda w: F.col("search_symbol").contains(w)) & (F.col("_kind").isin("", "all") | (F.col("_kind") == F.col("type")))
+    return _first(met.where(hit).drop("words", "_kind"), limit, "position")
+
+
+def _first(rows: DataFrame, limit: int, *order: str) -> DataFrame:
+    """The first ``limit`` rows of each request; tasks keep no more of theirs before the exchange."""
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(*order)))
+    return ranked.where(F.col("rank") <= limit)
+
+
+def favourites_requests(instruments: DataFrame, requests: DataFrame, limit: int = 20) -> DataFrame:
+    """``search_with_favourites`` for a table of requests: ``request_id, rank, symbol, description, type``, favourites first."""
+    q = F.upper(F.coalesce("query", F.lit("")))
+    offered = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    (q == "") | F.exists(F.array(*[F.lit(w) for w in words]), lambda w: q.contains(w)),
+                    F.struct(F.lit(n).alias("symbol"), F.lit(d).alias("description"), F.lit(t).alias("type")),
+                )
+                for n, d, t, words in FAVOURITES
+            ]
+        )
+    )
+    fixed = requests.select("request_id", F.posexplode(offered).alias("_place", "_f")).select("request_id", F.col("_place").cast("long").alias("_place"), "_f.*")
+    hits = search_requests(instruments, requests.withColumn("all_words", F.lit(False)), limit)
+    hits = hits.select("request_id", (F.col("rank") + len(FAVOURITES)).cast("long").alias("_place"), F.col("search_symbol").alias("symbol"), "description", "type")
+    both = fixed.unionByName(hits.join(fixed.select("request_id", "symbol"), ["request_id", "symbol"], "left_anti"))
+    place = Window.partitionBy("request_id").orderBy("_place")
+    return both.select("request_id", F.row_number().over(place).alias("rank"), "symbol", "description", "type")
+
+
+def rank_requests(instruments: DataFrame, requests: DataFrame, limit: int = 30) -> DataFrame:
+    """``rank_search`` for a table of requests ``request_id, query, exchange, kind``, with ``request_id, rank``; empty or null filters pass all."""
+    q = F.upper(F.coalesce("query", F.lit("")))
+    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
+    wanted = requests.select("request_id", F.array(q).alias("words"), empty("exchange").alias("_exchange"), empty("kind").alias("_kind"))
+    rows = instruments.withColumns({"_name": F.upper("name"), "_text": F.upper("description")})
+    met = _candidates(rows, ["_name", "_text"], wanted).withColumn("_q", F.get("words", F.lit(0)))
+    in_name, in_text = F.expr("instr(_name, _q) - 1"), F.expr("instr(_text, _q) - 1")
+    weight = F.when(F.col("_q") == "", 0).when(in_name >= 0, in_name).otherwise(8000 + in_text)
+    hit = (in_name >= 0) | (in_text >= 0) | (F.col("_q") == "")
+    for filter_, column in (("_exchange", "exchange"), ("_kind", "type")):
+        hit = hit & ((F.col(filter_) == "") | (F.col(filter_) == F.col(column)))
+    ranked = _first(met.where(hit).withColumn("weight", weight), limit, "weight", "position")
+    return ranked.select(
+        "request_id", "rank", F.col("name").alias("symbol"), F.concat("exchange", F.lit(":"), "name").alias("full_name"), "description", "exchange", "type", "weight"
+    )
+
+
 def lookup_instrument(instruments: DataFrame, symbol: str) -> DataFrame:
     """First instrument with exactly this search key, with the request segment."""
     index = F.col("instrument_name") == "INDEX"
