@@ -115,6 +115,39 @@ def r4_hierarchy_steps(spark, sf):
     return replay(inputs.hourly(spark, sf), "r4h", lambda bars: run_study("angular_coverage", bars)).drop("batch_id")
 
 
+def with_heartbeat(bars):
+    """Bars and, far behind the last, a row with only symbol and time: it moves the watermark past all that is held."""
+    beat = bars.groupBy("symbol").agg((F.max("epoch") + 400 * 86400).alias("epoch"))
+    return bars.unionByName(beat, allowMissingColumns=True)
+
+
+@query("r4_late_pivots", with_sql(ALTERNATE_SQL, "SELECT symbol, bar_index, epoch, type, price, confirm_index FROM conf"))
+def r4_late_pivots(spark, sf):
+    """The oldest slice comes after the middle one, and pivots are those of the bars in order."""
+    bars = with_heartbeat(inputs.hourly(spark, sf))
+    return replay(bars, "r4l", lambda stream: stateful.pivot_steps(stream, delay="20 days"), order=(1, 0, 2)).drop("batch_id")
+
+
+@query(
+    "r4_late_hierarchy",
+    with_sql(
+        HIERARCHY_SQL,
+        """SELECT symbol, epoch, bar_index, context, o_epoch AS origin_epoch, anchor.epoch AS anchor_epoch,
+       f0.epoch AS outer_from, n0.epoch AS outer_to, list_transform(inner_l, lambda p : p.epoch) AS inner_from FROM tree""",
+    ),
+)
+def r4_late_hierarchy(spark, sf):
+    bars = with_heartbeat(inputs.hourly(spark, sf))
+    return replay(bars, "r4lh", lambda stream: run_study("angular_coverage", stream, delay="20 days"), order=(1, 0, 2)).drop("batch_id")
+
+
+@query("r3_late_steps", DEFAULT_RULES_SQL + "SELECT symbol, epoch, bar_index, action, reason FROM ac")
+def r3_late_steps(spark, sf):
+    bars = with_heartbeat(inputs.hourly(spark, sf))
+    out = replay(bars, "r3l", lambda stream: stateful.strategy_steps(stream, delay="20 days"), order=(1, 0, 2))
+    return out.select("symbol", "epoch", "bar_index", "action", "reason")
+
+
 @query(
     "r5_position_steps",
     with_sql(

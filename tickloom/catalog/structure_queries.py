@@ -353,6 +353,36 @@ def j16_confluence(spark, sf):
     return met.select("symbol", "a_fan_id", "b_fan_id", "a_fraction", "b_fraction")
 
 
+@query(
+    "j16_zones",
+    with_sql(
+        FANS_SQL
+        + """, lf AS (SELECT * FROM fn QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY drawn_index DESC, fan_id DESC) <= 5),
+fl AS (SELECT l.symbol, l.fan_id, l.fraction, (end_price - start_price) / greatest(1, end_time - start_time) AS m, start_price AS p, start_time AS t
+       FROM lines l JOIN lf ON lf.symbol = l.symbol AND lf.fan_id = l.fan_id WHERE fraction IS NOT NULL),
+cr AS (SELECT a.symbol, a.fan_id AS a_fan_id, b.fan_id AS b_fan_id, a.fraction AS a_fraction, b.fraction AS b_fraction,
+              (b.p - a.p + b.m * (a.t - b.t)) / (a.m - b.m) AS after, a.t + after AS time, a.p + a.m * after AS price
+       FROM fl a JOIN fl b ON a.symbol = b.symbol AND a.fan_id < b.fan_id AND a.m <> b.m),
+nc AS (SELECT * FROM cr WHERE time BETWEEN 1704067200 AND 1709251200),
+st AS (SELECT *, sum(late) OVER (PARTITION BY symbol ORDER BY time, price, a_fan_id, b_fan_id, a_fraction, b_fraction) AS stretch
+  FROM (SELECT *, CASE WHEN time - lag(time) OVER (PARTITION BY symbol ORDER BY time, price, a_fan_id, b_fan_id, a_fraction, b_fraction) <= 21600 THEN 0 ELSE 1 END AS late FROM nc)),
+zn AS (SELECT *, sum(apart) OVER (PARTITION BY symbol ORDER BY stretch, price, time, a_fan_id, b_fan_id, a_fraction, b_fraction) AS zone
+  FROM (SELECT *, CASE WHEN lag(stretch) OVER w = stretch AND price - lag(price) OVER w <= abs(lag(price) OVER w) * 5.0 / 100 THEN 0 ELSE 1 END AS apart FROM st
+        WINDOW w AS (PARTITION BY symbol ORDER BY stretch, price, time, a_fan_id, b_fan_id, a_fraction, b_fraction))),
+sg AS (SELECT symbol, zone, count(DISTINCT (a_fan_id, b_fan_id)) AS strength FROM zn GROUP BY 1, 2)""",
+        """SELECT z.symbol, a_fan_id, b_fan_id, a_fraction, b_fraction, round(time, 1) AS time, round(price, 4) AS price, z.zone, strength, strength > 1 AS confluent
+FROM zn z JOIN sg ON sg.symbol = z.symbol AND sg.zone = z.zone""",
+    ),
+)
+def j16_zones(spark, sf):
+    """Crossings from the first bar to a month after the last, in zones of 6 hours and 5 %."""
+    _, out = tree(spark, sf)
+    met = H.confluence(settle(H.fans(out))).where(F.col("time").between(1704067200, 1709251200))
+    zones = H.confluence_zones(settle(met), 6 * 3600, 5.0)
+    found = zones.select("symbol", "a_fan_id", "b_fan_id", "a_fraction", "b_fraction", "time", "price", "zone", "strength", "confluent")
+    return rounded(rounded(found, "time", places=1), "price", places=4)
+
+
 SETUP_SQL = (
     PAIRS_SQL
     + """, su AS (SELECT *, greatest(1, abs(second.bar_index - first.bar_index)) AS db,

@@ -257,9 +257,9 @@ def time_squares(lines: DataFrame, steps: int = 3) -> DataFrame:
 
 
 def confluence(lines: DataFrame, last_fans: int = 5) -> DataFrame:
-    """Crossings of fraction lines of two different fans among each symbol's ``last_fans`` newest fans.
+    """Crossings of fraction lines of two different fans among each symbol's ``last_fans`` newest fans, with ``time`` and ``price``.
 
-    The rank limit leaves at most ``last_fans`` fans per symbol, so the self-join is bounded.
+    The rank limit leaves at most ``last_fans`` fans per symbol, so the self-join is bounded. Times are solved from the first line's start, since epochs are large against the slopes.
     """
     newest = Window.partitionBy("symbol").orderBy(F.col("drawn_index").desc(), F.col("fan_id").desc())
     fan = lines.where(F.col("fraction").isNotNull()).groupBy("symbol", "fan_id", "drawn_index").agg(
@@ -268,8 +268,25 @@ def confluence(lines: DataFrame, last_fans: int = 5) -> DataFrame:
     fan = fan.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= last_fans)
     flat = fan.select("symbol", "fan_id", F.inline("l"))
     slope = (F.col("end_price") - F.col("start_price")) / F.greatest(F.lit(1), F.col("end_time") - F.col("start_time"))
-    flat = flat.withColumn("m", slope).withColumn("c", F.col("start_price") - F.col("m") * F.col("start_time"))
-    side = lambda t: flat.select("symbol", *[F.col(n).alias(f"{t}_{n}") for n in ("fan_id", "fraction", "m", "c")])
+    flat = flat.withColumns({"m": slope, "p": F.col("start_price"), "t": F.col("start_time")})
+    side = lambda s: flat.select("symbol", *[F.col(n).alias(f"{s}_{n}") for n in ("fan_id", "fraction", "m", "p", "t")])
     met = side("a").join(side("b"), "symbol").where((F.col("a_fan_id") < F.col("b_fan_id")) & (F.col("a_m") != F.col("b_m")))
-    time = (F.col("b_c") - F.col("a_c")) / (F.col("a_m") - F.col("b_m"))
-    return met.withColumn("time", time).withColumn("price", F.col("a_m") * F.col("time") + F.col("a_c"))
+    after = (F.col("b_p") - F.col("a_p") + F.col("b_m") * (F.col("a_t") - F.col("b_t"))) / (F.col("a_m") - F.col("b_m"))
+    return met.withColumns({"time": F.col("a_t") + after, "price": F.col("a_p") + F.col("a_m") * after})
+
+
+def confluence_zones(crossings: DataFrame, seconds: int, percent: float) -> DataFrame:
+    """Crossings with the zone they form: ``zone`` (from 1 per symbol), its ``strength`` in fan pairs, and whether it is ``confluent`` (two pairs or more).
+
+    A sweep in time order opens a new stretch after a gap of more than ``seconds``; a sweep over the prices of a stretch opens a new zone after a gap of more than ``percent`` of
+    the price below. Zones count by time, then price. A symbol's crossings are bounded by its newest fans.
+    """
+    swept = Window.partitionBy("symbol").orderBy("time", "price", "a_fan_id", "b_fan_id", "a_fraction", "b_fraction")
+    late = F.coalesce(F.col("time") - F.lag("time").over(swept) > seconds, F.lit(True))
+    rows = crossings.withColumn("_late", late.cast("int")).withColumn("_stretch", F.sum("_late").over(swept.rowsBetween(Window.unboundedPreceding, 0)))
+    across = Window.partitionBy("symbol").orderBy("_stretch", "price", "time", "a_fan_id", "b_fan_id", "a_fraction", "b_fraction")
+    same = F.lag("_stretch").over(across) == F.col("_stretch")
+    apart = ~F.coalesce(same & (F.col("price") - F.lag("price").over(across) <= F.abs(F.lag("price").over(across)) * percent / 100), F.lit(False))
+    rows = rows.withColumn("_apart", apart.cast("int")).withColumn("zone", F.sum("_apart").over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    pairs = rows.groupBy("symbol", "zone").agg(F.count_distinct("a_fan_id", "b_fan_id").alias("strength"))
+    return rows.drop("_late", "_stretch", "_apart").join(pairs, ["symbol", "zone"]).withColumn("confluent", F.col("strength") > 1)

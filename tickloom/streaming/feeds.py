@@ -68,9 +68,14 @@ def write_latest(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWri
         spark = batch.sparkSession
         kind = "symbol string, epoch long"
         known = spark.read.schema(kind).parquet(f"{memory}/batch_id={batch_id - 1}") if batch_id else spark.createDataFrame([], kind)
-        latest_bars(batch, known).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        seen = batch.select("symbol", "epoch").union(known).groupBy("symbol").agg(F.max("epoch").alias("epoch"))
-        seen.write.mode("overwrite").parquet(f"{memory}/batch_id={batch_id}")
+        # two writes read the batch; its stateful part must run once
+        batch.persist()
+        try:
+            latest_bars(batch, known).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            seen = batch.select("symbol", "epoch").union(known).groupBy("symbol").agg(F.max("epoch").alias("epoch"))
+            seen.write.mode("overwrite").parquet(f"{memory}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
 

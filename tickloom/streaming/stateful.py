@@ -38,6 +38,7 @@ class _JsonState(StatefulProcessor):
     """A processor whose whole memory is one JSON value per key; ``advance`` maps sorted rows to rows."""
 
     order = "epoch"
+    keys: tuple[str, ...] = ("symbol",)
     columns: tuple[str, ...] = ()
 
     def init(self, handle) -> None:
@@ -54,6 +55,56 @@ class _JsonState(StatefulProcessor):
         pass
 
 
+class OrderedSteps(StatefulProcessor):
+    """Steps over bars that arrive out of order: held in time buckets until the watermark has passed them, then advanced bucket by bucket.
+
+    State per key is one map entry per bucket that still waits, the memory of the steps, and a timer per bucket; input is taken frame by frame and no more than a
+    bucket is in memory. Rows in which all but key and time are null only move the watermark on. Rows later than the watermark are dropped by Spark, so a result is that of the
+    rows in order as long as none is later than the delay.
+    """
+
+    def __init__(self, steps: _JsonState, bucket_seconds: int):
+        self._steps, self._size = steps, bucket_seconds
+
+    def init(self, handle) -> None:
+        self._handle = handle
+        self._memory = handle.getValueState("memory", "json string")
+        self._held = handle.getMapState("held", "bucket long", "json string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        time = self._steps.order
+        for frame in rows:
+            frame = frame.drop(columns=["ts_"])
+            values = [c for c in frame.columns if c != time and c not in self._steps.keys]
+            frame = frame.dropna(subset=values, how="all")
+            for bucket, own in frame.groupby(frame[time] // self._size):
+                at = (int(bucket),)
+                held = json.loads(self._held.getValue(at)[0]) if self._held.containsKey(at) else None
+                if held is None:
+                    self._handle.registerTimer((int(bucket) + 1) * self._size * 1000)
+                    held = {c: [] for c in own.columns}
+                for c in own.columns:
+                    held[c].extend(own[c].tolist())
+                self._held.updateValue(at, (json.dumps(held),))
+        yield pd.DataFrame([], columns=list(self._steps.columns))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs()
+        due = sorted(k[0] for k in self._held.keys() if (k[0] + 1) * self._size * 1000 <= passed)
+        memory = json.loads(self._memory.get()[0]) if self._memory.exists() else None
+        for bucket in due:
+            batch = pd.DataFrame(json.loads(self._held.getValue((bucket,))[0])).sort_values(self._steps.order, kind="stable")
+            memory, out = self._steps.advance(key, batch, memory)
+            self._held.removeKey((bucket,))
+            if out:
+                yield pd.DataFrame(out, columns=list(self._steps.columns))
+        if due:
+            self._memory.update((json.dumps(memory),))
+
+    def close(self) -> None:
+        pass
+
+
 class EmaSteps(_JsonState):
     """Alert-candle breakout, bar by bar: average, previous bar, alerts and position are the memory."""
 
@@ -163,6 +214,7 @@ class HierarchySteps(_JsonState):
 class PositionSteps(_JsonState):
     """Open position per (session, symbol, strategy): entries open it, exits book exit - entry."""
 
+    keys = ("session", "symbol", "strategy")
     columns = ("session", "symbol", "strategy", "epoch", "price", "label", "pnl")
 
     def advance(self, key, batch, memory):
@@ -188,23 +240,32 @@ class ProgressSteps(_JsonState):
         return {"epoch": max(now, reached)}, [(key[0], reached, now)] if now > reached else []
 
 
-def run_steps(stream: DataFrame, keys: list[str], steps: StatefulProcessor, schema: str) -> DataFrame:
-    """Apply a processor per key; needs the RocksDB state store (``use_rocksdb``)."""
-    return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=steps, outputStructType=schema, outputMode="append", timeMode="none"
+def run_steps(stream: DataFrame, keys: list[str], steps: _JsonState, schema: str, delay: str | None = None, bucket_seconds: int = 86400) -> DataFrame:
+    """Apply a processor per key; needs the RocksDB state store (``use_rocksdb``).
+
+    With a ``delay`` bars may come out of order by as much: they are held in buckets of ``bucket_seconds`` until the watermark passes (``OrderedSteps``), so results
+    come that much later. Without one, rows of a key must come in time order.
+    """
+    if delay is None:
+        return stream.groupBy(*keys).transformWithStateInPandas(
+            statefulProcessor=steps, outputStructType=schema, outputMode="append", timeMode="none"
+        )
+    timed = stream.withColumn("ts_", F.timestamp_seconds(steps.order)).withWatermark("ts_", delay)
+    return timed.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=OrderedSteps(steps, bucket_seconds), outputStructType=schema, outputMode="append", timeMode="eventTime"
     )
 
 
-def strategy_steps(bars: DataFrame, params: EmaBreakout = EmaBreakout()) -> DataFrame:
-    return run_steps(bars, ["symbol"], EmaSteps(params), STEP_SCHEMA)
+def strategy_steps(bars: DataFrame, params: EmaBreakout = EmaBreakout(), delay: str | None = None) -> DataFrame:
+    return run_steps(bars, ["symbol"], EmaSteps(params), STEP_SCHEMA, delay)
 
 
-def pivot_steps(bars: DataFrame, left: int = 5, right: int = 5) -> DataFrame:
-    return run_steps(bars, ["symbol"], PivotSteps(left, right), PIVOT_SCHEMA)
+def pivot_steps(bars: DataFrame, left: int = 5, right: int = 5, delay: str | None = None) -> DataFrame:
+    return run_steps(bars, ["symbol"], PivotSteps(left, right), PIVOT_SCHEMA, delay)
 
 
-def hierarchy_steps(bars: DataFrame, left: int = 5, right: int = 5) -> DataFrame:
-    return run_steps(bars, ["symbol"], HierarchySteps(left, right), HIERARCHY_STEP_SCHEMA)
+def hierarchy_steps(bars: DataFrame, left: int = 5, right: int = 5, delay: str | None = None) -> DataFrame:
+    return run_steps(bars, ["symbol"], HierarchySteps(left, right), HIERARCHY_STEP_SCHEMA, delay)
 
 
 def position_steps(signals: DataFrame) -> DataFrame:
