@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.catalog import inputs
-from tickloom.catalog.inputs import DAILY_SQL, HOURLY_SQL, INDEXED_SQL, rounded
+from tickloom.catalog.inputs import DAILY_SQL, HOURLY_SQL, INDEXED_SQL, TICKS_SQL, rounded
 from tickloom.catalog.registry import query, with_sql
 from tickloom.operators import bars as B
 from tickloom.operators import indicators as I
@@ -40,6 +40,24 @@ def a1_resample_hourly(spark, sf):
     return inputs.hourly(spark, sf).select("symbol", "epoch", "open", "high", "low", "close", "volume")
 
 
+RESOLUTIONS = (3600, 3 * 3600, 86400)
+
+
+@query(
+    "a1_all_resolutions",
+    with_sql(
+        TICKS_SQL,
+        " UNION ALL ".join(
+            f"""(SELECT symbol, {r} AS seconds, CAST(floor(epoch / {r}.0) * {r} AS BIGINT) AS epoch, arg_min(price, ts) AS open, max(price) AS high, min(price) AS low,
+       arg_max(price, ts) AS close, sum(volume) AS volume FROM ticks GROUP BY 1, 3)"""
+            for r in RESOLUTIONS
+        ),
+    ),
+)
+def a1_all_resolutions(spark, sf):
+    return B.resample_all(inputs.ticks(spark, sf), RESOLUTIONS, ("ts",)).select("symbol", "seconds", "epoch", "open", "high", "low", "close", "volume")
+
+
 @query(
     "a1_resample_daily",
     with_sql(

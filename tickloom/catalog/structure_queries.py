@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.catalog import inputs
 from tickloom.catalog.indicator_queries import STREAK_SQL
-from tickloom.catalog.inputs import INDEXED_SQL, rounded
+from tickloom.catalog.inputs import HOURLY_SQL, INDEXED_SQL, rounded
 from tickloom.catalog.registry import query, with_sql
 from tickloom.functions import geometry as geo
 from tickloom.operators import hierarchy as H
@@ -551,28 +551,34 @@ def g18_study_geometry(spark, sf):
     return rounded(out, "price", "end_price")
 
 
-# bars with the lines around them, confirmed breaches and reversal signs, for two confirmations and a tolerance of 10 %
-ANGLE_LEVELS_SQL = (
-    SETUP_SQL
-    + ", "
-    + STREAK_SQL.format(src="ib")
-    + """, pt AS (SELECT s.symbol, s.bar_index, s.epoch, s.close, s.high, s.low, s.up_streak, s.down_streak,
+def angle_levels_sql(confirmations: int = 2, wicks: bool = False) -> str:
+    """Bars with the lines around them, confirmed breaches and reversal signs, for a tolerance of 10 %."""
+    n = confirmations
+    touched = " OR low <= line AND line <= high" if wicks else ""
+    return (
+        SETUP_SQL
+        + ", "
+        + STREAK_SQL.format(src="ib")
+        + f""", pt AS (SELECT s.symbol, s.bar_index, s.epoch, s.close, s.high, s.low, s.up_streak, s.down_streak,
   coalesce((high - low > 0 AND abs(close - open) <= 0.1 * (high - low))
     OR (abs(close - open) > 0 AND (high - greatest(open, close) >= 2.0 * abs(close - open) OR least(open, close) - low >= 2.0 * abs(close - open)))
     OR (lag(close) OVER w < lag(open) OVER w AND close > open AND open <= lag(close) OVER w AND close >= lag(open) OVER w)
     OR (lag(close) OVER w > lag(open) OVER w AND close < open AND open >= lag(close) OVER w AND close <= lag(open) OVER w), false) AS pattern
   FROM st s WINDOW w AS (PARTITION BY symbol ORDER BY epoch)),
 rc AS (SELECT *, min(low) OVER two AS recent_low, max(high) OVER two AS recent_high, bool_or(pattern) OVER three AS shown FROM pt
-  WINDOW two AS (PARTITION BY symbol ORDER BY epoch ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), three AS (PARTITION BY symbol ORDER BY epoch ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
-onl AS (SELECT r.symbol, r.epoch, r.close, l.start_price + (l.end_price - l.start_price) * (r.epoch - l.start_time) / (l.end_time - l.start_time)::DOUBLE AS line
+  WINDOW two AS (PARTITION BY symbol ORDER BY epoch ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), three AS (PARTITION BY symbol ORDER BY epoch ROWS BETWEEN {n} PRECEDING AND CURRENT ROW)),
+onl AS (SELECT r.symbol, r.epoch, r.close, r.low, r.high, l.start_price + (l.end_price - l.start_price) * (r.epoch - l.start_time) / (l.end_time - l.start_time)::DOUBLE AS line
   FROM rc r JOIN ln l ON l.symbol = r.symbol AND r.epoch >= l.start_time),
 lv AS (SELECT symbol, epoch, min(line) FILTER (line > close) AS next_up, max(line) FILTER (line < close) AS next_down,
   arg_min(line, close - line) FILTER (reached AND close > line) AS broke_up, arg_min(line, line - close) FILTER (reached AND close < line) AS broke_down, bool_or(reached) AS at_line
-  FROM (SELECT *, abs(close - line) <= abs(line * 10.0 / 100) AS reached FROM onl) GROUP BY symbol, epoch),
-ls AS (SELECT r.*, next_up, next_down, CASE WHEN up_streak >= 2 THEN broke_up END AS bu, CASE WHEN down_streak >= 2 THEN broke_down END AS bd,
-  CASE WHEN at_line AND shown AND up_streak >= 2 THEN 1 WHEN at_line AND shown AND down_streak >= 2 THEN -1 END AS turn
+  FROM (SELECT *, (abs(close - line) <= abs(line * 10.0 / 100){touched}) AS reached FROM onl) GROUP BY symbol, epoch),
+ls AS (SELECT r.*, next_up, next_down, CASE WHEN up_streak >= {n} THEN broke_up END AS bu, CASE WHEN down_streak >= {n} THEN broke_down END AS bd,
+  CASE WHEN at_line AND shown AND up_streak >= {n} THEN 1 WHEN at_line AND shown AND down_streak >= {n} THEN -1 END AS turn
   FROM rc r LEFT JOIN lv ON lv.symbol = r.symbol AND lv.epoch = r.epoch)"""
-)
+    )
+
+
+ANGLE_LEVELS_SQL = angle_levels_sql()
 
 
 def angle_walk_sql(name: str, mode: str) -> str:
@@ -636,6 +642,35 @@ def g20_angle_trades(spark, sf):
     return rounded(angle_sweep(bars, settle(studies.angle_setups(bars)), grid), "total_pnl")
 
 
+TIMEFRAMES = (3600, 7200, 14400)
+ANGLE_GRID = [(n, wicks) for n in (1, 2, 3) for wicks in (False, True)]
+
+
+def timeframe_sql(confirmations: int, wicks: bool) -> str:
+    """Totals of one parameter set over the bars of all timeframes, each symbol and timeframe a series of its own."""
+    one = HOURLY_SQL.split(", bars AS (")[1]
+    assert HOURLY_SQL.endswith(one) and "3600" in one
+    each = " UNION ALL ".join(
+        "(" + one.removesuffix(")").replace("3600.0", f"{r}.0").replace("* 3600", f"* {r}").replace("SELECT symbol,", f"SELECT symbol || '@{r}' AS symbol,").replace("GROUP BY 1, 2", f"GROUP BY ticks.symbol, 2") + ")"
+        for r in TIMEFRAMES
+    )
+    parts = (angle_levels_sql(confirmations, wicks) + ", " + angle_walk_sql("wk", "partial")).replace(one, each + ")")
+    result = "CASE WHEN action = 'exit_long' THEN 1 ELSE -1 END * (price - paid) * weight"
+    return f"""(WITH RECURSIVE {parts} SELECT split_part(symbol, '@', 1) AS symbol, CAST(split_part(symbol, '@', 2) AS INTEGER) AS seconds, '{confirmations}_{wicks}' AS param_id,
+  count(*) AS exits, count(*) FILTER ({result} > 0) AS wins, round(sum({result}), 6) AS total_pnl FROM wk WHERE starts_with(action, 'exit') GROUP BY ALL)"""
+
+
+@query("g21_timeframe_sweep", " UNION ALL ".join(timeframe_sql(*p) for p in ANGLE_GRID))
+def g21_timeframe_sweep(spark, sf):
+    """Three timeframes, one to three confirming closes, and breaches by close or by wick, from one pass over the ticks."""
+    from tickloom.plans.angles import AngleTrading
+    from tickloom.plans.sweep import timeframe_sweep
+
+    grid = {f"{n}_{wicks}": AngleTrading(confirmations=n, tolerance=10.0, use_wicks=wicks) for n, wicks in ANGLE_GRID}
+    out = timeframe_sweep(inputs.ticks(spark, sf), TIMEFRAMES, grid, order=("ts",))
+    return rounded(out.select("symbol", "seconds", "param_id", "exits", "wins", "total_pnl"), "total_pnl")
+
+
 @query(
     "t5_first_inner_pairs",
     with_sql(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.blocks import index_rows
+from tickloom.session import settle
 
 OHLCV = ("open", "high", "low", "close", "volume")
 
@@ -50,6 +51,30 @@ def rebar(bars: DataFrame, seconds: int) -> DataFrame:
     )
 
 
+def resample_all(ticks: DataFrame, resolutions: tuple[int, ...], order: tuple[str, ...] = ("epoch",)) -> DataFrame:
+    """Bars of several resolutions from one pass over the ticks: ``symbol, seconds, epoch`` and OHLCV.
+
+    The finest bars are made from the ticks and written once; all others are rolled up from them together, since first, last, highest, lowest and sum of parts
+    merge. Every resolution must be a multiple of the finest.
+    """
+    finest = min(resolutions)
+    if any(r % finest for r in resolutions):
+        raise ValueError("every resolution must be a multiple of the finest")
+    fine = settle(resample(ticks, finest, order))
+    each = fine.withColumn("seconds", F.explode(F.array(*[F.lit(r) for r in resolutions])))
+    return (
+        each.groupBy("symbol", "seconds", F.expr("epoch - pmod(epoch, seconds)").alias("bucket"))
+        .agg(
+            F.min_by("open", "epoch").alias("open"),
+            F.max("high").alias("high"),
+            F.min("low").alias("low"),
+            F.max_by("close", "epoch").alias("close"),
+            F.sum("volume").alias("volume"),
+        )
+        .withColumnRenamed("bucket", "epoch")
+    )
+
+
 def dedupe_bars(bars: DataFrame, tiebreak: tuple[str, ...], keys: tuple[str, ...] = ("symbol", "epoch")) -> DataFrame:
     """Keep one row per key: the first by ``tiebreak``. An aggregate, so copies combine map-side."""
     rest = [c for c in bars.columns if c not in keys]

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.operators.bars import resample_all, with_bar_index
 from tickloom.operators.ledger import close_at_end, trade_metrics, trades
+from tickloom.plans.angles import AngleTrading, angle_sweep
 from tickloom.plans.strategies import EmaBreakout, ema_signals
+from tickloom.plans.studies import angle_setups
+from tickloom.session import settle
 
 
 def sweep(bars: DataFrame, grid: dict[str, EmaBreakout], mode: str = "all_closed") -> DataFrame:
@@ -28,6 +32,19 @@ def sweep(bars: DataFrame, grid: dict[str, EmaBreakout], mode: str = "all_closed
     )
 
 
+def timeframe_sweep(ticks: DataFrame, resolutions: tuple[int, ...], grid: dict[str, AngleTrading], lookback: int = 10, order: tuple[str, ...] = ("epoch",)) -> DataFrame:
+    """``angle_sweep`` over several timeframes: exits, wins and result per symbol, ``seconds`` and parameter set.
+
+    The ticks are read once (``resample_all``); from there on a symbol at a resolution is a series of its own, and all timeframes share one plan.
+    """
+    series = F.concat_ws("@", "symbol", "seconds")
+    bars = resample_all(ticks, resolutions, order).withColumn("symbol", series).drop("seconds")
+    bars = settle(with_bar_index(settle(bars)))
+    found = angle_sweep(bars, settle(angle_setups(bars, lookback)), grid)
+    seconds = F.substring_index("symbol", "@", -1)
+    return found.withColumns({"seconds": seconds.cast("int"), "symbol": F.expr("substring(symbol, 1, length(symbol) - length(substring_index(symbol, '@', -1)) - 1)")})
+
+
 def ledger_columns() -> list[str]:
     return [
         "total_trades", "completed_trades", "wins", "losses", "total_pnl", "win_rate", "avg_win", "avg_loss",
