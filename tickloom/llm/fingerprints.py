@@ -28,8 +28,9 @@ _SHIFT = keyed(102, PERMUTATIONS)
 _BLOCK = 1 << 14
 #: Bytes of text worked on at once.
 PART_BYTES = 4 << 20
-#: Rounds in which the members of a list are compared with one of them.
-RARE_ROUNDS = 2
+#: Rounds at most in which the members of a list are compared with one of them, and the pairs for each entry of a list that are compared without further rounds.
+RARE_ROUNDS = 12
+MOST_PAIRS = 1000
 #: Bits of the map of ids whose texts are compared, as a power of two; its size never depends on the data.
 _BITMAP_BITS = 24
 
@@ -61,9 +62,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(1)
 
 
-def hex_texts(signs: np.ndarray) -> pa.Array:
-    """Fingerprints as lowercase hexadecimal text, four digits per permutation."""
-    return pa.array([x.astype(">u2").tobytes().hex() for x in signs], pa.string())
+def raw_signs(signs: np.ndarray) -> pa.Array:
+    """Fingerprints as bytes, two per permutation."""
+    return pa.array([x.astype(">u2").tobytes() for x in signs], pa.binary())
 
 
 def _peeks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,14 +105,14 @@ def _fingerprinted(size: int):
         edited = pa.array([t[: len(t) - h] + f[:h] for t, h, f in zip(texts, halves, following, strict=True)], pa.string())
         own = signatures(pa.array([*texts, following[-1]], pa.string()), size)
         other = signatures(edited, size)
-        digests = [hashlib.sha256(x.encode()).hexdigest() for x in edited.to_pylist()]
+        digests = [hashlib.sha256(x.encode()).digest() for x in edited.to_pylist()]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 pa.array([len(t) for t in texts], pa.int64()),
-                pa.array(digests, pa.string()),
-                hex_texts(own[:-1]),
-                hex_texts(other),
+                pa.array(digests, pa.binary()),
+                raw_signs(own[:-1]),
+                raw_signs(other),
                 pa.array(likeness(own[:-1], other)),
                 pa.array(likeness(own[:-1], own[1:])),
             ],
@@ -140,6 +141,11 @@ def _fingerprinted(size: int):
     return run
 
 
+def _shown(rows: DataFrame) -> DataFrame:
+    """Digests and fingerprints as lowercase hexadecimal text, four digits per permutation; until here they travel as bytes."""
+    return rows.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
+
+
 def fingerprint_documents(docs: DataFrame, size: int = 5) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness and that to the next document.
 
@@ -152,6 +158,10 @@ def fingerprint_documents(docs: DataFrame, size: int = 5) -> DataFrame:
     The texts are shuffled once, by ranges whose first rows were found on the ids alone; each range also receives the first row of
     the next one, so every row meets its successor within a task.
     """
+    return _shown(_fingerprints(docs, size))
+
+
+def _fingerprints(docs: DataFrame, size: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"))
     ranges = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col("doc_id").desc_nulls_last(), F.col("mark")]
@@ -159,7 +169,7 @@ def fingerprint_documents(docs: DataFrame, size: int = 5) -> DataFrame:
     bounds = sorted({_key(r["doc_id"], r["mark"]) for r in heads})
     dealt = docs.mapInArrow(_dealt(bounds), "doc_id long, text string, mark long, part int, peek boolean")
     sorted_rows = dealt.repartitionById(max(1, len(bounds)), "part").sortWithinPartitions("part", "peek", *order)
-    kind = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    kind = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
     return sorted_rows.mapInArrow(_fingerprinted(size), kind)
 
 
@@ -234,17 +244,19 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame
     apart = rest.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d").select("band")
     left = settle(rest.join(apart, "band", "left_semi").select(F.col("doc").alias("doc_id")).distinct())
     if not left.isEmpty():
-        labels = components(_joined_by_rare(texts.join(left.hint("merge"), "doc_id", "left_semi"), texts, links, size, percent))
+        found = _joined_by_rare(texts.join(left.hint("merge"), "doc_id", "left_semi"), texts, labels, size, percent)
+        if not found.isEmpty():
+            labels = components(found.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     for table in (banded, lists, texts):
         drop_table(table)
     return labels
 
 
-def _joined_by_rare(docs: DataFrame, texts: DataFrame, links: DataFrame, size: int, percent: int) -> DataFrame:
-    """The links and those that join any two documents that are alike: such have a shingle in common among their rarest.
+def _joined_by_rare(docs: DataFrame, texts: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links ``a, b`` that join any two of the documents that are alike and not in one component of ``labels``: such have a shingle in common among their rarest.
 
-    In a round every list of a shingle compares its members with one of them, drawn anew, across the components that stand by then. Once the pairs left
-    over are no more than the entries of the lists, or after ``RARE_ROUNDS`` rounds, the rest is compared pair by pair.
+    While the lists of shingles hold more than ``MOST_PAIRS`` pairs across components for each of their entries, every list compares its members with one of them, drawn anew.
+    Then the rest is compared pair by pair; length and place in the lists leave few of them to be verified.
     """
     from tickloom.llm.ngram_join import _checked, _pairs, _prefixes, frequency_sketch
 
@@ -252,15 +264,15 @@ def _joined_by_rare(docs: DataFrame, texts: DataFrame, links: DataFrame, size: i
     entries = docs.select("doc_id", "text").mapInArrow(_prefixes(sketch, size, percent), "gram long, doc long, n long, place long")
     several = F.count("*").over(Window.partitionBy("gram"))
     lists = settle(entries.withColumn("members", several).filter("members > 1").drop("members"))
-    tried = None
+    links, tried = None, None
     for k in range(RARE_ROUNDS + 1):
-        named = lists.join(components(links).withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        named = lists.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         sizes = named.groupBy("gram", "component").agg(F.count("*").alias("m")).groupBy("gram").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm")).filter("m * m > mm")
-        named = settle(named.join(sizes.select("gram", ((F.col("m") * F.col("m") - F.col("mm")) / 2).alias("across")), "gram"))
-        apart = named.select("gram", "across").distinct().agg(F.sum("across")).first()[0]
+        apart, held = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.sum("m")).first()
         if not apart:
             break
-        member, last = F.struct("doc", "n", "place", "component"), k == RARE_ROUNDS or apart <= named.count()
+        named = named.join(sizes.select("gram"), "gram", "left_semi")
+        member, last = F.struct("doc", "n", "place", "component"), k == RARE_ROUNDS or apart <= MOST_PAIRS * held
         if last:
             others = named.select("gram", member.alias("y"))
             both = named.select("gram", member.alias("x")).join(others, "gram").filter("x.doc < y.doc AND x.component <> y.component")
@@ -270,11 +282,13 @@ def _joined_by_rare(docs: DataFrame, texts: DataFrame, links: DataFrame, size: i
         pairs = _pairs(both, percent)
         pairs = settle(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
-        links = links.union(settle(_checked(pairs, texts, size, percent)))
-        drop_table(named)
+        found = settle(_checked(pairs, texts, size, percent))
+        links = found if links is None else links.union(found)
         if last:
             break
-    return links
+        labels = components(found.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    drop_table(lists)
+    return links if links is not None else lists.sparkSession.createDataFrame([], "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
@@ -287,7 +301,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
 
 def fingerprints_with_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """The rows of ``fingerprint_documents`` with the ``class_id`` of ``near_duplicates`` as a further column."""
-    return _classed(fingerprint_documents(docs, size), near_classes(docs, size, percent))
+    return _shown(_classed(_fingerprints(docs, size), near_classes(docs, size, percent)))
 
 
 def _classed(rows: DataFrame, labels: DataFrame) -> DataFrame:
