@@ -12,7 +12,7 @@ SF_DIR = "/root/testdata/sf0.001"
 QUICK = (
     "a1_resample_hourly", "a1_resample_daily", "a2_dedupe_bars", "w2_ema", "w16_candle_patterns", "g2_square_strategy", "g3_ema_breakout",
     "j1_nearest_price_source", "j5_contract_resolution", "f7_chunk_ranges", "x4_expiry_dates", "s3_explode_payload", "m3_components", "m4_image_context",
-    "r2_latest_bars",
+    "r2_latest_bars", "r4_late_pivots", "j16_zones", "f9_search_requests", "g11_pivot_hierarchy_dense", "g3_ema_breakout_dense",
 )
 NAMES = tuple(n for n in entry.oracle_sql() if not n.startswith("op")) if os.environ.get("TICKLOOM_ALL") else QUICK
 

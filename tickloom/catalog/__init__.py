@@ -12,6 +12,7 @@ MODULES = (
     "source_queries",
     "text_queries",
     "stream_queries",
+    "dense_queries",
 )
 
 

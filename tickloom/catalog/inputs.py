@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.operators import blocks
 from tickloom.operators.bars import resample, with_bar_index
 from tickloom.session import settle, prepare
 
@@ -30,8 +35,24 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Seconds of the bars that ``hourly`` gives; dense twins of queries set it to a minute while they are built.
+_seconds = ContextVar("seconds", default=HOUR)
+
+
+@contextmanager
+def dense_bars(block_rows: int = 48) -> Iterator[None]:
+    """Bars of a minute instead of an hour, and blocks so small that a symbol has many, for the queries built inside."""
+    token, rows = _seconds.set(60), blocks.BLOCK_ROWS
+    blocks.BLOCK_ROWS = block_rows
+    try:
+        yield
+    finally:
+        _seconds.reset(token)
+        blocks.BLOCK_ROWS = rows
+
+
 def hourly(spark: SparkSession, sf: str) -> DataFrame:
-    return resample(ticks(spark, sf), HOUR, ("ts",))
+    return resample(ticks(spark, sf), _seconds.get(), ("ts",))
 
 
 def hourly_indexed(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,6 +89,8 @@ HOURLY_SQL = (
   FROM ticks GROUP BY 1, 2)"""
 )
 
+HOUR_SQL, MINUTE_SQL = "floor(epoch / 3600.0) * 3600", "floor(epoch / 60.0) * 60"
+
 INDEXED_SQL = (
     HOURLY_SQL
     + """, ib AS (
