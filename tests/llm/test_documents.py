@@ -94,8 +94,11 @@ def test_band_join_finds_near_duplicates(odd_docs, odd_rows):
     assert found == {i: c for i, c in jaccard_components(odd_rows).items()} | {None: None}
 
 
-def test_band_join_loses_no_link_behind_a_bad_hub(spark):
-    """Two near duplicates whose bands all hold documents of smaller and larger ids that share their passage but are near duplicates of nothing."""
+@pytest.mark.parametrize("most", [fingerprints.MOST_PAIRS, 0])
+def test_band_join_loses_no_link_behind_a_bad_hub(spark, monkeypatch, most):
+    """Two near duplicates whose bands all hold documents of smaller and larger ids that share their passage but are near duplicates of nothing; with and without further rounds."""
+    monkeypatch.setattr(fingerprints, "MOST_PAIRS", most)
+    monkeypatch.setattr(fingerprints, "RARE_ROUNDS", 3)
     rows = []
     for family in range(4):
         passage = prose(1000 * family, 300)

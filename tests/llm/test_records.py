@@ -213,7 +213,7 @@ def test_packing_prefers_lexical_neighbours():
     have = np.ones(100, np.int64)
     docs = [[k, np.array([10 + k % 3, 20 + k % 3, 50 + k, 2], np.uint16), 0] for k in range(12)]
     shard = packing._Shard(docs, have, 12, 4.0)
-    assert {docs[k][0] % 3 for k in shard.neighbours(0)[:4].tolist()} == {0}
+    assert {docs[k][0] % 3 for k in list(shard.neighbours(0))[:4]} == {0}
 
 
 def test_pipeline(spark):

@@ -12,6 +12,7 @@ import pytest
 from llm_rows import CLASHING, words
 from pyspark.sql import functions as F
 
+from tickloom.llm import packing
 from tickloom.llm.byte_bpe import decode, encode, encode_bytes, load_vocabulary, stretches
 from tickloom.llm.divergence import Transducer, divergence
 from tickloom.llm.hard_negatives import Tree, hard_negatives, tile_order
@@ -192,3 +193,19 @@ def test_search_leaves_out_boxes():
     want = sorted(((-int(points[k] @ points[7]), k) for k in range(len(points)) if k != 7))[:5]
     assert [(-s, k) for s, k in zip(scores.tolist(), ids.tolist(), strict=True)] == want
     assert len(opened) < len(pages) / 4
+
+
+def test_a_seed_goes_on_with_its_next_terms():
+    """A seed whose rarest tokens stand alone finds the document that shares its other ones, far off in the shard's order."""
+    size = 5000
+    seed = np.array([*range(100, 160), 7, 8, 9], np.uint16)
+    others = [np.arange(200 + 20 * k, 220 + 20 * k, dtype=np.uint16) for k in range(50)]
+    docs = [[0, seed, 0], *[[1 + k, x, 0] for k, x in enumerate(others)], [99, np.array([9, 8, 7] * 5, np.uint16), 0]]
+    have = np.bincount(np.concatenate([np.unique(x[1]) for x in docs]), minlength=size)
+    shard = packing._Shard(docs, have, len(docs), 20.0)
+    # the seed is used up first
+    shard.left[0] = 0
+    assert list(shard.neighbours(0)) == [len(docs) - 1]
+    docs = [[k, x[1], 0] for k, x in enumerate(docs)]
+    [first] = list(packing._filled(packing._Shard(docs, have, len(docs), 20.0), 1024))[:1]
+    assert [k for k, _, _ in first][:2] == [0, len(docs) - 1]

@@ -30,7 +30,7 @@ from tickloom.session import settle
 
 WINDOW = 4096
 END_ID = 2
-#: Tokens of a shard, and highest-scored terms of a seed that are looked up.
+#: Tokens of a shard, and terms of a seed that are looked up at once.
 SHARD_TOKENS = 1 << 20
 QUERY_TERMS = 12
 #: BM25 saturation and length normalisation.
@@ -212,18 +212,24 @@ class _Shard:
         self.posting_doc, self.posting_weight = doc[order], weight[order]
         self.terms = np.unique(term)
         self.at = np.searchsorted(term[order], np.concatenate((self.terms, [size])))
+        self.shared = np.diff(self.at)[np.searchsorted(self.terms, term)] > 1
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents by falling score for the seed's terms of highest IDF; ties by their order."""
+    def neighbours(self, seed: int) -> Iterator[int]:
+        """Unused documents by falling score for the seed's terms of highest IDF, ties by their order; then those for its next terms, as far as they are asked for.
+
+        Terms that no other document of the shard has are left out.
+        """
         low, high = self.begins[seed], self.begins[seed + 1]
-        top = self.term[low:high][np.argsort(-self.idf[low:high], kind="stable")[:QUERY_TERMS]]
-        scores = np.zeros(len(self.docs))
-        for k in np.searchsorted(self.terms, top).tolist():
-            own = slice(self.at[k], self.at[k + 1])
-            scores[self.posting_doc[own]] += self.posting_weight[own]
-        scores[self.left == 0] = 0
-        found = np.flatnonzero(scores > 0)
-        return found[np.argsort(-scores[found], kind="stable")]
+        terms, idf = self.term[low:high][self.shared[low:high]], self.idf[low:high][self.shared[low:high]]
+        terms = terms[np.argsort(-idf, kind="stable")]
+        for first in range(0, len(terms), QUERY_TERMS):
+            scores = np.zeros(len(self.docs))
+            for k in np.searchsorted(self.terms, terms[first : first + QUERY_TERMS]).tolist():
+                own = slice(self.at[k], self.at[k + 1])
+                scores[self.posting_doc[own]] += self.posting_weight[own]
+            scores[self.left == 0] = 0
+            found = np.flatnonzero(scores > 0)
+            yield from found[np.argsort(-scores[found], kind="stable")].tolist()
 
 
 def _filled(shard: _Shard, window: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -246,7 +252,7 @@ def _filled(shard: _Shard, window: int) -> Iterator[list[tuple[int, int, int]]]:
 
         take(seed)
         if room:
-            for k in shard.neighbours(seed).tolist():
+            for k in shard.neighbours(seed):
                 if not room:
                     break
                 if shard.left[k]:
