@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.catalog import inputs
-from tickloom.catalog.indicator_queries import STREAK_SQL
+from tickloom.catalog.indicator_queries import MOMENTUM_SQL, STREAK_SQL
 from tickloom.catalog.inputs import HOURLY_SQL, INDEXED_SQL, rounded
 from tickloom.catalog.registry import query, with_sql
 from tickloom.functions import geometry as geo
@@ -488,6 +488,119 @@ def g16_angle_events(spark, sf):
     return events(spark, sf).select("symbol", "epoch", "event_type", "pair_type", "angle_name", "price", "direction")
 
 
+LOG_SQL = (
+    EVENTS_SQL
+    + ", "
+    + MOMENTUM_SQL.format(src="ib")
+    + """, cp AS (SELECT symbol, epoch, close, unnest(list_filter([
+    CASE WHEN high - low > 0 AND abs(close - open) <= 0.1 * (high - low) THEN 'doji' END,
+    CASE WHEN abs(close - open) > 0 AND least(open, close) - low >= 2.0 * abs(close - open) AND high - greatest(open, close) <= abs(close - open) THEN 'hammer' END,
+    CASE WHEN abs(close - open) > 0 AND high - greatest(open, close) >= 2.0 * abs(close - open) THEN 'long_upper_wick' END,
+    CASE WHEN abs(close - open) > 0 AND least(open, close) - low >= 2.0 * abs(close - open) THEN 'long_lower_wick' END,
+    CASE WHEN lag(close) OVER w < lag(open) OVER w AND close > open AND open <= lag(close) OVER w AND close >= lag(open) OVER w THEN 'bullish_engulfing' END,
+    CASE WHEN lag(close) OVER w > lag(open) OVER w AND close < open AND open >= lag(close) OVER w AND close <= lag(open) OVER w THEN 'bearish_engulfing' END,
+    CASE WHEN bar_index >= 20 AND volume > 2.0 * avg(volume) OVER v THEN 'volume_spike' END,
+    CASE WHEN close < lag(close, 5) OVER w AND rsi > lag(rsi, 5) OVER w THEN 'bullish_divergence' END,
+    CASE WHEN close > lag(close, 5) OVER w AND rsi < lag(rsi, 5) OVER w THEN 'bearish_divergence' END], lambda x : x IS NOT NULL)) AS pattern
+  FROM rs WINDOW w AS (PARTITION BY symbol ORDER BY epoch), v AS (PARTITION BY symbol ORDER BY epoch ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+mc AS (SELECT *, lag(overall_momentum) OVER (PARTITION BY symbol ORDER BY epoch) AS before FROM mo),
+lg AS (
+  SELECT symbol, epoch, event_type, pair_type, angle_name, price, direction, 'tolerance_percent=5.0' AS details FROM ev WHERE event_type = 'angle_touch'
+  UNION ALL SELECT ev.symbol, ev.epoch, event_type, ev.pair_type, ev.angle_name, price, direction, 'close_count=' || closes FROM ev
+    JOIN nr2 ON nr2.symbol = ev.symbol AND nr2.epoch = ev.epoch AND nr2.pair_type = ev.pair_type AND nr2.angle_name = ev.angle_name WHERE event_type = 'angle_breach'
+  UNION ALL SELECT symbol, epoch, event_type, pair_type, angle_name, price, direction, '' FROM ev WHERE event_type = 'horizontal_touch'
+  UNION ALL SELECT symbol, epoch, 'candle_pattern', NULL, NULL, close, NULL, 'pattern_name=' || pattern FROM cp
+  UNION ALL SELECT symbol, epoch, 'momentum_change', NULL, NULL, close, NULL, 'after=' || overall_momentum || ',before=' || before FROM mc WHERE overall_momentum <> before
+  UNION ALL SELECT symbol, epoch, 'pivot_formed', NULL, NULL, price, NULL, 'pivot_type=' || type FROM raw)"""
+)
+
+
+def logged(spark, sf):
+    bars = inputs.hourly_indexed(spark, sf)
+    return bars, studies.event_log(bars, settle(studies.angle_setups(bars)), tolerance=5.0)
+
+
+def detail_text():
+    return F.array_join(F.array_sort(F.transform(F.map_entries("details"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+
+
+@query(
+    "g16_event_log",
+    with_sql(
+        LOG_SQL,
+        """SELECT lg.symbol, lg.epoch, event_type, pair_type, angle_name, price, direction, details, round(ema_9, 6) AS ema_9, round(rsi, 6) AS rsi, overall_momentum, confidence
+FROM lg JOIN mo ON mo.symbol = lg.symbol AND mo.epoch = lg.epoch""",
+    ),
+)
+def g16_event_log(spark, sf):
+    """Every event with its details and the snapshot of its bar."""
+    _, events = logged(spark, sf)
+    out = events.withColumn("details", detail_text()).select(
+        "symbol", "epoch", "event_type", "pair_type", "angle_name", "price", "direction", "details",
+        "snapshot.ema_9", "snapshot.rsi", "snapshot.overall_momentum", "snapshot.confidence",
+    )
+    return rounded(out, "ema_9", "rsi")
+
+
+@query(
+    "s7_session_log",
+    with_sql(
+        LOG_SQL
+        + """, ty AS (SELECT symbol, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS by_type, sum(n) AS event_count FROM (SELECT symbol, event_type, count(*) AS n FROM lg GROUP BY ALL) GROUP BY 1),
+an AS (SELECT symbol, string_agg(angle_name || '=' || n, ',' ORDER BY angle_name) AS by_angle FROM (SELECT symbol, angle_name, count(*) AS n FROM lg WHERE angle_name IS NOT NULL GROUP BY ALL) GROUP BY 1),
+dr AS (SELECT symbol, count(*) FILTER (direction = 'up') AS up, count(*) FILTER (direction = 'down') AS down, max(price) AS highest FROM lg GROUP BY 1),
+sh AS (SELECT symbol, count(*) AS snapshots, count(rsi) AS with_rsi FROM mo GROUP BY 1)""",
+        """SELECT ty.symbol, 'run 1' AS session_name, CAST(event_count AS BIGINT) AS event_count, by_type, coalesce(by_angle, '') AS by_angle, up, down, highest, snapshots, with_rsi
+FROM ty JOIN dr USING (symbol) JOIN sh USING (symbol) LEFT JOIN an USING (symbol)""",
+    ),
+)
+def s7_session_log(spark, sf):
+    """A session written as JSON and read back: name, counts, statistics with zero counts, events and snapshots."""
+    from tickloom.session import scratch_path
+    from tickloom.sources.files import read_session, write_session
+
+    bars, events = logged(spark, sf)
+    events = settle(events)
+    path = scratch_path(spark, "session")
+    write_session(path, "run 1", events, studies.indicator_snapshots(bars), studies.session_statistics(events))
+    counts = "map<string,bigint>"
+    schema = f"symbol string, session_name string, event_count long, statistics struct<events_by_type:{counts},events_by_angle:{counts},breach_directions:{counts}>"
+    head = read_session(spark, path, "session", schema)
+    priced = read_session(spark, path, "events", "symbol string, price double").groupBy("symbol").agg(F.max("price").alias("highest"))
+    shots = read_session(spark, path, "indicator_snapshots", "symbol string, rsi double").groupBy("symbol").agg(F.count(F.lit(1)).alias("snapshots"), F.count("rsi").alias("with_rsi"))
+    text = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",")
+    out = head.join(priced, "symbol").join(shots, "symbol")
+    return out.select(
+        "symbol", "session_name", "event_count", text("statistics.events_by_type").alias("by_type"), text("statistics.events_by_angle").alias("by_angle"),
+        F.col("statistics.breach_directions")["up"].alias("up"), F.col("statistics.breach_directions")["down"].alias("down"), "highest", "snapshots", "with_rsi",
+    )
+
+
+@query(
+    "s7_csv_union",
+    with_sql(
+        LOG_SQL,
+        """SELECT symbol, epoch, event_type, price, CASE WHEN starts_with(details, 'close_count=') THEN substr(details, 13) END AS detail_close_count,
+  CASE WHEN starts_with(details, 'pattern_name=') THEN substr(details, 14) END AS detail_pattern_name, CASE WHEN starts_with(details, 'pivot_type=') THEN substr(details, 12) END AS detail_pivot_type,
+  'after,before,close_count,pattern_name,pivot_type,tolerance_percent' AS columns FROM lg""",
+    ),
+)
+def s7_csv_union(spark, sf):
+    """The log as CSV with a column for every detail that occurs, read back."""
+    from tickloom.session import scratch_path
+    from tickloom.sources.files import write_events
+
+    _, events = logged(spark, sf)
+    path = scratch_path(spark, "log")
+    write_events(settle(events.drop("snapshot")), path, "csv")
+    back = spark.read.csv(path, header=True)
+    names = ",".join(c.removeprefix("detail_") for c in back.columns if c.startswith("detail_"))
+    return back.select(
+        "symbol", F.col("epoch").cast("long").alias("epoch"), "event_type", F.col("price").cast("double").alias("price"),
+        "detail_close_count", "detail_pattern_name", "detail_pivot_type", F.lit(names).alias("columns"),
+    )
+
+
 @query(
     "j9_line_touches",
     with_sql(EVENTS_SQL, "SELECT symbol, epoch, pair_type, angle_name FROM ev WHERE event_type = 'angle_touch'"),

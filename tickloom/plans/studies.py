@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.geometry import NAMES, breaches, fan_lines, price_at, theta, touches
 from tickloom.operators.hulls import HULL_ROWS, crossed_blocks, hulls, in_blocks, reachable
-from tickloom.operators.indicators import close_streak, ema, momentum
+from tickloom.operators.blocks import framed
+from tickloom.operators.indicators import candle_patterns, close_streak, ema, momentum
 from tickloom.operators.pivots import pivot_pairs, symmetric_pivots
 from tickloom.session import settle
 
@@ -99,6 +100,56 @@ def indicator_snapshots(bars: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: candle patterns in the order in which they are logged
+PATTERNS = (
+    "doji", "hammer", "long_upper_wick", "long_lower_wick", "bullish_engulfing", "bearish_engulfing",
+    "volume_spike", "bullish_divergence", "bearish_divergence",
+)
+
+
+def market_events(bars: DataFrame, lookback: int = 10) -> DataFrame:
+    """Events that need no angle: candle patterns, changes of the overall momentum, and pivots at the bar they lie on."""
+    none = F.lit(None).cast("string")
+    event = lambda df, price, kind, details: df.select(
+        "symbol", "epoch", none.alias("pair_type"), none.alias("angle_name"), F.col(price).alias("price"),
+        F.lit(kind).alias("event_type"), none.alias("direction"), details.alias("details"),
+    )
+    shown = F.array_compact(F.array(*[F.when(F.col(p), F.lit(p)) for p in PATTERNS]))
+    patterns = candle_patterns(bars).withColumn("pattern", F.explode(shown))
+
+    def add(df, w):
+        return df.withColumn("_before", F.lag("overall_momentum").over(w))
+
+    changes = framed(momentum(bars), 1, 0, add).where("overall_momentum <> _before")
+    pivots = symmetric_pivots(bars, lookback)
+    pairs = lambda **kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v)])
+    return (
+        event(patterns, "close", "candle_pattern", pairs(pattern_name=F.col("pattern")))
+        .unionByName(event(changes, "close", "momentum_change", pairs(before=F.col("_before"), after=F.col("overall_momentum"))))
+        .unionByName(event(pivots, "price", "pivot_formed", pairs(pivot_type=F.col("type"))))
+    )
+
+
+def event_log(bars: DataFrame, setups: DataFrame, tolerance: float = TOLERANCE_PERCENT, confirmations: int = CONFIRMING_CLOSES, lookback: int = 10) -> DataFrame:
+    """All events of a study, each with the indicator ``snapshot`` of its bar. ``bars`` should be settled."""
+    events = angle_events(bars, setups, tolerance, confirmations).unionByName(market_events(bars, lookback))
+    shots = indicator_snapshots(bars)
+    packed = F.struct(*[c for c in shots.columns if c not in ("symbol", "epoch")])
+    return events.join(shots.select("symbol", "epoch", packed.alias("snapshot")), ["symbol", "epoch"], "left")
+
+
+def session_statistics(events: DataFrame) -> DataFrame:
+    """One row per symbol: ``event_count`` and maps of counts ``events_by_type, events_by_angle, breach_directions`` (up and down, zeros too)."""
+    stats = event_stats(events)
+    entries = lambda dim: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("dimension") == dim, F.struct("key", "n")))))
+    totals = stats.groupBy("symbol").agg(
+        F.max(F.when(F.col("dimension") == "total", F.col("n"))).alias("event_count"),
+        entries("type").alias("events_by_type"), entries("angle").alias("events_by_angle"), entries("direction").alias("_seen"),
+    )
+    count = lambda key: F.coalesce(F.try_element_at("_seen", F.lit(key)), F.lit(0))
+    return totals.withColumn("breach_directions", F.create_map(F.lit("up"), count("up"), F.lit("down"), count("down"))).drop("_seen")
+
+
 def event_stats(events: DataFrame) -> DataFrame:
     """Counts per symbol: total, by type, by angle and by breach direction."""
     slot = lambda dim, key: F.struct(F.lit(dim).alias("dimension"), key.alias("key"))

@@ -215,12 +215,39 @@ def flatten_details(events: DataFrame, keys: list[str] | None = None) -> DataFra
     )
 
 
+def detail_keys(events: DataFrame) -> list[str]:
+    """The names that occur in ``details``, sorted: as many as there are kinds of details, not events."""
+    return [r[0] for r in events.select(F.explode(F.map_keys("details"))).distinct().orderBy("col").collect()]
+
+
 def write_events(events: DataFrame, path: str, file_format: str = "json", keys: list[str] | None = None) -> None:
-    """Event log as JSON lines with nested details, or CSV with flattened details."""
+    """Event log as JSON lines with nested details, or CSV with a column for each of ``keys``: without them, for every name that occurs in the details."""
     if file_format == "json":
         iso = F.date_format(F.timestamp_seconds("epoch"), "yyyy-MM-dd'T'HH:mm:ss")
         events.withColumn("datetime", iso).write.mode("error").json(path)
     elif file_format == "csv":
-        flatten_details(events, keys).write.mode("error").option("header", True).csv(path)
+        flatten_details(events, detail_keys(events) if keys is None else keys).write.mode("error").option("header", True).csv(path)
     else:
         raise ValueError(f"unknown format {file_format!r}; use json or csv")
+
+
+SESSION_PARTS = ("session", "events", "indicator_snapshots")
+
+
+def write_session(path: str, name: str, events: DataFrame, snapshots: DataFrame, statistics: DataFrame) -> None:
+    """A study session as JSON lines in three folders: one line per symbol with name, event count and statistics, then its events and its snapshots.
+
+    A line never grows with the length of the session: what a single document would nest lies beside it, keyed by symbol.
+    """
+    iso = F.date_format(F.timestamp_seconds("epoch"), "yyyy-MM-dd'T'HH:mm:ss")
+    nested = F.struct(*[c for c in statistics.columns if c not in ("symbol", "event_count")])
+    statistics.select("symbol", F.lit(name).alias("session_name"), "event_count", nested.alias("statistics")).write.mode("error").json(f"{path}/session")
+    write_events(events, f"{path}/events")
+    snapshots.withColumn("datetime", iso).write.mode("error").json(f"{path}/indicator_snapshots")
+
+
+def read_session(spark: SparkSession, path: str, part: str, schema: str) -> DataFrame:
+    """One part of a session that ``write_session`` wrote."""
+    if part not in SESSION_PARTS:
+        raise ValueError(f"unknown part {part!r}; available: {', '.join(SESSION_PARTS)}")
+    return spark.read.schema(schema).json(f"{path}/{part}")
