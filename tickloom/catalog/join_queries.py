@@ -316,6 +316,13 @@ def f16_unpriced_signals(spark, sf):
     return C.unpriced(signals)
 
 
+@query("f16_assert_priced", with_sql(BREAKOUT_SQL, "SELECT symbol, epoch, signal, signal_price FROM sig WHERE signal_price > 0"))
+def f16_assert_priced(spark, sf):
+    """Signals that all have a price pass the assertion unchanged."""
+    priced = breakout(spark, sf).where("signal_price > 0")
+    return C.assert_priced(priced).select("symbol", "epoch", "signal", "signal_price")
+
+
 @query(
     "f15_effective_price",
     with_sql(

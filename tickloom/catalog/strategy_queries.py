@@ -334,6 +334,35 @@ def a11_compare_runs(spark, sf):
     return L.compare_runs(runs)
 
 
+SQUARE_TOTAL_SQL = (
+    "(WITH RECURSIVE "
+    + TOUCH_SQL
+    + """, ent AS (
+  SELECT symbol, min(bar_index) AS at FROM touch GROUP BY symbol
+  UNION ALL
+  SELECT e.symbol, min(t.bar_index) FROM ent e JOIN touch t ON t.symbol = e.symbol AND t.bar_index >= e.at + 6 GROUP BY e.symbol),
+lastbar AS (SELECT symbol, arg_max(close, epoch) AS close FROM ib GROUP BY symbol)
+SELECT e.symbol, round(sum(coalesce(x.close, l.close) - b.close), 2) AS square FROM ent e JOIN ib b ON b.symbol = e.symbol AND b.bar_index = e.at
+LEFT JOIN ib x ON x.symbol = e.symbol AND x.bar_index = e.at + 5 JOIN lastbar l ON l.symbol = e.symbol GROUP BY e.symbol)"""
+)
+
+
+@query(
+    "a11_compare_strategies",
+    f"SELECT symbol, breakout_3 AS breakout, square, ema FROM {total_sql(3)} b FULL JOIN {SQUARE_TOTAL_SQL} s USING (symbol) "
+    + f"FULL JOIN ({DEFAULT_RULES_SQL} SELECT symbol, round(coalesce(sum(pnl), 0.0), 2) AS ema FROM closed GROUP BY symbol) e USING (symbol)",
+)
+def a11_compare_strategies(spark, sf):
+    """Total profit per symbol of three different strategies, their last positions closed at the end."""
+    bars = inputs.hourly_indexed(spark, sf)
+    runs = {
+        "breakout": generate("mechanical_3day", bars),
+        "square": generate("square_of_9", bars, tolerance=0.02),
+        "ema": generate("five_ema", bars, strike_step=1),
+    }
+    return L.compare_runs({name: L.trade_metrics(L.close_at_end(L.trades(signals), bars), mode="all_closed") for name, signals in runs.items()})
+
+
 @query(
     "g22_indicator_points",
     with_sql(
