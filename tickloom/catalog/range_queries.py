@@ -140,11 +140,13 @@ c AS (SELECT *, DATE '1999-06-30' - s1 AS age, CASE resolution WHEN '1' THEN 7 W
 d AS (SELECT *, resolution = '1' AND age > lim AS coarser FROM c),
 e AS (SELECT *, CASE WHEN coarser THEN 700 ELSE lim END AS lim2 FROM d)""",
         """SELECT o_orderkey, CASE WHEN coarser THEN '60' ELSE resolution END AS resolution,
+       CASE CASE WHEN coarser THEN '60' ELSE resolution END WHEN '1' THEN '1m' WHEN '2' THEN '2m' WHEN '5' THEN '5m' WHEN '15' THEN '15m' WHEN '30' THEN '30m' WHEN '60' THEN '1h' WHEN '1H' THEN '1h'
+         WHEN 'W' THEN '1wk' WHEN '1W' THEN '1wk' WHEN 'M' THEN '1mo' WHEN '1M' THEN '1mo' ELSE '1d' END AS interval,
        strftime(CASE WHEN age > lim2 THEN DATE '1999-06-30' - CAST(lim2 - 1 AS INTEGER) ELSE s1 END, '%Y-%m-%d') AS start_day FROM e""",
     ),
 )
 def f8_clamp_history(spark, sf):
-    out = R.clamp_history(requests(spark, sf), F.lit(TODAY).cast("date")).select("o_orderkey", "resolution", "start_day")
+    out = R.clamp_history(requests(spark, sf), F.lit(TODAY).cast("date")).select("o_orderkey", "resolution", "interval", "start_day")
     return dates_as_text(out, "start_day")
 
 

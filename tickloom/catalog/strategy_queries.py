@@ -298,9 +298,7 @@ SWEEP = [(f"rr{int(r)}_{d}_{v}", r, d, v) for r in (1.0, 3.0) for d in ("both",
 
 @query(
     "g21_parameter_sweep",
-    rules_sql(SWEEP)
-    + """SELECT symbol, param_id, count(*) AS total_trades, count(pnl) AS completed_trades, count(*) FILTER (pnl > 0) AS wins,
-       count(*) FILTER (pnl <= 0) AS losses, round(coalesce(sum(pnl), 0.0), 2) AS total_pnl FROM closed GROUP BY 1, 2""",
+    rules_sql(SWEEP) + METRICS_SQL.replace("SELECT symbol,", "SELECT symbol, param_id,").replace("GROUP BY symbol", "GROUP BY symbol, param_id"),
 )
 def g21_parameter_sweep(spark, sf):
     from tickloom.plans.sweep import sweep
@@ -308,8 +306,7 @@ def g21_parameter_sweep(spark, sf):
     grid = {
         n: S.EmaBreakout(risk_reward_ratio=r, trade_direction=d, alert_validity_bars=v, strike_step=1) for n, r, d, v in SWEEP
     }
-    out = sweep(inputs.hourly_indexed(spark, sf), grid)
-    return out.select("symbol", "param_id", "total_trades", "completed_trades", "wins", "losses", "total_pnl")
+    return sweep(inputs.hourly_indexed(spark, sf), grid)
 
 
 COMPARED = (3, 8, 20)

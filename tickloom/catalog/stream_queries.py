@@ -92,10 +92,13 @@ def r2_latest_bars(spark, sf):
     return replay(inputs.ticks(spark, sf), "r2", tick_bars, feeds.write_latest, (1, 0, 2)).select("symbol", "epoch", "close", "age")
 
 
-@query("r3_strategy_steps", DEFAULT_RULES_SQL + "SELECT symbol, epoch, bar_index, action, reason FROM ac")
+STEPS_SQL = DEFAULT_RULES_SQL + "SELECT symbol, epoch, bar_index, action, reason, round(out_stop, 6) AS stop_loss, round(out_goal, 6) AS target FROM ac"
+
+
+@query("r3_strategy_steps", STEPS_SQL)
 def r3_strategy_steps(spark, sf):
     out = replay(inputs.hourly(spark, sf), "r3", stateful.strategy_steps)
-    return out.select("symbol", "epoch", "bar_index", "action", "reason")
+    return inputs.rounded(out.drop("batch_id"), "stop_loss", "target")
 
 
 @query("r4_pivot_steps", with_sql(ALTERNATE_SQL, "SELECT symbol, bar_index, epoch, type, price, confirm_index FROM conf"))
@@ -141,11 +144,11 @@ def r4_late_hierarchy(spark, sf):
     return replay(bars, "r4lh", lambda stream: run_study("angular_coverage", stream, delay="20 days"), order=(1, 0, 2)).drop("batch_id")
 
 
-@query("r3_late_steps", DEFAULT_RULES_SQL + "SELECT symbol, epoch, bar_index, action, reason FROM ac")
+@query("r3_late_steps", STEPS_SQL)
 def r3_late_steps(spark, sf):
     bars = with_heartbeat(inputs.hourly(spark, sf))
     out = replay(bars, "r3l", lambda stream: stateful.strategy_steps(stream, delay="20 days"), order=(1, 0, 2))
-    return out.select("symbol", "epoch", "bar_index", "action", "reason")
+    return inputs.rounded(out.drop("batch_id"), "stop_loss", "target")
 
 
 @query(

@@ -18,6 +18,13 @@ INTERVAL_DAYS = {
     "1m": 7, "2m": 60, "5m": 60, "15m": 60, "30m": 60, "60m": 700, "60": 700, "1h": 700,
     "1d": 10000, "1wk": 10000, "1mo": 10000,
 }
+LONGEST_LOOKBACK_DAYS = 3650
+UNLIMITED_DAYS = 36500
+EARLIEST_EPOCH = 946684800  # 2000-01-01
+YEAR_SECONDS = 31536000
+
+#: How far back an intraday resolution reaches, as its interval does.
+HISTORY_DAYS = {r: INTERVAL_DAYS[n] for r, n in INTERVAL_NAMES.items() if r not in LONG_RESOLUTIONS} | {"90": INTERVAL_DAYS["60m"]}
 
 
 def range_start(start: Column, resolution: Column) -> Column:
@@ -88,13 +95,13 @@ def normalize_range(requests: DataFrame, today: Column, start: str = "start_day"
 
 
 def expand_lookback(requests: DataFrame, start: str = "start_day") -> DataFrame:
-    """Move a start back by its ``lookback_bars`` in days, times four plus 30, at most 3650 days."""
+    """Move a start back by its ``lookback_bars`` in days, times four plus 30, at most LONGEST_LOOKBACK_DAYS."""
     bars, res = F.col("lookback_bars"), F.col("resolution")
     days = F.when(res.isin("1D", "D"), bars)
     for name, n in BARS_PER_DAY.items():
         days = days.when(res == name, F.greatest(F.lit(1), F.floor(bars / n)))
     days = days.otherwise(F.greatest(F.lit(1), F.floor(bars / 375)))
-    back = F.when(bars > 0, F.least(days * 4 + 30, F.lit(3650))).otherwise(0).cast("int")
+    back = F.when(bars > 0, F.least(days * 4 + 30, F.lit(LONGEST_LOOKBACK_DAYS))).otherwise(0).cast("int")
     return requests.withColumns({"lookback_days": back, start: F.date_sub(start, back)})
 
 
@@ -120,9 +127,9 @@ def clamp_history(requests: DataFrame, today: Column, start: str = "start_day",
     out = requests.withColumn(start, first)
     age = F.datediff(today, F.col(start))
     res = F.col("resolution")
-    limit = F.when(res == "1", 7).when(res.isin("2", "5", "15", "30"), 60).when(res.isin("60", "90", "1H"), 700).otherwise(36500)
+    limit = lookup(HISTORY_DAYS, res, UNLIMITED_DAYS)
     coarser = (age > limit) & (res == "1")
-    limit = F.when(coarser, 700).otherwise(limit)
+    limit = F.when(coarser, HISTORY_DAYS["60"]).otherwise(limit)
     out = out.withColumns({"_age": age, "_limit": limit, "_coarser": coarser})
     clamped = F.when(F.col("_age") > F.col("_limit"), F.date_sub(today, (F.col("_limit") - 1).cast("int"))).otherwise(F.col(start))
     return out.withColumns(
@@ -154,7 +161,7 @@ def filter_events(
 def validate_epochs(rows: DataFrame, batch: str, anchor: Column | None = None) -> DataFrame:
     """Keep batches whose last time is after 2000-01-01 and within 365 days of ``anchor``."""
     last = rows.groupBy(batch).agg(F.max("epoch").alias("_last"))
-    good = F.col("_last") > 946684800
+    good = F.col("_last") > EARLIEST_EPOCH
     if anchor is not None:
-        good = good & (F.abs(F.col("_last") - anchor) <= 31536000)
+        good = good & (F.abs(F.col("_last") - anchor) <= YEAR_SECONDS)
     return rows.join(last.where(good), batch, "left_semi")
