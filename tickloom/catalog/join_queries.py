@@ -262,7 +262,10 @@ def enriched(spark, sf):
     bars = inputs.hourly_indexed(spark, sf)
     signals = settle(option_signals(breakout(spark, sf)))
     instruments = settle(option_instruments(bars))
-    return C.enrich_signals(signals, instruments, option_bars(bars, instruments))
+    # bars are made for the contracts that signals name, not for every one of the symbol
+    named = C.label_contracts(signals).select(F.col("contract_key").alias("trading_symbol")).distinct()
+    used = instruments.join(named, "trading_symbol", "left_semi")
+    return C.enrich_signals(signals, instruments, option_bars(bars, used))
 
 
 @query("g8_option_enrichment", with_sql(OPTIONS_SQL, "SELECT symbol, epoch, signal, security_id, signal_price, price_source FROM enr"))
