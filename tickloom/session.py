@@ -73,18 +73,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+_handed_out: dict[str, list[str]] = {}
 
 
-_settled: dict[str, list[str]] = {}
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared checkpoint folder; ``sweep`` deletes what is written there."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    _handed_out.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def sweep(spark: SparkSession) -> int:
-    """Delete the tables ``settle`` has written in this application, once the results built on them are written; how many there were."""
-    paths = _settled.pop(spark.sparkContext.applicationId, [])
+    """Delete what this application has written in scratch paths (settled tables, archives, logs, stream folders), once the results built on them are written; how many there were."""
+    paths = _handed_out.pop(spark.sparkContext.applicationId, [])
     conf = spark._jsparkSession.sessionState().newHadoopConf()
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
@@ -100,6 +102,5 @@ def settle(df: DataFrame) -> DataFrame:
     once, sizes are known to the planner afterwards, and the copy survives lost executors.
     """
     path = scratch_path(df.sparkSession, "settled")
-    _settled.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
