@@ -1,5 +1,6 @@
 """Archives, embeddings, merge dropout, packing and the pipeline, against brute force or exact round trips."""
 
+import re
 import base64
 import hashlib
 import random
@@ -244,3 +245,13 @@ def test_pipeline(spark):
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_empty_stage(spark, no_docs, name):
     assert dict(corpus_pipeline.STAGES)[name](spark, no_docs, "").count() == 0
+
+
+def test_every_record_has_a_date(spark, tmp_path):
+    """The mandatory date of WARC 1.1, the same for all records of a call, and as given."""
+    pages = spark.createDataFrame([(k, f"http://x/{k}", "<p>same</p>" if k % 2 else f"<p>{k}</p>") for k in range(6)], "page_id long, url string, html string")
+    for name, date in (("now", None), ("then", "2024-01-31T12:00:00Z")):
+        warc.write_archives(pages, str(tmp_path / name), date=date)
+        text = "".join(p.read_text() for p in sorted((tmp_path / name).iterdir()) if not p.name.startswith((".", "_")))
+        dates = re.findall(r"^WARC-Date: (\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ)\r?$", text, re.M)
+        assert len(dates) == text.count("WARC-Record-ID") == 6 and len(set(dates)) == 1 and date in (None, dates[0])

@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,34 +40,40 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([payload_digest(x) for x in data], pa.string()), pa.array([len(x) for x in data], pa.int64())], ["page_id", "digest", "bytes"])
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _records(date: str):
     """The text of each record without its end, which the writer adds."""
-    for batch in parts(batches, "html"):
-        out = []
-        columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "html", "revisits")]
-        for page, url, data, revisits in zip(*columns, strict=True):
-            name = "null" if page is None else str(page)
-            digest = payload_digest(data)
-            first = next((r["first"] for r in revisits or () if r["digest"] == digest), None)
-            # a header value holds no white space
-            target = "".join((url or "").split()) or f"urn:page:{name}"
-            head = f"WARC-Record-ID: <urn:page:{name}>\r\nWARC-Target-URI: {target}\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Type: application/http; msgtype=response\r\n"
-            if first is None:
-                head += "WARC-Type: response\r\n"
-                block = _HTTP % len(data) + data
-            else:
-                head += f"WARC-Type: revisit\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:{first}>\r\n"
-                block = b""
-            out.append(b"".join((MARK, head.encode(), b"Content-Length: %d" % len(block), END, block)))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
-
-
-def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) -> None:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, "html"):
+            out = []
+            columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "html", "revisits")]
+            for page, url, data, revisits in zip(*columns, strict=True):
+                name = "null" if page is None else str(page)
+                digest = payload_digest(data)
+                first = next((r["first"] for r in revisits or () if r["digest"] == digest), None)
+                # a header value holds no white space
+                target = "".join((url or "").split()) or f"urn:page:{name}"
+                head = f"WARC-Record-ID: <urn:page:{name}>\r\nWARC-Date: {date}\r\nWARC-Target-URI: {target}\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Type: application/http; msgtype=response\r\n"
+                if first is None:
+                    head += "WARC-Type: response\r\n"
+                    block = _HTTP % len(data) + data
+                else:
+                    head += f"WARC-Type: revisit\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:{first}>\r\n"
+                    block = b""
+                out.append(b"".join((MARK, head.encode(), b"Content-Length: %d" % len(block), END, block)))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
+
+    return run
+
+
+def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, date: str | None = None) -> None:
     """Write a record for each row of ``page_id, url, html`` to the folder ``path``.
 
     Of the rows with one payload of at least min_bytes bytes, that with the smallest page_id is the response and the others revisit it. Rows with a
-    null page_id are always responses, rows that repeat a page_id and its payload are alike. A null html is empty. An empty table writes no record.
+    null page_id are always responses, rows that repeat a page_id and its payload are alike. A null html is empty. An empty table writes no record. All records of
+    a call have the same date (UTC, as ``2024-01-31T12:00:00Z``; now, unless given), so a task that runs again writes the same bytes.
     """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     pages = pages.select(F.col("page_id").cast("long"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"").cast("binary")).alias("html"))
     digests = pages.filter("page_id IS NOT NULL").select("page_id", "html").mapInArrow(_digests, "page_id long, digest string, bytes long").filter(F.col("bytes") >= min_bytes)
     digests = settle(digests.select("page_id", "digest"))
@@ -74,7 +81,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
     # only pages that revisit come back to the texts; the planner broadcasts them where they are few
     revisits = settle(digests.join(least, "digest").filter("page_id > first").groupBy("page_id").agg(F.collect_set(F.struct("digest", "first")).alias("revisits")))
     named = pages.join(revisits, "page_id", "left").select("page_id", "url", "html", "revisits")
-    named.mapInArrow(_records, "value string").write.option("lineSep", END.decode()).text(path)
+    named.mapInArrow(_records(date), "value string").write.option("lineSep", END.decode()).text(path)
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
