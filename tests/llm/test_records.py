@@ -1,9 +1,9 @@
 """Archives, embeddings, merge dropout, packing and the pipeline, against brute force or exact round trips."""
 
-import re
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
