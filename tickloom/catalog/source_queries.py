@@ -105,12 +105,12 @@ def s5_option_chain(spark, sf):
     "s6_bars_to_arrays",
     with_sql(
         DAILY_SQL,
-        """SELECT symbol, epoch // 2592000 AS chunk, 'ok' AS s, list(epoch ORDER BY epoch) AS t, list(open ORDER BY epoch) AS o, list(close ORDER BY epoch) AS c,
-       list(volume ORDER BY epoch) AS v FROM bars GROUP BY 1, 2""",
+        """SELECT symbol, epoch // 2592000 AS chunk, 'ok' AS s, list(epoch ORDER BY epoch) AS t, list(open ORDER BY epoch) AS o, list(high ORDER BY epoch) AS h,
+       list(low ORDER BY epoch) AS l, list(close ORDER BY epoch) AS c, list(volume ORDER BY epoch) AS v FROM bars GROUP BY 1, 2""",
     ),
 )
 def s6_bars_to_arrays(spark, sf):
-    return bars_to_arrays(inputs.daily(spark, sf)).select("symbol", "chunk", "s", "t", "o", "c", "v")
+    return bars_to_arrays(inputs.daily(spark, sf)).select("symbol", "chunk", "s", "t", "o", "h", "l", "c", "v")
 
 
 @query(

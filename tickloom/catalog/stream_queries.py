@@ -154,8 +154,10 @@ def r3_late_steps(spark, sf):
 @query(
     "r5_position_steps",
     with_sql(
-        OPTIONS_SQL + ", rp AS (SELECT *, lag(signal_price) OVER (PARTITION BY symbol ORDER BY epoch) AS ep FROM sig)",
-        "SELECT symbol, epoch, signal_price AS price, round(CASE WHEN signal = -1 THEN signal_price - ep END, 6) AS pnl FROM rp",
+        OPTIONS_SQL + ", rp AS (SELECT sig.*, th.expiry, lag(signal_price) OVER (PARTITION BY sig.symbol ORDER BY sig.epoch) AS ep FROM sig JOIN th ON th.symbol = sig.symbol AND th.epoch = sig.epoch)",
+        """SELECT symbol, epoch, signal_price AS price, round(CASE WHEN signal = -1 THEN signal_price - ep END, 6) AS pnl,
+  CASE WHEN signal = 1 THEN 'Buy ' || CAST(round_even(close, 0) AS BIGINT) || ' CE (' || strftime(expiry, '%d-%b') || ') | SL:0'
+       WHEN ep IS NULL THEN 'Exit Long' ELSE 'Exit Long (PnL: ' || printf('%+.2f', signal_price - ep) || ')' END AS label FROM rp""",
     ),
 )
 def r5_position_steps(spark, sf):
@@ -163,7 +165,7 @@ def r5_position_steps(spark, sf):
         F.lit("replay").alias("session"), "symbol", F.lit("channel").alias("strategy"), "epoch", "signal_price", "signal_label"
     )
     out = replay(signals, "r5", stateful.position_steps)
-    return inputs.rounded(out.select("symbol", "epoch", "price", "pnl"), "pnl")
+    return inputs.rounded(out.select("symbol", "epoch", "price", "pnl", "label"), "pnl")
 
 
 @query("r6_due_trades", with_sql(LEDGER_SQL, "SELECT symbol, epoch, type, price FROM closed"))
