@@ -287,13 +287,17 @@ def j6_contract_carry(spark, sf):
 @query(
     "g9_replay_pnl",
     with_sql(
-        OPTIONS_SQL + ", rp AS (SELECT *, lag(signal_price) OVER (PARTITION BY symbol ORDER BY epoch) AS ep FROM enr)",
-        "SELECT symbol, epoch, signal_price, round(CASE WHEN signal = -1 THEN signal_price - ep END, 6) AS pnl FROM rp",
+        OPTIONS_SQL
+        + """, rp AS (SELECT enr.*, th.expiry, th.close, lag(signal_price) OVER (PARTITION BY enr.symbol ORDER BY enr.epoch) AS ep
+  FROM enr JOIN th ON th.symbol = enr.symbol AND th.epoch = enr.epoch)""",
+        """SELECT symbol, epoch, signal_price, round(CASE WHEN signal = -1 THEN signal_price - ep END, 6) AS pnl,
+  CASE WHEN signal = 1 THEN 'Buy ' || CAST(round_even(close, 0) AS BIGINT) || ' CE (' || strftime(expiry, '%d-%b') || ') | SL:0'
+       WHEN ep IS NULL THEN 'Exit Long' ELSE 'Exit Long (PnL: ' || printf('%+.2f', signal_price - ep) || ')' END AS label FROM rp""",
     ),
 )
 def g9_replay_pnl(spark, sf):
     out = C.replay_trades(settle(enriched(spark, sf)))
-    return rounded(out.select("symbol", "epoch", "signal_price", "pnl"), "pnl")
+    return rounded(out.select("symbol", "epoch", "signal_price", "pnl", "label"), "pnl")
 
 
 @query(
