@@ -1,12 +1,13 @@
 """Operators on documents against brute force on the odd rows, and their results on empty tables."""
 
 import hashlib
+import math
 import os
 import random
 import re
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ import pyarrow.parquet as pq
 import pytest
 from llm_rows import edited, prose
 
-from tickloom.llm import fingerprints, language_mix, licenses, line_dedup, ngram_join, suffix_array
+from tickloom.llm import fingerprints, language_mix, licenses, line_dedup, ngram_join, suffix_array, words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -89,6 +90,19 @@ def test_likeness_estimates_jaccard():
         assert abs(fingerprints.likeness(signs[:1], signs[1:])[0] - len(x & y) / len(x | y)) < 0.17
 
 
+def test_signatures_equal_plain_minima(odd_rows):
+    """Every permutation's minimum by plain integers, for texts of one batch, a long one among them; likeness is the share of equal ones."""
+    texts = [t for _, t, *_ in odd_rows if t is None or len(t) < 5000] + [prose(7, 3000)]
+    found = fingerprints.signatures(pa.array(texts, pa.string()))
+    scale, shift = fingerprints._SCALE.tolist(), fingerprints._SHIFT.tolist()
+    for row, t in enumerate(texts):
+        grams = {int(x) for x in words.shingles(*words.word_hashes(*words.text_bytes(pa.array([t], pa.string()))))[0]}
+        assert len(grams) == len(shingle_set(t))
+        want = [min(((a * x + b) % 2**64 for x in grams), default=2**64 - 1) >> 48 for a, b in zip(scale[:12], shift[:12], strict=True)]
+        assert found[row, :12].tolist() == want
+    assert fingerprints.likeness(found[:1], found[1:2])[0] == sum(a == b for a, b in zip(found[0].tolist(), found[1].tolist(), strict=True)) / fingerprints.PERMUTATIONS
+
+
 def test_band_join_finds_near_duplicates(odd_docs, odd_rows):
     found = {r.doc_id: r.class_id for r in fingerprints.near_duplicates(odd_docs).collect()}
     assert found == {i: c for i, c in jaccard_components(odd_rows).items()} | {None: None}
@@ -300,6 +314,47 @@ def test_language_sets_up_to_all_languages():
     assert [np.flatnonzero(x > 0).tolist() for x in chosen] == [list(range(n)) for n in range(1, 6)]
 
 
+def plain_mixture(counts, chances, allowed):
+    """Expectation-maximisation of one document by plain loops: proportions and log-likelihood."""
+    share = {k: 1 / len(allowed) for k in allowed}
+    for _ in range(language_mix.ROUNDS):
+        taken = dict.fromkeys(allowed, 0.0)
+        for bucket, n in counts.items():
+            whole = sum(share[k] * chances[bucket][k] for k in allowed)
+            for k in allowed:
+                taken[k] += n * share[k] * chances[bucket][k] / whole
+        share = {k: x / sum(counts.values()) for k, x in taken.items()}
+    return share, sum(n * math.log(sum(share[k] * chances[b][k] for k in allowed)) for b, n in counts.items())
+
+
+def test_inference_equals_plain_em():
+    """Proportions and chosen sets of short, long and mixed texts, in one batch, next to one document at a time."""
+    kinds = ["ka lo mi ne ru sa", "schu ger ung zwe ick", "twi yax opp quu jez"]
+    r = random.Random(12)
+    text = lambda k, n: " ".join("".join(r.choice(kinds[k].split()) for _ in range(3)) for _ in range(n))
+    seen = np.stack([np.bincount(language_mix.grams(pa.array([text(k, 300)]))[0], minlength=1 << language_mix.BUCKET_BITS) for k in range(3)], 1) + language_mix.SMOOTHING
+    model = language_mix.LanguageModel(tuple("abc"), seen / seen.sum(0))
+    texts = [text(0, 3), text(1, 40) + " " + text(2, 40), "", text(2, 1) + " xyz", " ".join(text(k, 60) for k in range(3)), "Q", text(1, 200) + " " + text(0, 5)]
+    every, chosen = language_mix.infer(model, pa.array(texts))
+    for row, t in enumerate(texts):
+        counts = Counter(language_mix.grams(pa.array([t]))[0].tolist())
+        if not counts:
+            assert not every[row].any() and not chosen[row].any()
+            continue
+        share, most = plain_mixture(counts, model.chances, range(3))
+        assert every[row] == pytest.approx([share[k] for k in range(3)], abs=1e-9)
+        alone = [sum(n * math.log(model.chances[b][k]) for b, n in counts.items()) for k in range(3)]
+        best, top = {max(range(3), key=lambda k: alone[k]): 1.0}, max(alone)
+        cost = language_mix.PENALTY * math.log1p(sum(counts.values()))
+        if most - cost > top:
+            for size in (2, 3):
+                part, fit = plain_mixture(counts, model.chances, sorted(range(3), key=lambda k: -share[k])[:size])
+                if fit - cost * (size - 1) > top:
+                    best, top = part, fit - cost * (size - 1)
+        assert chosen[row] == pytest.approx([best.get(k, 0.0) for k in range(3)], abs=1e-9)
+    assert [int((x > 0).sum()) for x in chosen] == [1, 2, 0, 1, 3, 0, int((chosen[6] > 0).sum())]
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None), (2, "")]])
 def test_nothing_to_do(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
