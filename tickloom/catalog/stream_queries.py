@@ -168,6 +168,35 @@ def r5_position_steps(spark, sf):
     return inputs.rounded(out.select("symbol", "epoch", "price", "pnl", "label"), "pnl")
 
 
+POSITIONS_SQL = with_sql(
+    OPTIONS_SQL + ", rp AS (SELECT *, lag(signal_price) OVER (PARTITION BY symbol ORDER BY epoch) AS ep FROM sig)",
+    "SELECT symbol, epoch, signal_price AS price, round(CASE WHEN signal = -1 THEN signal_price - ep END, 6) AS pnl FROM rp",
+)
+
+
+@query("r5_late_positions", POSITIONS_SQL)
+def r5_late_positions(spark, sf):
+    """Signals whose oldest slice comes after the middle one; positions are those of the signals in order."""
+    signals = settle(
+        option_signals(breakout(spark, sf)).select(
+            F.lit("replay").alias("session"), "symbol", F.lit("channel").alias("strategy"), "epoch", "signal_price", "signal_label"
+        )
+    )
+    beat = signals.groupBy("session", "symbol", "strategy").agg((F.max("epoch") + 400 * 86400).alias("epoch"))
+    rows = signals.unionByName(beat, allowMissingColumns=True)
+    out = replay(rows, "r5l", lambda stream: stateful.position_steps(stream, delay="20 days"), order=(1, 0, 2))
+    return inputs.rounded(out.select("symbol", "epoch", "price", "pnl"), "pnl")
+
+
+@query("r6_late_trades", with_sql(LEDGER_SQL, "SELECT symbol, epoch, type, price FROM closed"))
+def r6_late_trades(spark, sf):
+    """Trades that fall due over bars whose oldest slice comes late."""
+    ledger = settle(breakout_ledger(spark, sf).select("symbol", "epoch", "type", "price"))
+    bars = with_heartbeat(inputs.hourly(spark, sf).select("symbol", "epoch", "close"))
+    out = replay(bars, "r6l", lambda stream: stateful.due_trades(stream, ledger, delay="20 days"), order=(1, 0, 2))
+    return out.select("symbol", "epoch", "type", "price")
+
+
 @query("r6_due_trades", with_sql(LEDGER_SQL, "SELECT symbol, epoch, type, price FROM closed"))
 def r6_due_trades(spark, sf):
     ledger = settle(breakout_ledger(spark, sf).select("symbol", "epoch", "type", "price"))

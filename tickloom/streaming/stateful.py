@@ -76,7 +76,7 @@ class OrderedSteps(StatefulProcessor):
         for frame in rows:
             frame = frame.drop(columns=["ts_"])
             values = [c for c in frame.columns if c != time and c not in self._steps.keys]
-            frame = frame.dropna(subset=values, how="all")
+            frame = frame.dropna(subset=values, how="all") if values else frame
             for bucket, own in frame.groupby(frame[time] // self._size):
                 at = (int(bucket),)
                 held = json.loads(self._held.getValue(at)[0]) if self._held.containsKey(at) else None
@@ -268,16 +268,16 @@ def hierarchy_steps(bars: DataFrame, left: int = 5, right: int = 5, delay: str |
     return run_steps(bars, ["symbol"], HierarchySteps(left, right), HIERARCHY_STEP_SCHEMA, delay)
 
 
-def position_steps(signals: DataFrame) -> DataFrame:
-    return run_steps(signals, ["session", "symbol", "strategy"], PositionSteps(), POSITION_SCHEMA)
+def position_steps(signals: DataFrame, delay: str | None = None) -> DataFrame:
+    return run_steps(signals, ["session", "symbol", "strategy"], PositionSteps(), POSITION_SCHEMA, delay)
 
 
-def due_trades(bars: DataFrame, trades: DataFrame) -> DataFrame:
-    """Each known trade once, in the micro-batch whose bars reach its time.
+def due_trades(bars: DataFrame, trades: DataFrame, delay: str | None = None) -> DataFrame:
+    """Each known trade once, in the micro-batch whose bars reach its time; with a ``delay``, when a timer releases them.
 
     A symbol's stream moves over disjoint ranges, so a trade falls into exactly one of them.
     """
-    moved = run_steps(bars, ["symbol"], ProgressSteps(), PROGRESS_SCHEMA)
+    moved = run_steps(bars, ["symbol"], ProgressSteps(), PROGRESS_SCHEMA, delay)
     return moved.join(trades, "symbol").where(
         (F.col("epoch") > F.col("after_epoch")) & (F.col("epoch") <= F.col("until_epoch"))
     )
