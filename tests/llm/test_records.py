@@ -255,3 +255,19 @@ def test_every_record_has_a_date(spark, tmp_path):
         text = "".join(p.read_text() for p in sorted((tmp_path / name).iterdir()) if not p.name.startswith((".", "_")))
         dates = re.findall(r"^WARC-Date: (\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ)\r?$", text, re.M)
         assert len(dates) == text.count("WARC-Record-ID") == 6 and len(set(dates)) == 1 and date in (None, dates[0])
+
+
+def test_equal_vectors_are_compared_once(spark, monkeypatch):
+    """Copies count as links of each other and of what is near them, but only one of them is coded and compared."""
+    r = np.random.default_rng(3)
+    one, other = r.normal(size=64), r.normal(size=64)
+    near = one + 0.05 * r.normal(size=64)
+    rows = [(k + 10, one.tolist(), 1) for k in range(700)] + [(5, near.tolist(), 1), (6, near.tolist(), 1), (7, other.tolist(), 1), (8, one.tolist(), 2), (9, [0.0] * 64, 1), (4, [0.0] * 64, 1)]
+    rows += [rows[0], (None, one.tolist(), 1)]
+    seen = []
+    kept = cross_polytope.settle
+    monkeypatch.setattr(cross_polytope, "settle", lambda df: seen.append(kept(df)) or seen[-1])
+    found = {x.vec_id: x for x in cross_polytope.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)).collect() if x.vec_id is not None}
+    assert seen[0].count() == 4
+    assert all((found[k + 10].n_links, found[k + 10].component_id) == (701, 5) for k in range(700))
+    assert [(found[k].n_links, found[k].component_id, found[k].kept) for k in (5, 6, 7, 8, 9, 4)] == [(701, 5, True), (701, 5, False), (0, 7, True), (0, 8, True), (0, 9, True), (0, 4, True)]

@@ -5,6 +5,8 @@ sign). ``HASHES`` of them make a bucket code, ``TABLES`` codes are taken. Beside
 replaced by its second nearest vertex; at a cosine of 0.93 in 64 dimensions a pair is missed about once in 800. Spark joins the vectors of a bucket; every pair of a bucket in which one side has its own
 code is verified by the cosine in double precision.
 
+Equal vectors of a label are one vector with a number of copies, so a group of copies costs one row.
+
 Buckets over ``BLOCK`` rows are cut into blocks, and every pair of blocks is a task's unit of its own, so no group grows with the data. Links are
 counted where a pair meets first (by table, then code), so a pair that meets in several buckets counts once, and what leaves a unit is
 a count and one edge per vector, to the smallest id that the unit's links reach from it: a spanning forest, never the list of pairs.
@@ -89,11 +91,11 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = codes(unit)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(rows.column(c) for c in ("vec_id", "mark", "label", "dim")),
+                    *(rows.column(c) for c in ("vec_id", "mark", "label", "dim", "copies")),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1, dtype=np.int32) * dim), pa.array(unit.ravel())),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1, dtype=np.int32) * TABLES * CODES), pa.array(found.ravel())),
                 ],
-                ["vec_id", "mark", "label", "dim", "unit", "codes"],
+                ["vec_id", "mark", "label", "dim", "copies", "unit", "codes"],
             )
 
 
@@ -135,7 +137,7 @@ def _least_reached(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _linked(percent: int):
     def unit(rows: dict[str, np.ndarray], a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Ids, link counts and smallest reached id of the rows a..b, which are one unit of a bucket."""
-        vectors, code, own, side = (rows[c][a:b] for c in ("unit", "codes", "own", "side"))
+        vectors, code, own, side, copies = (rows[c][a:b] for c in ("unit", "codes", "own", "side", "copies"))
         near = vectors @ vectors.T >= percent / 100
         near &= own[:, None] | own[None, :]
         # a unit of two blocks compares across them only
@@ -145,7 +147,9 @@ def _linked(percent: int):
         keep = x < y if rows["i"][a] == rows["j"][a] else np.ones(len(x), bool)
         x, y = x[keep], y[keep]
         first = ~_met_before(code[x], code[y], int(rows["t"][a]), int(rows["code"][a]))
-        counts = np.bincount(x[first], minlength=b - a) + np.bincount(y[first], minlength=b - a)
+        counts = np.zeros(b - a, np.int64)
+        np.add.at(counts, x[first], copies[y[first]])
+        np.add.at(counts, y[first], copies[x[first]])
         ids = rows["vec_id"][a:b]
         yield ids, counts, _least_reached(ids, x, y)
 
@@ -162,7 +166,7 @@ def _linked(percent: int):
                 if high - low < 2:
                     continue
                 own = whole.slice(low, high - low).combine_chunks()
-                rows = {c: own.column(c).to_numpy() for c in ("vec_id", "mark", "own", "side", *keys)}
+                rows = {c: own.column(c).to_numpy() for c in ("vec_id", "mark", "own", "side", "copies", *keys)}
                 rows["unit"] = own.column("unit").combine_chunks().flatten().to_numpy().reshape(high - low, -1)
                 rows["codes"] = own.column("codes").combine_chunks().flatten().to_numpy().reshape(high - low, TABLES, CODES)
                 for ids, counts, least in unit(rows, 0, high - low):
@@ -201,7 +205,10 @@ def near_vectors(rows: DataFrame, percent: int = 93) -> DataFrame:
     """
     base = rows.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>")).withColumn("mark", F.xxhash64("label", "embedding"))
     fit = base.dropna().withColumn("dim", F.size("embedding")).filter("dim > 0").dropDuplicates(["vec_id", "mark"])
-    vectors = settle(fit.mapInArrow(_coded, "vec_id long, mark long, label long, dim int, unit array<double>, codes array<long>"))
+    # equal vectors of a label are one, that of the smallest id, which counts as often as there are copies
+    classes = fit.groupBy("mark", "label", "dim", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    kind = "vec_id long, mark long, label long, dim int, copies long, unit array<double>, codes array<long>"
+    vectors = settle(classes.select("vec_id", "mark", "label", "dim", "copies", "embedding").mapInArrow(_coded, kind))
     codes_ = vectors.select("vec_id", "mark", "label", "dim", F.posexplode("codes").alias("at", "code"))
     spots = codes_.select("vec_id", "mark", "label", "dim", F.expr(f"cast(at div {CODES} AS int)").alias("t"), (F.col("at") % CODES == 0).alias("own"), "code")
     spots = spots.groupBy("vec_id", "mark", "label", "dim", "t", "code").agg(F.max("own").alias("own"))
@@ -210,15 +217,20 @@ def near_vectors(rows: DataFrame, percent: int = 93) -> DataFrame:
     met = spots.join(sizes, bucket).withColumn("blocks", F.expr(f"cast(ceil(members / {BLOCK}) AS int)"))
     met = met.withColumn("block", F.expr("cast(pmod(xxhash64(vec_id, mark), blocks) AS int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     met = met.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).withColumn("side", F.expr("cast(block > other AS int)"))
-    units = met.select("vec_id", "mark", *bucket, "own", "i", "j", "side").join(vectors.select("vec_id", "mark", "unit", "codes"), ["vec_id", "mark"])
+    units = met.select("vec_id", "mark", *bucket, "own", "i", "j", "side").join(vectors.select("vec_id", "mark", "copies", "unit", "codes"), ["vec_id", "mark"])
     keys = [*bucket, "i", "j"]
     parts_ = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = settle(units.repartition(parts_, *keys).sortWithinPartitions(*keys).mapInArrow(_linked(percent), "vec_id long, mark long, links long, least long"))
-    counts = found.groupBy("vec_id", "mark").agg(F.sum("links").alias("n_links"))
-    labels = components(found.select(F.col("vec_id").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "vec_id")
-    out = base.join(counts, ["vec_id", "mark"], "left").join(labels, "vec_id", "left")
+    counts = vectors.select("mark", F.col("vec_id").alias("stands"), "copies").join(
+        found.groupBy(F.col("vec_id").alias("stands"), "mark").agg(F.sum("links").alias("links")), ["stands", "mark"], "left"
+    )
+    placed = base.join(counts, "mark", "left").withColumn("n_links", F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0)))
+    placed = placed.withColumn("n_links", F.when(F.col("vec_id").isNull(), 0).otherwise(F.col("n_links")))
+    same = placed.filter("stands < vec_id").select(F.col("vec_id").alias("a"), F.col("stands").alias("b")).distinct()
+    labels = components(found.select(F.col("vec_id").alias("a"), F.col("least").alias("b")).union(same)).withColumnRenamed("node", "vec_id")
+    out = placed.join(labels, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
+    return out.select("vec_id", "n_links", component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
 
 
 #: DuckDB statement for near_vectors over the table embeddings: the cosines of all pairs, then all that is reachable.
