@@ -103,7 +103,7 @@ def test_one_bucket_links_whole_components():
             # the ends have the smallest ids
             ids = np.array([1, *range(n - 1, 1, -1), 0])
         batch = pa.table({
-            "vec_id": ids, "mark": ids, "own": np.ones(len(ids), bool), "side": np.zeros(len(ids), np.int32),
+            "vec_id": ids, "mark": ids, "own": np.ones(len(ids), bool), "side": np.zeros(len(ids), np.int32), "copies": np.ones(len(ids), np.int64),
             **{c: np.zeros(len(ids), np.int64) for c in ("dim", "label", "t", "code", "i", "j")},
             "unit": pa.array(vectors.tolist()), "codes": pa.array(cross_polytope.codes(vectors).reshape(len(ids), -1).tolist()),
         }).to_batches()[0]
