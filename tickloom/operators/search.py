@@ -70,10 +70,15 @@ def _runs(text: Column, size: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, size)))
 
 
+#: Rows of a run's list that one task meets; longer lists are cut into slices.
+SLICE_ROWS = 1 << 16
+
+
 def _candidates(rows: DataFrame, texts: list[str], wanted: DataFrame) -> DataFrame:
     """Rows of ``rows`` next to each row of ``wanted`` whose rarest run of characters stands in one of the upper-case ``texts``.
 
     ``wanted`` has an array ``words``, all of which a hit must hold. Only runs that some word has are kept in the index, and of a request's runs the rarest alone is joined.
+    The list of a frequent run is cut into slices, each of which meets all requests for that run, so no task holds a whole list.
     """
     size = lambda word: F.least(F.length(word), F.lit(GRAM))
     cut = F.array_distinct(F.flatten(F.transform("words", lambda w: F.when(w == "", F.array(F.lit(""))).otherwise(_runs(w, size(w))))))
@@ -86,8 +91,34 @@ def _candidates(rows: DataFrame, texts: list[str], wanted: DataFrame) -> DataFra
     postings = sized.withColumn("_gram", F.explode(F.array_distinct(F.concat(*[runs(t) for t in texts])))).drop("_sizes")
     postings = settle(postings.join(needed.select("_gram"), "_gram", "left_semi"))
     counts = postings.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = wishes.join(counts, "_gram", "left").groupBy("words").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
-    return wanted.join(rarest, "words").join(postings, "_gram").drop("_gram")
+    best = F.min_by(F.struct("_gram", "_n"), F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_best")
+    rarest = wishes.join(counts, "_gram", "left").groupBy("words").agg(best).where("_best._n > 0")
+    rarest = settle(rarest.select("words", "_best._gram", F.ceil(F.col("_best._n") / SLICE_ROWS).cast("int").alias("_slices")))
+    lists = postings.join(rarest.select("_gram", "_slices").distinct(), "_gram").withColumn("_slice", F.pmod(F.xxhash64(*rows.columns), "_slices").cast("int"))
+    asked = wanted.join(rarest, "words").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
+    return asked.join(lists.drop("_slices"), ["_gram", "_slice"]).drop("_gram", "_slice")
+
+
+def _first(rows: DataFrame, limit: int, keys: list[str], *order: str, place: str = "rank") -> DataFrame:
+    """The first ``limit`` rows of each key, with their place; tasks keep no more of theirs before the exchange."""
+    ranked = rows.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.where(F.col(place) <= limit)
+
+
+def _answers(rows: DataFrame, texts: list[str], traits: list[str], requests: DataFrame, hit: Column, weight: Column, limit: int) -> DataFrame:
+    """The first ``limit`` of ``rows`` by ``weight`` and position for each ``request_id``, with ``_weight, rank``; the other columns of ``requests`` say what is asked for.
+
+    ``hit`` and ``weight`` read those columns and the ``traits`` of a row, so rows of equal traits are one class: none but its first ``limit`` can be in an answer, and an answer
+    lies in the first ``limit`` classes by weight and first position. Equal requests are answered once.
+    """
+    asked = settle(requests)
+    keys = [c for c in requests.columns if c != "request_id"]
+    members = settle(_first(rows.withColumn("_class", F.struct(*traits)), limit, ["_class"], "position", place="_member"))
+    classes = members.where("_member = 1").select("_class", F.col("position").alias("_head"), *[F.col(f"_class.{t}").alias(t) for t in traits])
+    met = _candidates(classes, texts, asked.select(*keys).distinct()).where(hit).withColumn("_weight", weight)
+    nearest = _first(met, limit, keys, "_weight", "_head").select(*keys, "_class", "_weight")
+    found = _first(nearest.join(members, "_class"), limit, keys, "_weight", "position").drop("rank")
+    return _first(asked.join(found, keys), limit, ["request_id"], "_weight", "position").select("request_id", *rows.columns, "_weight", "rank")
 
 
 def search_requests(instruments: DataFrame, requests: DataFrame, limit: int = 20) -> DataFrame:
@@ -99,15 +130,9 @@ def search_requests(instruments: DataFrame, requests: DataFrame, limit: int = 20
     query = F.upper(F.coalesce("query", F.lit("")))
     words = F.when(F.col("all_words"), F.filter(F.split(query, r"\s+"), lambda w: w != "")).otherwise(F.array(query))
     wanted = requests.select("request_id", words.alias("words"), F.coalesce("kind", F.lit("")).alias("_kind"))
-    met = _candidates(typed.where(~F.col("search_symbol").isin(*RESERVED)), ["search_symbol"], wanted)
     hit = F.forall("words", lambda w: F.col("search_symbol").contains(w)) & (F.col("_kind").isin("", "all") | (F.col("_kind") == F.col("type")))
-    return _first(met.where(hit).drop("words", "_kind"), limit, "position")
-
-
-def _first(rows: DataFrame, limit: int, *order: str) -> DataFrame:
-    """The first ``limit`` rows of each request; tasks keep no more of theirs before the exchange."""
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(*order)))
-    return ranked.where(F.col("rank") <= limit)
+    named = typed.where(~F.col("search_symbol").isin(*RESERVED))
+    return _answers(named, ["search_symbol"], ["search_symbol", "type"], wanted, hit, F.lit(0), limit).drop("_weight")
 
 
 def favourites_requests(instruments: DataFrame, requests: DataFrame, limit: int = 20) -> DataFrame:
@@ -144,7 +169,7 @@ def rank_requests(instruments: DataFrame, requests: DataFrame, limit: int = 30)
     hit = (in_name >= 0) | (in_text >= 0) | (F.col("_q") == "")
     for filter_, column in (("_exchange", "exchange"), ("_kind", "type")):
         hit = hit & ((F.col(filter_) == "") | (F.col(filter_) == F.col(column)))
-    ranked = _first(met.where(hit).withColumn("weight", weight), limit, "weight", "position")
+    ranked = _first(met.where(hit).withColumn("weight", weight), limit, ["request_id"], "weight", "position")
     return ranked.select(
         "request_id", "rank", F.col("name").alias("symbol"), F.concat("exchange", F.lit(":"), "name").alias("full_name"), "description", "exchange", "type", "weight"
     )
