@@ -163,13 +163,13 @@ def rank_requests(instruments: DataFrame, requests: DataFrame, limit: int = 30)
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     wanted = requests.select("request_id", F.array(q).alias("words"), empty("exchange").alias("_exchange"), empty("kind").alias("_kind"))
     rows = instruments.withColumns({"_name": F.upper("name"), "_text": F.upper("description")})
-    met = _candidates(rows, ["_name", "_text"], wanted).withColumn("_q", F.get("words", F.lit(0)))
-    in_name, in_text = F.expr("instr(_name, _q) - 1"), F.expr("instr(_text, _q) - 1")
-    weight = F.when(F.col("_q") == "", 0).when(in_name >= 0, in_name).otherwise(8000 + in_text)
-    hit = (in_name >= 0) | (in_text >= 0) | (F.col("_q") == "")
+    word = F.get("words", F.lit(0))
+    in_name, in_text = F.instr(F.col("_name"), word) - 1, F.instr(F.col("_text"), word) - 1
+    weight = F.when(word == "", 0).when(in_name >= 0, in_name).otherwise(8000 + in_text)
+    hit = (in_name >= 0) | (in_text >= 0) | (word == "")
     for filter_, column in (("_exchange", "exchange"), ("_kind", "type")):
         hit = hit & ((F.col(filter_) == "") | (F.col(filter_) == F.col(column)))
-    ranked = _first(met.where(hit).withColumn("weight", weight), limit, ["request_id"], "weight", "position")
+    ranked = _answers(rows, ["_name", "_text"], ["_name", "_text", "exchange", "type"], wanted, hit, weight, limit).withColumnRenamed("_weight", "weight")
     return ranked.select(
         "request_id", "rank", F.col("name").alias("symbol"), F.concat("exchange", F.lit(":"), "name").alias("full_name"), "description", "exchange", "type", "weight"
     )
