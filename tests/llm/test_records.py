@@ -210,6 +210,28 @@ def test_packing(spark, odd_docs, odd_rows, no_docs, monkeypatch):
     assert packing.pack(no_docs, WORDS).count() == 0
 
 
+@pytest.mark.parametrize("most", [packing.KNOWN_UNITS, 5, 0])
+def test_units_met_before_are_not_merged_again(monkeypatch, most):
+    """A later batch merges its new units only, with the library's ids; also when there is no room for all units."""
+    from tokenizers import Tokenizer
+
+    merged, library = [], Tokenizer.from_file(WORDS)
+    monkeypatch.setattr(packing, "KNOWN_UNITS", most)
+    monkeypatch.setattr(packing, "_spelled", {})
+    monkeypatch.setattr(packing, "merged", lambda symbols, begins, table: merged.append(len(begins) - 1) or bpe.merged(symbols, begins, table))
+    long = "q" * 300 + " x" + "yz" * 90
+    batches = [["the old mill, the mill", "Ünder it's 47 café", None, long], ["an old MILL 4 it's", "", long], ["the old mill", "Ünder 7"], ["", None], ["日本 the 日本", "old"]]
+    for texts in batches:
+        ids, begins = packing.tokenize(WORDS, pa.array(texts, pa.string()))
+        for k, text in enumerate(texts):
+            assert ids[begins[k] : begins[k + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids
+        for known in packing._spelled.values():
+            assert len(known.prints) <= most
+    if most > 5:
+        # "an" and the two words of too many ids; "7" was met as a digit of 47
+        assert merged[1:] == [3, 0, 0]
+
+
 def test_packing_prefers_lexical_neighbours():
     have = np.ones(100, np.int64)
     docs = [[k, np.array([10 + k % 3, 20 + k % 3, 50 + k, 2], np.uint16), 0] for k in range(12)]

@@ -36,6 +36,8 @@ QUERY_TERMS = 12
 #: BM25 saturation and length normalisation.
 K1, B = 1.2, 0.75
 PART_BYTES = 4 << 20
+#: Units whose ids a worker keeps from batch to batch, and the most ids of one.
+KNOWN_UNITS, KNOWN_IDS = 1 << 18, 32
 
 _LETTER, _DIGIT, _OTHER = 1, 2, 3
 
@@ -106,6 +108,35 @@ def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return lower, starts, ends, strange[number[starts]]
 
 
+class _Spelled:
+    """Ids of units that this worker has met, by their hash, so that a word is not merged again in every batch: up to ``KNOWN_UNITS`` of at most ``KNOWN_IDS`` ids."""
+
+    def __init__(self):
+        self.prints = np.zeros(0, np.uint64)
+        self.begins, self.counts, self.ids = (np.zeros(0, np.int64) for _ in range(3))
+
+    def find(self, prints: np.ndarray) -> np.ndarray:
+        """Number of each unit, -1 for those not met yet."""
+        if not len(self.prints):
+            return np.full(len(prints), -1)
+        at = np.minimum(np.searchsorted(self.prints, prints), len(self.prints) - 1)
+        return np.where(self.prints[at] == prints, at, -1)
+
+    def add(self, prints: np.ndarray, begins: np.ndarray, counts: np.ndarray, pool: np.ndarray) -> None:
+        """Keep new units with ids ``pool[begins[k]:begins[k] + counts[k]]``; when there is no room, the older ones are forgotten."""
+        own = np.flatnonzero(counts <= KNOWN_IDS)[:KNOWN_UNITS]
+        if len(self.prints) + len(own) > KNOWN_UNITS:
+            self.__init__()
+        sizes = counts[own]
+        prints, starts = np.concatenate((self.prints, prints[own])), np.concatenate((self.begins, len(self.ids) + np.cumsum(sizes) - sizes))
+        order = np.argsort(prints)
+        self.prints, self.begins, self.counts = prints[order], starts[order], np.concatenate((self.counts, sizes))[order]
+        self.ids = np.concatenate((self.ids, pool[ranges(begins[own], sizes)]))
+
+
+_spelled: dict[str, _Spelled] = {}
+
+
 def tokenize(path: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts, as the tokenizer file gives them without special tokens, and the n + 1 numbers at which rows begin."""
     table, inside, last, library = _tables(path)
@@ -117,9 +148,14 @@ def tokenize(path: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     prints = span_hashes(lower, starts, ends, cased=True)
     prints[strange] = span_hashes(data, starts[strange], ends[strange], cased=True) ^ np.uint64(1)
-    _, first, inverse = np.unique(prints, return_index=True, return_inverse=True)
-    plain = np.flatnonzero(~strange[first])
-    hard = np.flatnonzero(strange[first])
+    coded = pa.array(prints).dictionary_encode()
+    prints, inverse = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    # codes are given in the order of first places
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(inverse), prepend=-1))
+    known = _spelled.setdefault(path, _Spelled())
+    at = known.find(prints)
+    plain = np.flatnonzero((at < 0) & ~strange[first])
+    hard = np.flatnonzero((at < 0) & strange[first])
     sizes = (ends - starts)[first]
     place = ranges(starts[first][plain], sizes[plain])
     symbols = inside[lower[place]]
@@ -130,11 +166,15 @@ def tokenize(path: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     spelled = [np.array(x.ids, np.int64) for x in library.encode_batch(texts, add_special_tokens=False)] if texts else []
     counts = np.zeros(len(first), np.int64)
     counts[plain], counts[hard] = np.diff(begins), [len(x) for x in spelled]
-    pool = np.concatenate([ids, *spelled])
+    pool = np.concatenate([known.ids, ids, *spelled])
     where = np.zeros(len(first), np.int64)
-    where[plain] = begins[:-1]
-    where[hard] = len(ids) + np.concatenate(([0], np.cumsum(counts[hard])))[:-1] if len(hard) else 0
+    where[plain] = len(known.ids) + begins[:-1]
+    where[hard] = len(known.ids) + len(ids) + np.concatenate(([0], np.cumsum(counts[hard])))[:-1] if len(hard) else 0
+    old = np.flatnonzero(at >= 0)
+    where[old], counts[old] = known.begins[at[old]], known.counts[at[old]]
     out = pool[ranges(where[inverse], counts[inverse])]
+    new = np.concatenate((plain, hard))
+    known.add(prints[new], where[new], counts[new], pool)
     sums = np.concatenate(([0], np.cumsum(counts[inverse])))
     return out, sums[np.searchsorted(starts, offsets)]
 
