@@ -6,6 +6,7 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -167,6 +168,55 @@ def test_repeats_of_runs_and_shared_starts(spark):
     assert sorted((tuple(r) for r in found), key=str) == repeats(rows)
 
 
+def bucket_of(texts, block=suffix_array.LENGTH << 10):
+    """The rows that the task of one bucket gets for these texts, a block each ``block`` bytes; ids count up."""
+    rows, ids, held = [], [], 0
+    for k, t in enumerate(texts):
+        ids.append(k)
+        held += len(t)
+        if held >= block or k == len(texts) - 1:
+            own = [texts[i].encode() for i in ids]
+            rows.append((len(rows), np.array(ids).tobytes(), np.array([len(x) for x in own]).tobytes(), suffix_array._packed(b"".join(own))))
+            ids, held = [], 0
+    schema = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("ids", "sizes", "data"))])
+    blocks = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    anchors = pa.Table.from_batches(suffix_array._anchor_rows(1)(iter([blocks])))
+    replies = {r["block"]: [{"bucket": 0, "bits": r["bits"]}] for r in suffix_array._shared_anchors(anchors).to_pylist()}
+    kind = pa.list_(pa.struct([("bucket", pa.int32()), ("bits", pa.binary())]))
+    replied = blocks.append_column("replies", pa.array([replies.get(r[0]) for r in rows], kind))
+    return replied, pa.Table.from_batches(suffix_array._fragment_rows(1)(iter([replied])))
+
+
+def test_a_bucket_is_sorted_in_little_memory():
+    """A bucket whose fragments are all shared needs a few times their bytes, not a hundred times."""
+    half = [prose(k, 2500) for k in range(60)]
+    texts = [*half, *(x[9:] for x in half)]
+    replied, bucket = bucket_of(texts, 400_000)
+    held = sum(int.from_bytes(x.as_py()[:8], "little") for x in bucket.column("data"))
+    assert held > 4_000_000
+    suffix_array._least_docs(bucket)
+    tracemalloc.start()
+    found = suffix_array._least_docs(bucket).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000 + 5 * held
+    gone = []
+    for row in replied.to_pylist():
+        block = suffix_array._Block(row)
+        here = suffix_array._covered(block, suffix_array._Fragments(block, 1, row["replies"]), [r for r in found if r["block"] == row["block"]])
+        gone += [int(here[a:b].sum()) for a, b in zip(block.offsets[:-1], block.offsets[1:], strict=True)]
+    assert gone == [r[2] for r in sorted(repeats(list(enumerate(texts))), key=lambda r: r[0])]
+
+
+def test_repeats_over_many_small_blocks(spark, monkeypatch):
+    """More buckets than the session's partitions ask for, and slices that are sorted one by one."""
+    for name, value in (("BLOCK_BYTES", 300), ("BUCKET_BLOCKS", 1), ("SLICE_BYTES", 1)):
+        monkeypatch.setattr(suffix_array, name, value)
+    rows = [(k % 97, prose(k % 60, 40)[k % 9 :]) for k in range(150)] + [(None, prose(1, 40))]
+    found = suffix_array.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)).collect()
+    assert sorted((tuple(r) for r in found), key=str) == repeats(rows)
+
+
 def test_sorted_orders_suffixes():
     data = np.frombuffer(b"banana bandana banana" + b"\0" * 80, np.uint8)
     at = np.arange(21)

@@ -6,10 +6,11 @@ Every suffix is a candidate at its first ``LENGTH`` bytes. They are sorted bucke
 2. *Buckets.* The bucket of a suffix is given by its anchor, the smallest hash of a ``GRAM``-byte string inside its first LENGTH
    bytes. Equal strings have equal anchors, neighbouring suffixes mostly share one, and travel as one fragment. Anchors that
    only one document has are filtered out first (four bytes each, a bit each back), so only suffixes that may repeat are sorted.
-3. *Sorting.* A task holds the fragments of one bucket, each distinct fragment once. Its suffixes are sorted one range of leading
-   bytes at a time, on their first 32 bytes. Ties longer than that are resolved without looking at text: the positions of a
-   difference cover modulo 31 are ranked beforehand, and any two suffixes have an offset below 31 at which both are in the cover.
-   So a task needs memory for its fragments, the cover ranks and one range of suffixes.
+3. *Sorting.* A task holds the fragments of one bucket, each distinct fragment once. Fragments come in ``SLICES`` slices by anchor, and
+   slices are sorted one after the other, small ones together. The suffixes of a slice are sorted one range of leading bytes at a time, on
+   their first 32 bytes. Ties longer than that are resolved without looking at text: the positions of a difference cover modulo 31 are
+   ranked beforehand, and any two suffixes have an offset below 31 at which both are in the cover. So a task needs memory for its
+   fragments, and for the cover ranks and one range of suffixes of a slice. Buckets grow in number with the blocks.
 4. *Removal.* The smallest doc_id of each run of equal suffixes goes back to the fragments' blocks, where the covered
    bytes of each document are marked.
 """
@@ -37,6 +38,8 @@ BLOCK_BYTES = 2 << 20
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 #: Suffixes that are sorted at once.
 RANGE = 1 << 19
+#: Blocks for each bucket, at most; slices of a bucket; bytes of distinct fragments up to which slices are sorted together.
+BUCKET_BLOCKS, SLICES, SLICE_BYTES = 4, 16, 1 << 19
 
 _NONE = np.iinfo(np.int64).max
 
@@ -64,6 +67,13 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), np.uint8)
 
 
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows as Python objects, one at a time: a row is a block with what was found for it."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents packed into blocks; the block number is unique over all tasks. ``more`` holds the further columns as an Arrow stream."""
     number = TaskContext.get().partitionId() << 32
@@ -139,38 +149,37 @@ class _Block:
         self.anchors = low[self.starts]
         self.rows = np.searchsorted(self.offsets, self.starts, "right") - 1
 
-    def buckets(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct anchors sorted by bucket, their buckets, and the number of each run's anchor in that order."""
+    def buckets(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct anchors sorted by bucket and slice, their buckets and slices, and the number of each run's anchor in that order."""
         own, inverse = np.unique(self.anchors, return_inverse=True)
-        bucket = (mixed(own) % np.uint64(n)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        fine = (mixed(own) % np.uint64(n * SLICES)).astype(np.int64)
+        order = np.argsort(fine, kind="stable")
         rank = np.empty(len(own), np.int64)
         rank[order] = np.arange(len(own))
-        return own[order], bucket[order], rank[inverse]
+        return own[order], fine[order] // SLICES, fine[order] % SLICES, rank[inverse]
 
 
 def _anchor_rows(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = _Block(row)
-                own, bucket, number = block.buckets(n)
-                first, last = np.full(len(own), _NONE), np.full(len(own), -1)
-                np.minimum.at(first, number, block.rows)
-                np.maximum.at(last, number, block.rows)
-                heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(own) else np.zeros(0, np.int64)
-                tails = np.concatenate((heads[1:], [len(own)])) if len(own) else heads
-                cut = own.astype(np.uint32)
-                several = first < last
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(bucket[heads], pa.int32()),
-                        pa.array(np.full(len(heads), row["block"]), pa.int64()),
-                        pa.array([cut[a:b].tobytes() for a, b in zip(heads, tails, strict=True)], pa.binary()),
-                        pa.array([np.packbits(several[a:b]).tobytes() for a, b in zip(heads, tails, strict=True)], pa.binary()),
-                    ],
-                    ["bucket", "block", "anchors", "several"],
-                )
+        for row in _one_by_one(batches):
+            block = _Block(row)
+            own, bucket, _, number = block.buckets(n)
+            first, last = np.full(len(own), _NONE), np.full(len(own), -1)
+            np.minimum.at(first, number, block.rows)
+            np.maximum.at(last, number, block.rows)
+            heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(own) else np.zeros(0, np.int64)
+            tails = np.concatenate((heads[1:], [len(own)])) if len(own) else heads
+            cut = own.astype(np.uint32)
+            several = first < last
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(bucket[heads], pa.int32()),
+                    pa.array(np.full(len(heads), row["block"]), pa.int64()),
+                    pa.array([cut[a:b].tobytes() for a, b in zip(heads, tails, strict=True)], pa.binary()),
+                    pa.array([np.packbits(several[a:b]).tobytes() for a, b in zip(heads, tails, strict=True)], pa.binary()),
+                ],
+                ["bucket", "block", "anchors", "several"],
+            )
 
     return run
 
@@ -188,10 +197,10 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
 
 
 class _Fragments:
-    """The distinct fragments of a block whose anchors are shared, by bucket; ``number`` is the fragment of each kept run."""
+    """The distinct fragments of a block whose anchors are shared, by bucket and slice; ``number`` is the fragment of each kept run."""
 
     def __init__(self, block: _Block, n: int, replies: list[dict]):
-        own, bucket, number = block.buckets(n)
+        own, bucket, part, number = block.buckets(n)
         shared = np.zeros(len(own), bool)
         for r in replies:
             low, high = np.searchsorted(bucket, [r["bucket"], r["bucket"] + 1])
@@ -200,13 +209,13 @@ class _Fragments:
         self.starts, self.counts, self.rows, number = block.starts[keep], block.counts[keep], block.rows[keep], number[keep]
         lengths = self.counts + (LENGTH - 1)
         prints = _fragment_prints(block.data, self.starts, self.starts + lengths)
-        # by bucket, then by hash: one fragment for all runs with the same bytes
+        # by bucket and slice, then by hash: one fragment for all runs with the same bytes
         order = np.lexsort((prints, number))
         new = np.concatenate(([True], (np.diff(number[order]) != 0) | (prints[order][1:] != prints[order][:-1]))) if len(order) else np.zeros(0, bool)
         self.number = np.empty(len(order), np.int64)
         self.number[order] = np.cumsum(new) - 1
         heads = order[new]
-        self.lengths, self.first, self.bucket = lengths[heads], self.starts[heads], bucket[number[heads]]
+        self.lengths, self.first, self.bucket, self.slice = lengths[heads], self.starts[heads], bucket[number[heads]], part[number[heads]]
         self.least = np.full(len(heads), _NONE)
         np.minimum.at(self.least, self.number, block.ids[self.rows])
 
@@ -229,20 +238,20 @@ def _fragment_prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
 
 def _fragment_rows(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = _Block(row)
-                own = _Fragments(block, n, row["replies"] or [])
-                heads = np.flatnonzero(np.concatenate(([True], own.bucket[1:] != own.bucket[:-1]))) if len(own.bucket) else np.zeros(0, np.int64)
-                tails = np.concatenate((heads[1:], [len(own.bucket)])) if len(heads) else heads
-                rows = []
-                for a, b in zip(heads, tails, strict=True):
-                    data = block.data[ranges(own.first[a:b], own.lengths[a:b])].tobytes()
-                    rows.append((own.lengths[a:b].astype(np.int32).tobytes(), own.least[a:b].tobytes(), _packed(data)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own.bucket[heads], pa.int32()), pa.array(np.full(len(heads), row["block"]), pa.int64()), *(pa.array([x[k] for x in rows], pa.binary()) for k in range(3))],
-                    ["bucket", "block", "lengths", "least", "data"],
-                )
+        for row in _one_by_one(batches):
+            block = _Block(row)
+            own = _Fragments(block, n, row["replies"] or [])
+            heads = np.flatnonzero(np.concatenate(([True], own.bucket[1:] != own.bucket[:-1]))) if len(own.bucket) else np.zeros(0, np.int64)
+            tails = np.concatenate((heads[1:], [len(own.bucket)])) if len(heads) else heads
+            rows = []
+            for a, b in zip(heads, tails, strict=True):
+                data = block.data[ranges(own.first[a:b], own.lengths[a:b])].tobytes()
+                slices = np.bincount(own.slice[a:b], minlength=SLICES)
+                rows.append((slices.astype(np.int32).tobytes(), own.lengths[a:b].astype(np.int32).tobytes(), own.least[a:b].tobytes(), _packed(data)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own.bucket[heads], pa.int32()), pa.array(np.full(len(heads), row["block"]), pa.int64()), *(pa.array([x[k] for x in rows], pa.binary()) for k in range(4))],
+                ["bucket", "block", "slices", "lengths", "least", "data"],
+            )
 
     return run
 
@@ -364,37 +373,69 @@ def _resolved(at: np.ndarray, group: np.ndarray, rank: np.ndarray, common: np.nd
 
 
 def _least_docs(table: pa.Table) -> pa.Table:
-    """For every fragment of every block of one bucket: the smallest doc_id that has each of its suffixes, run-length coded."""
+    """For every fragment of every block of one bucket: the smallest doc_id that has each of its suffixes, run-length coded.
+
+    Fragments that share a suffix share its anchor and so a slice; only the fragments of some slices, ``SLICE_BYTES`` or a slice, are sorted at once.
+    """
     lengths = [np.frombuffer(x.as_buffer(), np.int32).astype(np.int64) for x in table.column("lengths")]
     least = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("least")])
     data = np.concatenate([_unpacked(x.as_py()) for x in table.column("data")])
+    counts = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in table.column("slices")])
+    part = np.repeat(np.arange(len(counts)) % SLICES, counts)
     every = np.concatenate(lengths)
     ends = np.cumsum(every)
     prints = span_hashes(data, ends - every, ends, cased=True)
     _, first, inverse = np.unique(prints, return_index=True, return_inverse=True)
+    by_slice = np.argsort(part[first], kind="stable")
+    place = np.empty(len(first), np.int64)
+    place[by_slice] = np.arange(len(first))
+    first, inverse = first[by_slice], place[inverse]
     lowest = np.full(len(first), _NONE)
     np.minimum.at(lowest, inverse, least)
-    own = every[first]
-    text = data[ranges((ends - every)[first], own)]
-    starts, klass = _classes(text, own)
-    owner = np.repeat(np.arange(len(own)), own)[starts]
-    smallest = np.full(int(klass.max()) + 1, _NONE)
-    np.minimum.at(smallest, klass, lowest[owner])
-    found = smallest[klass]
-    new = np.flatnonzero(np.concatenate(([True], (np.diff(found) != 0) | (np.diff(owner) != 0))))
-    runs = np.diff(np.concatenate((new, [len(found)])))
-    begins = np.searchsorted(owner[new], np.arange(len(own) + 1))
+    own, begin = every[first], (ends - every)[first]
+    docs, runs, begins = [], [], [np.zeros(1, np.int64)]
+    for a, b in _together(part[first], own):
+        values, sizes, numbers = _runs(data[ranges(begin[a:b], own[a:b])], own[a:b], lowest[a:b])
+        docs.append(values)
+        runs.append(sizes)
+        begins.append(begins[-1][-1] + numbers)
+    docs, runs, begins = np.concatenate(docs), np.concatenate(runs), np.concatenate(begins)
     values, lasts = [], []
     at = 0
     for x in lengths:
         which = inverse[at : at + len(x)]
         at += len(x)
         k = ranges(begins[which], begins[which + 1] - begins[which])
-        values.append(found[new[k]].tobytes())
-        lasts.append(runs[k].astype(np.int32).tobytes())
+        values.append(docs[k].tobytes())
+        lasts.append(runs[k].tobytes())
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "docs": pa.array(values, pa.binary()), "runs": pa.array(lasts, pa.binary())})
 
 
+def _together(part: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of whole slices, of up to ``SLICE_BYTES`` bytes or one slice, for fragments in the order of their slices."""
+    heads = np.flatnonzero(np.diff(part, prepend=-1))
+    sizes = np.add.reduceat(lengths, heads)
+    cuts, held = [], 0
+    for head, size in zip(heads.tolist(), sizes.tolist(), strict=True):
+        if not cuts or held + size > SLICE_BYTES:
+            cuts.append(head)
+            held = 0
+        held += size
+    return list(zip(cuts, [*cuts[1:], len(part)], strict=True))
+
+
+def _runs(text: np.ndarray, lengths: np.ndarray, lowest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Smallest doc_id of the suffixes of each fragment as values with their numbers of suffixes, and at how many of them each fragment ends."""
+    starts, klass = _classes(text, lengths)
+    owner = np.repeat(np.arange(len(lengths)), lengths - (LENGTH - 1))
+    smallest = np.full(int(klass.max()) + 1, _NONE)
+    np.minimum.at(smallest, klass, lowest[owner])
+    found = smallest[klass]
+    new = np.flatnonzero(np.concatenate(([True], (np.diff(found) != 0) | (np.diff(owner) != 0))))
+    sizes = np.diff(np.concatenate((new, [len(found)])))
+    return found[new], sizes.astype(np.int32), np.searchsorted(owner[new], np.arange(1, len(lengths) + 1))
+
+
 def _covered(block: _Block, own: _Fragments, found: list[dict]) -> np.ndarray:
     """Which bytes of the block are removed."""
     found = sorted(found, key=lambda r: r["bucket"])
@@ -414,28 +455,27 @@ def _covered(block: _Block, own: _Fragments, found: list[dict]) -> np.ndarray:
 
 def _reports(n: int, keep: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = _Block(row)
-                gone = _covered(block, _Fragments(block, n, row["replies"] or []), row["found"] or [])
-                removed = np.concatenate(([0], np.cumsum(gone)))
-                a, b = block.offsets[:-1], block.offsets[1:]
-                first = gone & np.concatenate(([True], ~gone[:-1])) if len(gone) else gone
-                heads = a[b > a]
-                first[heads] = gone[heads]
-                spans = np.concatenate(([0], np.cumsum(first)))
-                kept = [block.data[x:y][~gone[x:y]].tobytes() for x, y in zip(a, b, strict=True)]
-                columns = {
-                    "doc_id": pa.array(block.ids),
-                    "n_bytes": pa.array(b - a),
-                    "n_removed": pa.array(removed[b] - removed[a]),
-                    "n_spans": pa.array(spans[b] - spans[a]),
-                    "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
-                }
-                if keep:
-                    more = pa.ipc.open_stream(_unpacked(row["more"]).tobytes()).read_all()
-                    columns |= {c: pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if c == "text" else more.column(c).combine_chunks() for c in keep}
-                yield pa.RecordBatch.from_pydict(columns)
+        for row in _one_by_one(batches):
+            block = _Block(row)
+            gone = _covered(block, _Fragments(block, n, row["replies"] or []), row["found"] or [])
+            removed = np.concatenate(([0], np.cumsum(gone)))
+            a, b = block.offsets[:-1], block.offsets[1:]
+            first = gone & np.concatenate(([True], ~gone[:-1])) if len(gone) else gone
+            heads = a[b > a]
+            first[heads] = gone[heads]
+            spans = np.concatenate(([0], np.cumsum(first)))
+            kept = [block.data[x:y][~gone[x:y]].tobytes() for x, y in zip(a, b, strict=True)]
+            columns = {
+                "doc_id": pa.array(block.ids),
+                "n_bytes": pa.array(b - a),
+                "n_removed": pa.array(removed[b] - removed[a]),
+                "n_spans": pa.array(spans[b] - spans[a]),
+                "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
+            }
+            if keep:
+                more = pa.ipc.open_stream(_unpacked(row["more"]).tobytes()).read_all()
+                columns |= {c: pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if c == "text" else more.column(c).combine_chunks() for c in keep}
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -455,19 +495,19 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     further = [c for c in keep if c not in ("doc_id", "text")]
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *further)
     dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = 2 * dealt
     blocks = settle(docs.filter("doc_id IS NOT NULL").mapInArrow(_blocks, "block long, ids binary, sizes binary, data binary, more binary"))
-    texts = blocks.drop("more")
+    n = max(2 * dealt, -(-blocks.count() // BUCKET_BLOCKS))
     shared = settle(
-        texts.mapInArrow(_anchor_rows(n), "bucket int, block long, anchors binary, several binary")
+        blocks.drop("more").mapInArrow(_anchor_rows(n), "bucket int, block long, anchors binary, several binary")
         .groupBy("bucket")
         .applyInArrow(_shared_anchors, "block long, bucket int, bits binary")
         .groupBy("block")
         .agg(F.collect_list(F.struct("bucket", "bits")).alias("replies"))
     )
+    # with all columns, so that the exchange of this join is that of the last one too
+    replied = blocks.join(shared, "block", "left")
     found = (
-        texts.join(shared, "block", "left")
-        .mapInArrow(_fragment_rows(n), "bucket int, block long, lengths binary, least binary, data binary")
+        replied.mapInArrow(_fragment_rows(n), "bucket int, block long, slices binary, lengths binary, least binary, data binary")
         .groupBy("bucket")
         .applyInArrow(_least_docs, "block long, bucket int, docs binary, runs binary")
         .groupBy("block")
@@ -475,7 +515,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
     report = ["doc_id long", "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"]
     kept = [f"`{c}` {kinds[c]}" for c in keep if c != "doc_id"]
-    out = blocks.join(shared, "block", "left").join(found, "block", "left").mapInArrow(_reports(n, tuple(c for c in keep if c != "doc_id")), ", ".join([*report, *kept]))
+    out = replied.join(found, "block", "left").mapInArrow(_reports(n, tuple(c for c in keep if c != "doc_id")), ", ".join([*report, *kept]))
     none = F.lit(0).cast("long")
     lone = docs.filter("doc_id IS NULL").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *(c for c in keep if c != "doc_id"))
     return out.union(lone)
