@@ -10,6 +10,7 @@ import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -208,12 +209,23 @@ def test_a_bucket_is_sorted_in_little_memory():
     assert gone == [r[2] for r in sorted(repeats(list(enumerate(texts))), key=lambda r: r[0])]
 
 
+def test_buckets_of_the_passage_stage_follow_the_blocks(spark, monkeypatch):
+    """The fourth stage of the pipeline has a bucket for a few blocks at most, however few partitions the session asks for."""
+    asked = []
+    reports = suffix_array._reports
+    monkeypatch.setattr(suffix_array, "_reports", lambda n, keep: asked.append(n) or reports(n, keep))
+    rows = [(k, prose(k % 80, 40), "aa", "s", 1) for k in range(120)]
+    found = corpus_pipeline.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(60), "").collect()
+    assert sorted(r.doc_id for r in found) == list(range(80))
+    assert all(r.text == rows[r.doc_id][1] and r.n_chars == len(r.text) for r in found)
+    assert asked[0] == 60 // suffix_array.BUCKET_BLOCKS
+
+
 def test_repeats_over_many_small_blocks(spark, monkeypatch):
-    """More buckets than the session's partitions ask for, and slices that are sorted one by one."""
-    for name, value in (("BLOCK_BYTES", 300), ("BUCKET_BLOCKS", 1), ("SLICE_BYTES", 1)):
-        monkeypatch.setattr(suffix_array, name, value)
+    """More buckets than the session's partitions ask for."""
+    monkeypatch.setattr(suffix_array, "BUCKET_BLOCKS", 1)
     rows = [(k % 97, prose(k % 60, 40)[k % 9 :]) for k in range(150)] + [(None, prose(1, 40))]
-    found = suffix_array.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)).collect()
+    found = suffix_array.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(40)).collect()
     assert sorted((tuple(r) for r in found), key=str) == repeats(rows)
 
 
